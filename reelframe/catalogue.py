@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reelframe.operators import catalog, packets, seeks  # noqa: F401  each module registers its queries
+from reelframe.operators import attachments, benchmarks, catalog, chapters, packets, seeks, sessions, sizes  # noqa: F401  each module registers its queries
 from reelframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

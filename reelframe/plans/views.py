@@ -18,7 +18,7 @@ _SPARK = {
 }
 _ANSI = {"@us": r"epoch_us(\1)", "@sha256": r"sha256(\1)", "@bytes": r"strlen(\1)"}
 
-_EVENTS = "SELECT event_id, user_id, ts, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}"
+_EVENTS = "SELECT event_id, user_id, ts, event_type, value, props, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}"
 
 #: name -> (views it reads, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
