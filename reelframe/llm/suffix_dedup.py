@@ -8,7 +8,8 @@ smallest document in each such bucket.  Buckets are refined in three steps, each
    the initial buckets.  Buckets of one document end here.
 2. A run of neighbouring suffixes with one anchor is refined by the identifier of its whole extent.  A run that a smaller
    document has too is settled at once for all its suffixes: the smaller document's result is reused.
-3. Only suffixes of a run that is the first of its kind, in a bucket that other documents share, are refined to `length` bytes.
+3. Only suffixes of runs that are the first of their kind, in a bucket where first runs of several documents meet, are
+   refined to `length` bytes.
 
 Identifiers are 64-bit hashes of the bytes, refined within buckets of an independent hash.  Each task sends on one entry for each
 identifier it met, with its smallest document, so a passage of a third of all rows costs each task one entry.
@@ -136,7 +137,7 @@ def _passed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def run_buckets(docs: DataFrame, *, length: int, buckets: int) -> DataFrame:
-    """(doc_id, settled, open): names of runs that a smaller document has, and of first runs whose bucket other documents share."""
+    """(doc_id, settled, open): names of runs that a smaller document has, and of first runs in buckets that hold first runs of other documents."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -147,9 +148,8 @@ def run_buckets(docs: DataFrame, *, length: int, buckets: int) -> DataFrame:
             anchor, name, doc = anchor[order], name[order], doc[order]
             if not first.all():
                 yield _doc_rows(doc[~first], name[~first], True, buckets)
-            again = np.append(~first[1:], False)[first]  # another document of this task has the run too
             anchor, name, doc = anchor[first], name[first], doc[first]
-            low = (anchor & np.uint64(0xFFFFFFFE) | again.astype(np.uint64)).astype(np.uint32)
+            low = (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             where, entries = _packed(((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), [low, name], doc)
             none = [None] * len(where)
             yield _rows(where, [0] * len(where), none, none, entries)
@@ -175,24 +175,19 @@ def run_buckets(docs: DataFrame, *, length: int, buckets: int) -> DataFrame:
             parts += [_unpacked(x.as_py(), [np.uint32, np.uint64]) for x in batch.column(4)]
         if not parts:
             return
-        low, name = (np.concatenate([p[0][k] for p in parts]) for k in range(2))
+        anchor, name = (np.concatenate([p[0][k] for p in parts]) for k in range(2))
         doc = np.concatenate([p[1] for p in parts])
         del parts
-        again = (low & 1).astype(bool)
-        anchor = low >> 1
         order, first = _firsts([anchor, name], doc)
-        group = np.unique(anchor[order], return_inverse=True)[1]
-        # a bucket is shared if it has entries of two documents, or one of its entries stands for several
-        smallest = np.full(group.max(initial=-1) + 1, np.iinfo(np.int64).max)
-        largest = np.full(len(smallest), np.iinfo(np.int64).min)
-        np.minimum.at(smallest, group, doc[order])
-        np.maximum.at(largest, group, doc[order])
-        several = np.zeros(len(smallest), bool)
-        several[group[again[order]]] = True
-        # repeats that _firsts drops have the same document, so only their mark can add something
-        marked = np.unique(anchor[again])
-        shared = (smallest < largest) | several | np.isin(np.unique(anchor[order]), marked)
-        for settled, which in ((True, ~first), (False, first & shared[group])):
+        # first runs need refining only where those of one bucket begin in different documents
+        group, heads = np.unique(anchor[order][first], return_inverse=True)
+        smallest = np.full(len(group), np.iinfo(np.int64).max)
+        largest = np.full(len(group), np.iinfo(np.int64).min)
+        np.minimum.at(smallest, heads, doc[order][first])
+        np.maximum.at(largest, heads, doc[order][first])
+        mixed = np.zeros(len(order), bool)
+        mixed[first] = (smallest < largest)[heads]
+        for settled, which in ((True, ~first), (False, mixed)):
             ids, blobs = _by_doc(doc[order][which], name[order][which])
             none = [None] * len(blobs)
             columns = [pa.array(ids, pa.int64()), pa.array(blobs if settled else none, pa.binary()), pa.array(none if settled else blobs, pa.binary())]
