@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from reelframe.operators import attachments, benchmarks, catalog, chapters, packets, seeks, sessions, sizes  # noqa: F401  each module registers its queries
+from reelframe.operators import attachments, benchmarks, catalog, chapters, frames, packets, seeks, sessions, sizes  # noqa: F401  each module registers its queries
 from reelframe.plans.registry import ORACLES, QUERIES
+from reelframe.sources import files  # noqa: F401
+from reelframe.streaming import sessions as streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
