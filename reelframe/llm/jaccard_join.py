@@ -294,7 +294,7 @@ def jaccard_components(docs: DataFrame, *, num: int = 80, den: int = 100, bits:
     low = classes.join(links.withColumnRenamed("node", "sid"), "sid").groupBy("component").agg(F.min("rep").alias("low"))
     linked = links.join(low, "component").select(F.col("node").alias("sid"), "low")
     found = classes.join(linked, "sid", "left").select("sid", "n", F.coalesce("low", "rep").alias("low"))
-    return sets.join(found, ["sid", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    return sets.join(found, ["sid", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
