@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,16 @@ def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "12g",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def reach_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from the folder that the driver has it from.
+
+    A cluster whose nodes do not share that folder gets the package with --py-files instead; the setting does no harm there.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    return spark
