@@ -16,13 +16,14 @@ from reelframe.llm.common import crc_mod, table
 from reelframe.llm.labelled import fit_logistic, labelled_sample, logistic
 
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts throughout a long text.
-PIECE = 4096
+PIECE = 1024
 
 
 @dataclass(frozen=True)
 class CompressionModel:
     good: bytes
     bad: bytes
+    trained: bool  #: whether the dictionaries are zstandard's trained form, else raw content
     level: int
     weights: np.ndarray
 
@@ -34,7 +35,8 @@ class _Measure:
     """Compressors live in the task; the model only carries the dictionaries."""
 
     def __init__(self, model: CompressionModel):
-        make = lambda d: zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+        kind = zstandard.DICT_TYPE_FULLDICT if model.trained else zstandard.DICT_TYPE_RAWCONTENT
+        make = lambda d: zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=kind), write_content_size=False, write_checksum=False)
         self.good, self.bad = make(model.good), make(model.bad)
         self.plain = zstandard.ZstdCompressor(level=model.level, write_content_size=False, write_checksum=False)
         self.weights = model.weights
@@ -56,14 +58,19 @@ class _Measure:
         return logistic(np.array([self.features(x or "") for x in texts]).reshape(-1, 3), self.weights)
 
 
-def dictionary(texts: list[str], size: int) -> bytes:
-    """Raw content for a dictionary of `size` bytes: an even share of each text, whole where it is short."""
-    share = max(64, size // max(len(texts), 1))
-    parts = [x.encode() for x in texts if x]
-    return b"\n".join(p[:share] for p in parts)[:size] or b"\x00" * 8
+def dictionaries(good: list[str], bad: list[str], size: int) -> tuple[bytes, bytes, bool]:
+    """Dictionaries of `size` bytes trained on the pieces of the texts; raw content, an even share of each text, where there is too little to train on."""
+    pieces = [[p[k : k + 2 * PIECE] for p in (x.encode() for x in texts) for k in range(0, len(p), 2 * PIECE)] for texts in (good, bad)]
+    try:
+        trained = [zstandard.train_dictionary(size, p).as_bytes() for p in pieces]
+        return trained[0], trained[1], True
+    except zstandard.ZstdError:
+        share = [max(64, size // max(len(p), 1)) for p in pieces]
+        raw = [b"\n".join(x[:n] for x in p)[:size] or b"\x00" * 8 for p, n in zip(pieces, share, strict=True)]
+        return raw[0], raw[1], False
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 1500, max_chars: int = 20_000, dict_bytes: int = 65_536, level: int = 3) -> CompressionModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 1500, max_chars: int = 20_000, dict_bytes: int = 114_688, level: int = 3) -> CompressionModel:
     """Fit on at most `per_class` training documents of either class of at most `max_chars` characters.
 
     Half of them fill the dictionaries, the other half calibrates the score.  Without both classes the score is a neutral 0.5.
@@ -73,10 +80,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, per_class:
     half = {k: [r for r in rows if r[2] == k] for k in (0, 1)}
     fit = {k: [r[1] for r in v[::2]] for k, v in half.items()}
     check = [r for v in half.values() for r in v[1::2]]
-    model = CompressionModel(dictionary(fit[1], dict_bytes), dictionary(fit[0], dict_bytes), level, np.zeros(4))
+    model = CompressionModel(*dictionaries(fit[1], fit[0], dict_bytes), level, np.zeros(4))
     measure = model.measure()
     x = np.array([measure.features(r[1]) for r in check]).reshape(-1, 3)
-    return CompressionModel(model.good, model.bad, level, fit_logistic(x, np.array([r[2] for r in check])))
+    return CompressionModel(model.good, model.bad, model.trained, level, fit_logistic(x, np.array([r[2] for r in check])))
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, *, keep: float = 0.7) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from reelframe.llm.common import crc_mod, table
 from reelframe.llm.labelled import fit_logistic, labelled_sample, logistic
-from reelframe.llm.textcodes import NOT_ALNUM, chunks, words
+from reelframe.llm.textcodes import NOT_ALNUM, chunks, mix, words
 
 
 def maximal_segments(at: np.ndarray, score: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
@@ -70,11 +70,6 @@ class ToxicModel:
         return np.log1p(values)[:, None]
 
 
-def _counted(hashes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    h, inverse = np.unique(hashes, return_inverse=True)
-    return h, np.bincount(inverse, weights, len(h)) if len(h) else np.zeros(0)
-
-
 def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     for row, stop, data, offsets in chunks(batch):
         h, start, end, begins = words(data, offsets, lower=True, separators=NOT_ALNUM)
@@ -98,11 +93,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, *, per_class: int =
                 h, doc = h[order], doc[order]
                 once = np.ones(len(h), bool)
                 once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])  # a document counts a token once
-                for k in (0, 1):
-                    token, n = _counted(h[once & (y[row:stop][doc] == k)])
-                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n.astype(np.int64) * (k == 1)), pa.array(n.astype(np.int64) * (k == 0))], ["h", "bad", "other"])
-
-    counts = sample.mapInArrow(token_counts, "h long, bad long, other long").groupBy("h").agg(F.sum("bad").alias("bad"), F.sum("other").alias("other")).persist()
+                h, doc = h[once], doc[once]
+                least = np.full(stop - row, np.iinfo(np.int64).max)
+                np.minimum.at(least, doc, mix(h.view(np.uint64)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(least[doc]), pa.array(y[row:stop][doc].astype(np.int64))], ["h", "text", "y"])
+
+    # near copies mostly share their least token hash, so a family of them counts a token about once, not once for each copy
+    seen = sample.mapInArrow(token_counts, "h long, text long, y long").distinct()
+    counts = seen.groupBy("h").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("other")).persist()
     total = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
     # a candidate is twice as frequent in toxic documents, beyond chance by a likelihood-ratio statistic of `surprise`
     rate = total[0] / max(sum(total), 1)
@@ -127,17 +125,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, *, per_class: int =
     background = docs.select("text").mapInArrow(corpus_counts, "h long, n long, everything long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("everything").alias("everything")).collect()
     corpus = max(sum(r["everything"] for r in background), 1)
     share = {r["h"]: r["n"] / corpus for r in background}
-    scored = {}
+    scored, clean_rate = {}, {}
     for h in token.tolist():
         bad, other = by[h]
         a = prior * max(share.get(h, 0.0), 1 / corpus)
         up, down = (bad + a) / max(total[0] + prior - bad - a, 1e-9), (other + a) / max(total[1] + prior - other - a, 1e-9)
         if up > down:
-            scored[h] = float(np.log(up) - np.log(down))
+            scored[h], clean_rate[h] = float(np.log(up) - np.log(down)), (other + a) / max(total[1] + prior, 1e-9)
     keep = np.array(sorted(scored), np.int64)
     scores = np.array([scored[h] for h in keep.tolist()])
-    # Karlin's lambda: sum of p * exp(lambda * score) = 1 with the corpus frequencies
-    p = np.array([max(share.get(h, 0.0), 1 / corpus) for h in keep.tolist()])
+    # Karlin's lambda: sum of p * exp(lambda * score) = 1 with the frequencies of other text
+    p = np.array([clean_rate[h] for h in keep.tolist()])
     lam = 1.0
     if len(keep):
         low, high = 1e-3, 20.0
