@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from reelframe.plans.registry import QUERIES
+from reelframe.plans.registry import ORACLES, QUERIES
+from reelframe.plans.views import ansi_with
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,3 +173,17 @@ QUERIES.update(
         "sink_stats_stream": lambda s, d: drained(stats_sink(event_stream(s, d))),
     }
 )
+
+#: Jobs whose result doesn't depend on how far a watermark came.
+ORACLES.update(
+    {
+        "epoch_guard": ansi_with(("v_events",))
+        + """ SELECT session_id, event_id, epoch FROM (SELECT user_id AS session_id, event_id, k, event_type = 'error' AND k < 20 AS is_seek,
+ CAST(sum(CASE WHEN event_type = 'error' AND k < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM v_events) WHERE k % 7 <> 0 OR epoch = 0 OR is_seek""",
+        "backpressure_stream": ansi_with(("v_reports",))
+        + """, c AS (SELECT *, CASE WHEN buffered_ms > 10000 THEN true WHEN buffered_ms <= 9500 THEN false END AS x FROM v_reports),
+s AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING), false) AS paused FROM c),
+l AS (SELECT *, coalesce(lag(paused) OVER (PARTITION BY session_id ORDER BY ts_us, event_id), false) AS before FROM s) SELECT session_id, ts_us, paused FROM l WHERE paused <> before""",
+        "sink_stats_stream": ansi_with(("v_events",)) + " SELECT user_id AS session_id, epoch_us(ts) AS ts_us, value FROM v_events WHERE event_type <> 'error' AND k % 10 <> 9",
+    }
+)
