@@ -14,24 +14,25 @@ from reelframe.llm.common import table
 #: (host, path, verdict): a rule fits its host and all subdomains where the url's path starts with its path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: The labelled table that the classifier learns from: 1 blocks.  Fixed values.
-LABELLED_URLS = (
-    ("http://cheap-pills.shop.example/buy/now", 1), ("https://www.cheap-meds.example/en/9?ref=x", 1), ("http://spam-farm.example/en/1", 1),
-    ("https://spam-links.example/seo/backlinks.html", 1), ("http://casino-bonus.example/spin", 1), ("https://www.best-casino.example/win/jackpot", 1),
-    ("http://free-pills-online.example/order", 1), ("https://adult-cams.example/live", 1), ("http://xxx-videos.example/watch", 1),
-    ("https://win-prize.example/claim/free-gift", 1), ("http://loan-fast.example/apply-now", 1), ("https://crypto-doubler.example/invest", 1),
-    ("http://link-farm.example/page/4", 1), ("https://cheap-viagra.example/en/12/", 1), ("http://www.poker-spam.example/play", 1),
-    ("https://replica-watches.example/cheap/sale", 1), ("http://spam-blog.example/fr/77#top", 1), ("https://www.pills-market.example/de/3.html", 1),
-    ("http://clickbait-farm.example/es/5/", 1), ("https://hot-deals-spam.example/promo", 1), ("http://cheap-cialis.example/en/450?page=2", 1),
-    ("https://content-farm.example/en/728?utm_source=feed", 1), ("http://porn-hub.example/free", 1), ("https://bet-casino.example/odds", 1),
-    ("http://www.library.example/en/catalogue", 0), ("https://blog.gardening.example/en/853/", 0), ("http://news.city.example/2021/05/report.html", 0),
-    ("https://m.weather.example/de/25#top", 0), ("http://university.example/courses/history", 0), ("https://www.museum.example/fr/collection/12", 0),
-    ("http://docs.software.example/guide/install", 0), ("https://recipes.example/es/978?page=2&ref=x", 0), ("http://forum.cycling.example/thread/414", 0),
-    ("https://www.hospital.example/en/contact", 0), ("http://blog.theatre.example/en/960", 0), ("https://thother.example/en/685", 0),
-    ("http://therin.example/en/770#top", 0), ("https://m.thenor.example/en/474.html", 0), ("http://ththre.example/fr/825?page=2&ref=x", 0),
-    ("https://blog.tionsh.example/es/533/", 0), ("http://www.travel.example/de/berlin/hotels", 0), ("https://ththan.example/en/671?utm_source=feed", 0),
-    ("http://science.example/papers/2020/17.html", 0), ("https://www.school.example/fr/176/", 0), ("http://music.example/en/albums/450", 0),
-    ("https://maps.example/en/148.html", 0), ("http://archive.example/en/328/", 0), ("https://blog.heron.example/en/625.html", 0),
+# Hosts of the labelled table, by what its labels say of them.
+BLOCKED_HOSTS = (
+    "buy-pills.example.com", "www.cheap-meds.example.org", "pills-store.example.net", "cheap-watches.example.com", "spam-links.example.org", "www.link-farm.example.com", "seo-spam.example.net", "content-farm.example.org",
+    "casino-club.example.com", "www.best-casino.example.net", "win-big.example.org", "jackpot-win.example.com", "free-slots.example.net", "sports-bets.example.org", "bets-online.example.com", "free-money.example.net",
+    "adult-cams.example.com", "www.xxx-videos.example.org", "hot-deals.example.net", "fast-loans.example.com", "crypto-doubler.example.org", "replica-bags.example.net", "poker-bonus.example.com", "free-viagra.example.org",
+)
+ALLOWED_HOSTS = (
+    "www.library.example.com", "blog.gardening.example.org", "news.harbour.example.net", "m.weather.example.com", "university.example.org", "www.museum.example.net", "docs.compiler.example.com", "recipes.kitchen.example.org",
+    "forum.cycling.example.net", "www.hospital.example.com", "blog.theatre.example.org", "thother.example.net", "therin.example.com", "m.thenor.example.org", "ththre.example.net", "blog.tionsh.example.com",
+    "www.travel.example.org", "ththan.example.net", "science.journal.example.com", "www.school.example.org", "music.archive.example.net", "maps.example.com", "www.therin.example.org", "blog.heron.example.net",
+)
+#: Paths that either kind of host has, so that a path says little by itself.
+LABELLED_PATHS = ("/en/450", "/fr/176/", "/de/12.html", "/es/533?page=2&ref=x", "/en/728?utm_source=feed", "/en/25#top")
+#: The labelled table that the classifier learns from: (url, 1 blocks).
+LABELLED_URLS = tuple(
+    (f"{('http', 'https')[(i + k) % 2]}://{host}{LABELLED_PATHS[(i + 3 * k) % len(LABELLED_PATHS)]}", label)
+    for label, hosts in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS))
+    for i, host in enumerate(hosts)
+    for k in range(2)
 )
 
 
@@ -67,7 +68,7 @@ def ngram_buckets(host: Column, path: Column, *, buckets: int, sizes: Sequence[i
     return F.concat(*grams("h", host), *grams("p", path))
 
 
-def fit_url_model(labelled: DataFrame, *, buckets: int = 8192, reg: float = 1e-6) -> tuple[list[float], float]:
+def fit_url_model(labelled: DataFrame, *, buckets: int = 8192, reg: float = 1e-4) -> tuple[list[float], float]:
     """(weight of each bucket, intercept) from labelled(url, label); the table is small by definition (one dense vector a row)."""
     rows = labelled.select(ngram_buckets(host_of(F.col("url")), path_of(F.col("url")), buckets=buckets).alias("b"), F.col("label").cast("double").alias("label")).coalesce(1).cache()
     counted = F.map_from_entries(F.transform(F.array_distinct("b"), lambda j: F.struct(j, F.size(F.filter("b", lambda x: x == j)) / F.sqrt(F.size("b").cast("double")))))
