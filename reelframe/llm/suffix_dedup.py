@@ -11,8 +11,9 @@ smallest document in each such bucket.  Buckets are refined in three steps, each
 3. Only suffixes of runs that are the first of their kind, in a bucket where first runs of several documents meet, are
    refined to `length` bytes.
 
-Identifiers are 64-bit hashes of the bytes, refined within buckets of an independent hash.  Each task sends on one entry for each
-identifier it met, with its smallest document, so a passage of a third of all rows costs each task one entry.
+Identifiers are hashes of the bytes: of runs 48 bits within buckets of an independent hash of 32 bits and more, of suffixes 64 bits.
+Each task sends on one entry for each identifier it met, with its smallest document, so a passage of a third of all rows costs each
+task one entry.  Results return packed by groups of documents, so rows number as the blocks of a shuffle do, not as documents times buckets.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelframe.llm.common import checkpointed, table
-from reelframe.llm.textcodes import chunks, prefix_sums, span_hash
+from reelframe.llm.common import table
+from reelframe.llm.textcodes import chunks, mix, prefix_sums, span_hash
 
 #: Length of a q-gram, and entries that a task gathers before it sends them on.
-Q, FLUSH = 16, 1_500_000
+Q, FLUSH = 20, 1_500_000
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -68,7 +69,7 @@ class Runs:
         stop = np.flatnonzero(last) + 1
         self.count = stop - self.start
         self.anchor = grams[at[self.start]]
-        self.name = span_hash(self.sums, self.start, stop + length - 1)
+        self.name = span_hash(self.sums, self.start, stop + length - 1) >> np.uint64(16)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
 
     def suffixes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +81,8 @@ class Runs:
 
 def _packed(where: np.ndarray, columns: list[np.ndarray], doc: np.ndarray) -> tuple[list[int], list[bytes]]:
     """For each bucket one binary of its columns, and of the documents as compressed differences."""
+    if not len(where):
+        return [], []
     order = np.lexsort((doc, where))
     where, doc, columns = where[order], doc[order], [c[order] for c in columns]
     buckets, cuts = np.unique(where, return_index=True)
@@ -98,12 +101,6 @@ def _unpacked(raw: bytes, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarr
     return out, np.cumsum(np.frombuffer(zlib.decompress(raw[at:]), np.int64))
 
 
-def _by_doc(doc: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    order = np.argsort(doc, kind="stable")
-    ids, cuts = np.unique(doc[order], return_index=True)
-    return ids, [x.tobytes() for x in np.split(names[order], cuts[1:])] if len(ids) else []
-
-
 def _firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (keys, doc) without repeats, and whether each entry is its key's smallest document."""
     order = np.lexsort((doc, *reversed(keys)))
@@ -117,27 +114,67 @@ def _firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, new
 
 
-_LISTS = "bucket int, doc_id long, settled binary, open binary, entries binary"
+def _halves(name: np.ndarray) -> list[np.ndarray]:
+    """48-bit names in six bytes each."""
+    return [(name >> np.uint64(16)).astype(np.uint32), (name & np.uint64(0xFFFF)).astype(np.uint16)]
+
+
+def _whole(halves: list[np.ndarray]) -> np.ndarray:
+    return halves[0].astype(np.uint64) << np.uint64(16) | halves[1]
+
+
+def _grouped(doc: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document."""
+    return (mix(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
+_PACKED = "bucket int, settled binary, open binary, entries binary"
 
 
-def _rows(bucket: list[int], doc: list[int], settled: list, open_: list, entries: list) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((bucket, doc, settled, open_, entries), kinds, strict=True)], ["bucket", "doc_id", "settled", "open", "entries"])
+def _rows(bucket: list[int], settled: list, open_: list, entries: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((bucket, settled, open_, entries), kinds, strict=True)], ["bucket", "settled", "open", "entries"])
 
 
-def _doc_rows(doc: np.ndarray, names: np.ndarray, settled: bool, buckets: int) -> pa.RecordBatch:
-    ids, blobs = _by_doc(doc, names)
+def _known(doc: np.ndarray, columns: list[np.ndarray], groups: int) -> pa.RecordBatch:
+    """Results known in the task already: they pass the exchange in buckets below 0, one for each group of documents."""
+    where, blobs = _packed(_grouped(doc, groups), columns, doc)
     none = [None] * len(blobs)
-    # results already known pass the exchange in buckets of their own, numbered below 0
-    return _rows([-1 - int(x) % buckets for x in ids], ids.tolist(), blobs if settled else none, none if settled else blobs, none)
+    return _rows([-1 - g for g in where], blobs, none, none)
 
 
-def _passed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3)], ["doc_id", "settled", "open"])
+def _results(where: list[int], settled: list, open_: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(settled, pa.binary()), pa.array(open_, pa.binary())], ["docs", "settled", "open"])
+
+
+def _passed(group: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    return _results([group] * batch.num_rows, batch.column(1).to_pylist(), [None] * batch.num_rows)
+
+
+def _by_document(refined: DataFrame, kinds: list[type]) -> DataFrame:
+    """One row for each document with a result: doc_id and the bytes of its settled and open names."""
+
+    def collect(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[list] = [[], []]
+        for batch in tables:
+            for k in (0, 1):
+                got[k] += [_unpacked(x.as_py(), kinds) for x in batch.column(1 + k) if x.is_valid]
+        lists: list[dict[int, bytes]] = [{}, {}]
+        for k, parts in enumerate(got):
+            if parts:
+                doc = np.concatenate([p[1] for p in parts])
+                order = np.argsort(doc, kind="stable")
+                ids, cuts = np.unique(doc[order], return_index=True)
+                columns = [np.split(np.concatenate([p[0][i] for p in parts])[order], cuts[1:]) for i in range(len(kinds))]
+                lists[k] = {d: b"".join(c[i].tobytes() for c in columns) for i, d in enumerate(ids.tolist())}
+        ids = sorted({*lists[0], *lists[1]})
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([x.get(d) for d in ids], pa.binary()) for x in lists)], ["doc_id", "settled", "open"])
+
+    return refined.groupBy("docs").applyInArrow(collect, "doc_id long, settled binary, open binary")
 
 
 def run_buckets(docs: DataFrame, *, length: int, buckets: int) -> DataFrame:
-    """(doc_id, settled, open): names of runs that a smaller document has, and of first runs in buckets that hold first runs of other documents."""
+    """(doc_id, settled, open), the last two as bytes of names: of runs that a smaller document has, and of first runs in buckets that hold first runs of other documents."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -147,12 +184,12 @@ def run_buckets(docs: DataFrame, *, length: int, buckets: int) -> DataFrame:
             order, first = _firsts([anchor, name], doc)
             anchor, name, doc = anchor[order], name[order], doc[order]
             if not first.all():
-                yield _doc_rows(doc[~first], name[~first], True, buckets)
+                yield _known(doc[~first], _halves(name[~first]), buckets)
             anchor, name, doc = anchor[first], name[first], doc[first]
             low = (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            where, entries = _packed(((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), [low, name], doc)
+            where, entries = _packed(((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), [low, *_halves(name)], doc)
             none = [None] * len(where)
-            yield _rows(where, [0] * len(where), none, none, entries)
+            yield _rows(where, none, none, entries)
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -170,12 +207,12 @@ def run_buckets(docs: DataFrame, *, length: int, buckets: int) -> DataFrame:
         parts = []
         for batch in tables:
             if key[0].as_py() < 0:
-                yield _passed(batch)
+                yield _passed(-1 - key[0].as_py(), batch)
                 continue
-            parts += [_unpacked(x.as_py(), [np.uint32, np.uint64]) for x in batch.column(4)]
+            parts += [_unpacked(x.as_py(), [np.uint32, np.uint32, np.uint16]) for x in batch.column(3)]
         if not parts:
             return
-        anchor, name = (np.concatenate([p[0][k] for p in parts]) for k in range(2))
+        anchor, name = np.concatenate([p[0][0] for p in parts]), np.concatenate([_whole(p[0][1:]) for p in parts])
         doc = np.concatenate([p[1] for p in parts])
         del parts
         order, first = _firsts([anchor, name], doc)
@@ -188,14 +225,13 @@ def run_buckets(docs: DataFrame, *, length: int, buckets: int) -> DataFrame:
         mixed = np.zeros(len(order), bool)
         mixed[first] = (smallest < largest)[heads]
         for settled, which in ((True, ~first), (False, mixed)):
-            ids, blobs = _by_doc(doc[order][which], name[order][which])
+            doc_, name_ = doc[order][which], name[order][which]
+            where, blobs = _packed(_grouped(doc_, buckets), _halves(name_), doc_)
             none = [None] * len(blobs)
-            columns = [pa.array(ids, pa.int64()), pa.array(blobs if settled else none, pa.binary()), pa.array(none if settled else blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "settled", "open"])
+            yield _results(where, blobs if settled else none, none if settled else blobs)
 
-    packed = docs.mapInArrow(spread, _LISTS)
-    lists = packed.groupBy("bucket").applyInArrow(refine, "doc_id long, settled binary, open binary")
-    return lists.groupBy("doc_id").agg(F.collect_list("settled").alias("settled"), F.collect_list("open").alias("open"))
+    packed = docs.mapInArrow(spread, _PACKED)
+    return _by_document(packed.groupBy("bucket").applyInArrow(refine, "docs int, settled binary, open binary"), [np.uint32, np.uint16])
 
 
 def suffix_buckets(joined: DataFrame, *, length: int, buckets: int) -> DataFrame:
@@ -209,10 +245,10 @@ def suffix_buckets(joined: DataFrame, *, length: int, buckets: int) -> DataFrame
             order, first = _firsts([name], doc)
             name, doc = name[order], doc[order]
             if not first.all():
-                yield _doc_rows(doc[~first], name[~first], True, buckets)
+                yield _known(doc[~first], [name[~first]], buckets)
             where, entries = _packed((name[first] % np.uint64(buckets)).astype(np.int64), [name[first]], doc[first])
             none = [None] * len(where)
-            yield _rows(where, [0] * len(where), none, none, entries)
+            yield _rows(where, none, none, entries)
 
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(2)
@@ -222,7 +258,7 @@ def suffix_buckets(joined: DataFrame, *, length: int, buckets: int) -> DataFrame
                 keep = np.zeros(len(runs.start), bool)
                 for d in range(stop - row):
                     a, b = cuts[d], cuts[d + 1]
-                    keep[a:b] = np.isin(runs.name[a:b], _names(lists[row + d].as_py()))
+                    keep[a:b] = np.isin(runs.name[a:b], _runs_of(lists[row + d].as_py()))
                 _, name, doc = runs.suffixes(np.flatnonzero(keep))
                 held.append((name, ids[row + doc]))
                 total += len(name)
@@ -236,22 +272,29 @@ def suffix_buckets(joined: DataFrame, *, length: int, buckets: int) -> DataFrame
         parts = []
         for batch in tables:
             if key[0].as_py() < 0:
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["doc_id", "repeated"])
+                yield _passed(-1 - key[0].as_py(), batch)
                 continue
-            parts += [_unpacked(x.as_py(), [np.uint64]) for x in batch.column(4)]
+            parts += [_unpacked(x.as_py(), [np.uint64]) for x in batch.column(3)]
         if not parts:
             return
         name, doc = np.concatenate([p[0][0] for p in parts]), np.concatenate([p[1] for p in parts])
         order, first = _firsts([name], doc)
-        ids, blobs = _by_doc(doc[order][~first], name[order][~first])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "repeated"])
+        doc_, name_ = doc[order][~first], name[order][~first]
+        where, blobs = _packed(_grouped(doc_, buckets), [name_], doc_)
+        yield _results(where, blobs, [None] * len(blobs))
+
+    refined = joined.mapInArrow(spread, _PACKED).groupBy("bucket").applyInArrow(refine, "docs int, settled binary, open binary")
+    return _by_document(refined, [np.uint64]).select("doc_id", F.col("settled").alias("repeated"))
+
 
-    lists = joined.mapInArrow(spread, _LISTS).groupBy("bucket").applyInArrow(refine, "doc_id long, repeated binary")
-    return lists.groupBy("doc_id").agg(F.collect_list("repeated").alias("repeated"))
+def _runs_of(data: bytes | None) -> np.ndarray:
+    """Names of runs from six bytes each: all upper parts, then all lower ones."""
+    n = len(data or b"") // 6
+    return _whole([np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint16, n, 4 * n)]) if n else np.zeros(0, np.uint64)
 
 
-def _names(blobs: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs or ()), np.uint64)
+def _suffixes_of(data: bytes | None) -> np.ndarray:
+    return np.frombuffer(data or b"", np.uint64)
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 50, keep_text: bool = False) -> DataFrame:
@@ -267,22 +310,24 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, keep_text: bool = False
     named = rows.where("doc_id IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // ((length - Q) // 2 * 1_000_000) + 1)
-    runs = checkpointed(run_buckets(named.select("doc_id", "text"), length=length, buckets=buckets))
+    runs = run_buckets(named.select("doc_id", "text"), length=length, buckets=buckets)
     shared = named.join(runs, "doc_id", "left")
-    suffixes = suffix_buckets(shared.where("size(open) > 0").select("doc_id", "text", "open"), length=length, buckets=buckets)
+    # both uses of the texts by document read one exchange, so this one takes all columns too
+    opened = shared.where("open IS NOT NULL").select("doc_id", "text", "open", *(["row"] if keep_text else []))
+    suffixes = suffix_buckets(opened, length=length, buckets=buckets)
     found = shared.join(suffixes, "doc_id", "left").select("doc_id", "text", "settled", "repeated", *(["row"] if keep_text else []))
-    bare = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("settled"), F.lit(None).cast("array<binary>").alias("repeated"), *(["row"] if keep_text else []))
+    bare = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("binary").alias("settled"), F.lit(None).cast("binary").alias("repeated"), *(["row"] if keep_text else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             settled, repeated = batch.column(2), batch.column(3)
             for row, stop, data, offsets in chunks(batch):
                 gone = np.zeros(len(data) + 1, np.int64)
-                if any(settled[k].is_valid and len(settled[k]) or repeated[k].is_valid and len(repeated[k]) for k in range(row, stop)):
+                if any(settled[k].is_valid or repeated[k].is_valid for k in range(row, stop)):
                     runs = Runs(data, offsets, length)
                     cuts = np.searchsorted(runs.doc, np.arange(stop - row + 1))
                     for d in range(stop - row):
-                        whole, parts = _names(settled[row + d].as_py()), _names(repeated[row + d].as_py())
+                        whole, parts = _runs_of(settled[row + d].as_py()), _suffixes_of(repeated[row + d].as_py())
                         if not len(whole) and not len(parts):
                             continue
                         mine = np.arange(cuts[d], cuts[d + 1])
