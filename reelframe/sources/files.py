@@ -5,6 +5,7 @@ Each registered query first writes its input files with Spark from a derived vie
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -34,7 +35,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a root and every directory on the way to one; bodies are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
-    inside = F.regexp_extract("path", r"/+(?:root)/(.*)$", 1)
+    below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root.rstrip("/"))
+    inside = F.regexp_extract("path", rf"\\Q{below}\\E/+(.*)$", 1)
     rows = files.select(inside.alias("path"), F.col("length"), F.unix_micros("modificationTime").alias("mtime_us"))
     rows = rows.select("path", F.lit(False).alias("is_dir"), "length", "mtime_us")
     parts = F.split("path", "/")
@@ -44,38 +46,52 @@ def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     return both.withColumn("parent", F.when(F.col("path").contains("/"), F.regexp_replace("path", r"/[^/]*$", "")).otherwise("")).withColumn("name", F.substring_index("path", "/", -1))
 
 
-def scan_models(spark: SparkSession, root: str) -> DataFrame:
-    """Models with their sidecars: a sidecar that is no JSON object drops its model, one with a byte-order mark is read."""
-    stem = lambda c: F.regexp_extract(c, r"/([^/]*)\.[^./]*$", 1)
-    models = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.onnx").load(root).select(stem("path").alias("model"), "length")
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root).select(stem(F.input_file_name()).alias("model"), F.regexp_replace("value", "^\ufeff", "").alias("json"))
-    side = text.select("model", F.from_json("json", "scale_factor long, channel_order string").alias("m"), F.regexp_like("json", F.lit(r"(?s)^\s*\{.*\}\s*$")).alias("fine"))
+def with_sidecars(models: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Scale of each model from its sidecar's JSON, else from its name; a sidecar that is no JSON object drops the model."""
+    side = sidecars.select("model", F.from_json("json", "scale_factor long").alias("m"), F.col("json").rlike(r"(?s)^\s*\{.*\}\s*$").alias("fine"))
     rows = models.join(side, "model", "left").where("fine IS NULL OR fine")
     return rows.select("model", F.when(F.col("fine"), F.col("m.scale_factor")).otherwise(infer_scale(F.col("model"))).alias("scale"))
 
 
-def scan_packets(spark: SparkSession, glob: str) -> DataFrame:
-    """Packets of many framed captures, files in parallel; a file cut off within a packet gives a last row marked corrupt."""
+def scan_models(spark: SparkSession, root: str) -> DataFrame:
+    """Models below a root with their sidecars of the same stem; a byte-order mark before the JSON is skipped."""
+    stem = lambda c: F.regexp_extract(c, r"/([^/]*)\.[^./]*$", 1)
+    models = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.onnx").load(root).select(stem("path").alias("model"))
+    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    return with_sidecars(models, text.select(stem(F.input_file_name()).alias("model"), F.regexp_replace("value", "^\ufeff", "").alias("json")))
+
+
+def packets_of(data: bytes) -> Iterator[tuple]:
+    """(size, flags, epoch, pts, dts, corrupt) of each packet of a capture; nulls and corrupt for a tail that is cut off."""
+    at = 0
+    while at < len(data):
+        whole = at + HEADER.size <= len(data)
+        n, flags, epoch, pts, dts = HEADER.unpack_from(data, at) if whole else (0, 0, 0, 0, 0)
+        at += HEADER.size + n
+        if not whole or at > len(data):
+            yield None, None, None, None, None, True
+            return
+        yield n, flags, epoch, None if pts == NO_STAMP else pts, None if dts == NO_STAMP else dts, False
+
+
+def decode_packets(captures: DataFrame, key: str) -> DataFrame:
+    """Packets of captures (a key and the bytes as content), numbered from 1 within each."""
+    kind = dict(captures.dtypes)[key]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data, at, rows = memoryview(body.as_buffer()), 0, []
-                while at < len(data):
-                    if at + HEADER.size > len(data):
-                        rows.append((None, None, None, None, None, True))
-                        break
-                    n, flags, epoch, pts, dts = HEADER.unpack_from(data, at)
-                    at += HEADER.size + n
-                    if at > len(data):
-                        rows.append((None, None, None, None, None, True))
-                        break
-                    rows.append((n, flags, epoch, None if pts == NO_STAMP else pts, None if dts == NO_STAMP else dts, False))
+            for name, body in zip(batch.column(0), batch.column(1), strict=True):
+                rows = list(packets_of(body.as_py() or b""))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 6
                 kinds = [pa.int64()] * 5 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["path", "seq", "size", "flags", "epoch", "pts", "dts", "corrupt"])
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), name.type), pa.array(range(1, len(rows) + 1), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, "seq", "size", "flags", "epoch", "pts", "dts", "corrupt"])
+
+    return captures.select(key, "content").mapInArrow(decode, f"{key} {kind}, seq long, size long, flags long, epoch long, pts long, dts long, corrupt boolean")
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob).select("path", "content").mapInArrow(decode, "path string, seq long, size long, flags long, epoch long, pts long, dts long, corrupt boolean")
+
+def scan_packets(spark: SparkSession, glob: str) -> DataFrame:
+    """Packets of many framed captures, files in parallel; a file cut off within a packet gives a last row marked corrupt."""
+    return decode_packets(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob), "path")
 
 
 def scan_server_log(spark: SparkSession, glob: str) -> DataFrame:
@@ -121,32 +137,7 @@ def _packets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one text file per session holds the capture in hexadecimal digits, which any Spark writer can write; the scan gets the bytes
     files.write.partitionBy("name").text(at)
     body = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(at)
-    return _decoded(body.select(F.regexp_extract(F.input_file_name(), r"name=s(\d+)", 1).cast("long").alias("session_id"), F.unhex(F.trim(F.regexp_replace("value", r"\s", ""))).alias("content")))
-
-
-def _decoded(bodies: DataFrame) -> DataFrame:
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for session, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = list(packets_of(body.as_py()))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = [pa.int64()] * 5 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([session] * len(rows), pa.int64()), pa.array(range(1, len(rows) + 1), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["session_id", "seq", "size", "flags", "epoch", "pts", "dts", "corrupt"])
-
-    return bodies.mapInArrow(decode, "session_id long, seq long, size long, flags long, epoch long, pts long, dts long, corrupt boolean")
-
-
-def packets_of(data: bytes) -> Iterator[tuple]:
-    """(size, flags, epoch, pts, dts, corrupt) of each packet of a capture; nulls and corrupt for a tail that is cut off."""
-    at = 0
-    while at < len(data):
-        whole = at + HEADER.size <= len(data)
-        n, flags, epoch, pts, dts = HEADER.unpack_from(data, at) if whole else (0, 0, 0, 0, 0)
-        at += HEADER.size + n
-        if not whole or at > len(data):
-            yield None, None, None, None, None, True
-            return
-        yield n, flags, epoch, None if pts == NO_STAMP else pts, None if dts == NO_STAMP else dts, False
+    return decode_packets(body.select(F.regexp_extract(F.input_file_name(), r"name=s(\d+)", 1).cast("long").alias("session_id"), F.unhex(F.trim(F.regexp_replace("value", r"\s", ""))).alias("content")), "session_id")
 
 
 def _log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,16 +172,9 @@ def _models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_sidecars(onnx, side)
 
 
-def with_sidecars(models: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """Scale of each model from its sidecar's JSON, else from its name; a sidecar that is no JSON object drops the model."""
-    side = sidecars.select("model", F.from_json("json", "scale_factor long").alias("m"), F.col("json").rlike(r"(?s)^\s*\{.*\}\s*$").alias("fine"))
-    rows = models.join(side, "model", "left").where("fine IS NULL OR fine")
-    return rows.select("model", F.when(F.col("fine"), F.col("m.scale_factor")).otherwise(infer_scale(F.col("model"))).alias("scale"))
-
-
 def _catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = view(spark, sf_dir, "v_catalog").where("NOT is_dir AND length % 10 = 0")
-    at = scratch(spark, "media") + "/root"
+    at = scratch(spark, "media")
     c.select("parent", F.concat("name", F.lit(" "), F.col("length").cast("string")).alias("value")).repartition(8, "parent").write.partitionBy("parent").text(at)
     return scan_catalog(spark, at).where("NOT name LIKE '_SUCCESS%'").groupBy("parent", "is_dir").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 

@@ -168,3 +168,22 @@ def test_big_joins_have_no_cross_product(spark, sf):
     for name in ("seek_report", "aux_overlap", "chapter_at", "buffer_estimate", "validate_open_requests"):
         plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_model_and_capture_files(spark, tmp_path):
+    from reelframe.sources.files import HEADER, scan_catalog, scan_models, scan_packets
+
+    root = tmp_path / "root"
+    (root / "a").mkdir(parents=True)
+    for name in ("net-x4", "plain", "bad", "null"):
+        (root / "a" / f"{name}.onnx").write_bytes(b"w")
+    (root / "a" / "plain.json").write_text('﻿{"scale_factor": 3}')
+    (root / "a" / "bad.json").write_text("no json")
+    (root / "a" / "null.json").write_text('{"scale_factor": null}')
+    assert {r.model: r.scale for r in scan_models(spark, str(root)).collect()} == {"net-x4": 4, "plain": 3, "null": None}
+    names = {(r.path, r.is_dir) for r in scan_catalog(spark, str(root)).collect()}
+    assert ("a", True) in names and ("a/plain.onnx", False) in names and len(names) == 8
+    captures = tmp_path / "captures"
+    captures.mkdir()
+    (captures / "one.bin").write_bytes(HEADER.pack(1, 4, 2, 7, 8) + b"x" + b"tail")
+    assert [(r.seq, r.size, r.flags, r.pts, r.corrupt) for r in scan_packets(spark, str(captures)).orderBy("seq").collect()] == [(1, 1, 4, 7, False), (2, None, None, None, True)]
