@@ -36,7 +36,7 @@ def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a root and every directory on the way to one; bodies are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
     below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root.rstrip("/"))
-    inside = F.regexp_extract("path", rf"\\Q{below}\\E/+(.*)$", 1)
+    inside = F.regexp_extract("path", rf"\Q{below}\E/+(.*)$", 1)
     rows = files.select(inside.alias("path"), F.col("length"), F.unix_micros("modificationTime").alias("mtime_us"))
     rows = rows.select("path", F.lit(False).alias("is_dir"), "length", "mtime_us")
     parts = F.split("path", "/")
