@@ -143,7 +143,7 @@ def _packets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = view(spark, sf_dir, "v_samples")
     stamp = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss,SSS")
-    line = F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("Traceback "), F.col("event_id").cast("string"))).otherwise(F.format_string("%s INFO relay.stats: session %d playing epoch=%d | pipeline %5.1f fps | event %d", stamp, "session_id", "queued", "fps", "event_id"))
+    line = F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("Traceback "), F.col("event_id").cast("string"))).otherwise(F.format_string("%s INFO media.stats: session %d playing epoch=%d | pipeline %5.1f fps | event %d", stamp, "session_id", "queued", "fps", "event_id"))
     at = scratch(spark, "logs")
     s.select(line.alias("value")).write.text(at)
     rows = scan_server_log(spark, at)

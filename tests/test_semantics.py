@@ -18,7 +18,7 @@ FEW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck
 
 @pytest.mark.parametrize(
     ("name", "scale"),
-    [("2x_Anime", 2), ("realesr-x4plus", 4), ("conv3x3", 2), ("clip-1080x1920", 2), ("plain", 2), ("4xSharp", 4), ("net_x3_v2", 3)],
+    [("2x_Clear", 2), ("realesr-x4plus", 4), ("conv3x3", 2), ("clip-1080x1920", 2), ("plain", 2), ("4xSharp", 4), ("net_x3_v2", 3)],
 )
 def test_scale_in_a_name(spark, name, scale):
     assert spark.createDataFrame([(name,)], "m string").select(infer_scale(F.col("m"))).first()[0] == scale
