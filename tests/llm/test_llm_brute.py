@@ -194,6 +194,22 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert sorted(salted.collect()) == sorted(got.collect())
 
 
+@pytest.mark.parametrize("wrap", ["<div class='content'>{}</div>", "<article class='post'>{}</article>", "<div><article>{}</article></div>", "<div><div class='a'><section id='b'>{}</section></div></div>"])
+def test_style_tree_keeps_a_wrapper_around_changing_text(spark, wrap):
+    rows = [(k, f"http://h.example/{k}", "<body>" + wrap.format(f"<p>Story {k} is told here.</p><div class='legal-text'><p>All rights are ours</p></div>")) for k in range(12)]
+    got = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {k: f"Story {k} is told here." for k in range(12)}
+
+
+@pytest.mark.parametrize(("copies", "others"), [(12, 0), (87, 13)])
+def test_style_tree_counts_copies_once(spark, copies, others):
+    """Copies in other menus, with or without pages of their own text beside them."""
+    texts = ["One page, often copied."] * copies + [f"Page {k} of its own." for k in range(others)]
+    rows = [(k, f"http://h.example/{k}", f"<body><nav>Menu {k}</nav><div class='content'><p>{text}</p></div>") for k, text in enumerate(texts)]
+    got = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5))
+    assert {r.page_id: r.text for r in got.collect()} == dict(enumerate(texts))
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
