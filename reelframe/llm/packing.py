@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,25 @@ def encoder(ranks_file: str, pattern: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode_with(ranks_file: str, pattern: str, tokenizer_file: str) -> Callable[[str], np.ndarray]:
+    """Text -> ids without special tokens; a text on which tiktoken's pattern gives up (about a million white-space characters in a row) goes to tokenizers."""
+    fast, whole = encoder(ranks_file, pattern), None
+
+    def encode(text: str) -> np.ndarray:
+        nonlocal whole
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            if whole is None:
+                from tokenizers import Tokenizer
+
+                whole = Tokenizer.from_file(tokenizer_file)
+                whole.encode_special_tokens = True
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
+
+
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The sub-multiset of `counts` (length -> number) whose sum is closest to `capacity` from below.
 
@@ -122,7 +141,7 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, *, ranks_file: str | None = None, window: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000, include_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, ranks_file: str | None = None, tokenizer_file: str | None = None, window: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000, include_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
     A null text is an empty one and gives its end token alone; repeated rows are packed each; an empty table gives
@@ -132,7 +151,7 @@ def pack(docs: DataFrame, *, ranks_file: str | None = None, window: int = 2048,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encode = encoder(ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_to_numpy
+        encode = encode_with(ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokenizer_file or public_tokenizers.path("byte_bpe_50k.json"))
         task, sequence = TaskContext.get().partitionId(), 0
 
         def flush(names: list, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +178,7 @@ def pack(docs: DataFrame, *, ranks_file: str | None = None, window: int = 2048,
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 names += part.column(0).to_pylist()
-                ids += [np.append(x, np.uint32(end_id)).astype("<u4") for x in (encode(t or "", disallowed_special=()) for t in part.column(1).to_pylist())]
+                ids += [np.append(x, np.uint32(end_id)).astype("<u4") for x in (encode(t or "") for t in part.column(1).to_pylist())]
                 total += sum(map(len, ids[-part.num_rows :]))
                 if total >= block_tokens:
                     yield from flush(names, ids)

@@ -127,6 +127,21 @@ def test_packing_round_trip(spark, sf):
     assert padding == 0
 
 
+def test_packing_of_very_long_white_space(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    texts = ["a" + " " * 1_000_000 + "b", "short <|endoftext|> text", "\n" * 1_000_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    parts = defaultdict(list)
+    for r in packing.pack(docs, include_ids=True).collect():
+        parts[r.doc_id].append((r.start, r.ids))
+    want = {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+    assert {d: [x for _, ids in sorted(p) for x in ids] for d, p in parts.items()} == want
+
+
 def test_fill_is_the_best_subset():
     r = random.Random(5)
     for _ in range(60):
