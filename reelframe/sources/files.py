@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.functions.exprs import infer_scale
@@ -37,8 +37,12 @@ def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
     below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root.rstrip("/"))
     inside = F.regexp_extract("path", rf"\Q{below}\E/+(.*)$", 1)
-    rows = files.select(inside.alias("path"), F.col("length"), F.unix_micros("modificationTime").alias("mtime_us"))
-    rows = rows.select("path", F.lit(False).alias("is_dir"), "length", "mtime_us")
+    return catalog_of(files.select(inside.alias("path"), "length", F.unix_micros("modificationTime").alias("mtime_us")))
+
+
+def catalog_of(files: DataFrame) -> DataFrame:
+    """Files (path below a root, length, mtime_us) and every directory on the way to one."""
+    rows = files.select("path", F.lit(False).alias("is_dir"), "length", "mtime_us")
     parts = F.split("path", "/")
     dirs = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("path"), F.size(parts).alias("n"))
     dirs = dirs.where("n > 1").select("path").distinct().select("path", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("long").alias("mtime_us"))
@@ -53,9 +57,13 @@ def with_sidecars(models: DataFrame, sidecars: DataFrame) -> DataFrame:
     return rows.select("model", F.when(F.col("fine"), F.col("m.scale_factor")).otherwise(infer_scale(F.col("model"))).alias("scale"))
 
 
+def stem(path: str | Column) -> Column:
+    """A file's name without its suffix."""
+    return F.regexp_extract(path, r"/([^/]*)\.[^./]*$", 1)
+
+
 def scan_models(spark: SparkSession, root: str) -> DataFrame:
     """Models below a root with their sidecars of the same stem; a byte-order mark before the JSON is skipped."""
-    stem = lambda c: F.regexp_extract(c, r"/([^/]*)\.[^./]*$", 1)
     models = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.onnx").load(root).select(stem("path").alias("model"))
     text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
     return with_sidecars(models, text.select(stem(F.input_file_name()).alias("model"), F.regexp_replace("value", "^\ufeff", "").alias("json")))
@@ -161,22 +169,26 @@ def _status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = view(spark, sf_dir, "v_models").where("model_id % 10 = 0").select(F.concat(F.col("model"), F.lit("_id"), F.col("model_id").cast("string")).alias("model"), "has_sidecar", "sidecar_scale", "model_id")
+    """Write every model and sidecar as a row (path, content), many to a file, and read them back; one sidecar in ten is broken."""
+    m = view(spark, sf_dir, "v_models").select(F.concat(F.lit("models/"), "model", F.lit("_id"), F.col("model_id").cast("string")).alias("at"), "has_sidecar", "sidecar_scale", "model_id")
+    json = F.concat(F.when(F.col("model_id") % 2 == 0, "\ufeff").otherwise(""), F.lit("{\"scale_factor\": "), F.coalesce(F.col("sidecar_scale").cast("string"), F.lit("null")), F.lit("}"))
+    body = F.when(F.col("model_id") % 30 == 0, "broken").otherwise(json)
+    models = m.select(F.concat("at", F.lit(".onnx")).alias("path"), F.lit("weights").alias("content"))
+    sidecars = m.where("has_sidecar").select(F.concat("at", F.lit(".json")).alias("path"), body.alias("content"))
     at = scratch(spark, "models")
-    m.select("model", F.lit("weights").alias("value")).repartition(8, "model").write.partitionBy("model").text(f"{at}/onnx")
-    body = F.when(F.col("model_id") % 30 == 0, F.concat(F.lit("\ufeff{\"scale_factor\": "), F.coalesce(F.col("sidecar_scale").cast("string"), F.lit("null")), F.lit("}"))).otherwise("broken")
-    m.where("has_sidecar").select("model", body.alias("value")).repartition(8, "model").write.partitionBy("model").text(f"{at}/side")
-    name = lambda c: F.regexp_extract(c, r"model=([^/]*)/", 1)
-    onnx = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(f"{at}/onnx").select(name(F.input_file_name()).alias("model"))
-    side = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(f"{at}/side").select(name(F.input_file_name()).alias("model"), F.regexp_replace("value", "^\ufeff", "").alias("json"))
-    return with_sidecars(onnx, side)
+    models.unionByName(sidecars).write.parquet(at)
+    files = spark.read.parquet(at)
+    side = files.where(F.col("path").endswith(".json")).select(stem("path").alias("model"), F.regexp_replace("content", "^\ufeff", "").alias("json"))
+    return with_sidecars(files.where(F.col("path").endswith(".onnx")).select(stem("path").alias("model")), side)
 
 
 def _catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = view(spark, sf_dir, "v_catalog").where("NOT is_dir AND length % 10 = 0")
+    """Write every file of the catalogue, with a body of its length, as a row (path, mtime_us, content), many to a file, and read them back."""
+    c = view(spark, sf_dir, "v_catalog").where("NOT is_dir")
     at = scratch(spark, "media")
-    c.select("parent", F.concat("name", F.lit(" "), F.col("length").cast("string")).alias("value")).repartition(8, "parent").write.partitionBy("parent").text(at)
-    return scan_catalog(spark, at).where("NOT name LIKE '_SUCCESS%'").groupBy("parent", "is_dir").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    c.select("path", (F.col("mtime") * 1_000_000).cast("long").alias("mtime_us"), F.expr("repeat('.', CAST(length AS INT))").alias("content")).write.parquet(at)
+    files = spark.read.parquet(at).select("path", F.octet_length("content").cast("long").alias("length"), "mtime_us")
+    return catalog_of(files).groupBy("parent", "is_dir").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
 def _store_query(spark: SparkSession, sf_dir: str) -> DataFrame:

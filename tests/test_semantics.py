@@ -187,3 +187,18 @@ def test_model_and_capture_files(spark, tmp_path):
     captures.mkdir()
     (captures / "one.bin").write_bytes(HEADER.pack(1, 4, 2, 7, 8) + b"x" + b"tail")
     assert [(r.seq, r.size, r.flags, r.pts, r.corrupt) for r in scan_packets(spark, str(captures)).orderBy("seq").collect()] == [(1, 1, 4, 7, False), (2, None, None, None, True)]
+
+
+def test_file_queries_hold_every_row(spark, sf):
+    from reelframe import catalogue
+
+    files = view(spark, sf, "v_catalog").where("NOT is_dir").groupBy("parent").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    found = catalogue.QUERIES["scan_catalog"](spark, sf)
+    assert sorted(found.where("NOT is_dir").select("parent", "n", "bytes").collect()) == sorted(files.collect())
+    assert found.where("is_dir").agg(F.sum("n")).first()[0] == files.count()
+    models = {f"{r.model}_id{r.model_id}": r for r in view(spark, sf, "v_models").collect()}
+    scales = {r.model: r.scale for r in catalogue.QUERIES["scan_models"](spark, sf).collect()}
+    broken = {k for k, r in models.items() if r.has_sidecar and r.model_id % 30 == 0}
+    assert broken and set(scales) == set(models) - broken
+    assert all(scales[k] == r.sidecar_scale for k, r in models.items() if r.has_sidecar and k not in broken)
+    assert catalogue.QUERIES["synth_frames"](spark, sf).count() == 4 * view(spark, sf, "embeddings").select("vec_id").distinct().count()
