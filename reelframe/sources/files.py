@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.functions.exprs import infer_scale
@@ -20,6 +21,8 @@ from reelframe.plans.views import ansi_with, view
 
 # Header of a packet in a capture, little-endian: payload length, flags, epoch, pts, dts; and the stamp that means none.
 HEADER, NO_STAMP = struct.Struct("<IBIqq"), -(2**63)
+#: Packets of a capture file at most: what a task holds doesn't grow with a session.
+BLOCK = 4096
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -82,19 +85,40 @@ def packets_of(data: bytes) -> Iterator[tuple]:
         yield n, flags, epoch, None if pts == NO_STAMP else pts, None if dts == NO_STAMP else dts, False
 
 
-def decode_packets(captures: DataFrame, key: str) -> DataFrame:
-    """Packets of captures (a key and the bytes as content), numbered from 1 within each."""
-    kind = dict(captures.dtypes)[key]
+def decode_packets(captures: DataFrame, *keys: str) -> DataFrame:
+    """Packets of captures (keys and the bytes as content), numbered from 1 within each."""
+    kinds, n = dict(captures.dtypes), len(keys)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, body in zip(batch.column(0), batch.column(1), strict=True):
+            for at, body in enumerate(batch.column(n)):
                 rows = list(packets_of(body.as_py() or b""))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = [pa.int64()] * 5 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(rows), name.type), pa.array(range(1, len(rows) + 1), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, "seq", "size", "flags", "epoch", "pts", "dts", "corrupt"])
+                types = [pa.int64()] * 5 + [pa.bool_()]
+                names = [pa.array([batch.column(k)[at].as_py()] * len(rows), batch.column(k).type) for k in range(n)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(range(1, len(rows) + 1), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], [*keys, "seq", "size", "flags", "epoch", "pts", "dts", "corrupt"])
 
-    return captures.select(key, "content").mapInArrow(decode, f"{key} {kind}, seq long, size long, flags long, epoch long, pts long, dts long, corrupt boolean")
+    return captures.select(*keys, "content").mapInArrow(decode, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seq long, size long, flags long, epoch long, pts long, dts long, corrupt boolean")
+
+
+def count_packets(captures: DataFrame, *keys: str) -> DataFrame:
+    """The keys of captures and the number of packets of each."""
+    kinds, n = dict(captures.dtypes), len(keys)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [sum(1 for _ in packets_of(body.as_py() or b"")) for body in batch.column(n)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(counts, pa.int64())], [*keys, "n"])
+
+    return captures.select(*keys, "content").mapInArrow(count, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long")
+
+
+def decode_blocks(captures: DataFrame) -> DataFrame:
+    """Packets of captures cut into blocks (session_id, block, content), numbered from 1 over the blocks of each session."""
+    before = W.partitionBy("session_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = count_packets(captures, "session_id", "block").select("session_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rows = decode_packets(captures, "session_id", "block").join(starts, ["session_id", "block"])
+    return rows.withColumn("seq", F.col("seq") + F.col("start")).drop("block", "start")
 
 
 def scan_packets(spark: SparkSession, glob: str) -> DataFrame:
@@ -132,20 +156,30 @@ def sink_object_store(bodies: DataFrame, path: str, *, store: DataFrame | None =
     return bodies.sparkSession.read.parquet(path).select("sha256", "size")
 
 
-def _packets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write each session's packets as one capture, read the captures back."""
-    packets = view(spark, sf_dir, "v_packets")
+def write_captures(packets: DataFrame, at: str, *, block: int = BLOCK) -> None:
+    """Each session's packets as captures of at most `block` packets, one text file each."""
     little = lambda c, n: F.unhex(F.array_join(F.reverse(F.filter(F.split(F.lpad(F.right(F.hex(c), F.lit(2 * n)), 2 * n, F.lit("0")), "(?<=\\G..)"), lambda x: x != "")), ""))
     stamp = lambda c: F.coalesce(c, F.lit(NO_STAMP).cast("long"))
     size = F.col("size") % 8
     row = F.concat(little(size, 4), little(F.col("flags"), 1), little(F.col("epoch"), 4), little(stamp(F.col("pts")), 8), little(stamp(F.col("dts")), 8), F.substring(F.lit(b"........"), F.lit(1), size.cast("int")))
-    files = packets.select("session_id", "seq", row.alias("b")).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("rows"))
-    files = files.select(F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("name"), F.hex(F.aggregate("rows", F.lit(b""), lambda a, x: F.concat(a, x["b"]))).alias("hex"))
-    at = scratch(spark, "captures")
-    # one text file per session holds the capture in hexadecimal digits, which any Spark writer can write; the scan gets the bytes
-    files.write.partitionBy("name").text(at)
+    parts = packets.select("session_id", F.floor((F.col("seq") - 1) / block).cast("long").alias("block"), "seq", F.hex(row).alias("b"))
+    files = parts.groupBy("session_id", "block").agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("rows"))
+    # one text file per block holds it in hexadecimal digits, which any Spark writer can write; the scan gets the bytes
+    files.select("session_id", "block", F.array_join("rows.b", "").alias("hex")).write.partitionBy("session_id", "block").text(at)
+
+
+def read_captures(spark: SparkSession, at: str) -> DataFrame:
+    """session_id, block and content of the captures of write_captures."""
     body = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(at)
-    return decode_packets(body.select(F.regexp_extract(F.input_file_name(), r"name=s(\d+)", 1).cast("long").alias("session_id"), F.unhex(F.trim(F.regexp_replace("value", r"\s", ""))).alias("content")), "session_id")
+    part = lambda name: F.regexp_extract(F.input_file_name(), rf"/{name}=(\d+)/", 1).cast("long").alias(name)
+    return body.select(part("session_id"), part("block"), F.unhex(F.trim(F.regexp_replace("value", r"\s", ""))).alias("content"))
+
+
+def _packets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write each session's packets as captures of bounded blocks, read them back."""
+    at = scratch(spark, "captures")
+    write_captures(view(spark, sf_dir, "v_packets"), at)
+    return decode_blocks(read_captures(spark, at))
 
 
 def _log_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,3 +202,16 @@ def test_file_queries_hold_every_row(spark, sf):
     assert broken and set(scales) == set(models) - broken
     assert all(scales[k] == r.sidecar_scale for k, r in models.items() if r.has_sidecar and k not in broken)
     assert catalogue.QUERIES["synth_frames"](spark, sf).count() == 4 * view(spark, sf, "embeddings").select("vec_id").distinct().count()
+
+
+def test_long_session_is_cut_into_captures(spark, tmp_path):
+    """A long session goes to several bounded files, and its packets are numbered over them."""
+    from reelframe.sources.files import decode_blocks, read_captures, write_captures
+
+    kinds = "session_id long, seq long, size long, flags long, epoch long, pts long, dts long"
+    rows = [(1, k, k, k % 8, k // 10, None if k % 3 == 0 else k * 40, k * 40 - 40) for k in range(1, 101)] + [(2, 1, 9, 4, 0, 0, None)]
+    write_captures(spark.createDataFrame(rows, kinds), str(tmp_path / "c"), block=8)
+    files = read_captures(spark, str(tmp_path / "c"))
+    assert files.count() == 14 and files.agg(F.max(F.octet_length("content"))).first()[0] <= 8 * 32
+    got = decode_blocks(files).select("session_id", "seq", "size", "flags", "epoch", "pts", "dts")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((a, b, c % 8, *r) for a, b, c, *r in rows), key=str)
