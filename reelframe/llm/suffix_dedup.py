@@ -1,7 +1,7 @@
-"""Removal of byte strings that an earlier document holds, by refining q-gram buckets as bucket-pointer suffix sorting does.
+"""Removal of byte strings that an earlier document holds, by q-gram buckets of anchors and hashes, in place of bucket-pointer refinement.
 
 Only one question of the suffix order is needed: which suffixes agree on their first `length` bytes, and what is the
-smallest document in each such bucket.  Buckets are refined in three steps, each a sort on bucket identifiers:
+smallest document in each such bucket.  Hashes of the bytes answer it; no bucket is sorted on bucket identifiers of later offsets.  Buckets narrow in three steps:
 
 1. A suffix belongs to the bucket of the least q-gram among the first `length` bytes (an anchor).  Suffixes that agree on
    `length` bytes have the same anchor at the same offset, so one entry per anchor, not one per byte, is dealt to
