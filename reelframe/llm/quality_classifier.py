@@ -73,9 +73,10 @@ def dictionaries(good: list[str], bad: list[str], size: int) -> tuple[bytes, byt
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, per_class: int = 1500, max_chars: int = 20_000, dict_bytes: int = 114_688, level: int = 3) -> CompressionModel:
     """Fit on at most `per_class` training documents of either class of at most `max_chars` characters.
 
-    Half of them fill the dictionaries, the other half calibrates the score.  Without both classes the score is a neutral 0.5.
+    Half of them fill the dictionaries, the other half calibrates the score.  An id on several rows is learnt from once.  Without both
+    classes, or with an empty table, the score is a neutral 0.5.
     """
-    rows = labelled_sample(docs, labels, "quality", train, per_class=per_class).where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).collect()  # bounded: 2 * per_class * max_chars characters
+    rows = labelled_sample(docs, labels, "quality", train, per_class=per_class, max_chars=max_chars).collect()  # bounded: 2 * per_class * max_chars characters
     rows = sorted(((r["doc_id"], r["text"] or "", r["y"]) for r in rows), key=lambda r: r[0])
     half = {k: [r for r in rows if r[2] == k] for k in (0, 1)}
     fit = {k: [r[1] for r in v[::2]] for k, v in half.items()}
@@ -87,7 +88,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, *, per_class:
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, *, keep: float = 0.7) -> DataFrame:
-    """`docs` with score and predicted (1 from `keep` on); columns of those names are replaced, null texts score as empty ones."""
+    """`docs` with score and predicted (1 from `keep` on, so a tie with `keep` is kept); columns of those names are replaced.
+
+    Null texts score as empty ones; a very long text is compressed whole, piece by piece; repeated rows give repeated results; an
+    empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
     names = [c for c in docs.columns if c not in ("score", "predicted")]
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelframe.llm.common import crc_mod, table
-from reelframe.llm.labelled import fit_logistic, labelled_sample, logistic
-from reelframe.llm.textcodes import NOT_ALNUM, chunks, mix, words
+from reelframe.llm.labelled import class_sizes, fit_logistic, labelled_sample, logistic
+from reelframe.llm.textcodes import NOT_ALNUM, chunks, mix, shingles, words
 
 
 def maximal_segments(at: np.ndarray, score: np.ndarray, cost: float) -> list[tuple[int, int, float]]:
@@ -76,11 +76,19 @@ def _words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield row, stop, h.view(np.int64), start - offsets[np.searchsorted(begins, np.arange(len(h)), "right") - 1], end, begins
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train, *, per_class: int = 4000, vocabulary: int = 20_000, prior: float = 2000.0, cost: float = 0.05, surprise: float = 25.0) -> ToxicModel:
+#: Stands for a whole text among its tokens, so that the number of texts is counted with them.
+EVERY = 0
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train, *, per_class: int = 4000, vocabulary: int = 20_000, prior: float = 2000.0, cost: float = 0.05, lift: float = 2.0, surprise: float = 15.0) -> ToxicModel:
     """Fit on at most `per_class` training documents of either class, with at most `vocabulary` candidate tokens.
 
-    The prior's counts of the candidates come from every document.  Without toxic training rows no token scores and
-    every text gets the same neutral score.
+    Tokens are chosen by their rates within each class, so the share of either class in the sample changes nothing, and against
+    their rate among all documents, so few labelled clean texts are enough.  The prior's counts come from every document too; the
+    calibration weighs the classes as all labels do.
+    Near copies (texts with the same least five-word shingle) count a token once.  Of candidates with equal evidence the smaller
+    hash comes first.  An id on several rows is learnt from once.  Without toxic training rows, or with an empty table, no token
+    scores and every text gets the same neutral score.
     """
     sample = labelled_sample(docs, labels, "toxic", train, per_class=per_class).persist()
 
@@ -89,42 +97,55 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, *, per_class: int =
             y = batch.column(2).to_numpy()
             for row, stop, h, _, _, begins in _words(batch):
                 doc = np.repeat(np.arange(stop - row), np.diff(begins))
+                runs, firsts = shingles(h.view(np.uint64), begins)
+                least = np.zeros(stop - row, np.uint64)
+                some = np.flatnonzero(np.diff(firsts))
+                least[some] = np.minimum.reduceat(mix(runs), firsts[some]) if len(some) else 0
+                h, doc = np.concatenate([h, np.full(len(some), EVERY)]), np.concatenate([doc, some])
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 once = np.ones(len(h), bool)
                 once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])  # a document counts a token once
                 h, doc = h[once], doc[once]
-                least = np.full(stop - row, np.iinfo(np.int64).max)
-                np.minimum.at(least, doc, mix(h.view(np.uint64)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(least[doc]), pa.array(y[row:stop][doc].astype(np.int64))], ["h", "text", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(least.view(np.int64)[doc]), pa.array(y[row:stop][doc].astype(np.int64))], ["h", "family", "y"])
 
-    # near copies mostly share their least token hash, so a family of them counts a token about once, not once for each copy
-    seen = sample.mapInArrow(token_counts, "h long, text long, y long").distinct()
+    seen = sample.mapInArrow(token_counts, "h long, family long, y long").distinct()
     counts = seen.groupBy("h").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("other")).persist()
-    total = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
-    # a candidate is twice as frequent in toxic documents, beyond chance by a likelihood-ratio statistic of `surprise`
-    rate = total[0] / max(sum(total), 1)
-    bad, expected = F.col("bad"), rate * (F.col("bad") + F.col("other"))
-    known = counts.where(bad > 2 * expected).withColumn("g", 2 * bad * F.log(bad / expected)).where(F.col("g") >= surprise)
-    picked = known.orderBy(F.desc("g"), "h").limit(vocabulary).collect()
+    texts = counts.where(F.col("h") == EVERY).first()
+    n_bad, n_other = (texts["bad"], texts["other"]) if texts else (0, 0)
+    total = counts.where(F.col("h") != EVERY).agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
+    # candidates: at least `lift` times as frequent among toxic texts as among other labelled ones, most evidence first
+    bad, other = F.col("bad"), F.col("other")
+    rates = F.log((bad * (n_other + 1)) / ((other + 1) * F.lit(max(n_bad, 1))))
+    known = counts.where((F.col("h") != EVERY) & (bad >= 3) & (bad * n_other >= lift * other * n_bad))
+    picked = known.orderBy(F.desc(bad * rates), "h").limit(vocabulary).collect() if n_bad and n_other else []
     counts.unpersist()
     token = np.array(sorted(r["h"] for r in picked), np.int64)
     by = {r["h"]: (r["bad"], r["other"]) for r in picked}
 
     def corpus_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, everything = np.zeros(len(token), np.int64), 0
+        n, texts, everything, all_texts = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64), 0, 0
         for batch in batches:
-            for _, _, h, _, _, _ in _words(batch):
-                everything += len(h)
+            for row, stop, h, _, _, begins in _words(batch):
+                everything, all_texts = everything + len(h), all_texts + stop - row
                 if len(token):
                     k = np.minimum(np.searchsorted(token, h), len(token) - 1)
-                    n += np.bincount(k[token[k] == h], minlength=len(token))
+                    at = np.flatnonzero(token[k] == h)
+                    n += np.bincount(k[at], minlength=len(token))
+                    doc = np.searchsorted(begins, at, "right") - 1
+                    texts += np.bincount(np.unique(np.stack([doc, k[at]]), axis=1)[1], minlength=len(token))
         seen = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(token[seen], 0)), pa.array(np.append(n[seen], 0)), pa.array(np.append(np.zeros(len(seen), np.int64), everything))], ["h", "n", "everything"])
-
-    background = docs.select("text").mapInArrow(corpus_counts, "h long, n long, everything long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("everything").alias("everything")).collect()
-    corpus = max(sum(r["everything"] for r in background), 1)
-    share = {r["h"]: r["n"] / corpus for r in background}
+        columns = [np.append(token[seen], EVERY), np.append(n[seen], everything), np.append(texts[seen], all_texts)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "n", "texts"])
+
+    background = docs.select("text").mapInArrow(corpus_counts, "h long, n long, texts long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect()  # at most `vocabulary` rows
+    of_corpus = {r["h"]: (r["n"], r["texts"]) for r in background}
+    corpus, n_texts = of_corpus.pop(EVERY, (1, 1))
+    # of them those stay that are `lift` times as frequent in toxic texts as in the whole corpus, beyond chance by a likelihood ratio of `surprise`
+    at_rate = {h: max(texts, 1) / max(n_texts, 1) for h, (_, texts) in of_corpus.items()}
+    ratio = lambda x, m, q: 2 * (x * np.log(x / (m * q)) + ((m - x) * np.log((m - x) / (m * (1 - q))) if x < m else 0.0))
+    token = np.array([h for h in token.tolist() if h in at_rate and by[h][0] > lift * n_bad * at_rate[h] and ratio(by[h][0], n_bad, at_rate[h]) >= surprise], np.int64)
+    share = {h: n / max(corpus, 1) for h, (n, _) in of_corpus.items()}
     scored, clean_rate = {}, {}
     for h in token.tolist():
         bad, other = by[h]
@@ -142,27 +163,40 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, *, per_class: int =
         for _ in range(80):
             lam = (low + high) / 2
             low, high = (low, lam) if (p * np.exp(np.minimum(lam * scores, 500))).sum() + (1 - p.sum()) * np.exp(-lam * cost) > 1 else (lam, high)
-    raw = ToxicModel(keep, scores, cost, lam, 0.0, np.zeros(2))
 
-    def best_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, stop, h, _, _, begins in _words(batch):
-                found = [[s for _, _, s in raw.segments(h[begins[i] : begins[i + 1]])] for i in range(stop - row)]
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(row, stop - row).cast(pa.int32()), pa.array(np.diff(begins)), pa.array(found, pa.list_(pa.float64()))], ["y", "n", "s"])
+    def values(model: ToxicModel, value) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label, number of tokens and `value` of the segments of each text of the sample: at most 2 * per_class rows of three numbers."""
 
-    rows = sample.mapInArrow(best_scores, "y int, n long, s array<double>").collect()  # bounded: 2 * per_class documents
-    sample.unpersist()
-    clean = np.array([lam * max(r["s"]) - np.log(max(r["n"], 2)) for r in rows if r["y"] == 0 and r["s"]])
-    # Gumbel: the mean of lambda * S - ln(n) is ln K + Euler's constant; texts without a segment bound it from below
-    log_k = float(clean.mean() - 0.5772) if len(clean) >= 30 else 0.0
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row, stop, h, _, _, begins in _words(batch):
+                    found = [value(model, h[begins[i] : begins[i + 1]]) for i in range(stop - row)]
+                    yield pa.RecordBatch.from_arrays([batch.column(2).slice(row, stop - row).cast(pa.int32()), pa.array(np.diff(begins)), pa.array(found, pa.float64())], ["y", "n", "value"])
+
+        rows = sample.mapInArrow(run, "y int, n long, value double").collect()
+        return np.array([r["y"] for r in rows]), np.array([r["n"] for r in rows]), np.array([r["value"] for r in rows], float)
+
+    raw = ToxicModel(keep, scores, cost, lam, 0.0, np.zeros(2))
+    y, n, best = values(raw, lambda m, h: max((s for _, _, s in m.segments(h)), default=0.0))
+    # Gumbel: the mean of lambda * S - ln(n) over clean texts is ln K + Euler's constant
+    clean = (y == 0) & (best > 0) if len(y) else np.zeros(0, bool)
+    log_k = float((lam * best[clean] - np.log(np.maximum(n[clean], 2))).mean() - 0.5772) if clean.sum() >= 30 else 0.0
     model = ToxicModel(keep, scores, cost, lam, log_k, np.zeros(2))
-    value = np.array([sum(max(0.0, lam * s - log_k - np.log(max(r["n"], 2))) for s in r["s"]) for r in rows])
-    y = np.array([r["y"] for r in rows])
-    return ToxicModel(keep, scores, cost, lam, log_k, fit_logistic(model.features(value), y) if len(rows) else np.zeros(2))
+    y, _, evidence = values(model, lambda m, h: m.evidence(h)[0])
+    sample.unpersist()
+    if not len(y) or not 0 < y.sum() < len(y):
+        return model
+    sizes = class_sizes(labels, "toxic", train)
+    weight = np.where(y == 1, sizes[1] / max((y == 1).sum(), 1), sizes[0] / max((y == 0).sum(), 1))
+    return ToxicModel(keep, scores, cost, lam, log_k, fit_logistic(model.features(evidence), y, weight))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, score, predicted, segments (start, stop in tokens and excess) of every document; null and empty texts have no evidence."""
+    """doc_id, score, predicted, segments (start, stop in tokens and excess) of every document.
+
+    Null and empty texts have no evidence and get the score of a text without a toxic passage; a very long text is one linear scan,
+    and each of its passages counts; repeated rows give repeated results; other columns of the input are ignored, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most `vocabulary` tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
