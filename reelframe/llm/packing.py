@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from reelframe.llm.common import table
 
 
-def encoder(ranks_file: str, pattern: str):
+def encoder(ranks_file: str, pattern: str, special: dict[str, int]):
     """The byte-level vocabulary as a tiktoken encoding: the ids of the tokenizers file of the same vocabulary at a third of the time."""
     import base64
 
@@ -28,23 +28,30 @@ def encoder(ranks_file: str, pattern: str):
 
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode_with(ranks_file: str, pattern: str, tokenizer_file: str) -> Callable[[str], np.ndarray]:
-    """Text -> ids without special tokens; a text on which tiktoken's pattern gives up (about a million white-space characters in a row) goes to tokenizers."""
-    fast, whole = encoder(ranks_file, pattern), None
+    """Text -> the ids of a plain call of tokenizers on `tokenizer_file` with add_special_tokens=False.
+
+    The file's added tokens are found in a text as tokenizers finds them.  A text on which tiktoken's pattern gives up (about a
+    million white-space characters in a row) goes to tokenizers itself.
+    """
+    import json
+
+    with open(tokenizer_file, encoding="utf-8") as file:
+        special = {x["content"]: x["id"] for x in json.load(file)["added_tokens"]}
+    fast, whole = encoder(ranks_file, pattern, special), None
 
     def encode(text: str) -> np.ndarray:
         nonlocal whole
         try:
-            return fast.encode_to_numpy(text, disallowed_special=())
+            return fast.encode_to_numpy(text, allowed_special="all")
         except ValueError:
             if whole is None:
                 from tokenizers import Tokenizer
 
                 whole = Tokenizer.from_file(tokenizer_file)
-                whole.encode_special_tokens = True
             return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
@@ -144,8 +151,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def pack(docs: DataFrame, *, ranks_file: str | None = None, tokenizer_file: str | None = None, window: int = 2048, end_id: int = 1, block_tokens: int = 4_000_000, include_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
 
-    A null text is an empty one and gives its end token alone; repeated rows are packed each; an empty table gives
-    no rows.  Blocks of about `block_tokens` bound a task's memory; sequence ids are unique over tasks and blocks.
+    A null text is an empty one and gives its end token alone; repeated rows, and rows without doc_id, are packed each; an empty
+    table gives no rows; other columns are ignored, whatever their names.  A text longer than a window is cut into whole windows and a
+    rest.  Remaining pieces of equal length are taken in the order of their rows.  Blocks of about `block_tokens` (or one longer
+    text) bound a task's memory; sequence ids are unique over tasks and blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
