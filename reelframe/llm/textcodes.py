@@ -70,10 +70,10 @@ def chunks(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int
         row = stop
 
 
-def prefix_sums(data: np.ndarray, lower: bool = False) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
     """C with C[j] - C[i] = sum of byte codes times powers over [i, j)."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTE)[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
+    np.cumsum(_BYTE[data] * powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 
@@ -83,6 +83,34 @@ def span_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarr
     return mix((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64) * _STEP[1])
 
 
+def _places(n: int) -> np.ndarray:
+    """Random odd factors of the first n places of a word, n up to 2**16; each place has its own, whatever n is."""
+    global _PLACES
+    if len(_PLACES) < n:
+        _PLACES = mix(np.arange(1, 2 * n, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+    return _PLACES
+
+
+_PLACES = np.zeros(0, np.uint64)
+
+
+def _word_hashes(data: np.ndarray, solid: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool) -> np.ndarray:
+    """Multilinear hashes: the sum of byte codes times the random factor of the byte's place in its word.
+
+    No structure of the words (such as a Thue-Morse pattern) makes two of them meet, as it can in a polynomial modulo 2**64.
+    """
+    size = stop - start
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    code = (_LOWER if lower else _BYTE)[data[solid]]
+    longest = int(size.max())
+    if longest > 1 << 16:
+        code = code * (mix((place >> 16).astype(np.uint64) + np.uint64(1)) | np.uint64(1))
+        place = place & 0xFFFF
+    total = np.add.reduceat(code * _places(min(longest, 1 << 16))[place], first)
+    return mix(total + size.astype(np.uint64) * _STEP[1])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and stop of each word of a chunk, and for each text the index of its first word (one more at the end)."""
     if not len(data):
@@ -96,7 +124,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separators
     last = solid.copy()
     last[:-1] &= ~solid[1:] | edge[1:-1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return span_hash(prefix_sums(data, lower), start, stop), start, stop, np.searchsorted(start, offsets)
+    hashes = _word_hashes(data, solid, start, stop, lower) if len(start) else np.zeros(0, np.uint64)
+    return hashes, start, stop, np.searchsorted(start, offsets)
 
 
 def shingles(hashes: np.ndarray, begins: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
