@@ -1,22 +1,26 @@
 """Exact n-gram Jaccard join by set relations, at document level: shingle counts, classes, links and components.
 
-A document's set holds the hashes of its distinct five-word shingles.  Equal sets form a class and are compared once.
+A document's set holds the hashes of its distinct five-word shingles.  Equal sets form a class, which its smallest doc_id stands for and which is compared once.
 
-1. `shingle_ranks` counts shingles of all documents in a fixed number of hash buckets.  Rare buckets come first in the
-   global order of shingles (the counts only steer the order, so collisions cannot lose a link).
+1. `set_pass` names every set by 128 bits and counts shingles in a fixed number of hash buckets.  Rare buckets come first in
+   the global order of shingles (the counts only steer the order, so collisions cannot lose a link).
 2. Two sets with a Jaccard similarity of t or more share a shingle among the first n - ceil(t * n) + 1 of each.  `index_lists`
-   deals these prefixes by shingle; each list is ordered by set size and cut into blocks wherever neighbours differ by more than t allows,
-   so blocks whose sizes rule each other out are skipped.  Sets in one block belong to one candidate family.
-3. Families are the components of those chains.  Within a family (or a pair of blocks of a large one) `answer_sets` computes the
-   overlap of each set with all later ones from index lists, or, where a highly similar set has its answers already, derives
-   them from that set's answers through the lists of the few shingles in which the two differ.
-4. Verified links give components; each document gets the smallest id of its component.
+   deals these prefixes by shingle.  The position of a shingle in its set bounds the overlap that is left, and so the size of a partner;
+   each list is ordered by size and cut into blocks wherever no earlier position reaches the next size, and blocks are skipped by one another.  Sets
+   in one block belong to one candidate family.
+3. Families are the components of those chains; a large one is cut into parts by size and hash.  Neighbouring parts are compared first, and
+   other pairs of parts only where they still hold different components.
+4. `linked_sets` walks the links of a group: a set is compared only with sets outside the components found so far.  Its overlaps
+   are counted over index lists from the first block that size allows to the last, or derived from the answers of the highly similar set that it was found from, through
+   the lists of the few shingles in which the two differ.
+5. Links give components; a component's smallest class name is the smallest id of its documents.
 
 Only a spanning forest of links leaves a task, never all pairs of a group.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,40 +35,45 @@ from reelframe.llm.textcodes import mix, text_sets
 FLUSH = 2_000_000
 
 
-def _set_ids(s: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, from its distinct shingles in any order; 0 for an empty one."""
-    totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + np.uint64(0x1234567)))])
+def _set_ids(s: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of each set, from its distinct shingles in any order; 0 for an empty one."""
     n = np.diff(begins).astype(np.uint64)
-    return np.where(n > 0, mix(totals[begins[1:]] - totals[begins[:-1]] + n * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1), np.uint64(0)).view(np.int64)
+    out = []
+    for seed in (0x1234567, 0x9E3779B97F4A7C15):
+        totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(seed)))])
+        out.append(np.where(n > 0, mix(totals[begins[1:]] - totals[begins[:-1]] + n * np.uint64(seed)) | np.uint64(1), np.uint64(0)).view(np.int64))
+    return out[0], out[1]
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sid): size and name of each document's set."""
+def set_pass(docs: DataFrame, *, bits: int, slices: int) -> DataFrame:
+    """One pass over the texts: (doc_id, n, sid, sid2) of each document's set, and for each task (slice, counts) of its shingles in 2**bits hash buckets."""
+    size = 1 << bits
+    part = size // slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        names = ["doc_id", "n", "sid", "sid2", "slice", "counts"]
+        counts = np.zeros(size, np.int64)
         for batch in batches:
             for row, stop, s, begins in text_sets(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), pa.array(np.diff(begins)), pa.array(_set_ids(s, begins))], ["doc_id", "n", "sid"])
+                counts += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=size)
+                rows, (sid, sid2) = stop - row, _set_ids(s, begins)
+                columns = [batch.column(0).slice(row, rows), pa.array(np.diff(begins)), pa.array(sid), pa.array(sid2), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        if counts.any():
+            parts = [zlib.compress(counts[k * part : (k + 1) * part].astype(np.uint32).tobytes(), 1) for k in range(slices)]
+            none = pa.nulls(slices, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, sid2 long, slice int, counts binary")
 
 
-def shingle_ranks(docs: DataFrame, *, bits: int = 22, slices: int = 16) -> np.ndarray:
-    """For each of 2**bits hash buckets the quarter-octave of its number of shingles over all documents: a fixed 2**bits bytes."""
+def shingle_ranks(counted: DataFrame, *, bits: int, slices: int) -> np.ndarray:
+    """For each hash bucket the quarter-octave of its number of shingles over all documents: a fixed 2**bits bytes, from (slice, counts)."""
     size = 1 << bits
     part = size // slices
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        n = np.zeros(size, np.int64)
-        for batch in batches:
-            for _, _, s, _ in text_sets(batch):
-                n += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=size)
-        if n.any():
-            parts = [zlib.compress(n[k * part : (k + 1) * part].astype(np.uint32).tobytes(), 1) for k in range(slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
-
     def add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
@@ -75,61 +84,60 @@ def shingle_ranks(docs: DataFrame, *, bits: int = 22, slices: int = 16) -> np.nd
         rank = np.minimum(255, np.round(4 * np.log2(1 + n))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["slice", "ranks"])
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, "slice int, counts binary")
-    rows = counted.groupBy("slice").applyInArrow(add, "slice int, ranks binary").collect()
+    rows = counted.groupBy("slice").applyInArrow(add, "slice int, ranks binary").collect()  # 2**bits bytes in all
     out = np.zeros(size, np.uint8)
     for r in rows:
         out[r["slice"] * part : (r["slice"] + 1) * part] = np.frombuffer(r["ranks"], np.uint8)
     return out
 
 
-def _chains(token: np.ndarray, low: np.ndarray, high: np.ndarray, sid: np.ndarray, num: int, den: int):
-    """Order entries by (token, low) and chain those of a token whose size ranges can hold linked sets.
+def _chains(token: np.ndarray, low: np.ndarray, reach: np.ndarray, sid: np.ndarray):
+    """Order entries by (token, low) and chain those of a token that an earlier one reaches.
 
-    Gives the order, the index of each entry's chain, and each chain's first entry.
+    `low` is the size of the set (of the smallest one, for a chain that is an entry), `reach` the largest size that its position in it allows a partner.
+    Gives the order, the index of each entry's chain, each chain's first entry, and each chain's reach.
     """
     order = np.lexsort((sid, low, token))
-    t, lo, hi = token[order], low[order], high[order]
+    t, lo, hi = token[order], low[order], reach[order]
     new = np.ones(len(t), bool)
     new[1:] = t[1:] != t[:-1]
     rank = np.cumsum(new)
-    reach = np.maximum.accumulate((rank << 32) + hi) & 0xFFFFFFFF
+    far = np.maximum.accumulate((rank << 32) + hi) & 0xFFFFFFFF
     brk = new.copy()
-    brk[1:] |= reach[:-1] * den < num * lo[1:]  # every earlier set of the list is too small for this one
-    return order, np.cumsum(brk) - 1, np.flatnonzero(brk), reach
+    brk[1:] |= far[:-1] < lo[1:]  # no earlier set of the list reaches this one
+    first = np.flatnonzero(brk)
+    return order, np.cumsum(brk) - 1, first, np.maximum.reduceat(hi, first) if len(first) else hi
 
 
 def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Candidate links (a, b) between set names: a star over each size block of each shingle's index list.
+    """Candidate links (a, b) between set names: a star over each block of each shingle's index list.
 
-    Within a task, entries of a shingle that chain are linked at once and sent on as one entry with their range of
-    sizes, so a shingle of a third of all documents costs each task one entry.
+    Within a task, entries of a shingle that chain are linked at once and sent on as one entry with their least size and
+    furthest reach, so a shingle of a third of all documents costs each task one entry.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    def pack(token, low, high, sid) -> list[tuple[int, bytes]]:
+    def pack(token, low, reach, sid) -> list[tuple[int, bytes]]:
         where = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+        kinds, cuts = np.unique(where[order], return_index=True)
         out = []
-        for k in range(buckets):
-            i = order[cuts[k] : cuts[k + 1]]
-            if len(i):
-                out.append((k, token[i].tobytes() + low[i].astype(np.uint32).tobytes() + high[i].astype(np.uint32).tobytes() + sid[i].tobytes()))
+        for k, a, b in zip(kinds.tolist(), cuts, np.append(cuts[1:], len(order)), strict=True):
+            i = order[a:b]
+            out.append((k, token[i].tobytes() + low[i].astype(np.uint32).tobytes() + reach[i].astype(np.uint32).tobytes() + sid[i].tobytes()))
         return out
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of, held, total = shared.value, [], 0
 
         def flush():
-            token, n, sid = (np.concatenate([h[k] for h in held]) for k in range(3))
-            order, chain, first, _ = _chains(token.view(np.int64), n, n, sid, num, den)
+            token, n, reach, sid = (np.concatenate([h[k] for h in held]) for k in range(4))
+            order, chain, first, far = _chains(token.view(np.int64), n, reach, sid)
             token, n, sid = token[order], n[order], sid[order]
-            last = np.append(first[1:], len(token)) - 1
             same = np.arange(len(token)) != first[chain]
             links = np.unique(np.stack([sid[first[chain]][same], sid[same]], 1), axis=0) if same.any() else np.zeros((0, 2), np.int64)
             links = links[links[:, 0] != links[:, 1]]
-            rows = pack(token[first], n[first], n[last], sid[first])
+            rows = pack(token[first], n[first], far, sid[first])
             empty = [b""] * len(links)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([-1] * len(links) + [k for k, _ in rows], pa.int32()), pa.array(links[:, 0].tolist() + [0] * len(rows), pa.int64()), pa.array(links[:, 1].tolist() + [0] * len(rows), pa.int64()), pa.array(empty + [x for _, x in rows], pa.binary())],
@@ -139,13 +147,15 @@ def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den:
         for batch in batches:
             for row, stop, s, begins in text_sets(batch):
                 n = np.diff(begins)
-                sid = _set_ids(s, begins)
+                sid, _ = _set_ids(s, begins)
                 doc = np.repeat(np.arange(stop - row), n)
                 order = np.lexsort((s, rank_of[(s >> np.uint64(64 - bits)).astype(np.int64)], doc))
                 place = np.arange(len(s)) - begins[:-1][doc]
-                keep = place < (n - -(-n * num // den) + 1)[doc]
-                held.append((s[order][keep], n[doc][keep], sid[doc][keep]))
-                total += int(keep.sum())
+                size = n[doc]
+                keep = place < size - -(-size * num // den) + 1
+                size, place = size[keep], place[keep]
+                held.append((s[order][keep], size, (size - place) * (num + den) // num - size, sid[doc][keep]))
+                total += len(size)
                 if total >= FLUSH:
                     yield from flush()
                     held, total = [], 0
@@ -153,7 +163,7 @@ def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den:
             yield from flush()
 
     def merge(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        direct, parts = [], []
+        parts = []
         for batch in tables:
             if key[0].as_py() < 0:
                 yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["a", "b"])
@@ -163,8 +173,8 @@ def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den:
                 k = len(raw) // 24
                 parts.append((np.frombuffer(raw, np.uint64, k), np.frombuffer(raw, np.uint32, k, 8 * k), np.frombuffer(raw, np.uint32, k, 12 * k), np.frombuffer(raw, np.int64, k, 16 * k)))
         if parts:
-            token, low, high, sid = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            order, chain, first, _ = _chains(token.view(np.int64), low.astype(np.int64), high.astype(np.int64), sid, num, den)
+            token, low, reach, sid = (np.concatenate([p[k] for p in parts]) for k in range(4))
+            order, chain, first, _ = _chains(token.view(np.int64), low.astype(np.int64), reach.astype(np.int64), sid)
             sid = sid[order]
             direct = np.stack([sid[first[chain]], sid], 1)
             direct = np.unique(direct[direct[:, 0] != direct[:, 1]], axis=0)
@@ -175,126 +185,216 @@ def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den:
     return dealt.groupBy("salt").applyInArrow(merge, "a long, b long").distinct()
 
 
-def answer_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, num: int, den: int, *, similar: float = 0.6, kept_answers: int = 64) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets (sorted hash arrays): left x right where they differ, else all pairs.
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range in turn."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
+class _Lists:
+    """Index lists of the sets of a group that are still outside: sorted (shingle, set) keys, sets by size, so that a range of sizes is one range of each list."""
+
+    def __init__(self, code: np.ndarray, owner: np.ndarray, m: int):
+        self.m, self.keys = m, np.sort(code * m + owner)
 
-    `left` and `right` mark the side of each set.  Sets are taken by size.  The overlaps of a set with all others are counted over
-    its index lists from the first block that size allows; if the answers of a set that is at least `similar` are held, they are copied and
-    corrected by the lists of the shingles in which the two sets differ.
+    def keep(self, alive: np.ndarray) -> None:
+        self.keys = self.keys[alive[self.keys % self.m]]
+
+    def within(self, codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the sets low to high - 1 stand in the lists of the shingles: first places and numbers."""
+        a = np.searchsorted(self.keys, codes * self.m + low)
+        return a, np.searchsorted(self.keys, codes * self.m + high) - a
+
+    def sets(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.keys[_ranges(a, n)] % self.m
+
+
+def linked_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, component: np.ndarray, num: int, den: int, *, kept_answers: int = 64) -> list[tuple[int, int]]:
+    """Links between sets (sorted hash arrays) of different components that join all linked ones: left x right, or all pairs where both mark every set.
+
+    A walk from set to set; each is compared with the sets outside all components walked so far.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     by_size = np.argsort(sizes, kind="stable")
     sets, sizes, left, right = [sets[i] for i in by_size], sizes[by_size], left[by_size], right[by_size]
-    tokens, code = np.unique(np.concatenate(sets), return_inverse=True)
+    _, group = np.unique(component[by_size], return_inverse=True)
+    if group.max() == 0:
+        return []
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(m), sizes)
-    order = np.argsort(code, kind="stable")  # each list stays ordered by size
-    lists, starts = owner[order], np.searchsorted(code[order], np.arange(len(tokens) + 1))
+    # rare shingles first: each set's codes in the order of its prefix
+    count = np.bincount(code)
+    place = np.empty(len(count), np.int64)
+    place[np.argsort(count, kind="stable")] = np.arange(len(count))
+    code = place[code]
+    order = np.lexsort((code, owner))
+    code = code[order]
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    members = [code[cuts[i] : cuts[i + 1]] for i in range(m)]
-    shared = np.diff(starts) > 1
-    members = [x[shared[x]] for x in members]
-
-    def add(codes: np.ndarray) -> np.ndarray:
-        if not len(codes):
-            return np.zeros(m, np.int32)
-        return np.bincount(np.concatenate([lists[starts[c] : starts[c + 1]] for c in codes.tolist()]), minlength=m).astype(np.int32)
-
-    parent = list(range(m))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    best, near = np.zeros(m), np.full(m, -1)
-    answers: dict[int, np.ndarray] = {}
-    forest = []
-    for i in range(m):
-        if not len(members[i]):
-            continue
-        y = int(near[i])
-        counts = None
-        if y in answers:
-            gone, come = np.setdiff1d(members[y], members[i], True), np.setdiff1d(members[i], members[y], True)
-            if len(gone) + len(come) < len(members[i]):
-                counts = answers[y] + add(come) - add(gone)
-        if counts is None:
-            counts = add(members[i])
-        answers[i] = counts
+    lists = _Lists(code, owner, m)
+    members = np.argsort(group, kind="stable")
+    begins = np.searchsorted(group[members], np.arange(group.max() + 2))
+    alive = np.ones(m, bool)
+    outside = indexed = m
+    marked = np.zeros(len(count), bool)
+    answers: dict[int, tuple[np.ndarray, int, int]] = {}
+    forest: list[tuple[int, int]] = []
+
+    def overlaps(i: int, parent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that may be linked with set i, and their overlaps with it."""
+        own, n = code[cuts[i] : cuts[i + 1]], int(sizes[i])
+        low, high = int(np.searchsorted(sizes, -(-n * num // den))), int(np.searchsorted(sizes, n * den // num, "right"))
+        prefix = own[: n - -(-n * num // den) + 1]
+        near = lists.sets(*lists.within(prefix, low, high))
+        near = np.unique(near[alive[near]])
+        if not len(near):
+            return near, near
+        look = int(sizes[near].sum())
+        held, ready = answers.get(parent), None
+        if held is not None and held[1] <= low and high <= held[2]:
+            other = code[cuts[parent] : cuts[parent + 1]]
+            come, gone = np.setdiff1d(own, other, True), np.setdiff1d(other, own, True)
+            plus, minus = lists.within(come, held[1], held[2]), lists.within(gone, held[1], held[2])
+            if plus[1].sum() + minus[1].sum() + m <= look:
+                ready = held[0] + np.bincount(lists.sets(*plus), minlength=m) - np.bincount(lists.sets(*minus), minlength=m), held[1], held[2]
+        if ready is None:
+            wide = int(np.searchsorted(sizes, -(-sizes[low] * num // den))), int(np.searchsorted(sizes, sizes[high - 1] * den // num, "right"))
+            every = lists.within(own, *wide)
+            if every[1].sum() <= look:
+                ready = np.bincount(lists.sets(*every), minlength=m), *wide
+        if ready is None:
+            marked[own] = True
+            hits = marked[code[_ranges(cuts[near], sizes[near])]].astype(np.int64)
+            marked[own] = False
+            return near, np.add.reduceat(hits, np.cumsum(sizes[near]) - sizes[near])
+        answers[i] = ready
         if len(answers) > kept_answers:
             answers.pop(next(iter(answers)))
-        union = sizes + sizes[i] - counts
-        alike = counts / union
-        later = np.arange(m) > i
-        closer = later & (alike > best) & (alike >= similar)
-        best[closer], near[closer] = alike[closer], i
-        hit = np.flatnonzero(later & (counts * den >= num * union) & ((left & right[i]) | (right & left[i])))
-        for j in hit.tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[b] = a
-                forest.append((int(by_size[i]), int(by_size[j])))
+        return near, ready[0][near]
+
+    def enter(g: int) -> list[int]:
+        nonlocal outside
+        new = members[begins[g] : begins[g + 1]]
+        alive[new] = False
+        outside -= len(new)
+        return new.tolist()
+
+    for g in np.argsort(begins[:-1] - begins[1:], kind="stable").tolist():
+        if not outside:
+            break
+        if not alive[members[begins[g]]]:
+            continue
+        walk = [(i, -1) for i in enter(g)]
+        while walk and outside:
+            i, parent = walk.pop()
+            if 2 * outside <= indexed:
+                lists.keep(alive)
+                indexed = outside
+            near, shared = overlaps(i, parent)
+            if len(near):
+                linked = (shared * den >= num * (sizes[near] + sizes[i] - shared)) & ((left[near] & right[i]) | (right[near] & left[i]))
+                found, at = np.unique(group[near[linked]], return_index=True)
+                for h, j in zip(found.tolist(), near[linked][at].tolist(), strict=True):
+                    forest.append((int(by_size[i]), int(by_size[j])))
+                    walk += [(x, i) for x in enter(h)]
     return forest
 
 
-def family_links(families: DataFrame, docs: DataFrame, *, num: int, den: int, block: int) -> DataFrame:
-    """Verified links (a, b) between set names within families(sid, n, family, rep).
+def group_links(rows: DataFrame, docs: DataFrame, *, num: int, den: int) -> DataFrame:
+    """Verified links (a, b) between classes within the groups of rows(rep, n, sid, sid2, component, g, side): side 0 with side 1, and side 2 with itself.
 
-    A family of more than `block` shingles in all is cut, in order of size, into blocks; each pair of blocks that sizes allow is a
-    group of its own, so no task holds more than two blocks.
+    The texts of representatives meet their rows by doc_id; a text of that id that is not of the class is left out.
     """
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("family").orderBy("n", "sid")
-    placed = families.withColumn("part", F.floor((F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")) / F.lit(block)).cast("int"))
-    parts = placed.groupBy("family", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    other = parts.select("family", F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    pairs = parts.join(other, "family").where((F.col("part") <= F.col("part2")) & (F.col("high") * den >= F.col("low2") * num)).select("family", "part", "part2")
-    sides = pairs.select("family", "part", F.struct(F.col("part").alias("i"), F.col("part2").alias("j")).alias("pair")).unionByName(
-        pairs.where("part < part2").select("family", F.col("part2").alias("part"), F.struct(F.col("part").alias("i"), F.col("part2").alias("j")).alias("pair"))
-    )
-    rows = placed.join(sides, ["family", "part"]).groupBy("rep", "sid").agg(F.collect_list(F.struct("family", "part", "pair")).alias("in"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(rows, "rep")
-    texts = texts.select("sid", "text", F.explode("in").alias("g")).select("sid", "text", "g.family", "g.part", "g.pair.i", "g.pair.j")
+    wanted = rows.groupBy("rep", "sid", "sid2").agg(F.collect_list(F.struct("g", "side", "component")).alias("in"))  # as many as a class has groups: its part's neighbours
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    texts = texts.select("rep", "sid", "sid2", "text", F.explode("in").alias("x")).select("x.g", "rep", "sid", "sid2", "x.side", "x.component", "text")
 
     def link(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        i, j = key[1].as_py(), key[2].as_py()
-        names, parts, sets = [], [], []
+        sets: dict[tuple[int, int, int], tuple[np.ndarray, int, int]] = {}
         for batch in batches:
-            names.append(batch.column(0).to_numpy())
-            parts.append(batch.column(3).to_numpy())
-            for _, _, s, begins in text_sets(batch):
-                sets += [s[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-        sid, part = np.concatenate(names), np.concatenate(parts)
-        found = answer_sets(sets, part == i, part == j, num, den) if len(sets) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([int(sid[a]) for a, _ in found], pa.int64()), pa.array([int(sid[b]) for _, b in found], pa.int64())], ["a", "b"])
+            names = [batch.column(k).to_pylist() for k in range(1, 6)]
+            for row, _, s, begins in text_sets(batch):
+                sid, sid2 = _set_ids(s, begins)
+                for d, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+                    rep, first, second, side, component = (x[row + d] for x in names)
+                    if first == sid[d] and second == sid2[d]:
+                        sets[rep, first, second] = s[a:b], side, component
+        found = []
+        if len(sets) > 1:
+            side = np.array([x[1] for x in sets.values()])
+            found = linked_sets([x[0] for x in sets.values()], side != 1, side != 0, np.array([x[2] for x in sets.values()]), num, den)
+        rep = [k[0] for k in sets]
+        yield pa.RecordBatch.from_arrays([pa.array([rep[a] for a, _ in found], pa.int64()), pa.array([rep[b] for _, b in found], pa.int64())], ["a", "b"])
+
+    return texts.groupBy("g").applyInArrow(link, "a long, b long")
 
-    return texts.groupBy("family", "i", "j").applyInArrow(link, "a long, b long")
 
+def family_links(families: DataFrame, docs: DataFrame, *, num: int, den: int, block: int) -> DataFrame:
+    """Links (a, b) between the classes of families(rep, n, sid, sid2, family) that give the components of all links.
 
-def jaccard_components(docs: DataFrame, *, num: int = 80, den: int = 100, bits: int = 22, block: int = 2_000_000) -> DataFrame:
+    A family of more than `block` shingles in all is cut by size, where sets further apart than one step can't link, and by hash into parts of about
+    `block`; no group holds more than two parts.  Neighbouring parts are compared first, in a number of groups that grows with the
+    family, not with its square.  Other pairs of parts follow where they still hold more than one component.
+    """
+    families = checkpointed(families)
+    large = families.groupBy("family").agg(F.sum("n").alias("total")).where(F.col("total") > block).select("family", F.lit(True).alias("large"))
+    marked = families.join(large, "family", "left")
+    group = lambda *x: F.xxhash64(F.col("family"), *x)
+    small = marked.where("large IS NULL").select("rep", "n", "sid", "sid2", F.col("rep").alias("component"), group(F.lit(-1)).alias("g"), F.lit(2).alias("side"))
+    step = F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * 1.001)).cast("int")
+    big = marked.where("large").withColumn("step", step)
+    parts = checkpointed(big.groupBy("family", "step").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("parts")))
+    if parts.isEmpty():
+        return group_links(small, docs, num=num, den=den)
+    of = big.join(parts, ["family", "step"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    of = checkpointed(of.select("rep", "n", "sid", "sid2", "family", "step", "part", "parts"))
+    # first: (p, p + 1) of one step as a whole, and part 0 with part 0 of the next step
+    p, last = F.col("part"), F.col("parts") - 1
+    whole = F.sequence(F.greatest(p - 1, F.lit(0)), F.least(p, F.greatest(last - 1, F.lit(0))))
+    first = of.select("*", F.explode(whole).alias("x")).select("rep", "n", "sid", "sid2", F.col("rep").alias("component"), group(F.col("step"), F.col("x"), F.lit(0)).alias("g"), F.lit(2).alias("side"))
+    cross = of.where("part = 0").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).select("rep", "n", "sid", "sid2", F.col("rep").alias("component"), group(F.col("step") - F.col("up"), F.lit(0), F.lit(1)).alias("g"), F.col("up").alias("side"))
+    links = checkpointed(group_links(small.unionByName(first).unionByName(cross), docs, num=num, den=den))
+    # then: pairs of parts that hold more than one component so far
+    component = connected_components(links).withColumnRenamed("node", "rep")
+    of = checkpointed(of.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    ends = of.groupBy("family", "step", "part", "parts").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    next_ = ends.select("family", (F.col("step") - 1).alias("step"), F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.lit(1).alias("up"))
+    same = ends.select("family", "step", F.col("part").alias("part2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.lit(0).alias("up"))
+    other = same.unionByName(next_)
+    open_ = F.least("low", "low2") < F.greatest("high", "high2")
+    left_over = ends.join(other, ["family", "step"]).where(open_ & F.when(F.col("up") == 0, F.col("part2") > F.col("part") + 1).otherwise((F.col("part") > 0) | (F.col("part2") > 0)))
+    left_over = checkpointed(left_over.select("family", "step", "part", "part2", "up"))
+    if left_over.isEmpty():
+        return links
+    g = group(F.col("step"), F.col("part"), F.col("part2"), F.col("up") + 2)
+    sides = left_over.select("family", "step", "part", g.alias("g"), F.lit(0).alias("side")).unionByName(left_over.select("family", (F.col("step") + F.col("up")).alias("step"), F.col("part2").alias("part"), g.alias("g"), F.lit(1).alias("side")))
+    rest = of.join(sides, ["family", "step", "part"]).select("rep", "n", "sid", "sid2", "component", "g", "side")
+    return links.unionByName(group_links(rest, docs, num=num, den=den))
+
+
+def jaccard_components(docs: DataFrame, *, num: int = 80, den: int = 100, bits: int = 22, block: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; documents link from a Jaccard similarity of num / den on.
 
     Null texts and texts without words have an empty set and link with nothing; a text of one to four words is one
-    shingle.  Repeated rows are equal sets, so they share a component and each gives a row.  Rows without doc_id keep their
-    n_shingles and have no component.  Extra columns are ignored.
+    shingle; a very long text is one set, held by the tasks that compare it.  Repeated rows are equal sets, so they share a component and each gives
+    a row; rows of one doc_id with different texts are judged by their own texts.  Rows without doc_id keep their n_shingles and have no component.  Extra columns are
+    ignored.  Words and shingles are compared by 64-bit hashes, equal sets by 128 bits and their size.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    sets = checkpointed(document_sets(docs))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = 1 << min(10, max(4, (partitions - 1).bit_length()))
+    everything = checkpointed(set_pass(docs, bits=bits, slices=slices))
+    sets = everything.where("slice IS NULL").select("doc_id", "n", "sid", "sid2")
+    ranks = shingle_ranks(everything.where("slice IS NOT NULL").select("slice", "counts"), bits=bits, slices=slices)
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "n").agg(F.min("doc_id").alias("rep"))
-    ranks = shingle_ranks(docs, bits=bits)
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
+    classes = checkpointed(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("rep")))
+    buckets = max(partitions, total // 4_000_000 + 1)
     chains = index_lists(docs.where("doc_id IS NOT NULL"), ranks, bits=bits, num=num, den=den, buckets=buckets)
     family = connected_components(chains).withColumnRenamed("node", "sid").withColumnRenamed("component", "family")
-    families = classes.join(family, "sid")
-    links = connected_components(family_links(families, docs, num=num, den=den, block=block))
-    low = classes.join(links.withColumnRenamed("node", "sid"), "sid").groupBy("component").agg(F.min("rep").alias("low"))
-    linked = links.join(low, "component").select(F.col("node").alias("sid"), "low")
-    found = classes.join(linked, "sid", "left").select("sid", "n", F.coalesce("low", "rep").alias("low"))
-    return sets.join(found, ["sid", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+    links = family_links(classes.join(family, "sid"), docs, num=num, den=den, block=block)
+    linked = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("low"))
+    found = classes.join(linked, "rep", "left").select("sid", "sid2", "n", F.coalesce("low", "rep").alias("low"))
+    return sets.join(found, ["sid", "sid2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,37 +50,65 @@ def test_components_of_edges(spark):
     assert got == {**{i: 1 for i in range(1, 31)}, 50: 40, 40: 40, 45: 40}
 
 
-@pytest.mark.parametrize("block", [2_000_000, 1_000])
+@pytest.mark.parametrize("block", [2_000_000, 1_000, 150])
 def test_jaccard_components(spark, block):
     rows = noisy_docs()
     got = jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3), block=block)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == components(rows)
 
 
-def test_answers_derived_from_a_similar_set():
-    r = np.random.default_rng(3)
-    base = np.arange(100, dtype=np.uint64)
-    sets = [np.unique(np.concatenate([np.delete(base, r.integers(0, 100, r.integers(0, 12))), r.integers(1000, 1100, r.integers(0, 9)).astype(np.uint64)])) for _ in range(40)]
-    both = np.ones(len(sets), bool)
-
-    def classes(links):
-        parent = list(range(len(sets)))
-        for a, b in links:
-            x, y = a, b
-            while parent[x] != x:
-                x = parent[x]
-            while parent[y] != y:
-                y = parent[y]
-            parent[max(x, y)] = min(x, y)
-        return [next(i for i in range(len(sets)) if _root(parent, i) == _root(parent, j)) for j in range(len(sets))]
-
-    def _root(parent, i):
+def _classes(n, links):
+    parent = list(range(n))
+
+    def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    want = [(a, b) for a in range(40) for b in range(a) if 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
-    assert classes(jaccard_join.answer_sets(sets, both, both, 80, 100)) == classes(want)
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return [root(i) for i in range(n)]
+
+
+def _near_sets(r, n, size, drop, add):
+    base = np.arange(size, dtype=np.uint64)
+    return [np.unique(np.concatenate([np.delete(base, r.integers(0, size, r.integers(0, drop))), r.integers(1000, 1000 + size, r.integers(0, add)).astype(np.uint64)])) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("seed", "drop", "add"), [(3, 12, 9), (4, 30, 30), (5, 60, 4), (6, 3, 40)])
+@pytest.mark.parametrize("sides", [False, True])
+def test_walk_over_links(seed, drop, add, sides):
+    """Components of the walk against all pairs, for sets alike and less alike, on two sides and with known components."""
+    r = np.random.default_rng(seed)
+    sets = _near_sets(r, 60, 100, drop, add)
+    left, right = (np.arange(60) % 2 == 0, np.arange(60) % 2 == 1) if sides else (np.ones(60, bool),) * 2
+    known = np.where(np.arange(60) < 10, 0, np.arange(60))
+    same = [(0, i) for i in range(10)]
+    want = [(a, b) for a in range(60) for b in range(a) if ((left[a] & right[b]) | (left[b] & right[a])) and 100 * (n := len(np.intersect1d(sets[a], sets[b]))) >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    for component, extra in ((np.arange(60), []), (known, same)):
+        found = jaccard_join.linked_sets(sets, left, right, component, 80, 100)
+        assert set(found) <= {(a, b) for x in want for a, b in (x, x[::-1])}
+        assert _classes(60, found + extra) == _classes(60, want + extra)
+
+
+def test_walk_over_many_near_copies_is_quick():
+    import time
+
+    r = np.random.default_rng(1)
+    sets = _near_sets(r, 8000, 100, 12, 9)
+    began = time.perf_counter()
+    assert len(jaccard_join.linked_sets(sets, np.ones(8000, bool), np.ones(8000, bool), np.arange(8000), 80, 100)) == 7999
+    assert time.perf_counter() - began < 5
+
+
+def test_words_of_one_pattern_differ(spark):
+    """A Thue-Morse word and its mirror, which hash alike in any polynomial modulo 2**64."""
+    x = "a"
+    while len(x) < 1024:
+        x += x.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, x), (2, x.translate(str.maketrans("ab", "ba"))), (3, x), (4, "c" * 70_000), (5, "c" * 70_001), (6, "c" * 70_000)], DOCS)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 4}
 
 
 def test_suffix_dedup(spark):
