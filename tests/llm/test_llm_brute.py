@@ -117,6 +117,56 @@ def test_suffix_dedup(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == without_repeats(rows)
 
 
+def test_refinement_of_windows():
+    """Windows of stretches of bytes against a look at all pairs."""
+    r = random.Random(8)
+    for _ in range(30):
+        length = r.randint(28, 60)
+        parts = [bytes(r.choice(b"ab") for _ in range(r.randint(length, length + 25))) for _ in range(4)]
+        parts += [p[: len(p) // 2] + parts[0][len(p) // 2 :] for p in parts] + [parts[1], parts[2][1:]]
+        parts = [p for p in parts if len(p) >= length]
+        doc = np.array([r.randint(1, 5) for _ in parts])
+        bits = suffix_dedup.repeated_windows(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), doc, length)
+        for i, p in enumerate(parts):
+            for w in range(len(p) - length + 1):
+                want = any(doc[j] < doc[i] and p[w : w + length] in q for j, q in enumerate(parts))
+                assert bool(int(bits[i]) >> w & 1) == want
+
+
+def test_suffix_dedup_of_a_common_line(spark):
+    """A line of 41 bytes in every text: its common q-grams are the anchors of few texts, not of most, and the result is exact."""
+    r = random.Random(12)
+    line = "one line of forty-one bytes in every text"
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    rows = [(k, " ".join(word() for _ in range(20)) + "\n" + line + "\n" + " ".join(word() for _ in range(20))) for k in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    packed, _ = suffix_dedup.common_grams(docs)
+    data = "".join(t for _, t in rows).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for _, t in rows])
+    runs = suffix_dedup.Runs(np.frombuffer(data, np.uint8), offsets, 50, np.unpackbits(packed).view(bool))
+    assert np.unique(runs.anchor, return_counts=True)[1].max() <= 64 and len(line) == 41
+    plain = suffix_dedup.Runs(np.frombuffer(data, np.uint8), offsets, 50, np.zeros(1 << suffix_dedup.GRAM_BITS, bool))
+    assert np.unique(plain.anchor, return_counts=True)[1].max() > 300
+    rows += [(1000, rows[5][1][100:190] + rows[7][1][60:130])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == without_repeats(rows)
+
+
+def test_suffix_dedup_in_pieces(spark, monkeypatch):
+    """Long texts are looked at in pieces; their results don't depend on where the pieces end."""
+    rows = noisy_docs(3)
+    rows = [*rows, (1, " ".join(t or "" for _, t in rows[::2])), (5000, " ".join(t or "" for _, t in rows[1::2])), (5001, "x" * 700), (5002, "x" * 300)]
+    common = np.zeros(1 << suffix_dedup.GRAM_BITS, bool)
+    data = np.frombuffer(rows[-4][1].encode(), np.uint8)
+    whole = suffix_dedup.Runs(data, np.array([0, len(data)]), 50, common)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 333)
+    pieces = suffix_dedup.Runs(data, np.array([0, len(data)]), 50, common)
+    windows = lambda x: sorted((int(s) + k, int(a)) for s, n, a in zip(x.start, x.count, x.anchor) for k in range(n))
+    assert windows(whole) == windows(pieces) and len(pieces.start) > len(whole.start)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == without_repeats(rows)
+
+
 def test_suffix_dedup_on_the_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
     got = QUERIES["op9_suffix_array_dedup"](spark, sf)
