@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from reelframe.functions.exprs import safe_name
 from reelframe.plans.registry import query
 
+# Largest attachment, and largest manifest or set of attachments, in bytes.
+MAX_OBJECT, MAX_TOTAL = 64 * 1024 * 1024, 256 * 1024 * 1024
 # Font types that a client may cache.
 FONT_TYPES = ("font/ttf", "font/otf", "application/x-font-ttf")
 
@@ -24,7 +26,7 @@ def running_budget(df: DataFrame, by: str, size: str, limit: int, order: str) ->
     return df.withColumn("running", total).withColumn("over", F.col("running") > limit)
 
 
-def validate_manifest(manifest: DataFrame, *, max_object: int = 20_000, max_total: int = 100_000) -> DataFrame:
+def validate_manifest(manifest: DataFrame, *, max_object: int = MAX_OBJECT, max_total: int = MAX_TOTAL) -> DataFrame:
     """Status of every row (invalid_hash, invalid_size, duplicate, over_limit or ok) and whether its session's manifest is accepted.
 
     Rows are checked before repeats are skipped; only first occurrences count towards the total.
@@ -86,7 +88,7 @@ def unique_view_names(manifest: DataFrame) -> DataFrame:
     return rows.select("session_id", "pos", F.when(again, F.concat(stem, F.lit("-"), F.left("sha256", F.lit(8)), ext)).otherwise(F.col("name")).alias("view_name"))
 
 
-def attachment_totals(attachments: DataFrame, *, max_object: int = 20_000, max_total: int = 150_000) -> DataFrame:
+def attachment_totals(attachments: DataFrame, *, max_object: int = MAX_OBJECT, max_total: int = MAX_TOTAL) -> DataFrame:
     """Bytes of each file's attachments and whether a client may cache them all."""
     rows = attachments.where("size >= 0").groupBy("session_id").agg(F.sum("size").alias("bytes"), F.bool_and(F.lower("mimetype").isin(*FONT_TYPES) & (F.col("size") <= max_object)).alias("fonts"))
     return rows.select("session_id", "bytes", (F.col("fonts") & (F.col("bytes") <= max_total)).alias("cacheable"))
@@ -107,7 +109,7 @@ SELECT session_id, pos, CASE WHEN base = '' THEN 'font-' || left(sha256, 12) ELS
 query("dedupe_first", "v_attachments", lambda a: dedupe_first(a, ["session_id", "sha256"], ["pos"]).select("session_id", "sha256", "pos"), "SELECT session_id, sha256, min(pos) AS pos FROM v_attachments GROUP BY session_id, sha256")
 query("running_budget", "v_attachments", lambda a: running_budget(a, "session_id", "size", 100_000, "pos").select("session_id", "pos", "running", "over"),
       """SELECT session_id, pos, running, running > 100000 AS over FROM (SELECT *, CAST(sum(size) OVER (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM v_attachments)""")
-query("validate_manifest", "v_attachments", validate_manifest, """WITH b AS (SELECT *, CASE WHEN NOT regexp_full_match(lower(sha256), '[0-9a-f]{64}') THEN 'invalid_hash' WHEN size < 0 OR size > 20000 THEN 'invalid_size' END AS bad FROM v_attachments),
+query("validate_manifest", "v_attachments", lambda a: validate_manifest(a, max_object=20_000, max_total=100_000), """WITH b AS (SELECT *, CASE WHEN NOT regexp_full_match(lower(sha256), '[0-9a-f]{64}') THEN 'invalid_hash' WHEN size < 0 OR size > 20000 THEN 'invalid_size' END AS bad FROM v_attachments),
 f AS (SELECT *, bad IS NULL AND pos = (SELECT min(c.pos) FROM b c WHERE c.session_id = b.session_id AND lower(c.sha256) = lower(b.sha256) AND c.bad IS NULL) AS first FROM b),
 r AS (SELECT *, sum(CASE WHEN first THEN size ELSE 0 END) OVER (PARTITION BY session_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS running FROM f),
 s AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN NOT first THEN 'duplicate' WHEN running > 100000 THEN 'over_limit' ELSE 'ok' END AS status FROM r)
@@ -126,5 +128,5 @@ query("lru_evict_entries", "v_store", lambda s: lru_evict(s, limit_bytes=500_000
 query("unique_view_names", "v_attachments", unique_view_names, """WITH f AS (SELECT * FROM v_attachments a WHERE size >= 0 AND pos = (SELECT min(b.pos) FROM v_attachments b WHERE b.size >= 0 AND b.session_id = a.session_id AND b.sha256 = a.sha256)),
 n AS (SELECT *, row_number() OVER (PARTITION BY session_id, name ORDER BY pos) AS rn FROM f)
 SELECT session_id, pos, CASE WHEN rn > 1 THEN replace(name, '.ttf', '') || '-' || left(sha256, 8) || '.ttf' ELSE name END AS view_name FROM n""")
-query("attachment_totals", "v_attachments", attachment_totals, """SELECT session_id, CAST(sum(size) AS BIGINT) AS bytes, bool_and(lower(mimetype) IN ('font/ttf', 'font/otf', 'application/x-font-ttf') AND size <= 20000) AND sum(size) <= 150000 AS cacheable
+query("attachment_totals", "v_attachments", lambda a: attachment_totals(a, max_object=20_000, max_total=150_000), """SELECT session_id, CAST(sum(size) AS BIGINT) AS bytes, bool_and(lower(mimetype) IN ('font/ttf', 'font/otf', 'application/x-font-ttf') AND size <= 20000) AND sum(size) <= 150000 AS cacheable
 FROM v_attachments WHERE size >= 0 GROUP BY session_id""")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.plans.registry import query
+from reelframe.session import shared_folder
 
 # Quality options (id, codec, lossless, android_supported, p95_mbps).
 QUALITY = (
@@ -38,18 +39,24 @@ def stage_means(times: DataFrame) -> DataFrame:
 
 
 def gpu_peaks(samples: DataFrame) -> DataFrame:
-    return samples.groupBy("session_id").agg(F.max(F.when(F.col("stage") == "infer", F.col("ms"))).alias("max_util"), F.max("ms").alias("max_mem"))
+    """Peak utilisation and memory of each session as cells of a report; n/a where the sampler was not available."""
+    by = samples.groupBy("session_id").agg(F.bool_and("available").alias("fine"), F.max("util").alias("util"), F.max("mem_mb").alias("mem"))
+    return by.select("session_id", F.when(F.col("fine"), F.concat(F.col("util").cast("string"), F.lit("%"))).otherwise("n/a").alias("util_peak"), F.when(F.col("fine"), F.col("mem").cast("string")).otherwise("n/a").alias("vram_peak_mb"))
 
 
-def bench_fps(runs: DataFrame) -> DataFrame:
-    """Frames a second of each run, the mean over its measurements without the slowest one (the warm-up)."""
-    by = runs.groupBy("model", "size").agg(F.count("*").alias("n"), F.sum("fps").alias("s"), F.min("fps").alias("low"))
-    return by.select("model", "size", F.round(F.when(F.col("n") > 1, (F.col("s") - F.col("low")) / (F.col("n") - 1)).otherwise(F.col("s")), 4).alias("fps"))
+def bench_fps(calls: DataFrame) -> DataFrame:
+    """Frames a second of each model and size: the calls after the first one (the warm-up) over their wall seconds; null without any."""
+    by = calls.groupBy("model", "size").agg(F.count("*").alias("n"), F.sum("ms").alias("ms"), F.min_by("ms", F.struct("call", "ms")).alias("warm_up"))
+    return by.select("model", "size", (F.col("n") - 1).alias("frames"), F.when(F.col("n") > 1, F.round((F.col("n") - 1) / ((F.col("ms") - F.col("warm_up")) / 1000), 4)).alias("fps"))
 
 
-def bench_grid(models: DataFrame, sizes: DataFrame, tiers: DataFrame, results: DataFrame) -> DataFrame:
-    """Every model, size and tier with its best measurement as text, `unavailable` where there is none.  Sizes and tiers are small dimensions."""
-    grid = models.join(F.broadcast(sizes.join(tiers)))
+def bench_grid(models: DataFrame, sizes: DataFrame, tiers: DataFrame, results: DataFrame, *, broadcast_rows: int = 10_000) -> DataFrame:
+    """Every model, size and tier with its best measurement as text, `unavailable` where there is none.
+
+    Sizes by tiers are sent to every executor only where they are at most `broadcast_rows`; else they are dealt out like the models.
+    """
+    pairs = sizes.join(tiers).persist()
+    grid = models.join(F.broadcast(pairs) if pairs.count() <= broadcast_rows else pairs)
     best = results.groupBy("model", "size", "tier").agg(F.max("fps").alias("fps"))
     return grid.join(best, ["model", "size", "tier"], "left").select("model", "size", "tier", F.coalesce(F.round("fps", 1).cast("string"), F.lit("unavailable")).alias("cell"))
 
@@ -60,10 +67,28 @@ def realtime_viability(results: DataFrame, *, headroom: float = 1.3, rates: tupl
     return by.where(F.col("fps") >= F.col("rate") * headroom).groupBy("size", "rate").agg(F.max_by("model", F.struct("fps", "model")).alias("model"))
 
 
+# Columns of the report.
+SIZES = ("720p", "1080p", "1440p")
+
+
 def bench_report(results: DataFrame) -> DataFrame:
-    """One row per model with a column per size; cells keep their text."""
+    """One row per model with a column per size and the row as a line of Markdown; cells keep their text."""
     text = F.coalesce(F.round(F.max("fps"), 1).cast("string"), F.lit("n/a"))
-    return results.groupBy("model").pivot("size", ["720p", "1080p", "1440p"]).agg(text).select("model", F.col("720p").alias("p720"), F.col("1080p").alias("p1080"), F.col("1440p").alias("p1440"))
+    rows = results.groupBy("model").pivot("size", list(SIZES)).agg(text)
+    rows = rows.select("model", *(F.coalesce(F.col(x), F.lit("n/a")).alias(f"p{x[:-1]}") for x in SIZES))
+    return rows.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", "model", *(f"p{x[:-1]}" for x in SIZES)), F.lit(" |")))
+
+
+def write_report(results: DataFrame, path: str) -> DataFrame:
+    """The report written as a table (path/table) and as Markdown (path/markdown, a head and then the models in order); returns the lines read back with the table."""
+    spark = results.sparkSession
+    bench_report(results).write.parquet(f"{path}/table")
+    rows = spark.read.parquet(f"{path}/table")
+    head = spark.createDataFrame([(0, "| model | " + " | ".join(SIZES) + " |"), (1, "|" + "---|" * (len(SIZES) + 1))], "place int, line string")
+    lines = head.select("place", F.lit("").alias("model"), "line").unionByName(rows.select(F.lit(2).alias("place"), "model", "line"))
+    lines.orderBy("place", "model").select("line").write.text(f"{path}/markdown")
+    read = spark.read.text(f"{path}/markdown").withColumnRenamed("value", "line")
+    return rows.join(read, "line")
 
 
 def quality_options(spark: SparkSession, requests: DataFrame, *, android: bool | None = None) -> DataFrame:
@@ -94,19 +119,24 @@ def failure_categories(failures: DataFrame) -> DataFrame:
     return failures.groupBy(failure_category(F.col("error_text")).alias("category")).agg(F.count("*").alias("n"))
 
 
-def host_probes(hosts: DataFrame) -> DataFrame:
-    """Which candidate encoders open on each host, in order of preference."""
-    probe = lambda rank, codec, ok: F.struct(F.lit(rank).alias("rank"), F.lit(codec).alias("codec"), ok.alias("ok"))
-    rows = F.array(probe(0, "hevc_nvenc p4", F.col("has_cuda")), probe(1, "hevc_nvenc p7", F.col("has_cuda") | (F.col("variant") == 3)), probe(2, "libx265", F.col("variant") < 6))
-    return hosts.select("host", "error_text", F.explode(rows).alias("p")).select("host", "error_text", "p.*")
+def host_probes(hosts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Which encoders open on each host, of the candidates of the tier that it asks for (old names count for their new ones; only lossless-hevc has profiles)."""
+    tier = F.col("tier")
+    for old, new in ALIASES.items():
+        tier = F.when(tier == old, new).otherwise(tier)
+    asked = hosts.select("host", "error_text", "has_cuda", "variant", tier.alias("tier"), F.when(tier == "lossless-hevc", F.col("profile")).otherwise("auto").alias("profile"))
+    opens = F.when(F.col("codec") == "hevc_nvenc", F.col("has_cuda")).when(F.col("codec") == "libx265", F.col("variant") < 6).otherwise(F.col("variant") < 4)
+    return asked.join(candidates, ["tier", "profile"], "left").select("host", "tier", "error_text", "place", "codec", "options", opens.alias("ok"))
 
 
-def encoder_choice(hosts: DataFrame) -> DataFrame:
-    """The first candidate that opens on each host, else an error that lists them all with the category of the failure."""
-    by = host_probes(hosts).groupBy("host").agg(
-        F.min_by("codec", F.when(F.col("ok"), F.col("rank"))).alias("encoder"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "codec"))), lambda x: x["codec"]), ", ").alias("all"), F.min(failure_category(F.col("error_text"))).alias("category")
+def encoder_choice(hosts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The first candidate that opens on each host, else an error: an unknown tier, or what was tried with the category of the failure."""
+    tried = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("codec").isNotNull(), F.struct("place", "codec")))), lambda x: x["codec"]), ", ")
+    by = host_probes(hosts, candidates).groupBy("host", "tier").agg(
+        F.min_by(F.concat_ws(" ", "codec", "options"), F.when(F.col("ok"), F.col("place"))).alias("encoder"), tried.alias("tried"), F.min(failure_category(F.col("error_text"))).alias("category")
     )
-    return by.select("host", "encoder", F.when(F.col("encoder").isNull(), F.concat("all", F.lit(": "), "category")).alias("error"))
+    error = F.when(F.col("tried") == "", F.concat(F.lit("unknown quality tier "), F.col("tier"))).when(F.col("encoder").isNull(), F.concat("tried", F.lit(": "), "category"))
+    return by.select("host", "encoder", error.alias("error"))
 
 
 def _available(hosts: DataFrame) -> DataFrame:
@@ -132,22 +162,21 @@ def gpu_fallback_audit(spark: SparkSession, hosts: DataFrame) -> DataFrame:
 
 
 query("stage_means", "v_stage_times", stage_means, "SELECT session_id, stage, CASE WHEN x - floor(x) = 0.5 THEN 2 * round(x / 2) ELSE round(x) END / 10 AS mean_ms FROM (SELECT session_id, stage, sum(ms) / count(*) * 10 AS x FROM v_stage_times GROUP BY session_id, stage)")
-query("gpu_peaks", "v_stage_times", gpu_peaks, "SELECT session_id, max(CASE WHEN stage = 'infer' THEN ms END) AS max_util, max(ms) AS max_mem FROM v_stage_times GROUP BY session_id")
-query("bench_fps", "v_bench", bench_fps, "SELECT model, size, round(CASE WHEN count(*) > 1 THEN (sum(fps) - min(fps)) / (count(*) - 1) ELSE sum(fps) END, 4) AS fps FROM v_bench GROUP BY model, size")
+query("gpu_peaks", "v_gpu", gpu_peaks, """SELECT session_id, CASE WHEN bool_and(available) THEN max(util) || '%' ELSE 'n/a' END AS util_peak, CASE WHEN bool_and(available) THEN CAST(max(mem_mb) AS VARCHAR) ELSE 'n/a' END AS vram_peak_mb FROM v_gpu GROUP BY session_id""")
+query("bench_fps", "v_bench_calls", bench_fps, """SELECT model, size, count(*) - 1 AS frames, CASE WHEN count(*) > 1 THEN round((count(*) - 1) / ((sum(ms) - arg_min(ms, {'a': call, 'b': ms})) / CAST(1000 AS DOUBLE)), 4) END AS fps FROM v_bench_calls GROUP BY model, size""")
 
 
 def _grid(results: DataFrame) -> DataFrame:
-    seen = results.select("model").distinct()
-    few = results.where("fps > 60")
-    return bench_grid(seen, results.select("size").distinct(), results.select("tier").distinct(), few)
+    return bench_grid(results.select("model").distinct(), results.select("size").distinct(), results.select("tier").distinct(), results)
 
 
-query("bench_grid", "v_bench", _grid, """WITH b AS (SELECT model, size, tier, max(fps) AS fps FROM v_bench WHERE fps > 60 GROUP BY ALL)
+query("bench_grid", "v_bench", _grid, """WITH b AS (SELECT model, size, tier, max(fps) AS fps FROM v_bench GROUP BY ALL)
 SELECT model, size, tier, coalesce(CAST(round(fps, 1) AS VARCHAR), 'unavailable') AS cell FROM (SELECT DISTINCT model FROM v_bench) CROSS JOIN (SELECT DISTINCT size FROM v_bench) CROSS JOIN (SELECT DISTINCT tier FROM v_bench) LEFT JOIN b USING (model, size, tier)""")
 query("realtime_viability", "v_bench", realtime_viability, """WITH b AS (SELECT model, size, max(fps) AS fps FROM v_bench GROUP BY model, size)
 SELECT size, CAST(rate AS INTEGER) AS rate, arg_max(model, {'f': fps, 'm': model}) AS model FROM b CROSS JOIN (SELECT unnest([24, 30, 60]) AS rate) WHERE fps >= rate * CAST(1.3 AS DOUBLE) GROUP BY size, rate""")
-query("sink_bench_report", "v_bench", bench_report, """WITH b AS (SELECT model, size, CAST(round(max(fps), 1) AS VARCHAR) AS c FROM v_bench GROUP BY model, size), c AS (SELECT model, max(CASE WHEN size = '720p' THEN c END) AS p720, max(CASE WHEN size = '1080p' THEN c END) AS p1080, max(CASE WHEN size = '1440p' THEN c END) AS p1440 FROM b GROUP BY model)
-SELECT model, p720, p1080, p1440 FROM c""")
+query("sink_bench_report", "v_bench", lambda spark, b: write_report(b, shared_folder(spark, "report")), """WITH b AS (SELECT model, size, CAST(round(max(fps), 1) AS VARCHAR) AS c FROM v_bench GROUP BY model, size),
+c AS (SELECT model, coalesce(max(CASE WHEN size = '720p' THEN c END), 'n/a') AS p720, coalesce(max(CASE WHEN size = '1080p' THEN c END), 'n/a') AS p1080, coalesce(max(CASE WHEN size = '1440p' THEN c END), 'n/a') AS p1440 FROM b GROUP BY model)
+SELECT model, p720, p1080, p1440, '| ' || model || ' | ' || p720 || ' | ' || p1080 || ' | ' || p1440 || ' |' AS line FROM c""", with_spark=True)
 query("quality_options", "v_opens", quality_options, """WITH o AS (SELECT * FROM (VALUES ('lossless-hevc', 'hevc', true, true, NULL), ('hevc-qp2', 'hevc', false, true, 350), ('hevc-qp4', 'hevc', false, true, 250), ('hevc-qp6', 'hevc', false, true, 200), ('hevc-qp10', 'hevc', false, true, 100),
  ('hevc-qp14', 'hevc', false, true, 50), ('hevc-qp18', 'hevc', false, true, 50), ('lossless-ffv1', 'ffv1', true, false, NULL)) t(id, codec, lossless, android_supported, p95_mbps)),
 n AS (SELECT ['lossless-hevc', 'hevc-qp2', 'hevc-qp4', 'hevc-qp6', 'hevc-qp10', 'hevc-qp14', 'hevc-qp18', 'lossless-ffv1', 'hevc-qp18'][event_id % 9 + 1] AS id, count(*) AS asked FROM v_opens GROUP BY 1)
@@ -155,8 +184,11 @@ SELECT id, codec, lossless, android_supported, p95_mbps, coalesce(asked, 0) AS a
 _CAT = """CASE WHEN regexp_matches(lower(error_text), 'no free|resource|session|out of memory|too many') THEN 'session/resource exhaustion' WHEN regexp_matches(lower(error_text), 'option|invalid argument|not supported') THEN 'unsupported options'
  WHEN regexp_matches(lower(error_text), 'not found|unknown encoder|driver|library') THEN 'missing encoder/driver' WHEN regexp_matches(lower(error_text), 'device|cuda|nvenc|hardware') THEN 'device/driver failure' ELSE 'encoder open failure' END"""
 query("failure_categories", "v_hosts", failure_categories, f"SELECT {_CAT} AS category, count(*) AS n FROM v_hosts GROUP BY 1")
-query("encoder_choice", "v_hosts", encoder_choice, f"""SELECT host, CASE WHEN has_cuda THEN 'hevc_nvenc p4' WHEN variant = 3 THEN 'hevc_nvenc p7' WHEN variant < 6 THEN 'libx265' END AS encoder,
- CASE WHEN NOT (has_cuda OR variant = 3 OR variant < 6) THEN 'hevc_nvenc p4, hevc_nvenc p7, libx265: ' || {_CAT} END AS error FROM v_hosts""")
+query("encoder_choice", "v_hosts v_candidates", encoder_choice, f"""WITH h AS (SELECT *, {_CAT} AS category FROM (SELECT * REPLACE (CASE tier WHEN 'visually-lossless' THEN 'hevc-qp18' ELSE tier END AS tier) FROM v_hosts)),
+p AS (SELECT h.host, h.tier, h.category, c.place, c.codec, c.options, CASE c.codec WHEN 'hevc_nvenc' THEN has_cuda WHEN 'libx265' THEN variant < 6 WHEN 'ffv1' THEN variant < 4 END AS ok
+ FROM h LEFT JOIN v_candidates c ON c.tier = h.tier AND c.profile = CASE WHEN h.tier = 'lossless-hevc' THEN h.profile ELSE 'auto' END),
+g AS (SELECT host, tier, min(category) AS category, arg_min(codec || ' ' || options, place) FILTER (WHERE ok) AS encoder, string_agg(codec, ', ' ORDER BY place) AS tried FROM p GROUP BY host, tier)
+SELECT host, encoder, CASE WHEN tried IS NULL THEN 'unknown quality tier ' || tier WHEN encoder IS NULL THEN tried || ': ' || category END AS error FROM g""")
 query("provider_choice", "v_hosts", provider_choice, """SELECT host, CASE WHEN ep <> 'auto' THEN '' ELSE CASE WHEN has_tensorrt THEN 'TensorrtExecutionProvider,' ELSE '' END || CASE WHEN has_cuda THEN 'CUDAExecutionProvider,' ELSE '' END
  || CASE WHEN has_dml THEN 'DmlExecutionProvider,' ELSE '' END END || 'CPUExecutionProvider' AS providers FROM v_hosts""")
 query("provider_gap", "v_hosts", provider_gap, "SELECT host, 'CUDAExecutionProvider' AS missing FROM v_hosts WHERE NOT has_cuda UNION ALL SELECT host, 'TensorrtExecutionProvider' FROM v_hosts WHERE NOT has_tensorrt")

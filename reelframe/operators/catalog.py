@@ -57,9 +57,10 @@ def library_page(catalog: DataFrame, path: str | None = None, *, offset: int = 0
     if limit < 1 or offset < 0:
         raise ValueError("limit must be positive and offset not negative")
     limit = min(limit, 500)
-    rows = _ranked(catalog if path is None else catalog.where(F.col("parent") == path), sort)
-    rows = rows.withColumn("total", F.count("*").over(W.partitionBy("parent")))
-    cursor = F.when(F.col("total") > offset + limit, F.lit(str(offset + limit)))
+    # one entry beyond the page tells whether there is a next one, so no task ranks or counts more than that many rows of a directory at once
+    rows = _ranked(catalog if path is None else catalog.where(F.col("parent") == path), sort).where(F.col("position") <= offset + limit + 1)
+    rows = rows.withColumn("last", F.max("position").over(W.partitionBy("parent")))
+    cursor = F.when(F.col("last") > offset + limit, F.lit(str(offset + limit)))
     return rows.where((F.col("position") > offset) & (F.col("position") <= offset + limit)).select("parent", "path", "position", cursor.alias("next_cursor"))
 
 

@@ -10,12 +10,12 @@ from reelframe.operators.seeks import asof
 from reelframe.plans.registry import query
 
 
-def sanitize_chapters(chapters: DataFrame, *, cap: int = 8) -> DataFrame:
-    """The first `cap` chapters as given, without negative or missing starts, in order of start (stable)."""
+def sanitize_chapters(chapters: DataFrame, *, cap: int = 512) -> DataFrame:
+    """The first `cap` chapters as given, without negative or missing starts, in order of start (stable); ends and titles may be missing."""
     given = F.row_number().over(W.partitionBy("clip_id").orderBy("pos"))
     rows = chapters.withColumn("given", given).where((F.col("given") <= cap) & (F.col("start_s") >= 0))
     place = F.row_number().over(W.partitionBy("clip_id").orderBy("start_s", "given"))
-    return rows.select("clip_id", place.cast("long").alias("place"), "start_s", "title")
+    return rows.select("clip_id", place.cast("long").alias("place"), "start_s", "end_s", "title")
 
 
 def normalize_chapters(chapters: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ def default_tracks(tracks: DataFrame) -> DataFrame:
 
 _NEXT = """WITH c AS (SELECT clip_id, pos, start_s, lag(start_s) OVER w AS before, lead(start_s) OVER w AS after FROM v_chapters WHERE start_s >= 0 WINDOW w AS (PARTITION BY clip_id ORDER BY start_s, pos)),
 l AS (SELECT p.clip_id, p.event_id, p.pos_s, (SELECT arg_max({'s': c.start_s, 'b': c.before, 'a': c.after, 'p': c.pos}, {'s': c.start_s, 'p': c.pos}) FROM c WHERE c.clip_id = p.clip_id AND c.start_s <= p.pos_s) AS x FROM v_positions p)"""
-query("sanitize_chapters", "v_chapters", sanitize_chapters, """SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_s, given) AS place, start_s, title
-FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY pos) AS given FROM v_chapters) WHERE given <= 8 AND start_s >= 0""")
+query("sanitize_chapters", "v_chapters", sanitize_chapters, """SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY start_s, given) AS place, start_s, end_s, title
+FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY pos) AS given FROM v_chapters) WHERE given <= 512 AND start_s >= 0""")
 query("normalize_chapters", "v_chapters", normalize_chapters, "SELECT clip_id, pos, start_s, coalesce(title, 'Chapter ' || row_number() OVER (PARTITION BY clip_id ORDER BY start_s, pos)) AS title FROM v_chapters WHERE start_s >= 0")
 query("chapter_at", "v_positions v_chapters", chapter_at, _NEXT + " SELECT clip_id, event_id, pos_s, x.p AS chapter FROM l")
 query("chapter_step_back", "v_positions v_chapters", lambda p, c: chapter_step(p, c, delta=-1), _NEXT + " SELECT clip_id, event_id, CASE WHEN x IS NULL THEN NULL WHEN pos_s - x.s > 3 THEN x.s ELSE coalesce(x.b, 0) END AS target_s FROM l")

@@ -10,10 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from reelframe.operators.sessions import ALGORITHMS
 from reelframe.operators.sizes import tile_grid
@@ -98,7 +97,51 @@ def area(x: np.ndarray, h: int, w: int) -> np.ndarray:
         overlap = np.minimum(edge[1:, None], cell + 1) - np.maximum(edge[:-1, None], cell)
         return np.maximum(overlap, 0) * out / size
 
-    return np.einsum("ij,jkc,lk->ilc", weights(x.shape[0], h), x.astype(float), weights(x.shape[1], w))
+    return _separable(x, weights(x.shape[0], h), weights(x.shape[1], w))
+
+
+def _separable(x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,jkc,lk->ilc", rows, x.astype(float), columns)
+
+
+def _cubic(a: float) -> Callable[[np.ndarray], np.ndarray]:
+    def kernel(d: np.ndarray) -> np.ndarray:
+        d = np.abs(d)
+        return np.where(d < 1, (a + 2) * d**3 - (a + 3) * d**2 + 1, np.where(d < 2, a * (d**3 - 5 * d**2 + 8 * d - 4), 0.0))
+
+    return kernel
+
+
+#: Kernel and its reach in source pixels of each algorithm, in their textbook forms; fast-bilinear and area have functions of their own.
+KERNELS: dict[str, tuple[Callable[[np.ndarray], np.ndarray], int]] = {
+    "bilinear": (lambda d: np.maximum(0.0, 1 - np.abs(d)), 1),
+    "bicubic": (_cubic(-0.6), 2),
+    "bicublin": (_cubic(-0.6), 2),
+    "gaussian": (lambda d: np.exp2(-3.0 * d * d), 2),
+    "sinc": (np.sinc, 10),
+    "lanczos": (lambda d: np.where(np.abs(d) < 3, np.sinc(d) * np.sinc(d / 3), 0.0), 3),
+    "spline": (_cubic(-0.5), 2),
+}
+
+
+def resample(x: np.ndarray, h: int, w: int, algorithm: str) -> np.ndarray:
+    """Resize by a named algorithm, as floats: half-pixel centres, edge pixels repeated, kernels widened where the frame shrinks."""
+    if algorithm == "area":
+        return area(x, h, w)
+    if algorithm == "fast-bilinear":
+        return bilinear(x, h, w)
+    kernel, reach = KERNELS[algorithm]
+
+    def weights(size: int, out: int) -> np.ndarray:
+        wide = max(1.0, size / out)
+        centre = (np.arange(out) + 0.5) * size / out - 0.5
+        at = np.floor(centre)[:, None].astype(int) + np.arange(-int(np.ceil(reach * wide)), int(np.ceil(reach * wide)) + 2)
+        value = kernel((at - centre[:, None]) / wide)
+        matrix = np.zeros((out, size))
+        np.add.at(matrix, (np.arange(out)[:, None], np.clip(at, 0, size - 1)), value / value.sum(1, keepdims=True))
+        return matrix
+
+    return _separable(x, weights(x.shape[0], h), weights(x.shape[1], w))
 
 
 def bilinear2x(x: np.ndarray) -> np.ndarray:
@@ -117,14 +160,16 @@ def upscale_frames(frames: DataFrame, model: Model = bilinear2x, *, low: float =
     return per_frame(frames, lambda x: infer(x, model, low=low, high=high, bgr=bgr))
 
 
-def upscale_tiled(frames: DataFrame, model: Model = bilinear2x, *, tile: int, overlap: int = 16, scale: int = 2) -> DataFrame:
+def upscale_tiled(frames: DataFrame, model: Model = bilinear2x, *, tile: int, overlap: int = 16, scale: int = 2, broadcast_rows: int = 100_000) -> DataFrame:
     """Large frames by tiles: each tile is a row of its own through the model, its kept part returns to its frame.
 
-    Equal to the whole frame within a level where the model looks less than overlap / 2 around a pixel.
+    Equal to the whole frame within a level where the model looks less than overlap / 2 around a pixel.  The grid is broadcast only
+    where it has at most `broadcast_rows` rows.
     """
     sizes = frames.select("h", "w").distinct().withColumn("size_id", F.concat_ws("x", "h", "w"))
     grid = tile_grid(sizes, tile=tile, overlap=overlap).withColumn("h", F.split("size_id", "x")[0].cast("long")).withColumn("w", F.split("size_id", "x")[1].cast("long")).drop("size_id")
-    rows = frames.join(F.broadcast(grid), ["h", "w"])  # one row for each tile of each distinct size
+    grid = grid.persist()  # one row for each tile of each distinct size
+    rows = frames.join(F.broadcast(grid) if grid.count() <= broadcast_rows else grid, ["h", "w"])
     names = ["x0", "y0", "tw", "th", "left", "top", "right", "bottom"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,14 +196,10 @@ def upscale_tiled(frames: DataFrame, model: Model = bilinear2x, *, tile: int, ov
     return tiles.groupBy("clip_id", "pts").applyInArrow(stitch, SCHEMA)  # a group is one frame
 
 
-def fit_frames(frames: DataFrame, *, w: int, h: int, mode: str = "fit", algorithm: str = "area", align: int = 2) -> DataFrame:
+def fit_frames(frames: DataFrame, *, w: int, h: int, mode: str = "fit", algorithm: str = "lanczos", align: int = 2) -> DataFrame:
     """Resize to fit inside a display, or crop and resize to cover it; a frame of that size passes unchanged."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown resize algorithm {algorithm!r}")
-    if algorithm not in ("area", "bilinear"):
-        raise NotImplementedError(f"{algorithm} is a valid name, but only area and bilinear are built")
-    kernel = area if algorithm == "area" else bilinear
-
     def change(x: np.ndarray) -> np.ndarray:
         sh, sw = x.shape[:2]
         if mode == "cover":
@@ -172,7 +213,7 @@ def fit_frames(frames: DataFrame, *, w: int, h: int, mode: str = "fit", algorith
             s = min(w / sw, h / sh)
             ow, oh = max(align, round(sw * s / align) * align), max(align, round(sh * s / align) * align)
             ow, oh = ow - align if ow > w else ow, oh - align if oh > h else oh
-        return x if x.shape[:2] == (oh, ow) else np.clip(np.rint(kernel(x.astype(float), oh, ow)), 0, 255).astype(np.uint8)
+        return x if x.shape[:2] == (oh, ow) else np.clip(np.rint(resample(x.astype(float), oh, ow, algorithm)), 0, 255).astype(np.uint8)
 
     return per_frame(frames, change)
 
@@ -205,23 +246,23 @@ class PairMean(Stage):
 
 
 def frame_stage(frames: DataFrame, stage: type[Stage]) -> DataFrame:
-    """A stage with state over each clip in order of pts, as a table function over the partitioned table."""
-
-    class Run:
-        def __init__(self) -> None:
-            self.stage, self.clip = stage(), None
-
-        def eval(self, row):
-            self.clip = row["clip_id"]
-            for pts, x in self.stage.process(row["pts"], np.frombuffer(row["rgb"], np.uint8).reshape(row["h"], row["w"], 3)):
-                yield self.clip, pts, x.shape[0], x.shape[1], np.ascontiguousarray(x).tobytes()
+    """A stage with state over each clip in order of pts; clips stream through a task in sorted batches, so no clip is held whole."""
 
-        def terminate(self):
-            for pts, x in self.stage.flush():
-                yield self.clip, pts, x.shape[0], x.shape[1], np.ascontiguousarray(x).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, clip = None, None
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                out = []
+                for c, pts, x in _rows(batch.slice(k, 64)):
+                    if own is None or c != clip:
+                        out += [(clip, *r) for r in (own.flush() if own else [])]
+                        own, clip = stage(), c
+                    out += [(c, *r) for r in own.process(pts, x)]
+                yield _batch(out)
+        if own:
+            yield _batch([(clip, *r) for r in own.flush()])
 
-    run = udtf(Run, returnType=SCHEMA)
-    return run(frames.select(*NAMES).asTable().partitionBy("clip_id").orderBy("pts"))
+    return frames.select(*NAMES).repartition("clip_id").sortWithinPartitions("clip_id", "pts").mapInArrow(run, SCHEMA)
 
 
 def run_stages(frames: DataFrame, stages: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
@@ -248,23 +289,14 @@ def _clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames_from_embeddings(view(spark, sf_dir, "embeddings"))
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id")).distinct()
-
-
 def _half(frames: DataFrame) -> DataFrame:
     return fit_frames(frames, w=12, h=12, algorithm="bilinear")
 
 
-def above(pts: Column) -> Column:
-    return pts > 40
-
-
 QUERIES.update(
     {
-        "synth_frames": lambda s, d: digest(synth_frames(_labels(s, d), n=4, h=36, w=64)),
         "frame_stage": lambda s, d: digest(frame_stage(_clips(s, d), PairMean)),
-        "run_stages": lambda s, d: digest(run_stages(_clips(s, d).where(above(F.col("pts"))), [upscale_frames, _half])),
+        "run_stages": lambda s, d: digest(run_stages(_clips(s, d), [upscale_frames, _half])),
         "upscale_frames": lambda s, d: digest(upscale_frames(_clips(s, d), low=-1.0, high=1.0, bgr=True)),
         "bilinear2x": lambda s, d: digest(upscale_frames(_clips(s, d))),
         "upscale_tiled": lambda s, d: digest(upscale_tiled(upscale_frames(_clips(s, d)), tile=12, overlap=4)),

@@ -44,12 +44,13 @@ def seek_first_frame(seeks: DataFrame, packets: DataFrame) -> DataFrame:
     return asof(seeks.select(*SEEK), frames, "session_id", "target_pts", "first_pts", ["first_pts"], forward=True)
 
 
-def seek_discard_window(seeks: DataFrame, packets: DataFrame, *, frame_ms: float = 14.5, bucket: int = 10_000) -> DataFrame:
+def seek_discard_window(seeks: DataFrame, packets: DataFrame, *, frame_ms: float = 14.5, bucket: int = 10_000, landed: DataFrame | None = None) -> DataFrame:
     """Frames between the keyframe and the target: decoded and dropped, with the time they cost.
 
-    Ranges are cut into buckets of pts, so the join is one of keys and no session is joined with all of itself.
+    Ranges are cut into buckets of pts, so the join is one of keys and no session is joined with all of itself.  `landed` is the
+    result of `seek_keyframe`, where the caller has it.
     """
-    landed = seek_keyframe(seeks, packets)
+    landed = seek_keyframe(seeks, packets) if landed is None else landed
     spans = landed.where("keyframe_pts < target_pts").withColumn("bucket", F.explode(F.sequence(whole(F.col("keyframe_pts") / bucket), whole((F.col("target_pts") - 1) / bucket))))
     frames = packets.where("kind = 'video' AND pts IS NOT NULL").select("session_id", "pts", whole(F.col("pts") / bucket).alias("bucket"))
     hits = spans.join(frames, ["session_id", "bucket"]).where("pts >= keyframe_pts AND pts < target_pts").groupBy("session_id", "seek_seq").agg(F.count("*").alias("frames"))
@@ -98,7 +99,7 @@ def aux_overlap(seeks: DataFrame, packets: DataFrame, *, bucket: int = 2_000) ->
 def seek_first_packet(seeks: DataFrame, packets: DataFrame, *, within_s: int = 60) -> DataFrame:
     """Time from each seek to the first packet of its epoch or a later one; null if none comes within `within_s`.
 
-    Epochs only rise, so this is the first later packet that is not stale: one as-of join forward in arrival order.
+    Epochs only rise, so this is the first later packet that is not stale: a join by session and bucket of `within_s` seconds.
     """
     fresh = packets.where("NOT is_seek").select("session_id", F.col("seq").alias("at"), F.struct("seq", "epoch", "ts_us").alias("packet"))
     pairs = seeks.select("session_id", "seek_seq", "seek_us", "epoch")
@@ -113,8 +114,9 @@ def seek_first_packet(seeks: DataFrame, packets: DataFrame, *, within_s: int = 6
 def seek_report(seeks: DataFrame, packets: DataFrame) -> DataFrame:
     """One row per seek: keyframe gap, mode, frames dropped and their cost, first frame and first packet."""
     keyframe_mode = F.coalesce(F.col("gap_s") > F.col("threshold_s"), F.lit(False))
-    report = seek_keyframe(seeks, packets).select("session_id", "seek_seq", "target_pts", "keyframe_pts", "gap_s", F.when(keyframe_mode, "keyframe").otherwise("accurate").alias("mode"))
-    for part in (seek_discard_window(seeks, packets), seek_first_frame(seeks, packets).select("session_id", "seek_seq", "first_pts"), seek_first_packet(seeks, packets)):
+    landed = seek_keyframe(seeks, packets).persist()  # one row a seek, read twice
+    report = landed.select("session_id", "seek_seq", "target_pts", "keyframe_pts", "gap_s", F.when(keyframe_mode, "keyframe").otherwise("accurate").alias("mode"))
+    for part in (seek_discard_window(seeks, packets, landed=landed), seek_first_frame(seeks, packets).select("session_id", "seek_seq", "first_pts"), seek_first_packet(seeks, packets)):
         report = report.join(part, ["session_id", "seek_seq"])
     return report
 

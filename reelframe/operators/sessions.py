@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from reelframe.operators.seeks import asof
 from reelframe.plans.registry import query
 
 # Names of resize algorithms.
-ALGORITHMS = ("area", "bicubic", "bicublin", "bilinear", "fast_bilinear", "gauss", "lanczos", "point", "spline")
+ALGORITHMS = ("fast-bilinear", "bilinear", "bicubic", "area", "bicublin", "gaussian", "sinc", "lanczos", "spline")
 
 
 def validate_open_requests(requests: DataFrame, catalog: DataFrame, *, embed_limit: int = 4 * 1024 * 1024) -> DataFrame:
@@ -100,13 +100,54 @@ def client_buffer_ms(samples: DataFrame) -> DataFrame:
     return samples.select("session_id", "event_id", ms.alias("buffered_ms"))
 
 
+def stats_line(session, state, epoch, fps, infer_ms, decoded, upscaled, down, buffered_ms, paused) -> Column:
+    """The line that a server logs of a session: state, rates, stages, caches and pacing; without an inference time its rate reads n/a, halves go to even."""
+    measured = infer_ms > 0
+    rate = F.when(measured, F.format_string("%5.1f", F.rint(10_000 / infer_ms) / 10)).otherwise("  n/a")
+    stages = F.when(measured, F.format_string("infer=%.1fms", infer_ms)).otherwise("stages=n/a")
+    return F.format_string(
+        "session %s %s epoch=%d source=server_file | pipeline %5.1f fps | onnx %s fps | %s | output=%dx%d codec=%s encoder=%s tier=%s | cached frames: in-flight=%d (dec=%d up=%d down=%d) uplink-pkts=%d"
+        " | client buffer %5d ms (est %5d) | %s | frames %d in / %d out",
+        session, state, epoch, fps, rate, stages, F.lit(1920), F.lit(1080), F.lit("hevc"), F.lit("hevc_nvenc"), F.lit("hevc-qp18"), decoded + upscaled + down, decoded, upscaled, down, F.lit(0), buffered_ms, buffered_ms,
+        F.when(paused, "PAUSED(watermark)").otherwise("flowing"), epoch * 24, epoch * 23,
+    )
+
+
+#: Fields of a stats line: name, pattern, type.  What a line lacks, or gives as n/a, is null.
+STATS_FIELDS = (
+    ("session", r"^session (\S+) ", "string"),
+    ("state", r"^session \S+ ([a-z]+)", "string"),
+    ("epoch", r" epoch=(\d+)", "long"),
+    ("source", r" source=(\S+)", "string"),
+    ("fps", r"pipeline +([\d.]+) fps", "double"),
+    ("infer_fps", r"onnx +([\d.]+) fps", "double"),
+    ("infer_ms", r" infer=([\d.]+)ms", "double"),
+    ("width", r" output=(\d+)x", "long"),
+    ("height", r" output=\d+x(\d+)", "long"),
+    ("codec", r" codec=(\S+)", "string"),
+    ("encoder", r" encoder=(\S+)", "string"),
+    ("tier", r" tier=(\S+)", "string"),
+    ("in_flight", r"in-flight=(\d+)", "long"),
+    ("decoded", r"\(dec=(\d+)", "long"),
+    ("upscaled", r" up=(\d+)", "long"),
+    ("down", r" down=(\d+)\)", "long"),
+    ("uplink", r"uplink-pkts=(\d+)", "long"),
+    ("buffered_ms", r"client buffer +(-?\d+) ms", "long"),
+    ("estimate_ms", r"\(est +(-?\d+)\)", "long"),
+    ("pacing", r" \| (PAUSED|flowing)", "string"),
+    ("frames_in", r"frames (\d+) in", "long"),
+    ("frames_out", r" in / (\d+) out", "long"),
+)
+
+
+def stats_fields(line: Column) -> list[Column]:
+    return [F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).cast(kind).alias(name) for name, pattern, kind in STATS_FIELDS]
+
+
 def log_line_fields(samples: DataFrame) -> DataFrame:
-    """Session snapshots written as log lines and read back; a missing or zero inference time reads n/a."""
-    fps = F.when(F.col("infer_ms") > 0, F.format_string("%5.1f", 1000 / F.col("infer_ms"))).otherwise("  n/a")
-    line = F.format_string("session %d playing epoch=%d | onnx %s fps | cached frames: in-flight=%d (dec=%d up=%d down=%d)", F.col("session_id"), F.lit(0), fps, F.col("queued") + F.col("chunks") + 1, F.col("queued"), F.col("chunks"), F.lit(1))
-    rows = samples.select("event_id", line.alias("line"))
-    part = lambda p: F.regexp_extract("line", p, 1)
-    return rows.select("event_id", part(r"session (\d+)").cast("long").alias("session_id"), F.nullif(F.trim(part(r"onnx (.{5})")), F.lit("n/a")).isNotNull().alias("has_infer"), part(r"in-flight=(\d+)").cast("long").alias("in_flight"))
+    """Session snapshots written as stats lines and read back, every field; a missing or zero inference time is null."""
+    line = stats_line(F.col("session_id").cast("string"), F.lit("playing"), F.col("queued"), F.col("fps"), F.col("infer_ms"), F.col("queued"), F.col("chunks"), F.lit(1), (F.col("cache_s") * 1000).cast("long"), F.col("paused_for_cache"))
+    return samples.select("event_id", line.alias("line")).select("event_id", *stats_fields(F.col("line")))
 
 
 def distinct_clients(connections: DataFrame) -> DataFrame:
@@ -148,7 +189,7 @@ query("validate_open_requests", "v_opens v_catalog", validate_open_requests, f""
 e AS (SELECT *, CASE WHEN source NOT IN ('uplink', 'server_file') THEN 'invalid source' WHEN a NOT IN ('external', 'muxed') THEN 'invalid aux_tracks' WHEN source <> 'server_file' AND a = 'muxed' THEN 'muxed needs server_file'
  WHEN t NOT IN ('embedded', 'cached') THEN 'invalid aux_attachments' WHEN t = 'cached' AND a <> 'muxed' THEN 'cached needs muxed' WHEN source = 'server_file' AND (name IS NULL OR NOT {_PLAY}) THEN 'bad path'
  WHEN source <> 'server_file' AND NOT has_video THEN 'missing video' WHEN model <> 'passthrough' THEN 'unknown model' WHEN fit_mode NOT IN ('fit', 'cover') THEN 'invalid fit_mode'
- WHEN resize_algorithm NOT IN ('area', 'bicubic', 'bicublin', 'bilinear', 'fast_bilinear', 'gauss', 'lanczos', 'point', 'spline') THEN 'unknown resize algorithm' END AS error,
+ WHEN resize_algorithm NOT IN ('fast-bilinear', 'bilinear', 'bicubic', 'area', 'bicublin', 'gaussian', 'sinc', 'lanczos', 'spline') THEN 'unknown resize algorithm' END AS error,
  t = 'cached' AND cacheable AND attachment_bytes > 0 AS ca FROM r)
 SELECT event_id, error, CASE WHEN error IS NULL THEN CASE WHEN a = 'muxed' AND (ca OR attachment_bytes <= 4194304) THEN 'muxed' ELSE 'external' END END AS aux_tracks,
  CASE WHEN error IS NULL THEN CASE WHEN a = 'muxed' AND ca THEN 'cached' ELSE 'embedded' END END AS aux_attachments FROM e""")
@@ -170,7 +211,10 @@ SELECT session_id, run, min(ts_us) AS start_us, CASE WHEN bool_or(next_us IS NUL
 query("throughput_mbps", "v_samples", throughput_mbps, """SELECT session_id, event_id, round((total_bytes - lag(total_bytes) OVER w) * 8 / CAST(1000000 AS DOUBLE) / greatest(CAST(0.001 AS DOUBLE), (ts_us - lag(ts_us) OVER w) / CAST(1000000 AS DOUBLE)), 6) AS mbps
 FROM v_samples WINDOW w AS (PARTITION BY session_id ORDER BY ts_us, event_id)""")
 query("client_buffer_ms", "v_samples", client_buffer_ms, "SELECT session_id, event_id, CAST(trunc(cache_s * 1000) AS BIGINT) + CAST(trunc(CAST(queued + chunks AS DOUBLE) / greatest(CAST(1 AS DOUBLE), fps) * 1000) AS BIGINT) AS buffered_ms FROM v_samples")
-query("log_line_fields", "v_samples", log_line_fields, "SELECT event_id, session_id, infer_ms > 0 AS has_infer, queued + chunks + 1 AS in_flight FROM v_samples")
+STATS_SQL = """CAST(session_id AS VARCHAR) AS session, 'playing' AS state, queued AS epoch, 'server_file' AS source, fps, CASE WHEN infer_ms > 0 THEN CAST(printf('%.1f', CAST(1000 / infer_ms AS DOUBLE)) AS DOUBLE) END AS infer_fps, CASE WHEN infer_ms > 0 THEN infer_ms END AS infer_ms,
+ CAST(1920 AS BIGINT) AS width, CAST(1080 AS BIGINT) AS height, 'hevc' AS codec, 'hevc_nvenc' AS encoder, 'hevc-qp18' AS tier, queued + chunks + 1 AS in_flight, queued AS decoded, chunks AS upscaled, CAST(1 AS BIGINT) AS down, CAST(0 AS BIGINT) AS uplink,
+ CAST(trunc(cache_s * 1000) AS BIGINT) AS buffered_ms, CAST(trunc(cache_s * 1000) AS BIGINT) AS estimate_ms, CASE WHEN paused_for_cache THEN 'PAUSED' ELSE 'flowing' END AS pacing, queued * 24 AS frames_in, queued * 23 AS frames_out"""
+query("log_line_fields", "v_samples", log_line_fields, f"SELECT event_id, {STATS_SQL} FROM v_samples")
 query("distinct_clients", "v_clients", distinct_clients, "SELECT ip, min(ts_us) AS first_seen_us FROM v_clients GROUP BY ip")
 query("first_seen", "v_clients", first_seen, "SELECT ip, ts_us FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY ip ORDER BY ts_us) AS gap FROM (SELECT DISTINCT * FROM v_clients)) WHERE gap IS NULL OR gap > 3600000000")
 query("open_inactivity", "v_opens", open_inactivity, "SELECT client, event_id, silent_us FROM (SELECT *, lead(ts_us) OVER (PARTITION BY client ORDER BY ts_us, event_id) - ts_us AS silent_us FROM v_opens) WHERE silent_us > 240000000")

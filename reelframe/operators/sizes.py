@@ -65,8 +65,9 @@ def tile_grid(sizes: DataFrame, *, tile: int = 512, overlap: int = 16) -> DataFr
 
 
 def auto_tile(sizes: DataFrame) -> DataFrame:
-    """Largest tile whose activations fit in 80 % of the free memory; null is the whole frame."""
-    px = (F.col("scale") * F.col("scale") + 1) * (12 * FUDGE)
+    """Largest tile whose activations fit in 80 % of the free memory; null is the whole frame.  A model whose scale isn't known yet counts as one of 4."""
+    scale = F.coalesce("scale", F.lit(4))
+    px = (scale * scale + 1) * (12 * FUDGE)
     budget = F.col("free_mb") * 1048576 * 0.8
     pick = F.when(F.col("free_mb").isNull() | (F.col("h") * F.col("w") * px <= budget), F.lit(None).cast("int"))
     for t in LADDER:
@@ -96,5 +97,6 @@ query("tile_grid", "v_sizes", tile_grid, """WITH s AS (SELECT *, CASE WHEN h <=
 g AS (SELECT size_id, w, h, x0, unnest(ys) AS y0 FROM (SELECT *, unnest(xs) AS x0 FROM s))
 SELECT size_id, CAST(x0 AS BIGINT) AS x0, CAST(y0 AS BIGINT) AS y0, least(512, w - x0) AS tw, least(512, h - y0) AS th, CASE WHEN x0 > 0 THEN 8 ELSE 0 END AS left, CASE WHEN y0 > 0 THEN 8 ELSE 0 END AS top,
  CASE WHEN x0 + least(512, w - x0) < w THEN 8 ELSE 0 END AS right, CASE WHEN y0 + least(512, h - y0) < h THEN 8 ELSE 0 END AS bottom FROM g""".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
-query("auto_tile", "v_sizes", auto_tile, """WITH b AS (SELECT *, (1 + scale * scale) * 288 AS px, free_mb * 1048576 * CAST(0.8 AS DOUBLE) AS budget FROM v_sizes)
+query("auto_tile", "v_sizes", lambda s: auto_tile(s.withColumn("scale", F.when(F.col("size_id") % 17 != 0, F.col("scale")))), """WITH n AS (SELECT * REPLACE (CASE WHEN size_id % 17 <> 0 THEN scale ELSE 4 END AS scale) FROM v_sizes),
+b AS (SELECT *, (1 + scale * scale) * 288 AS px, free_mb * 1048576 * CAST(0.8 AS DOUBLE) AS budget FROM n)
 SELECT size_id, CASE WHEN free_mb IS NULL OR h * w * px <= budget THEN NULL WHEN 1048576 * px <= budget THEN 1024 WHEN 262144 * px <= budget THEN 512 WHEN 65536 * px <= budget THEN 256 ELSE 128 END AS tile FROM b""")

@@ -88,7 +88,7 @@ UNION ALL SELECT parent || '/./' || name FROM {v_catalog} WHERE length % 5 = 4 A
     ),
     "v_chapters": (
         (),
-        """SELECT o_custkey AS clip_id, o_orderkey AS pos, CASE WHEN o_orderkey % 50 = 0 THEN -1.0 ELSE 1.0 END * (o_totalprice / 1000) AS start_s,
+        """SELECT o_custkey AS clip_id, o_orderkey AS pos, CASE WHEN o_orderkey % 50 = 0 THEN -1.0 ELSE 1.0 END * (o_totalprice / 1000) AS start_s, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 1000 + 5 END AS end_s,
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Part ' || CAST(o_orderkey AS VARCHAR(20)) END AS title FROM {orders}""",
     ),
     "v_positions": (("v_events",), "SELECT user_id AS clip_id, event_id, @us(ts) AS ts_us, value AS pos_s FROM {v_events}"),
@@ -100,13 +100,26 @@ UNION ALL SELECT parent || '/./' || name FROM {v_catalog} WHERE length % 5 = 4 A
         (),
         """SELECT p_name AS model, CASE l_linenumber % 3 WHEN 0 THEN '720p' WHEN 1 THEN '1080p' ELSE '1440p' END AS size, CASE l_linestatus WHEN 'F' THEN 'hevc' ELSE 'ffv1' END AS tier,
  l_extendedprice / 1000 AS fps FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    ),
+    "v_bench_calls": (
+        (),
+        """SELECT p_name AS model, CASE l_linenumber % 3 WHEN 0 THEN '720p' WHEN 1 THEN '1080p' ELSE '1440p' END AS size, l_orderkey * 8 + l_linenumber AS call, l_extendedprice / 1000 AS ms FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+    ),
+    "v_gpu": (
+        (),
+        """SELECT l_orderkey AS session_id, l_linenumber AS sample, l_orderkey % 7 <> 0 AS available, CASE WHEN l_orderkey % 7 <> 0 THEN CAST(floor(l_quantity * 2) AS BIGINT) END AS util, CASE WHEN l_orderkey % 7 <> 0 THEN CAST(floor(l_extendedprice / 4) AS BIGINT) END AS mem_mb FROM {lineitem}""",
+    ),
+    "v_candidates": (
+        (),
+        """SELECT CASE n_nationkey % 4 WHEN 0 THEN 'lossless-hevc' WHEN 1 THEN 'hevc-qp18' WHEN 2 THEN 'lossless-ffv1' ELSE 'hevc-qp4' END AS tier, CASE WHEN n_nationkey % 4 = 0 AND n_nationkey % 8 = 4 THEN 'nvenc-p7' ELSE 'auto' END AS profile,
+ n_nationkey AS place, CASE WHEN n_nationkey % 4 = 2 THEN 'ffv1' WHEN n_nationkey < 12 THEN 'hevc_nvenc' ELSE 'libx265' END AS codec, 'opt' || CAST(n_nationkey AS VARCHAR(20)) AS options FROM {nation}""",
     ),
     "v_opens": (
         ("v_events",),
         """SELECT event_id, user_id AS client, @us(ts) AS ts_us, CASE k % 9 WHEN 0 THEN 'bogus' WHEN 1 THEN 'uplink' ELSE 'server_file' END AS source,
  CASE k % 8 WHEN 0 THEN 'wrong' WHEN 1 THEN 'external' WHEN 2 THEN NULL ELSE 'muxed' END AS aux_tracks, CASE k % 6 WHEN 0 THEN 'cached' WHEN 1 THEN 'none' ELSE 'embedded' END AS aux_attachments,
  'src' || CAST(event_id % 20 AS VARCHAR(20)) AS path_dir, event_id % 1000 AS path_id, k % 11 <> 0 AS has_video, CASE k % 10 WHEN 0 THEN 'unknown' ELSE 'passthrough' END AS model,
- CASE k % 12 WHEN 0 THEN 'stretch' WHEN 1 THEN 'cover' ELSE 'fit' END AS fit_mode, CASE k % 14 WHEN 0 THEN 'cubicish' ELSE 'bilinear' END AS resize_algorithm,
+ CASE k % 12 WHEN 0 THEN 'stretch' WHEN 1 THEN 'cover' ELSE 'fit' END AS fit_mode, CASE event_id % 11 WHEN 0 THEN 'fast-bilinear' WHEN 1 THEN 'bilinear' WHEN 2 THEN 'bicubic' WHEN 3 THEN 'area' WHEN 4 THEN 'bicublin' WHEN 5 THEN 'gaussian' WHEN 6 THEN 'sinc' WHEN 7 THEN 'lanczos' WHEN 8 THEN 'spline' WHEN 9 THEN 'point' ELSE 'gauss' END AS resize_algorithm,
  CAST(floor(value * 100000) AS BIGINT) AS attachment_bytes, k % 4 = 0 AS cacheable FROM {v_events}""",
     ),
     "v_clients": (("v_events",), "SELECT '10.0.0.' || CAST(user_id % 50 AS VARCHAR(20)) AS ip, @us(ts) AS ts_us FROM {v_events}"),
@@ -114,7 +127,8 @@ UNION ALL SELECT parent || '/./' || name FROM {v_catalog} WHERE length % 5 = 4 A
         (),
         """SELECT s_suppkey AS host, s_suppkey % 8 AS variant, s_suppkey % 2 = 0 AS has_cuda, s_suppkey % 4 = 0 AS has_tensorrt, s_suppkey % 3 = 0 AS has_dml,
  CASE s_suppkey % 5 WHEN 0 THEN 'No free encode session' WHEN 1 THEN 'Option preset not found' WHEN 2 THEN 'unknown encoder hevc' WHEN 3 THEN 'CUDA error 35' ELSE 'exit 1' END AS error_text,
- CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 6 = 0 THEN 'CPUExecutionProvider' ELSE 'CUDAExecutionProvider' END AS active_provider, CASE WHEN s_suppkey % 9 = 0 THEN 'cpu' ELSE 'auto' END AS ep FROM {supplier}""",
+ CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 6 = 0 THEN 'CPUExecutionProvider' ELSE 'CUDAExecutionProvider' END AS active_provider, CASE WHEN s_suppkey % 9 = 0 THEN 'cpu' ELSE 'auto' END AS ep,
+ CASE s_suppkey % 5 WHEN 0 THEN 'visually-lossless' WHEN 1 THEN 'lossless-hevc' WHEN 2 THEN 'lossless-ffv1' WHEN 3 THEN 'hevc-qp4' ELSE 'hevc-qp99' END AS tier, CASE WHEN s_suppkey % 2 = 0 THEN 'auto' ELSE 'nvenc-p7' END AS profile FROM {supplier}""",
     ),
     "v_samples": (
         ("v_events",),

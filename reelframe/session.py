@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -37,3 +39,17 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder that driver and executors all reach: below spark.checkpoint.dir.
+
+    A local session may leave it unset and gets a temporary folder; anywhere else that is an error, as executors would write to disks of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="reelframe-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import re
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,8 +15,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.functions.exprs import infer_scale
+from reelframe.operators.sessions import STATS_FIELDS, STATS_SQL, stats_fields, stats_line
 from reelframe.plans.registry import ORACLES, QUERIES
 from reelframe.plans.views import ansi_with, view
+from reelframe.session import shared_folder
 
 # Header of a packet in a capture, little-endian: payload length, flags, epoch, pts, dts; and the stamp that means none.
 HEADER, NO_STAMP = struct.Struct("<IBIqq"), -(2**63)
@@ -25,16 +26,6 @@ HEADER, NO_STAMP = struct.Struct("<IBIqq"), -(2**63)
 BLOCK = 4096
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for generated files, in the shared folder that the session names (a temporary one where it names none)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="reelframe-files-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a root and every directory on the way to one; bodies are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
@@ -128,22 +119,39 @@ def scan_packets(spark: SparkSession, glob: str) -> DataFrame:
 
 def scan_server_log(spark: SparkSession, glob: str) -> DataFrame:
     """Log lines as typed rows; a line without a timestamp continues the one before and has none."""
-    lines = spark.read.option("recursiveFileLookup", True).text(glob)
+    return parse_server_log(spark.read.option("recursiveFileLookup", True).text(glob))
+
+
+def parse_server_log(lines: DataFrame) -> DataFrame:
+    """Lines (value) as ts, level, logger, event, the fields of a stats line, and what other events say as a map `fields`; batch or stream.
+
+    Events: stats, state (session, to), seek (session, target_pts), closed (tier, encoder, duration_s), continuation and other.
+    """
     part = lambda p, i=1: F.nullif(F.regexp_extract("value", p, i), F.lit(""))
     head = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) (\w+) ([\w.]+): (.*)$"
     rows = lines.select("value", F.try_to_timestamp(part(head), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("ts"), part(head, 2).alias("level"), part(head, 3).alias("logger"), F.coalesce(part(head, 4), "value").alias("message"))
-    event = F.when(F.col("ts").isNull(), "continuation").when(F.col("message").startswith("session "), "stats").when(F.col("message").contains("seek"), "seek").otherwise("other")
-    field = lambda p: F.nullif(F.regexp_extract("message", p, 1), F.lit(""))
-    return rows.select("ts", "level", "logger", event.alias("event"), field(r"session (\w+)").alias("session"), field(r"epoch=(\d+)").cast("long").alias("epoch"), field(r"pipeline +([\d.]+) fps").cast("double").alias("fps"), "message")
+    says = F.col("message")
+    patterns = {
+        "state": (r"^session (\w+) -> (\w+)", ("session", "to")),
+        "seek": (r"^session (\w+): seek to (-?\d+)", ("session", "target_pts")),
+        "closed": (r"^pipeline close complete tier=(\S+) encoder=(\S+) duration=([\d.]+)s", ("tier", "encoder", "duration_s")),
+    }
+    event = F.when(F.col("ts").isNull(), "continuation").when(says.rlike(r"^session \S+ [a-z]+( FINAL)? epoch="), "stats")
+    fields = F.lit(None).cast("map<string, string>")
+    for name, (pattern, groups) in patterns.items():
+        event = event.when(says.rlike(pattern), name)
+        fields = F.when(says.rlike(pattern), F.create_map(*(x for i, g in enumerate(groups) for x in (F.lit(g), F.regexp_extract(says, pattern, i + 1))))).otherwise(fields)
+    rows = rows.withColumn("event", event.otherwise("other"))
+    return rows.select("ts", "level", "logger", "event", *stats_fields(F.when(F.col("event") == "stats", says)), F.when(F.col("event") != "continuation", fields).alias("fields"), "message")
 
 
 STATUS = "sessions array<struct<id: string, state: string, pipeline: struct<fps: double, stage_ms: map<string, double>>>>"
 
 
 def scan_status(snapshots: DataFrame) -> DataFrame:
-    """Status snapshots (column json) as one row per distinct session; a session may have no pipeline."""
+    """Status snapshots (column json) as one row per distinct session, of clashing ones the least; a session may have no pipeline."""
     rows = snapshots.select(F.explode(F.from_json("json", STATUS)["sessions"]).alias("s")).select("s.id", "s.state", F.col("s.pipeline.fps").alias("fps"), F.col("s.pipeline.stage_ms.infer").alias("infer_ms"))
-    return rows.dropDuplicates(["id"])
+    return rows.groupBy("id").agg(F.min(F.struct("state", "fps", "infer_ms")).alias("s")).select("id", "s.*")
 
 
 def sink_object_store(bodies: DataFrame, path: str, *, store: DataFrame | None = None) -> DataFrame:
@@ -177,19 +185,33 @@ def read_captures(spark: SparkSession, at: str) -> DataFrame:
 
 def _packets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write each session's packets as captures of bounded blocks, read them back."""
-    at = scratch(spark, "captures")
+    at = shared_folder(spark, "captures")
     write_captures(view(spark, sf_dir, "v_packets"), at)
     return decode_blocks(read_captures(spark, at))
 
 
-def _log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = view(spark, sf_dir, "v_samples")
+def write_log(samples: DataFrame, at: str) -> None:
+    """Session snapshots as a server's log: a stats line each, with state, seek and close lines and a traceback in between."""
     stamp = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss,SSS")
-    line = F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("Traceback "), F.col("event_id").cast("string"))).otherwise(F.format_string("%s INFO media.stats: session %d playing epoch=%d | pipeline %5.1f fps | event %d", stamp, "session_id", "queued", "fps", "event_id"))
-    at = scratch(spark, "logs")
-    s.select(line.alias("value")).write.text(at)
+    stats = stats_line(F.col("session_id").cast("string"), F.lit("playing"), F.col("queued"), F.col("fps"), F.col("infer_ms"), F.col("queued"), F.col("chunks"), F.lit(1), (F.col("cache_s") * 1000).cast("long"), F.col("paused_for_cache"))
+    line = (
+        F.when(F.col("event_id") % 20 == 1, F.format_string("%s INFO relay.session: session %d -> paused", stamp, "session_id"))
+        .when(F.col("event_id") % 20 == 2, F.format_string("%s WARNING relay.session: session %d: seek to %d produced no downlink bytes in 60s", stamp, "session_id", "event_id"))
+        .when(F.col("event_id") % 20 == 3, F.format_string("%s INFO relay.pipeline: pipeline close complete tier=hevc-qp4 encoder=libx265 duration=%.3fs workers=all-stopped", stamp, F.col("queued").cast("double")))
+        .when(F.col("event_id") % 20 == 4, F.concat(stamp, F.lit(" DEBUG relay: session listing")))
+        .otherwise(F.concat(stamp, F.lit(" INFO relay.stats: "), stats))
+    )
+    samples.select(F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("Traceback "), F.col("event_id").cast("string"))).otherwise(line).alias("value")).write.text(at)
+
+
+def _log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = shared_folder(spark, "logs")
+    write_log(view(spark, sf_dir, "v_samples"), at)
     rows = scan_server_log(spark, at)
-    return rows.select(F.regexp_extract("message", r"(\d+)$", 1).cast("long").alias("event_id"), "event", F.col("session").cast("long").alias("session"), "epoch", "fps", F.unix_millis("ts").alias("ts_ms"))
+    said = lambda k: F.col("fields")[k].alias(f"said_{k}")
+    return rows.select(
+        F.unix_millis("ts").alias("ts_ms"), "level", "logger", "event", *(name for name, _, _ in STATS_FIELDS), *(said(k) for k in ("session", "to", "target_pts", "tier", "encoder", "duration_s"))
+    )
 
 
 def _status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +219,7 @@ def _status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.map_from_arrays(F.array(F.lit("infer")), F.array((F.col("session_id") % 50).cast("double")))
     pipeline = F.when(F.col("session_id") % 5 != 0, F.struct((F.col("session_id") % 30).cast("double").alias("fps"), stage.alias("stage_ms")))
     one = F.struct(F.col("session_id").cast("string").alias("id"), "state", pipeline.alias("pipeline"))
-    at = scratch(spark, "status")
+    at = shared_folder(spark, "status")
     s.select(F.to_json(F.struct(F.array(one, one, one).alias("sessions"))).alias("value")).write.text(at)
     return scan_status(spark.read.text(at).withColumnRenamed("value", "json"))
 
@@ -209,7 +231,7 @@ def _models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("model_id") % 30 == 0, "broken").otherwise(json)
     models = m.select(F.concat("at", F.lit(".onnx")).alias("path"), F.lit("weights").alias("content"))
     sidecars = m.where("has_sidecar").select(F.concat("at", F.lit(".json")).alias("path"), body.alias("content"))
-    at = scratch(spark, "models")
+    at = shared_folder(spark, "models")
     models.unionByName(sidecars).write.parquet(at)
     files = spark.read.parquet(at)
     side = files.where(F.col("path").endswith(".json")).select(stem("path").alias("model"), F.regexp_replace("content", "^\ufeff", "").alias("json"))
@@ -219,7 +241,7 @@ def _models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every file of the catalogue, with a body of its length, as a row (path, mtime_us, content), many to a file, and read them back."""
     c = view(spark, sf_dir, "v_catalog").where("NOT is_dir")
-    at = scratch(spark, "media")
+    at = shared_folder(spark, "media")
     c.select("path", (F.col("mtime") * 1_000_000).cast("long").alias("mtime_us"), F.expr("repeat('.', CAST(length AS INT))").alias("content")).write.parquet(at)
     files = spark.read.parquet(at).select("path", F.octet_length("content").cast("long").alias("length"), "mtime_us")
     return catalog_of(files).groupBy("parent", "is_dir").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
@@ -229,7 +251,7 @@ def _store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = view(spark, sf_dir, "documents").where("text IS NOT NULL")
     data = F.col("text").cast("binary")
     bodies = docs.select(F.when(F.col("doc_id") % 97 == 0, F.lit("0")).otherwise(F.sha2("text", 256)).alias("sha256"), (F.octet_length("text") + F.when(F.col("doc_id") % 89 == 0, 1).otherwise(0)).cast("long").alias("size"), data.alias("data"))
-    at = scratch(spark, "objects")
+    at = shared_folder(spark, "objects")
     sink_object_store(bodies.where("size % 2 = 0"), at)
     return sink_object_store(bodies, at, store=spark.read.parquet(at))
 
@@ -239,11 +261,22 @@ ORACLES.update(
     {
         "scan_packets": ansi_with(("v_packets",)) + " SELECT session_id, seq, size % 8 AS size, flags, epoch, pts, dts, false AS corrupt FROM v_packets",
         "scan_server_log": ansi_with(("v_samples",))
-        + """ SELECT event_id, CASE WHEN event_id % 20 = 0 THEN 'continuation' ELSE 'stats' END AS event, CASE WHEN event_id % 20 <> 0 THEN session_id END AS session, CASE WHEN event_id % 20 <> 0 THEN queued END AS epoch,
- CASE WHEN event_id % 20 <> 0 THEN fps END AS fps, CASE WHEN event_id % 20 <> 0 THEN ts_us // 1000 END AS ts_ms FROM v_samples""",
+        + f""", f AS (SELECT event_id % 20 AS e, event_id, session_id AS sid, queued AS q, ts_us, {STATS_SQL} FROM v_samples)
+ SELECT CASE WHEN e > 0 THEN ts_us // 1000 END AS ts_ms, CASE WHEN e = 0 THEN NULL WHEN e = 2 THEN 'WARNING' WHEN e = 4 THEN 'DEBUG' ELSE 'INFO' END AS level, CASE WHEN e = 0 THEN NULL WHEN e IN (1, 2) THEN 'relay.session' WHEN e = 3 THEN 'relay.pipeline' WHEN e = 4 THEN 'relay' ELSE 'relay.stats' END AS logger,
+ CASE e WHEN 0 THEN 'continuation' WHEN 1 THEN 'state' WHEN 2 THEN 'seek' WHEN 3 THEN 'closed' WHEN 4 THEN 'other' ELSE 'stats' END AS event,
+ {", ".join(f"CASE WHEN e > 4 THEN {name} END AS {name}" for name, _, _ in STATS_FIELDS)},
+ CASE WHEN e IN (1, 2) THEN CAST(sid AS VARCHAR) END AS said_session, CASE WHEN e = 1 THEN 'paused' END AS said_to, CASE WHEN e = 2 THEN CAST(event_id AS VARCHAR) END AS said_target_pts,
+ CASE WHEN e = 3 THEN 'hevc-qp4' END AS said_tier, CASE WHEN e = 3 THEN 'libx265' END AS said_encoder, CASE WHEN e = 3 THEN printf('%.3f', CAST(q AS DOUBLE)) END AS said_duration_s FROM f""",
         "scan_status": ansi_with(("v_states",))
         + """ SELECT CAST(session_id AS VARCHAR) AS id, arg_max(state, {'a': ts_us, 'b': event_id}) AS state, CASE WHEN session_id % 5 <> 0 THEN CAST(session_id % 30 AS DOUBLE) END AS fps, CASE WHEN session_id % 5 <> 0 THEN CAST(session_id % 50 AS DOUBLE) END AS infer_ms
  FROM v_states GROUP BY session_id""",
+        "scan_models": ansi_with(("v_models",))
+        + """, m AS (SELECT *, model || '_id' || CAST(model_id AS VARCHAR) AS stem FROM v_models) SELECT stem AS model, CASE WHEN has_sidecar THEN sidecar_scale
+ ELSE coalesce(CAST(nullif(regexp_extract(' ' || stem || ' ', '[^0-9]([1-9][0-9]*)[xX][^0-9]', 1), '') AS BIGINT), CAST(nullif(regexp_extract(' ' || stem || ' ', '[^0-9][xX]([1-9][0-9]*)[^0-9]', 1), '') AS BIGINT), 2) END AS scale
+ FROM m WHERE NOT (has_sidecar AND model_id % 30 = 0)""",
+        "scan_catalog": ansi_with(("v_catalog",))
+        + """ SELECT parent, false AS is_dir, count(*) AS n, CAST(sum(length) AS BIGINT) AS bytes FROM v_catalog WHERE NOT is_dir GROUP BY parent
+ UNION ALL SELECT '', true, count(DISTINCT parent), CAST(0 AS BIGINT) FROM v_catalog WHERE NOT is_dir HAVING count(*) > 0""",
         "sink_object_store": "SELECT DISTINCT sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE text IS NOT NULL AND doc_id % 97 <> 0 AND doc_id % 89 <> 0",
     }
 )

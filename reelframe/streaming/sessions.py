@@ -6,7 +6,6 @@ and timers only bound state.  Every job runs on an unbounded stream; `drained` r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from reelframe.operators.sessions import STATS_SQL
 from reelframe.plans.registry import ORACLES, QUERIES
-from reelframe.plans.views import ansi_with
+from reelframe.plans.views import ansi_with, view
+from reelframe.session import shared_folder
+from reelframe.sources.files import parse_server_log, write_log
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,15 +37,10 @@ def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, *, mode: str = "append") -> DataFrame:
     """Run a streaming job over everything that is available and return what it wrote, as a batch DataFrame.
 
-    The sink is a Parquet folder beside the checkpoint, in the folder that spark.checkpoint.dir names (a temporary one where it is unset).
+    The sink is a Parquet folder beside the checkpoint, in the folder that spark.checkpoint.dir names.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="reelframe-stream-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     if mode == "append":
         query = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
     else:  # update and complete results replace what an earlier batch wrote for a key
@@ -121,26 +118,47 @@ def first_seen(connections: DataFrame, *, horizon: str = "1 hour") -> DataFrame:
 def fps_window(packets: DataFrame, *, width: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
     """Frames in aligned windows, once the watermark has passed them."""
     by = packets.where("is_video").withWatermark("at", late).groupBy("session_id", F.window("at", width).alias("w"))
-    return by.agg(F.count("*").alias("frames")).select("session_id", F.col("w.start").alias("start"), "frames")
+    return by.agg(F.count("*").alias("frames")).select("session_id", F.unix_micros("w.start").alias("start_us"), "frames")
+
 
+def stats_rollup(lines: DataFrame, *, width: str = "1 minute", slide: str = "30 seconds", late: str = "5 minutes") -> DataFrame:
+    """Rolling performance of each session in sliding windows, from the lines (value) of a server's log; lines that are no stats line don't count."""
+    stats = parse_server_log(lines).where("event = 'stats'").withWatermark("ts", late)
+    by = stats.groupBy("session", F.window("ts", width, slide).alias("w"))
+    return by.agg(
+        F.count("*").alias("n"), F.round(F.avg("fps"), 6).alias("fps"), F.round(F.avg("infer_fps"), 6).alias("infer_fps"), F.max("in_flight").alias("most_cached"), F.min("buffered_ms").alias("least_buffered_ms"), F.count_if(F.col("pacing") == "PAUSED").alias("paused")
+    ).select("session", F.unix_micros("w.start").alias("start_us"), "n", "fps", "infer_fps", "most_cached", "least_buffered_ms", "paused")
 
-def stats_rollup(samples: DataFrame, *, width: str = "1 minute", slide: str = "30 seconds", late: str = "5 minutes") -> DataFrame:
-    """Rolling performance of each session in sliding windows."""
-    by = samples.withWatermark("at", late).groupBy("user_id", F.window("at", width, slide).alias("w"))
-    return by.agg(F.count("*").alias("n"), F.max("value").alias("peak")).select(F.col("user_id").alias("session_id"), F.col("w.start").alias("start"), "n", "peak")
 
+def seek_first_packet(packets: DataFrame) -> DataFrame:
+    """Each seek of a session and epoch with the time to the first packet of its epoch; null where a newer seek came first.
+
+    State is a session's epoch and the seek that still waits; that one is told when its packet or a newer seek comes.
+    """
+
+    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        current, seek_id, seek_us = state.get if state.exists else (0, -1, 0)
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts_us", "event_id"], kind="stable")
+        epoch = current + rows["is_seek"].astype(int).cumsum()
+        fresh = ~rows["is_seek"] & ((rows["k"] % 7 != 0) | (epoch == 0))
+        came = rows[fresh].groupby(epoch[fresh])["ts_us"].min()
+        seeks = rows.assign(epoch=epoch)[rows["is_seek"]][["epoch", "event_id", "ts_us"]]
+        if seek_id >= 0:
+            seeks = pd.concat([pd.DataFrame({"epoch": [current], "event_id": [seek_id], "ts_us": [seek_us]}), seeks])
+        seeks = seeks.assign(latency_us=(seeks["epoch"].map(came) - seeks["ts_us"]).astype("Int64"))
+        last = int(epoch.iloc[-1])
+        waits = seeks[(seeks["epoch"] == last) & seeks["latency_us"].isna()]
+        state.update((last, int(waits["event_id"].iloc[0]), int(waits["ts_us"].iloc[0])) if len(waits) else (last, -1, 0))
+        told = seeks[(seeks["epoch"] < last) | seeks["latency_us"].notna()]
+        yield told.assign(session_id=key[0]).rename(columns={"event_id": "seek_id"})[["session_id", "epoch", "seek_id", "latency_us"]]
 
-def seek_first_packet(seeks: DataFrame, packets: DataFrame, *, within: str = "60 seconds") -> DataFrame:
-    """Each seek with the packets of its session that follow within the time, null where none does: an interval join of two streams."""
-    s = seeks.select("session_id", F.col("event_id").alias("seek_id"), F.col("at").alias("seek_at")).withWatermark("seek_at", "1 minute")
-    p = packets.where("NOT is_seek").select(F.col("session_id").alias("p_session"), F.col("event_id").alias("packet_id"), F.col("at").alias("packet_at")).withWatermark("packet_at", "1 minute")
-    return s.join(p, F.expr(f"session_id = p_session AND packet_at >= seek_at AND packet_at <= seek_at + INTERVAL {within}"), "leftOuter").select("session_id", "seek_id", "packet_id")
+    return packets.groupBy("session_id").applyInPandasWithState(first, "session_id long, epoch long, seek_id long, latency_us long", "epoch long, seek_id long, seek_us long", "append", GroupStateTimeout.NoTimeout)
 
 
 def session_windows(messages: DataFrame, *, gap: str = "240 seconds") -> DataFrame:
     """Runs of messages of a client without a silence longer than the gap."""
     by = messages.withWatermark("at", "1 minute").groupBy(F.session_window("at", gap).alias("w"), F.col("user_id"))
-    return by.agg(F.count("*").alias("n")).select(F.col("user_id").alias("client"), F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n")
+    return by.agg(F.count("*").alias("n")).select(F.col("user_id").alias("client"), F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("stop_us"), "n")
 
 
 def stats_sink(samples: DataFrame) -> DataFrame:
@@ -156,8 +174,11 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_stream(spark, sf_dir).select(F.col("user_id").alias("session_id"), "event_id", "ts_us", F.floor(F.col("value") * 100).cast("long").alias("buffered_ms"))
 
 
-def _seeks_and_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seek_first_packet(packet_stream(spark, sf_dir).where("is_seek"), packet_stream(spark, sf_dir))
+def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all sessions as a stream of files."""
+    at = shared_folder(spark, "logs")
+    write_log(view(spark, sf_dir, "v_samples"), at)
+    return spark.readStream.text(at)
 
 
 QUERIES.update(
@@ -166,15 +187,16 @@ QUERIES.update(
         "fps_anchored": lambda s, d: drained(fps_anchored(packet_stream(s, d))),
         "backpressure_stream": lambda s, d: drained(backpressure(_reports(s, d))),
         "first_seen_stream": lambda s, d: drained(first_seen(_connections(s, d))),
-        "fps_window_stream": lambda s, d: drained(fps_window(packet_stream(s, d))),
-        "stats_rollup": lambda s, d: drained(stats_rollup(event_stream(s, d))),
-        "seek_first_packet_stream": lambda s, d: drained(_seeks_and_packets(s, d)),
-        "open_inactivity_stream": lambda s, d: drained(session_windows(event_stream(s, d))),
+        "fps_window_stream": lambda s, d: drained(fps_window(packet_stream(s, d)), mode="complete"),
+        "stats_rollup": lambda s, d: drained(stats_rollup(_log_lines(s, d)), mode="complete"),
+        "seek_first_packet_stream": lambda s, d: drained(seek_first_packet(packet_stream(s, d))),
+        "open_inactivity_stream": lambda s, d: drained(session_windows(event_stream(s, d)), mode="complete"),
         "sink_stats_stream": lambda s, d: drained(stats_sink(event_stream(s, d))),
     }
 )
 
-#: Jobs whose result doesn't depend on how far a watermark came.
+_EPOCHS = """ e AS (SELECT user_id AS session_id, event_id, epoch_us(ts) AS ts_us, k, event_type, event_type = 'error' AND k < 20 AS is_seek, CAST(sum(CASE WHEN event_type = 'error' AND k < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM v_events)"""
+#: Jobs whose result doesn't depend on how far a watermark came: those with windows are drained in complete mode.
 ORACLES.update(
     {
         "epoch_guard": ansi_with(("v_events",))
@@ -184,6 +206,19 @@ ORACLES.update(
         + """, c AS (SELECT *, CASE WHEN buffered_ms > 10000 THEN true WHEN buffered_ms <= 9500 THEN false END AS x FROM v_reports),
 s AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING), false) AS paused FROM c),
 l AS (SELECT *, coalesce(lag(paused) OVER (PARTITION BY session_id ORDER BY ts_us, event_id), false) AS before FROM s) SELECT session_id, ts_us, paused FROM l WHERE paused <> before""",
+        "fps_window_stream": ansi_with(("v_events",))
+        + """ SELECT user_id AS session_id, epoch_us(ts) // 2000000 * 2000000 AS start_us, count(*) AS frames FROM v_events WHERE event_type NOT IN ('purchase', 'signup') GROUP BY 1, 2""",
+        "stats_rollup": ansi_with(("v_samples",))
+        + f""", p AS (SELECT ts_us, {STATS_SQL} FROM v_samples WHERE event_id % 20 > 4), w AS (SELECT *, unnest([0, 1]) AS back FROM p)
+ SELECT session, (ts_us // 1000 * 1000 // 30000000 - back) * 30000000 AS start_us, count(*) AS n, round(avg(fps), 6) AS fps, round(avg(infer_fps), 6) AS infer_fps, max(in_flight) AS most_cached, min(buffered_ms) AS least_buffered_ms,
+ count(*) FILTER (WHERE pacing = 'PAUSED') AS paused FROM w GROUP BY 1, 2""",
+        "seek_first_packet_stream": ansi_with(("v_events",))
+        + f""",{_EPOCHS}, f AS (SELECT session_id, epoch, min(ts_us) AS first_us FROM e WHERE NOT is_seek AND (k % 7 <> 0 OR epoch = 0) GROUP BY ALL), l AS (SELECT session_id, max(epoch) AS last FROM e GROUP BY 1)
+ SELECT session_id, epoch, event_id AS seek_id, first_us - ts_us AS latency_us FROM e LEFT JOIN f USING (session_id, epoch) JOIN l USING (session_id) WHERE is_seek AND (first_us IS NOT NULL OR epoch < last)""",
+        "open_inactivity_stream": ansi_with(("v_events",))
+        + """, g AS (SELECT user_id AS client, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 240000000, true) AS fresh FROM v_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ r AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY client ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT * FROM g ORDER BY client, us, NOT fresh))
+ SELECT client, min(us) AS start_us, max(us) + 240000000 AS stop_us, count(*) AS n FROM r GROUP BY client, run""",
         "sink_stats_stream": ansi_with(("v_events",)) + " SELECT user_id AS session_id, epoch_us(ts) AS ts_us, value FROM v_events WHERE event_type <> 'error' AND k % 10 <> 9",
     }
 )

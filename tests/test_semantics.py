@@ -131,10 +131,87 @@ def test_streams_equal_their_batch_twins(spark, sf):
     kept = packets.drop_stale_epochs(view(spark, sf, "v_packets")).count()
     assert streams.drained(streams.epoch_guard(streams.packet_stream(spark, sf))).count() == kept
     batch = {(r.session_id, r.start_s): r.fps for r in packets.fps_window(view(spark, sf, "v_packets")).collect()}
-    for r in streams.drained(streams.fps_window(streams.packet_stream(spark, sf))).withColumn("s", F.unix_seconds("start")).collect():
+    for r in streams.drained(streams.fps_window(streams.packet_stream(spark, sf))).withColumn("s", F.expr("start_us div 1000000")).collect():
         assert batch[r.session_id, r.s] == r.frames / 2
 
 
+def test_anchored_frame_rates(spark, sf):
+    """Against a loop over each session's frames."""
+    want, state = [], {}
+    for session, t in sorted((r.user_id, r.us) for r in view(spark, sf, "v_events").where("event_type NOT IN ('purchase', 'signup')").selectExpr("user_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS us").collect()):
+        start, n = state.get(session, (t, 0))
+        state[session] = (start, n + 1)
+        if t - start >= 2_000_000:
+            want.append((session, start, (n + 1) / ((t - start) / 1e6)))
+            del state[session]
+    got = streams.drained(streams.fps_anchored(streams.packet_stream(spark, sf))).collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_frames_against_plain_versions(spark, sf):
+    """Stages, doubling and checks of the given clips, one frame after the other."""
+    clips = {}
+    for r in sorted(frames.frames_from_embeddings(view(spark, sf, "embeddings")).collect(), key=lambda r: (r.clip_id, r.pts)):
+        clips.setdefault(r.clip_id, []).append((r.pts, np.frombuffer(r.rgb, np.uint8).reshape(r.h, r.w, 3)))
+    source = frames.frames_from_embeddings(view(spark, sf, "embeddings")).repartition(3).cache()
+    staged = {(r.clip_id, r.pts): bytes(r.rgb) for r in frames.frame_stage(source, frames.PairMean).collect()}
+    want = {}
+    for clip, rows in clips.items():
+        for (p, a), (_, b) in zip(rows[::2], rows[1::2]):
+            want[clip, p] = ((a.astype(int) + b) // 2).astype(np.uint8).tobytes()
+        if len(rows) % 2:
+            want[clip, rows[-1][0]] = rows[-1][1].tobytes()
+    assert staged == want
+    doubled = {(r.clip_id, r.pts): np.frombuffer(r.rgb, np.uint8).reshape(16, 16, 3) for r in frames.upscale_frames(source).collect()}
+    for clip, rows in clips.items():
+        for p, x in rows[:5]:
+            edge = np.pad(x.astype(float), ((1, 1), (1, 1), (0, 0)), "edge")
+            for i, j in ((0, 0), (3, 8), (15, 15), (7, 2)):
+                y, z = 1 + (i // 2), 1 + (j // 2)
+                near = lambda k, at: (at - 1, 0.25, at, 0.75) if k % 2 == 0 else (at, 0.75, at + 1, 0.25)
+                a, fa, b, fb = near(i, y)
+                c, fc, d, fd = near(j, z)
+                value = fa * (fc * edge[a, c] + fd * edge[a, d]) + fb * (fc * edge[b, c] + fd * edge[b, d])
+                assert np.abs(doubled[clip, p][i, j] - value).max() <= 0.51
+    checked = {r.clip_id: (r.n_before, r.n_after, r.ok) for r in frames.frame_verify(source, frames.frame_stage(source, frames.PairMean)).collect()}
+    assert checked == {c: (len(r), (len(r) + 1) // 2, len(r) == 1) for c, r in clips.items()}
+
+
+@pytest.mark.parametrize("algorithm", sessions.ALGORITHMS)
+def test_resampling_keeps_flat_frames_and_means(algorithm):
+    flat = np.full((9, 7, 3), 77.0)
+    assert np.allclose(frames.resample(flat, 5, 20, algorithm), 77)
+    ramp = np.repeat(np.arange(40.0)[None, :, None], 3, 2).repeat(6, 0)
+    assert np.abs(frames.resample(ramp, 6, 80, algorithm)[:, 30:50].mean() - ramp.mean()) < 0.5
+
+
+def test_chapters_beyond_the_cap(spark):
+    rows = [(1, i, float(1000 - i) if i % 5 else -1.0, float(2000 - i) if i % 2 else None, None) for i in range(600)]
+    got = chapters.sanitize_chapters(spark.createDataFrame(rows, "clip_id long, pos long, start_s double, end_s double, title string")).orderBy("place").collect()
+    want = sorted((r[2], r[3]) for r in rows[:512] if r[2] >= 0)
+    assert [(r.start_s, r.end_s) for r in got] == want
+
+
+def test_limits_of_attachments(spark):
+    mb = 1024 * 1024
+    rows = [("s", i, f"{i:064x}", size * mb, "font/ttf") for i, size in enumerate((64, 64, 64, 60))] + [("t", 0, "a" * 64, 65 * mb, "font/ttf")]
+    df = spark.createDataFrame(rows, "session_id string, pos int, sha256 string, size long, mimetype string")
+    assert {(r.session_id, r.accepted) for r in attachments.validate_manifest(df).collect()} == {("s", True), ("t", False)}
+    assert {r.session_id: r.cacheable for r in attachments.attachment_totals(df).collect()} == {"s": True, "t": False}
+
+
+def test_shared_folders(spark, monkeypatch):
+    from reelframe import session
+
+    assert session.shared_folder(spark, "x") != session.shared_folder(spark, "x")
+
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: {"spark.master": "spark://host:7077"}.get(k, d))})
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Elsewhere(), "x")
+
+
 def test_tiles_equal_the_whole_frame(spark):
     clips = spark.createDataFrame([(1,)], "clip_id long")
     f = frames.synth_frames(clips, n=2, h=40, w=50).cache()
@@ -147,8 +224,7 @@ def test_frame_arguments(spark):
     f = frames.synth_frames(spark.createDataFrame([(1,)], "clip_id long"), n=1, h=8, w=8)
     with pytest.raises(ValueError):
         frames.fit_frames(f, w=4, h=4, algorithm="nearest")
-    with pytest.raises(NotImplementedError):
-        frames.fit_frames(f, w=4, h=4, algorithm="lanczos")
+    assert frames.fit_frames(f, w=4, h=4).first().w == 4
     with pytest.raises(ValueError):
         frames.upscale_tiled(f, tile=8, overlap=3)
 
@@ -201,7 +277,6 @@ def test_file_queries_hold_every_row(spark, sf):
     broken = {k for k, r in models.items() if r.has_sidecar and r.model_id % 30 == 0}
     assert broken and set(scales) == set(models) - broken
     assert all(scales[k] == r.sidecar_scale for k, r in models.items() if r.has_sidecar and k not in broken)
-    assert catalogue.QUERIES["synth_frames"](spark, sf).count() == 4 * view(spark, sf, "embeddings").select("vec_id").distinct().count()
 
 
 def test_long_session_is_cut_into_captures(spark, tmp_path):
