@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelframe.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -14,13 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the cluster's shared checkpoint folder; lineage ends there.
-
-    The folder is the session's (spark.checkpoint.dir); only where none is set, as in local tests, a temporary one is used.
-    """
+    """`df` computed once and kept in the cluster's shared checkpoint folder (spark.checkpoint.dir); lineage ends there."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="reelframe-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or shared_folder(df.sparkSession, "checkpoint"))
     return df.checkpoint()
 
 
