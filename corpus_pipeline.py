@@ -1,8 +1,9 @@
-"""A training corpus from raw documents: quality, near duplicates, repeated passages, benchmark leaks, packed sequences."""
+"""A training corpus from raw documents: quality, near duplicates, repeated passages, benchmark leaks, packed sequences.
 
-from __future__ import annotations
+Stages keep every column of their input, whatever it is named, null texts count as empty ones, and an empty table passes as one.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from reelframe.llm.jaccard_join import jaccard_components
 from reelframe.llm.packing import pack
 from reelframe.llm.quality_classifier import fit_quality, score_quality
 from reelframe.llm.suffix_dedup import remove_repeats
+from reelframe.session import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of links; repeated rows of an id count once, rows without id all stay."""
+    """The document with the smallest id of each component of links; of several rows of an id that with the least text stays, rows without id all stay."""
     stay = jaccard_components(docs).where("component_id = doc_id").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    rows = docs.where("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi").select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = rows.groupBy("doc_id").agg(F.min_by("row", F.struct(F.col("row.text").isNull(), "row.text")).alias("row"))
+    return one.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)).unionByName(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,12 +69,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="reelframe-pipeline-")
-    base = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
