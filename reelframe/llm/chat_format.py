@@ -40,7 +40,9 @@ def collapse_and_render(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, rendered of each maximal conversation.
 
     Turns go by (turn, role, text), a null turn first; exact repeats of a row count once; null roles and texts are
-    empty, and an unknown role renders as user.  Rows without conv_id belong to no conversation.  Extra columns are ignored.
+    empty, and an unknown role renders as user; texts are kept whole, however long.  Of equal conversations the smallest id stays.  Rows without
+    conv_id belong to no conversation; an empty table gives no rows.  Extra columns are ignored, whatever their names.  A conversation is one row, so
+    one of very many turns is held, and its prefix hashes built, by one task.
     """
     convs = gathered(turns)
     whole = convs.select("conv_id", F.size("turns").alias("n"), F.element_at("prefixes", -1).alias("h")).select("conv_id", "n", "h.a", "h.b")

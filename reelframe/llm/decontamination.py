@@ -18,12 +18,10 @@ from pyspark.sql import functions as F
 from reelframe.llm.common import table
 from reelframe.llm.textcodes import chunks, mix, words
 
-#: Selected positions of each mask.  Together they hit nearly every placing of three exchanged words in a window of 13.
+#: Selected positions of each mask.  Together they hit every placing of three exchanged words in a window of 13.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 6, 8, 9), (0, 1, 3, 4, 5))
 #: A window of so many words with so many equal ones is a leak (an item of fewer words is compared whole, in that share).
 WINDOW, EQUAL = 13, 10
-#: Items of fewer words are too common to mean anything and are never matched.
-LEAST_WORDS = 5
 #: Characters of benchmark text that one pass may hold in memory and broadcast; more is taken in blocks of items.
 BLOCK_CHARS = 20_000_000
 
@@ -39,14 +37,15 @@ def _seeds(h: np.ndarray, mask: tuple[int, ...], at: np.ndarray) -> np.ndarray:
 class SeedTable:
     """Word hashes of the items, and the seeds of each mask in order of hash with the words they start at."""
 
-    items: np.ndarray  #: item ids
+    items: list  #: item ids, null for an item without one
     hashes: np.ndarray
     begins: np.ndarray
     tables: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]  #: mask, seed hashes, starts, presence bits
 
 
-def seed_table(rows: list[tuple[int, str]], masks: tuple[tuple[int, ...], ...] = MASKS) -> SeedTable:
-    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["item_id", "text"])
+def seed_table(rows: list[tuple[int | None, str]], masks: tuple[tuple[int, ...], ...] = MASKS, *, least_words: int = 5) -> SeedTable:
+    """Items of WINDOW words and more are seeded by the masks; shorter ones by one more block of neighbouring words than may be exchanged, one of which is always whole."""
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.string())], ["text"])
     parts, counts = [np.zeros(0, np.uint64)], []
     for _, _, data, offsets in chunks(batch):
         h, _, _, begins = words(data, offsets, lower=True)
@@ -56,19 +55,22 @@ def seed_table(rows: list[tuple[int, str]], masks: tuple[tuple[int, ...], ...] =
     size = np.diff(begins)
     own = np.repeat(np.arange(len(size)), size)
     left = begins[1:][own] - np.arange(len(h))  # words from here to the item's end
-    span = max(m[-1] for m in masks) + 1
-    jobs: list[tuple[tuple[int, ...], np.ndarray]] = [(m, np.flatnonzero((left > m[-1]) & (size[own] >= span))) for m in masks]
-    for n in range(LEAST_WORDS, span):  # short items: their whole sequence is one seed
-        jobs.append((tuple(range(n)), begins[:-1][size == n]))
+    jobs: dict[tuple[int, ...], list[np.ndarray]] = {m: [np.flatnonzero((left > m[-1]) & (size[own] >= WINDOW))] for m in masks}
+    for n in range(least_words, WINDOW):
+        exchanged = n - -(-EQUAL * n // WINDOW)
+        cuts = [n * i // (exchanged + 1) for i in range(exchanged + 2)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            jobs.setdefault(tuple(range(b - a)), []).append(begins[:-1][size == n] + a)
     tables = []
-    for mask, at in jobs:
+    for mask, found in jobs.items():
+        at = np.concatenate(found)
         if len(at):
             s = _seeds(h, mask, at)
             order = np.argsort(s, kind="stable")
             bits = np.zeros(1 << 20, bool)
             bits[s & np.uint64((1 << 20) - 1)] = True
             tables.append((mask, s[order], at[order], bits))
-    return SeedTable(np.array([r[0] for r in rows], np.int64), h, begins, tables)
+    return SeedTable([r[0] for r in rows], h, begins, tables)
 
 
 def leaks(table_: SeedTable, h: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -103,14 +105,14 @@ def leaks(table_: SeedTable, h: np.ndarray) -> list[tuple[int, int, int, int]]:
     return list(best.values())
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[SeedTable]:
+def _blocks(benchmark: DataFrame, least_words: int) -> Iterator[SeedTable]:
     """Seed tables of the benchmark, each of a bounded size."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     k = int(chars // BLOCK_CHARS) + 1
     for i in range(k):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(k)) == i).orderBy("item_id", "text").collect()  # about BLOCK_CHARS characters
-        yield seed_table([(r["item_id"], r["text"]) for r in rows])
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i).orderBy("item_id", "text").collect()  # about BLOCK_CHARS characters
+        yield seed_table([(r["item_id"], r["text"]) for r in rows], least_words=least_words)
 
 
 def _by_text(shared, batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
@@ -129,21 +131,23 @@ def _by_text(shared, batch: pa.RecordBatch, text: str = "text") -> Iterator[tupl
                 yield row + d, found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 5) -> DataFrame:
     """(doc_id, item_id, start, n_words, n_equal): for each text and benchmark item of which it holds a leak, the best one.
 
-    Words are lower-cased (A-Z).  Null and empty texts and items hold nothing; repeated rows give repeated results; an empty
-    table on either side gives no rows.  Extra columns are ignored.
+    Words are lower-cased (A-Z).  Items of fewer than `least_words` words are too common to tell a leak and are not looked for.  Null and empty
+    texts and items hold nothing; a very long text is looked through whole; of leaks of an item with equally many equal words the earliest one counts; items
+    without item_id count, with a null in their place; repeated rows give repeated results; an empty table on either side gives no rows.  Extra columns
+    are ignored, whatever their names.
     """
     out = None
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, least_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
                 for d, found in _by_text(shared, batch):
-                    rows += [(ids[d], int(shared.value.items[i]), a, n, e) for i, a, n, e in found]
+                    rows += [(ids[d], shared.value.items[i], a, n, e) for i, a, n, e in found]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "item_id", "start", "n_words", "n_equal"])
 
         one = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, start long, n_words long, n_equal long")
@@ -151,10 +155,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose texts hold no leak."""
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, least_words: int = 5) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose texts hold no leak; cases as in `contaminated`."""
     at = docs.columns.index("text")
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, least_words):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -105,7 +105,8 @@ def _word_hashes(data: np.ndarray, solid: np.ndarray, start: np.ndarray, stop: n
     code = (_LOWER if lower else _BYTE)[data[solid]]
     longest = int(size.max())
     if longest > 1 << 16:
-        code = code * (mix((place >> 16).astype(np.uint64) + np.uint64(1)) | np.uint64(1))
+        block = (place >> 16).astype(np.uint64)
+        code = code * np.where(block > 0, mix(block) | np.uint64(1), np.uint64(1))  # a word hashes alike, whatever long words stand beside it
         place = place & 0xFFFF
     total = np.add.reduceat(code * _places(min(longest, 1 << 16))[place], first)
     return mix(total + size.astype(np.uint64) * _STEP[1])

@@ -53,11 +53,11 @@ def made_up_names(n: int) -> list[str]:
 
 
 def _hosts(words: tuple[str, ...]) -> list[str]:
-    """Eight names for each word: four times alone, with two words of its own kind and with two neutral ones, joined or not."""
+    """Eight names for each word: twice alone, twice with a number, with two words of its own kind and with two neutral ones, joined or not."""
     n, m = len(words), len(NEUTRAL_WORDS)
     out = []
     for i, w in enumerate(words):
-        out += [w] * 4 + [f"{w}-{words[(5 * i + 7) % n]}", f"{words[(11 * i + 3) % n]}{w}", f"{w}-{NEUTRAL_WORDS[i % m]}", f"{NEUTRAL_WORDS[(3 * i + 1) % m]}{w}"]
+        out += [w, w, f"{w}{10 + 7 * i % 90}", f"{1 + i % 9}{w}", f"{w}-{words[(5 * i + 7) % n]}", f"{words[(11 * i + 3) % n]}{w}", f"{w}-{NEUTRAL_WORDS[i % m]}", f"{NEUTRAL_WORDS[(3 * i + 1) % m]}{w}"]
     return out
 
 
@@ -103,7 +103,7 @@ def ngram_buckets(host: Column, path: Column, *, buckets: int, sizes: Sequence[i
     return F.concat(*grams("h", host), *grams("p", path))
 
 
-def fit_url_model(labelled: DataFrame, *, buckets: int = 32_768, reg: float = 3e-4) -> tuple[list[float], float]:
+def fit_url_model(labelled: DataFrame, *, buckets: int = 32_768, reg: float = 1e-4) -> tuple[list[float], float]:
     """(weight of each bucket, intercept) from labelled(url, label): which buckets a url has counts, not how often; null urls and labels are left out."""
     known = labelled.where("url IS NOT NULL AND label IS NOT NULL")
     rows = known.select(F.array_distinct(ngram_buckets(host_of(F.col("url")), path_of(F.col("url")), buckets=buckets)).cast("array<string>").alias("b"), F.col("label").cast("double").alias("label")).coalesce(1).cache()

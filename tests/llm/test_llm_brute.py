@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reelframe.llm import decontamination, html_extraction, jaccard_join, packing, quality_classifier, suffix_dedup, toxicity, url_filters
 from reelframe.llm.common import connected_components, table
 from reelframe.llm.queries import ORACLES, QUERIES
-from tests.llm.models import WORD, components, without_repeats
+from tests.llm.models import LOWER, WORD, components, without_repeats
 from tests.support import assert_same
 
 DOCS = "doc_id long, text string"
@@ -183,9 +183,8 @@ def test_packing_round_trip(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, " a  b\n\n it's <|endoftext|> \x00  ")], DOCS))
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, " a  b\n\n it's <|endoftext|> \x00  "), (-4, "a<|endoftext|>b<|endoftext|><|endoftext|> c"), (-5, "<|endoftext|>"), (-6, "<|endoftext|")], DOCS))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
     rows = packing.pack(docs, include_ids=True).collect()
     parts, sequences = defaultdict(list), defaultdict(list)
@@ -210,8 +209,7 @@ def test_packing_of_very_long_white_space(spark):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    texts = ["a" + " " * 1_000_000 + "b", "short <|endoftext|> text", "\n" * 1_000_000]
+    texts = ["a" + " " * 1_000_000 + "b", "short <|endoftext|> text", "\n" * 1_000_000 + "<|endoftext|>"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     parts = defaultdict(list)
     for r in packing.pack(docs, include_ids=True).collect():
@@ -278,6 +276,28 @@ def test_html_against_the_page_form(spark, sf):
     assert {r.page_id: r.text for r in QUERIES["op6_html_extraction"](spark, sf).collect()} == pages
 
 
+@pytest.mark.parametrize(("names", "marks"), [(False, True), (False, False)])
+def test_style_tree_decides_without_names(spark, sf, names, marks):
+    """By importance alone, without role and class names and article marks, the given pages come out as with them; so every removal is the tree's."""
+    pages = table(spark, sf, "pages")
+    want = {r.page_id: r.text for r in QUERIES["op6_html_extraction"](spark, sf).collect()}
+    got = {r.page_id: r.text for r in html_extraction.extract_text(pages, names=names, marks=marks).collect()}
+    whole = {r.page_id: html_extraction.Page(r.html or "", names=False, marks=False).text({}) for r in pages.collect()}
+    removed = sum(len(whole[k]) > len(want[k]) for k in want)
+    assert removed >= 0.9 * len(want) and sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
+
+
+def test_names_are_a_weak_word(spark):
+    """A branch called a widget that holds what the site is about stays; an unnamed menu of changing words goes."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    story = {k: " ".join(word() for _ in range(r.randint(20, 400))) for k in range(60)}
+    page = lambda k: f"<body><div class='x'><a href='/'>{word()}</a> <a href='/'>{word()}</a></div><div class='widget'><p>{story[k]}</p></div><div>{word()} {word()}</div>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in story]
+    got = html_extraction.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == story
+
+
 def test_style_tree_removes_what_a_site_repeats(spark):
     page = lambda k: f"<body><div class='top'>Welcome to our site</div><div class='x'>Story {k} is told here.</div><div class='legal-text'>All rights are ours</div></body>"
     rows = [(k, f"http://h.example/{k}", page(k)) for k in range(12)]
@@ -313,10 +333,15 @@ def test_style_tree_counts_copies_once(spark, copies, others):
         ("<article><script>if (a < b) '</p>'</script><p>k</p><div hidden>h</div><div role='banner'>r</div>", "k"),
         ("", ""),
         ("plain < text > here", "plain < text > here"),
+        ("<article><p class='related work'>a</p><div class='search results'>b</div><p>c <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>", "a\nb\nc x=2"),
+        ("<article><p>a <span class='ad sponsor'>BUY NOW <span>x</span></span> b <a class='share' href='/'>Share this</a></p><p>c</p></article>", "a b\nc"),
+        ("<article><p>a <span class='ad'>open<p>b</article>", "a\nb"),
+        ("<article><section class='comments'><article>c</article></section><p>k</p></article>", "k"),
+        ("<form><p>f</p><select><option>o<option>p</select></form><my-tag>w <b>x</b></my-tag>", "w x"),
     ],
 )
 def test_html_cases(source, want):
-    assert html_extraction.Page(source).text(frozenset()) == want
+    assert html_extraction.Page(source).text({}) == want
 
 
 def test_leaks_with_exchanged_words(spark):
@@ -340,6 +365,53 @@ def test_leaks_with_exchanged_words(spark):
     assert {x.doc_id for x in decontamination.decontaminated(docs, bench).collect()} == {k for k, _ in rows} - {k for k, _ in want}
 
 
+def leaks_by_hand(docs, items, least=5):
+    """(doc, item) pairs by laying every item over every place of every text."""
+    name = {}
+    code = lambda t: np.array([name.setdefault(w, len(name)) for w in WORD.findall((t or "").translate(LOWER))], int)
+    texts, out = [(d, code(t)) for d, t in docs], set()
+    for i, t in items:
+        own = code(t)
+        if len(own) < least:
+            continue
+        width = min(13, len(own))
+        for d, text in texts:
+            for shift in range(width - len(own), len(text) - width + 1):
+                lo, hi = max(0, -shift), min(len(own), len(text) - shift)
+                sums = np.concatenate([[0], np.cumsum(own[lo:hi] == text[shift + lo : shift + hi])])
+                if hi - lo >= width and (sums[width:] - sums[:-width]).max() * 13 >= 10 * width:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_of_short_items(spark):
+    """Items of 5 to 14 words with as many words exchanged as the share allows and one more, against laying them by hand."""
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(3, 15)] + [(None, " ".join(word() for _ in range(9)))]
+    docs = []
+    for _, text in items:
+        for exchanged in range(5):
+            w = text.split()
+            for x in r.sample(range(len(w)), min(exchanged, len(w))):
+                w[x] = word()
+            docs.append((len(docs), " ".join([word() for _ in range(7)] + w + [word() for _ in range(7)])))
+    got = decontamination.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    want = leaks_by_hand(docs, items)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == want and {i for _, i in want} == {*range(5, 15), None}
+
+
+def test_leaks_on_the_table(spark, sf):
+    docs = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    want = leaks_by_hand(docs, items)
+    got = QUERIES["op7_benchmark_decontamination"](spark, sf).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    clean = decontamination.decontaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_every_leak_of_ten_in_thirteen_is_seeded():
     from itertools import combinations
 
@@ -360,9 +432,143 @@ def test_url_rules(spark, sf):
         assert (r.host, r.path) == (u.netloc.lower(), u.path)
         hit = rule(r.host, r.path)
         assert (r.rule, r.verdict) == hit if hit else r.rule is None and r.verdict == ("block" if r.score >= 0.5 else "allow")
-    known = url_filters.url_filter(url_filters.labelled_urls(spark).withColumn("page_id", F.lit(1)), url_filters.labelled_urls(spark)).collect()
-    truth = dict(url_filters.LABELLED_URLS)
-    assert sum((r.score >= 0.5) == bool(truth[r.url]) for r in known) >= 0.95 * len(truth)
+    assert {r.score for r in model if r.rule is None} != {0.5}
+
+
+def test_url_scores_against_a_plain_loop(spark, sf):
+    import math
+
+    import xxhash
+
+    weights, intercept = url_filters.fit_url_model(url_filters.labelled_urls(spark))
+
+    def grams(mark, text):
+        text = f"^{text}$"
+        return {xxhash.xxh64_intdigest(text[i : i + n].encode(), xxhash.xxh64_intdigest(mark.encode(), 42)) for n in (3, 4, 5) for i in range(len(text) - n + 1)}
+
+    def signed(x):
+        return (x - (1 << 64) if x >> 63 else x) % len(weights)
+
+    pages = table(spark, sf, "pages").unionByName(spark.createDataFrame([(-1, None, None), (-2, "x" * 40, None), (-3, "http://" + "long" * 500 + "/é", None)], "page_id long, url string, html string"))
+    for r in url_filters.url_filter(pages, url_filters.labelled_urls(spark)).collect():
+        plain = 1 / (1 + math.exp(-intercept - sum(float(f"{weights[b]:.6g}") for b in {signed(x) for x in grams("h", r.host) | grams("p", r.path)})))
+        assert r.score == pytest.approx(plain, abs=1e-6)
+
+
+def test_urls_held_out(spark):
+    """Names that the labelled table doesn't hold: other pairs of its words are told, ordinary and made-up names left alone."""
+    seen = {u for u, _ in url_filters.labelled_table()}
+    junk = [f"http://{a}-{b}.example.co/p/{i}" for i, (a, b) in enumerate(zip(url_filters.JUNK_WORDS[::2], url_filters.JUNK_WORDS[-1::-2]))]
+    junk += [f"https://www.{w}{i}.example.info/" for i, w in enumerate(url_filters.JUNK_WORDS)]
+    plain = [f"http://{a}{b}.example.co/p/{i}" for i, (a, b) in enumerate(zip(url_filters.ORDINARY_WORDS[::2], url_filters.ORDINARY_WORDS[-1::-2]))]
+    plain += [f"https://{a}.example.info/x" for a in "kovrantel bishtomp quellarie dunworth ashgrove thornwick merriden oakfield lindenhof bellavoir castelmar prudhoe".split()]
+    urls = [(i, u, int(i < len(junk))) for i, u in enumerate(junk + plain)]
+    assert not seen & {u for _, u, _ in urls}
+    got = {r.page_id: r.verdict for r in url_filters.url_filter(spark.createDataFrame(urls, "page_id long, url string, label int"), url_filters.labelled_urls(spark), rules=()).collect()}
+    assert sum(got[i] == "block" for i in range(len(junk))) >= 0.9 * len(junk)
+    assert sum(got[i] == "allow" for i in range(len(junk), len(urls))) >= 0.98 * len(plain)
+
+
+def test_toxicity_at_any_share_of_labels(spark):
+    """The model holds whether the labelled sample is mostly clean, balanced or mostly toxic."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    held = {r.doc_id: r.toxic for r in labels.where(~train).collect()}
+    clean = labels.where("toxic = 0").where(train).orderBy(F.xxhash64("doc_id"))
+    for n in (60, 352, 3500):
+        model = toxicity.fit_toxicity(docs, labels.where("toxic = 1").unionByName(clean.limit(n)), train)
+        got = [(held[r.doc_id], r.predicted) for r in toxicity.score_toxicity(docs, model).where(F.col("doc_id").isin(list(held))).collect()]
+        assert sum(p for y, p in got if y) >= 80 and sum(p for y, p in got if not y) <= 20
+
+
+def test_toxicity_against_plain_loops(spark):
+    """Fit and score of 200 texts with dictionaries and all-pairs segments in place of hashes, Spark and the scan."""
+    import math
+
+    r = random.Random(6)
+    common, bad = [f"w{i}" for i in range(60)], ["nasty", "vile", "rotten"]
+    rows = []
+    for k in range(200):
+        y = int(k % 4 == 0)
+        w = [r.choice(common) for _ in range(r.randint(5, 40))]
+        for _ in range(r.randint(1, 3) * y):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append((k, " ".join(w), y))
+    texts, y = [t.split() for _, t, _ in rows], [x[2] for x in rows]
+    lift, surprise, prior, cost = 2.0, 15.0, 2000.0, 0.05
+    n_bad, n_other, corpus = sum(y), len(y) - sum(y), sum(map(len, texts))
+    scores, rate = {}, {}
+    seen = {t: (sum(t in w for w, b in zip(texts, y) if b), sum(t in w for w, b in zip(texts, y) if not b)) for t in {x for w in texts for x in w}}
+    total = [sum(v[i] for v in seen.values()) for i in (0, 1)]
+    for t, (b, o) in seen.items():
+        q = (b + o) / len(texts)
+        if b < 3 or b * n_other < lift * o * n_bad or b <= lift * n_bad * q:
+            continue
+        g = 2 * (b * math.log(b / (n_bad * q)) + ((n_bad - b) * math.log((n_bad - b) / (n_bad * (1 - q))) if b < n_bad else 0))
+        if g < surprise:
+            continue
+        a = prior * sum(w.count(t) for w in texts) / corpus
+        up, down = (b + a) / (total[0] + prior - b - a), (o + a) / (total[1] + prior - o - a)
+        if up > down:
+            scores[t], rate[t] = math.log(up / down), (o + a) / (total[1] + prior)
+    assert set(scores) == set(bad)
+    low, high = 1e-3, 20.0
+    for _ in range(80):
+        lam = (low + high) / 2
+        low, high = (low, lam) if sum(p * math.exp(lam * scores[t]) for t, p in rate.items()) + (1 - sum(rate.values())) * math.exp(-lam * cost) > 1 else (lam, high)
+
+    def segments(w):
+        x = [scores.get(t, -cost) for t in w]
+        best = max(((sum(x[i:j]), -i, j) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=(0, 0, 0))
+        if best[0] <= 1e-12:
+            return []
+        return [*segments(w[: -best[1]]), best[0], *segments(w[best[2] :])]
+
+    found = [segments(w) for w in texts]
+    quiet = [lam * max(s) - math.log(max(len(w), 2)) for w, s, b in zip(texts, found, y) if not b and s]
+    log_k = sum(quiet) / len(quiet) - 0.5772 if len(quiet) >= 30 else 0.0
+    value = np.array([sum(max(0.0, lam * s - log_k - math.log(max(len(w), 2))) for s in f) for w, f in zip(texts, found)])
+    weights = toxicity.fit_logistic(np.log1p(value)[:, None], np.array(y))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], DOCS).repartition(3), spark.createDataFrame([(k, b) for k, _, b in rows], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    got = {x.doc_id: (x.score, x.predicted) for x in toxicity.score_toxicity(docs, model).collect()}
+    for k, v in enumerate(value):
+        plain = 1 / (1 + math.exp(-np.clip(weights[0] + weights[1] * np.log1p(v), -30, 30)))
+        assert got[k][0] == pytest.approx(plain, abs=1e-6) and got[k][1] == int(plain >= 0.5)
+
+
+def test_quality_against_a_plain_loop(spark):
+    """Dictionaries, features and calibration of 120 texts with zstandard itself."""
+    import zstandard
+
+    r = random.Random(3)
+    good = lambda: " ".join(r.choice(("the", "river", "runs", "slowly", "past", "an", "old", "mill", "garden", "stone")) for _ in range(r.randint(5, 300)))
+    poor = lambda: "".join(r.choice("!#$%&@xXqQzZ0123456789 ") for _ in range(r.randint(20, 900)))
+    rows = [(k, good() if k % 3 else poor(), int(k % 3 > 0)) for k in range(120)]
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], DOCS).repartition(4), spark.createDataFrame([(k, b) for k, _, b in rows], "doc_id long, quality int")
+    model = quality_classifier.fit_quality(docs, labels, F.lit(True))
+    by = {b: [t for _, t, y in rows if y == b] for b in (0, 1)}
+    first, second, trained = quality_classifier.dictionaries(by[1][::2], by[0][::2], 114_688)
+    assert (model.good, model.bad, model.trained) == (first, second, trained)
+    kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
+
+    def size(data, dictionary):
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind), write_content_size=False, write_checksum=False)
+        return sum(len(c.compress(data[k : k + 1024])) for k in range(0, len(data), 1024))
+
+    def features(text):
+        data = text.encode()
+        a, b = size(data, first), size(data, second)
+        plain = min(1.5, len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False).compress(data)) / len(data))
+        return (a - b) / max(a, b), plain, np.log1p(len(data)) * plain
+
+    check = [(t, 0) for t in by[0][1::2]] + [(t, 1) for t in by[1][1::2]]
+    weights = quality_classifier.fit_logistic(np.array([features(t) for t, _ in check]), np.array([b for _, b in check]))
+    got = {x.doc_id: (x.score, x.predicted) for x in quality_classifier.score_quality(docs, model).collect()}
+    for k, t, _ in rows:
+        plain = 1 / (1 + np.exp(-np.clip(weights[0] + np.array(features(t)) @ weights[1:], -30, 30)))
+        assert got[k][0] == pytest.approx(plain, abs=1e-9) and got[k][1] == int(plain >= 0.7)
 
 
 def test_words_of_long_texts(spark):

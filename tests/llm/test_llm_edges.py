@@ -54,6 +54,79 @@ def test_empty_documents(spark, name):
     assert EVERY[name](spark, docs_of(spark, [])).collect() == []
 
 
+MANY = "many plain words in one very long text of a document that no one would read " * 20_000
+LENGTHY = [(1, MANY), (2, "one short text of a few plain words"), (3, MANY), (4, "w" * 300_000), (5, "\n" * 200_000), (6, None)]
+
+
+def test_very_long_texts(spark):
+    """Every operator takes them whole; one task each."""
+    d = spark.createDataFrame(LENGTHY, "doc_id long, text string").repartition(2)
+    rules = {r.doc_id: r for r in quality_rules.quality_cascade(d).collect()}
+    n = len(MANY.split())
+    assert rules[1].n_words == rules[1].n_repeat_words == n and rules[4].word_chars == 300_000 and rules[5].n_words == rules[5].n_dup_lines == 0
+    pieces = packing.pack(d).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r.doc_id for r in pieces} == set(range(1, 7)) and all(r.n == r["all"] for r in pieces)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    toxic = {r.doc_id: r.score for r in toxicity.score_toxicity(d, toxicity.fit_toxicity(d, labels, F.lit(True))).collect()}
+    good = {r.doc_id: r.score for r in quality_classifier.score_quality(d, quality_classifier.fit_quality(d, labels, F.lit(True))).collect()}
+    assert toxic[1] == toxic[3] and good[1] == good[3] and all(0 <= x <= 1 for x in (*toxic.values(), *good.values()))
+    bench = spark.createDataFrame([(7, MANY[:2000]), (8, "w" * 300_000 + " a b c d")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(d, bench).collect()} == {(1, 7), (3, 7)}
+    pages = spark.createDataFrame([(1, "http://h/" + "x" * 100_000, f"<article><p>{MANY}</p></article>"), (2, "http://h/y", "<p>" * 50_000 + "t")], "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html_extraction.extract_text(pages).collect()}
+    assert text == {1: MANY.strip(), 2: "t"}
+    assert {r.page_id: len(r.path) for r in url_filters.url_filter(pages, url_filters.labelled_urls(spark)).collect()} == {1: 100_001, 2: 2}
+    talk = spark.createDataFrame([(1, 0, "user", MANY), (2, 0, "user", MANY), (2, 1, "assistant", MANY)], "conv_id long, turn long, role string, text string")
+    assert [(r.conv_id, len(r.rendered) > 2 * len(MANY)) for r in chat_format.collapse_and_render(talk).collect()] == [(2, True)]
+
+
+def test_ties_have_one_result(spark):
+    """Equal rows in any order and partition give equal results."""
+    rows = [(k, LONG + str(k % 2)) for k in range(12)]
+    seen = set()
+    for n in (1, 3):
+        d = spark.createDataFrame(rows[::-1] if n == 1 else rows, "doc_id long, text string").repartition(n)
+        comp = tuple(sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(d).collect()))
+        cut = tuple(sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(d).collect()))
+        labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(12)], "doc_id long, quality int, toxic int")
+        score = tuple(sorted((r.doc_id, round(r.score, 9)) for r in quality_classifier.score_quality(d, quality_classifier.fit_quality(d, labels, F.lit(True))).collect()))
+        seen.add((comp, cut, score))
+    assert len(seen) == 1
+
+
+def test_rows_of_one_id_are_learnt_from_once(spark):
+    """A third of all rows may carry one id: the fitted sample still holds one text of it, the least."""
+    from reelframe.llm.labelled import labelled_sample
+
+    d = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other")], "doc_id long, text string")
+    rows = labelled_sample(d, labels_of(spark, [(1, 1, 1), (2, 0, 0)]), "toxic", F.lit(True), per_class=5).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in rows) == [(1, "text 0", 1), (2, "other", 0)]
+
+
+def test_pipeline_stages_by_hand(spark, sf):
+    """The classifier, decontamination and packing stages against what their operators say of each row."""
+    from tests.llm.test_llm_brute import leaks_by_hand
+
+    docs, stages = table(spark, sf, "documents"), dict(corpus_pipeline.STAGES)
+    model = quality_classifier.fit_quality(docs, table(spark, sf, "labels"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    measure = model.measure()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {d for d, t in texts.items() if measure.scores([t])[0] >= 0.7}
+    assert {r.doc_id for r in stages["quality_classifier"](spark, docs, sf).collect()} == good
+    items = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    leaky = {d for d, _ in leaks_by_hand(list(texts.items()), items)}
+    assert {r.doc_id for r in stages["benchmark_decontamination"](spark, docs, sf).collect()} == set(texts) - leaky
+    packed = stages["packing"](spark, docs, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r.doc_id for r in packed} == set(texts) and all(r.n == r["all"] for r in packed)
+
+
+def test_pipeline_keeps_one_text_of_an_id(spark):
+    rows = [(1, "b" + LONG), (1, "a" + LONG), (2, None), (2, None), (None, "x"), (None, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("extra")).withColumn("component_id", F.lit(5))
+    got = corpus_pipeline.near_duplicates(spark, d, "")
+    assert got.columns == d.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, "a" + LONG), (2, None), (None, "x"), (None, "x")], key=str)
+
+
 def test_defined_results_of_odd_rows(spark):
     comp = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in EVERY["jaccard"](spark, docs_of(spark)).collect()), key=str)
     assert (2, 0, 2) in comp and (3, 0, 3) in comp and comp.count((1, comp[0][1], 1)) == 2 and {c for d, _, c in comp if d is None} == {None}
