@@ -333,7 +333,7 @@ def _stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
     return data[_ranges(start, size)].tobytes()
 
 
-def suffix_buckets(joined: DataFrame, shared, *, length: int, buckets: int, slice_bytes: int = 4_000_000) -> DataFrame:
+def suffix_buckets(joined: DataFrame, shared, *, length: int, buckets: int, slice_bytes: int = 2_000_000) -> DataFrame:
     """(doc_id, repeated): names of open runs and bits of their windows whose first `length` bytes a smaller document has, from (doc_id, text, open)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
