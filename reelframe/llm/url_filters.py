@@ -62,9 +62,9 @@ def _hosts(words: tuple[str, ...]) -> list[str]:
 
 
 def labelled_table() -> list[tuple[str, int]]:
-    """The small table that the classifier learns from: (url, 1 blocks), built by rule from the words above; under two thousand urls, one in four junk."""
+    """The small table that the classifier learns from: (url, 1 blocks), built by rule from the words above; under two thousand urls, two in seven junk."""
     junk, plain = _hosts(JUNK_WORDS), _hosts(ORDINARY_WORDS)
-    plain += made_up_names(max(0, 3 * len(junk) - len(plain)))
+    plain += made_up_names(max(0, 5 * len(junk) // 2 - len(plain)))
     return [(AROUND[i % len(AROUND)].format(name), label) for label, names in ((1, junk), (0, plain)) for i, name in enumerate(names)]
 
 
