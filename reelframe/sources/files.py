@@ -195,11 +195,11 @@ def write_log(samples: DataFrame, at: str) -> None:
     stamp = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss,SSS")
     stats = stats_line(F.col("session_id").cast("string"), F.lit("playing"), F.col("queued"), F.col("fps"), F.col("infer_ms"), F.col("queued"), F.col("chunks"), F.lit(1), (F.col("cache_s") * 1000).cast("long"), F.col("paused_for_cache"))
     line = (
-        F.when(F.col("event_id") % 20 == 1, F.format_string("%s INFO relay.session: session %d -> paused", stamp, "session_id"))
-        .when(F.col("event_id") % 20 == 2, F.format_string("%s WARNING relay.session: session %d: seek to %d produced no downlink bytes in 60s", stamp, "session_id", "event_id"))
-        .when(F.col("event_id") % 20 == 3, F.format_string("%s INFO relay.pipeline: pipeline close complete tier=hevc-qp4 encoder=libx265 duration=%.3fs workers=all-stopped", stamp, F.col("queued").cast("double")))
-        .when(F.col("event_id") % 20 == 4, F.concat(stamp, F.lit(" DEBUG relay: session listing")))
-        .otherwise(F.concat(stamp, F.lit(" INFO relay.stats: "), stats))
+        F.when(F.col("event_id") % 20 == 1, F.format_string("%s INFO media.session: session %d -> paused", stamp, "session_id"))
+        .when(F.col("event_id") % 20 == 2, F.format_string("%s WARNING media.session: session %d: seek to %d produced no downlink bytes in 60s", stamp, "session_id", "event_id"))
+        .when(F.col("event_id") % 20 == 3, F.format_string("%s INFO media.pipeline: pipeline close complete tier=hevc-qp4 encoder=libx265 duration=%.3fs workers=all-stopped", stamp, F.col("queued").cast("double")))
+        .when(F.col("event_id") % 20 == 4, F.concat(stamp, F.lit(" DEBUG media: session listing")))
+        .otherwise(F.concat(stamp, F.lit(" INFO media.stats: "), stats))
     )
     samples.select(F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("Traceback "), F.col("event_id").cast("string"))).otherwise(line).alias("value")).write.text(at)
 
@@ -262,7 +262,7 @@ ORACLES.update(
         "scan_packets": ansi_with(("v_packets",)) + " SELECT session_id, seq, size % 8 AS size, flags, epoch, pts, dts, false AS corrupt FROM v_packets",
         "scan_server_log": ansi_with(("v_samples",))
         + f""", f AS (SELECT event_id % 20 AS e, event_id, session_id AS sid, queued AS q, ts_us, {STATS_SQL} FROM v_samples)
- SELECT CASE WHEN e > 0 THEN ts_us // 1000 END AS ts_ms, CASE WHEN e = 0 THEN NULL WHEN e = 2 THEN 'WARNING' WHEN e = 4 THEN 'DEBUG' ELSE 'INFO' END AS level, CASE WHEN e = 0 THEN NULL WHEN e IN (1, 2) THEN 'relay.session' WHEN e = 3 THEN 'relay.pipeline' WHEN e = 4 THEN 'relay' ELSE 'relay.stats' END AS logger,
+ SELECT CASE WHEN e > 0 THEN ts_us // 1000 END AS ts_ms, CASE WHEN e = 0 THEN NULL WHEN e = 2 THEN 'WARNING' WHEN e = 4 THEN 'DEBUG' ELSE 'INFO' END AS level, CASE WHEN e = 0 THEN NULL WHEN e IN (1, 2) THEN 'media.session' WHEN e = 3 THEN 'media.pipeline' WHEN e = 4 THEN 'media' ELSE 'media.stats' END AS logger,
  CASE e WHEN 0 THEN 'continuation' WHEN 1 THEN 'state' WHEN 2 THEN 'seek' WHEN 3 THEN 'closed' WHEN 4 THEN 'other' ELSE 'stats' END AS event,
  {", ".join(f"CASE WHEN e > 4 THEN {name} END AS {name}" for name, _, _ in STATS_FIELDS)},
  CASE WHEN e IN (1, 2) THEN CAST(sid AS VARCHAR) END AS said_session, CASE WHEN e = 1 THEN 'paused' END AS said_to, CASE WHEN e = 2 THEN CAST(event_id AS VARCHAR) END AS said_target_pts,
