@@ -7,9 +7,12 @@ from reelframe.llm import (
     decontamination,
     html_extraction,
     jaccard_join,
+    license_scan,
     packing,
     quality_classifier,
     quality_rules,
+    ranked_search,
+    source_divergence,
     suffix_dedup,
     toxicity,
     url_filters,
@@ -26,6 +29,15 @@ QUERIES = {
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_chat_formatting": chat_format.op10_chat_formatting,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_ranked_search": ranked_search.op12_ranked_search,
+    "op13_license_scans": license_scan.op13_license_scans,
 }
 
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op10_chat_formatting": chat_format.ORACLE}
+ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE,
+    "op10_chat_formatting": chat_format.ORACLE,
+    "op11_source_divergence": source_divergence.ORACLE,
+    "op12_ranked_search": ranked_search.ORACLE,
+    "op13_license_scans": license_scan.ORACLE,
+}
