@@ -111,12 +111,20 @@ def seek_first_packet(seeks: DataFrame, packets: DataFrame, *, within_s: int = 6
     return pairs.join(first, ["session_id", "seek_seq"], "left").select("session_id", "seek_seq", (F.col("first_us") - F.col("seek_us")).alias("latency_us"))
 
 
+def seek_flush(seeks: DataFrame, packets: DataFrame) -> DataFrame:
+    """Time from each seek to the next packet of its session, stale or not: when the flush has been seen; null where none follows."""
+    order = W.partitionBy("session_id").orderBy("seq")
+    after = packets.select("session_id", "seq", F.lead("ts_us").over(order).alias("next_us"))
+    found = seeks.select("session_id", "seek_seq", "seek_us").join(after.withColumnRenamed("seq", "seek_seq"), ["session_id", "seek_seq"], "left")
+    return found.select("session_id", "seek_seq", (F.col("next_us") - F.col("seek_us")).alias("flush_us"))
+
+
 def seek_report(seeks: DataFrame, packets: DataFrame) -> DataFrame:
-    """One row per seek: keyframe gap, mode, frames dropped and their cost, first frame and first packet."""
+    """One row per seek: keyframe gap, mode, frames dropped and their cost, when the flush was seen, first frame and first packet."""
     keyframe_mode = F.coalesce(F.col("gap_s") > F.col("threshold_s"), F.lit(False))
-    landed = seek_keyframe(seeks, packets).persist()  # one row a seek, read twice
+    landed = seek_keyframe(seeks, packets)
     report = landed.select("session_id", "seek_seq", "target_pts", "keyframe_pts", "gap_s", F.when(keyframe_mode, "keyframe").otherwise("accurate").alias("mode"))
-    for part in (seek_discard_window(seeks, packets, landed=landed), seek_first_frame(seeks, packets).select("session_id", "seek_seq", "first_pts"), seek_first_packet(seeks, packets)):
+    for part in (seek_discard_window(seeks, packets, landed=landed), seek_first_frame(seeks, packets).select("session_id", "seek_seq", "first_pts"), seek_flush(seeks, packets), seek_first_packet(seeks, packets)):
         report = report.join(part, ["session_id", "seek_seq"])
     return report
 
@@ -128,14 +136,13 @@ def seek_coalesce(seeks: DataFrame, *, storm_s: float = 2) -> DataFrame:
 
 
 def seek_ticks(seeks: DataFrame, packets: DataFrame) -> DataFrame:
-    """Progress ticks of slow seeks every 500 ms from 750 ms to the first packet, a minute or a newer seek; `gave_up` without a packet by then."""
+    """Progress ticks of slow seeks every 500 ms from 750 ms on, until a packet of the epoch or a newer seek; the tick after a minute gives the seek up and is the last."""
     order = W.partitionBy("session_id").orderBy("seek_seq")
-    first = seek_first_packet(seeks, packets).join(seeks.select("session_id", "seek_seq", "seek_us"), ["session_id", "seek_seq"])
-    newer = F.lead("seek_us").over(order) - F.col("seek_us")
-    ms = whole(F.least(F.coalesce("latency_us", F.lit(60_001_000)), F.coalesce(newer, F.lit(60_001_000))) / 1000)
-    rows = first.withColumn("ms", ms).where("ms > 750")
-    ticks = rows.select("session_id", "seek_seq", F.col("latency_us").isNull().alias("gave_up"), F.explode(F.sequence(F.lit(750).cast("long"), F.least(F.col("ms") - 1, F.lit(60_000).cast("long")), F.lit(500).cast("long"))).alias("tick_ms"))
-    return ticks
+    ends = seeks.select("session_id", "seek_seq", (F.lead("seek_us").over(order) - F.col("seek_us")).alias("newer"))
+    rows = ends.join(seek_first_packet(seeks, packets, within_s=61), ["session_id", "seek_seq"])
+    last = F.least(F.lit(60_250).cast("long"), F.coalesce(whole((F.least("latency_us", "newer") - 1) / 1000), F.lit(60_250).cast("long")))
+    ticks = rows.withColumn("last", last).where("last >= 750")
+    return ticks.select("session_id", "seek_seq", F.explode(F.sequence(F.lit(750).cast("long"), F.col("last"), F.lit(500).cast("long"))).alias("tick_ms")).withColumn("gave_up", F.col("tick_ms") > 60_000)
 
 
 _KEY = "(SELECT s.*, (SELECT max(p.pts) FROM v_packets p WHERE p.session_id = s.session_id AND p.keyframe AND p.pts <= s.target_pts) AS keyframe_pts FROM v_seeks s)"
@@ -169,15 +176,15 @@ query(
     "seek_report",
     "v_seeks v_packets",
     seek_report,
-    f"""SELECT session_id, seek_seq, target_pts, keyframe_pts, gap_s, CASE WHEN coalesce(gap_s > threshold_s, false) THEN 'keyframe' ELSE 'accurate' END AS mode, frames, CAST(frames AS DOUBLE) * CAST(14.5 AS DOUBLE) AS decode_ms, first_pts, latency_us
-FROM (SELECT s.*, CAST({_FRAMES} AS BIGINT) AS frames, {_FIRST} AS first_pts, {_PACKET} - seek_us AS latency_us FROM {_GAP} s)""",
+    f"""SELECT session_id, seek_seq, target_pts, keyframe_pts, gap_s, CASE WHEN coalesce(gap_s > threshold_s, false) THEN 'keyframe' ELSE 'accurate' END AS mode, frames, CAST(frames AS DOUBLE) * CAST(14.5 AS DOUBLE) AS decode_ms, first_pts, flush_us, latency_us
+FROM (SELECT s.*, (SELECT min(p.ts_us) FROM v_packets p WHERE p.session_id = s.session_id AND p.seq = s.seek_seq + 1) - seek_us AS flush_us, CAST({_FRAMES} AS BIGINT) AS frames, {_FIRST} AS first_pts, {_PACKET} - seek_us AS latency_us FROM {_GAP} s)""",
 )
 query("seek_coalesce", "v_seeks", seek_coalesce, "SELECT session_id, seek_seq, epoch, target_pts FROM (SELECT *, lead(seek_us) OVER (PARTITION BY session_id ORDER BY seek_seq) - seek_us AS gap FROM v_seeks) WHERE gap IS NULL OR gap > 2000000")
 query(
     "seek_ticks",
     "v_seeks v_packets",
     seek_ticks,
-    f"""WITH f AS (SELECT session_id, seek_seq, {_PACKET} - seek_us AS lat, lead(seek_us) OVER (PARTITION BY session_id ORDER BY seek_seq) - seek_us AS newer FROM v_seeks s),
-m AS (SELECT *, least(coalesce(lat, 60001000), coalesce(newer, 60001000)) // 1000 AS ms FROM f)
-SELECT session_id, seek_seq, lat IS NULL AS gave_up, unnest(range(750, least(ms - 1, 60000) + 1, 500)) AS tick_ms FROM m WHERE ms > 750""",
+    f"""WITH f AS (SELECT session_id, seek_seq, {_PACKET.replace('60000000', '61000000')} - seek_us AS lat, lead(seek_us) OVER (PARTITION BY session_id ORDER BY seek_seq) - seek_us AS newer FROM v_seeks s),
+m AS (SELECT *, least(60250, coalesce((least(lat, newer) - 1) // 1000, 60250)) AS ms FROM f)
+SELECT session_id, seek_seq, tick_ms, tick_ms > 60000 AS gave_up FROM (SELECT session_id, seek_seq, unnest(range(750, ms + 1, 500)) AS tick_ms FROM m WHERE ms >= 750)""",
 )

@@ -23,8 +23,19 @@ _EVENTS = "SELECT event_id, user_id, ts, event_type, value, props, CAST(regexp_e
 #: name -> (views it reads, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "v_events": ((), _EVENTS),
-    "v_packets": (
+    # Events in frame time: all sessions begin within five minutes, packets follow each other by about 40 ms, in bursts, after stalls of half a minute and more,
+    # and after a seek as fast or slow as that seek is; a third of the seeks are followed by another one at once (a storm).
+    "v_timed": (
         ("v_events",),
+        """SELECT event_id, user_id, event_type, value, k, seq, is_seek, 1767225600000000 + user_id % 300 * 1000000 + CAST(sum(step_us) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS at_us
+FROM (SELECT *, CASE WHEN seek_before AND is_seek THEN 300000 + k * 15000 WHEN seek_before THEN CASE k_before % 5 WHEN 0 THEN 180000 WHEN 1 THEN 640000 WHEN 2 THEN 1900000 WHEN 3 THEN 5300000 ELSE 66000000 END
+ WHEN k % 20 = 7 THEN 31000000 + k * 100000 WHEN k % 4 = 1 THEN 2000 ELSE 40000 + k % 5 * 1000 END AS step_us
+ FROM (SELECT *, coalesce(lag(is_seek) OVER (PARTITION BY user_id ORDER BY seq), false) AS seek_before, lag(k) OVER (PARTITION BY user_id ORDER BY seq) AS k_before
+  FROM (SELECT *, asked OR (k % 3 = 0 AND coalesce(lag(asked) OVER (PARTITION BY user_id ORDER BY seq), false)) AS is_seek
+   FROM (SELECT event_id, user_id, event_type, value, k, event_type = 'error' AND k < 20 AS asked, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq FROM {v_events}))))""",
+    ),
+    "v_packets": (
+        ("v_timed",),
         """SELECT session_id, seq, ts_us, k, is_seek,
  CASE WHEN k % 7 = 0 AND epoch_now > 0 AND NOT is_seek THEN epoch_now - 1 ELSE epoch_now END AS epoch,
  CASE event_type WHEN 'purchase' THEN 'audio' WHEN 'signup' THEN 'subtitle' ELSE 'video' END AS kind,
@@ -34,16 +45,19 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
  CASE WHEN k IN (24, 74) THEN 0 ELSE CAST(floor(value * 100) AS BIGINT) END AS size,
  CAST((CASE WHEN event_type IN ('click', 'view') AND k % 6 = 0 THEN 1 ELSE 0 END) + (CASE WHEN is_seek THEN 2 ELSE 0 END) + (CASE WHEN k = 99 THEN 4 ELSE 0 END) AS BIGINT) AS flags,
  CAST(CASE event_type WHEN 'purchase' THEN 40 WHEN 'signup' THEN 2000 END AS BIGINT) AS duration
-FROM (SELECT *, CAST(sum(CASE WHEN is_seek THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch_now
- FROM (SELECT user_id AS session_id, event_type, value, k, @us(ts) AS ts_us, event_type = 'error' AND k < 20 AS is_seek,
- CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq FROM {v_events}))""",
+FROM (SELECT user_id AS session_id, event_type, value, k, at_us AS ts_us, is_seek, seq,
+ CAST(sum(CASE WHEN is_seek THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch_now FROM {v_timed})""",
     ),
     "v_seeks": (
         ("v_packets",),
         """SELECT session_id, epoch, seq AS seek_seq, ts_us AS seek_us, (seq + 5) * 40 AS target_pts,
  CASE k % 3 WHEN 1 THEN CAST(0.1 AS DOUBLE) WHEN 2 THEN CAST(30 AS DOUBLE) END AS threshold_s FROM {v_packets} WHERE is_seek""",
     ),
-    "v_reports": (("v_events",), "SELECT user_id AS session_id, event_id, @us(ts) AS ts_us, CAST(floor(value * 100) AS BIGINT) AS buffered_ms, event_type <> 'error' AS playing FROM {v_events}"),
+    # a client reports every half second, out of step with its packets
+    "v_reports": (
+        ("v_timed",),
+        "SELECT user_id AS session_id, event_id, CAST(floor(at_us / 500000) AS BIGINT) * 500000 + user_id % 7 * 50000 AS ts_us, CAST(floor(value * 500) AS BIGINT) AS buffered_ms, event_type <> 'error' AS playing FROM {v_timed}",
+    ),
     "v_states": (
         ("v_events",),
         """SELECT user_id AS session_id, event_id, @us(ts) AS ts_us,
@@ -91,7 +105,7 @@ UNION ALL SELECT parent || '/./' || name FROM {v_catalog} WHERE length % 5 = 4 A
         """SELECT o_custkey AS clip_id, o_orderkey AS pos, CASE WHEN o_orderkey % 50 = 0 THEN -1.0 ELSE 1.0 END * (o_totalprice / 1000) AS start_s, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 1000 + 5 END AS end_s,
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Part ' || CAST(o_orderkey AS VARCHAR(20)) END AS title FROM {orders}""",
     ),
-    "v_positions": (("v_events",), "SELECT user_id AS clip_id, event_id, @us(ts) AS ts_us, value AS pos_s FROM {v_events}"),
+    "v_positions": (("v_timed",), "SELECT user_id AS clip_id, event_id, at_us AS ts_us, value AS pos_s FROM {v_timed}"),
     "v_stage_times": (
         (),
         """SELECT l_orderkey AS session_id, CASE l_returnflag WHEN 'A' THEN 'decode' WHEN 'N' THEN 'infer' ELSE 'encode' END AS stage, l_quantity AS ms FROM {lineitem}""",
@@ -115,12 +129,12 @@ UNION ALL SELECT parent || '/./' || name FROM {v_catalog} WHERE length % 5 = 4 A
  n_nationkey AS place, CASE WHEN n_nationkey % 4 = 2 THEN 'ffv1' WHEN n_nationkey < 12 THEN 'hevc_nvenc' ELSE 'libx265' END AS codec, 'opt' || CAST(n_nationkey AS VARCHAR(20)) AS options FROM {nation}""",
     ),
     "v_opens": (
-        ("v_events",),
-        """SELECT event_id, user_id AS client, @us(ts) AS ts_us, CASE k % 9 WHEN 0 THEN 'bogus' WHEN 1 THEN 'uplink' ELSE 'server_file' END AS source,
+        ("v_timed",),
+        """SELECT event_id, user_id AS client, 1767225600000000 + (at_us - 1767225600000000) * 8 AS ts_us, CASE k % 9 WHEN 0 THEN 'bogus' WHEN 1 THEN 'uplink' ELSE 'server_file' END AS source,
  CASE k % 8 WHEN 0 THEN 'wrong' WHEN 1 THEN 'external' WHEN 2 THEN NULL ELSE 'muxed' END AS aux_tracks, CASE k % 6 WHEN 0 THEN 'cached' WHEN 1 THEN 'none' ELSE 'embedded' END AS aux_attachments,
  'src' || CAST(event_id % 20 AS VARCHAR(20)) AS path_dir, event_id % 1000 AS path_id, k % 11 <> 0 AS has_video, CASE k % 10 WHEN 0 THEN 'unknown' ELSE 'passthrough' END AS model,
  CASE k % 12 WHEN 0 THEN 'stretch' WHEN 1 THEN 'cover' ELSE 'fit' END AS fit_mode, CASE event_id % 11 WHEN 0 THEN 'fast-bilinear' WHEN 1 THEN 'bilinear' WHEN 2 THEN 'bicubic' WHEN 3 THEN 'area' WHEN 4 THEN 'bicublin' WHEN 5 THEN 'gaussian' WHEN 6 THEN 'sinc' WHEN 7 THEN 'lanczos' WHEN 8 THEN 'spline' WHEN 9 THEN 'point' ELSE 'gauss' END AS resize_algorithm,
- CAST(floor(value * 100000) AS BIGINT) AS attachment_bytes, k % 4 = 0 AS cacheable FROM {v_events}""",
+ CAST(floor(value * 100000) AS BIGINT) AS attachment_bytes, k % 4 = 0 AS cacheable FROM {v_timed}""",
     ),
     "v_clients": (("v_events",), "SELECT '10.0.0.' || CAST(user_id % 50 AS VARCHAR(20)) AS ip, @us(ts) AS ts_us FROM {v_events}"),
     "v_hosts": (
@@ -131,9 +145,9 @@ UNION ALL SELECT parent || '/./' || name FROM {v_catalog} WHERE length % 5 = 4 A
  CASE s_suppkey % 5 WHEN 0 THEN 'visually-lossless' WHEN 1 THEN 'lossless-hevc' WHEN 2 THEN 'lossless-ffv1' WHEN 3 THEN 'hevc-qp4' ELSE 'hevc-qp99' END AS tier, CASE WHEN s_suppkey % 2 = 0 THEN 'auto' ELSE 'nvenc-p7' END AS profile FROM {supplier}""",
     ),
     "v_samples": (
-        ("v_events",),
-        """SELECT user_id AS session_id, event_id, @us(ts) AS ts_us, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes,
- value / 50 AS cache_s, k % 40 AS queued, k % 9 AS chunks, CAST(24 + k % 2 * 6 AS DOUBLE) AS fps, k < 10 AS paused_for_cache, CAST(k AS DOUBLE) AS infer_ms FROM {v_events}""",
+        ("v_timed",),
+        """SELECT user_id AS session_id, event_id, at_us AS ts_us, CAST(sum(CAST(floor(value * 1000) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes,
+ value / 50 AS cache_s, k % 40 AS queued, k % 9 AS chunks, CAST(24 + k % 2 * 6 AS DOUBLE) AS fps, k < 10 AS paused_for_cache, CAST(k AS DOUBLE) AS infer_ms FROM {v_timed}""",
     ),
     "v_tracks": (
         (),

@@ -6,18 +6,15 @@ and timers only bound state.  Every job runs on an unbounded stream; `drained` r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelframe.operators.sessions import STATS_SQL
 from reelframe.plans.registry import ORACLES, QUERIES
 from reelframe.plans.views import ansi_with, view
 from reelframe.session import shared_folder
 from reelframe.sources.files import parse_server_log, write_log
+from reelframe.streaming import lifecycle
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,86 +25,71 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("event_id", "user_id", "event_type", "value", k.alias("k"), us.alias("ts_us"), F.timestamp_micros(us).alias("at"))
 
 
-def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets as they arrive; what depends on earlier packets (epochs) is kept in state by the jobs."""
-    e = event_stream(spark, sf_dir)
-    return e.select(F.col("user_id").alias("session_id"), "event_id", "ts_us", "at", "k", ((F.col("event_type") == "error") & (F.col("k") < 20)).alias("is_seek"), (~F.col("event_type").isin("purchase", "signup")).alias("is_video"))
-
+def arriving(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with session_id, seq and ts_us as a stream of files, with `at` for watermarks.
 
-def drained(stream: DataFrame, *, mode: str = "append") -> DataFrame:
-    """Run a streaming job over everything that is available and return what it wrote, as a batch DataFrame.
-
-    The sink is a Parquet folder beside the checkpoint, in the folder that spark.checkpoint.dir names.
+    The server's clock (session -1) speaks once more, an hour after the last row, so that what waits for silence is told.
     """
-    spark = stream.sparkSession
-    base = shared_folder(spark, "stream")
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
-    else:  # update and complete results replace what an earlier batch wrote for a key
-        write = lambda df, batch: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
-        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
+    spark = rows.sparkSession
+    folder = shared_folder(spark, name)
+    rows.write.parquet(folder)
+    quiet = [F.lit(False).cast(kind) if kind == "boolean" else F.lit(None).cast(kind) for _, kind in rows.dtypes]
+    named = {"session_id": F.lit(-1).cast("long"), "seq": F.lit(0).cast("long"), "epoch": F.lit(0).cast("long"), "ts_us": F.max("ts_us") + 3_600_000_000}
+    clock = spark.read.parquet(folder).agg(*(named.get(c, x).alias(c) for c, x in zip(rows.columns, quiet, strict=True)))
+    clock.where("ts_us IS NOT NULL").write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder).withColumn("at", F.timestamp_micros("ts_us"))
 
-def epoch_guard(packets: DataFrame) -> DataFrame:
-    """Packets that are not older than their session's epoch when they arrive.
 
-    State is one number a session.  A packet claims the epoch before the current one where k is a multiple of 7, as the batch view has it.
-    """
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = view(spark, sf_dir, "v_packets")
+    return arriving(packets.select("session_id", "seq", "ts_us", "epoch", "is_seek", (F.col("kind") == "video").alias("is_video")), "packets")
 
-    def guard(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts_us", "event_id"], kind="stable")
-        epoch = current + rows["is_seek"].astype(int).cumsum()
-        claimed = epoch.where((rows["k"] % 7 != 0) | (epoch == 0) | rows["is_seek"], epoch - 1)
-        state.update((int(epoch.iloc[-1]),))
-        yield rows.assign(epoch=claimed)[claimed >= epoch][["session_id", "event_id", "epoch"]]
 
-    return packets.groupBy("session_id").applyInPandasWithState(guard, "session_id long, event_id long, epoch long", "epoch long", "append", GroupStateTimeout.NoTimeout)
+def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets and buffer reports of all sessions as one stream; a seek reports an empty buffer."""
+    packets = view(spark, sf_dir, "v_packets")
+    none, full = F.lit(None).cast("long").alias("buffered_ms"), F.lit(True).alias("playing")
+    rows = packets.select("session_id", "seq", "ts_us", F.lit(True).alias("is_packet"), none, full)
+    rows = rows.unionByName(packets.where("is_seek").select("session_id", "seq", "ts_us", F.lit(False).alias("is_packet"), F.lit(0).cast("long").alias("buffered_ms"), full))
+    reports = view(spark, sf_dir, "v_reports").select("session_id", F.col("event_id").alias("seq"), "ts_us", F.lit(False).alias("is_packet"), "buffered_ms", "playing")
+    return arriving(rows.unionByName(reports), "messages").where("session_id >= 0 OR is_packet = false").withColumn("buffered_ms", F.coalesce("buffered_ms", F.lit(0)))
 
 
-def fps_anchored(packets: DataFrame, *, min_s: float = 2.0) -> DataFrame:
-    """Frame rate in windows that begin at a session's first frame and close at the first frame `min_s` later or more."""
+def open_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arriving(view(spark, sf_dir, "v_opens").select(F.col("client").alias("session_id"), F.col("event_id").alias("seq"), "ts_us"), "opens")
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, n = state.get if state.exists else (None, 0)
-        out = []
-        for t in sorted(t for f in frames for t in f["ts_us"][f["is_video"]]):
-            if start is None:
-                start = t
-            n += 1
-            if t - start >= min_s * 1e6:
-                out.append((key[0], start, n / ((t - start) / 1e6)))
-                start, n = None, 0
-        if start is not None or n:
-            state.update((start, n))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["session_id", "start_us", "fps"])
 
-    return packets.groupBy("session_id").applyInPandasWithState(count, "session_id long, start_us long, fps double", "start long, n long", "append", GroupStateTimeout.NoTimeout)
+def seeks_of(packets: DataFrame) -> DataFrame:
+    """The seeks of a stream of packets, and the clock."""
+    return packets.where("is_seek OR session_id < 0").select("session_id", F.col("seq").alias("seek_seq"), "epoch", F.col("ts_us").alias("seek_us"), F.col("at").alias("seek_at"))
 
 
-def _hysteresis(high: int, resume: int) -> Callable:
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        paused = state.get[0] if state.exists else False
-        out = []
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts_us", "event_id"], kind="stable")
-        for at, level in zip(rows["ts_us"], rows["buffered_ms"], strict=True):
-            now = True if level > high else False if level <= resume else paused
-            if now != paused:
-                out.append((key[0], int(at), bool(now)))
-            paused = now
-        state.update((bool(paused),))
-        yield pd.DataFrame(out, columns=["session_id", "ts_us", "paused"])
+#: The state store that timers and state variables need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    return step
 
+def drained(stream: DataFrame, *, mode: str = "append") -> DataFrame:
+    """Run a streaming job over everything that is available and return what it wrote, as a batch DataFrame.
 
-def backpressure(reports: DataFrame, *, high: int = 10_000, resume: int = 9_500) -> DataFrame:
-    """Pauses and resumptions as buffer reports cross the two thresholds."""
-    return reports.groupBy("session_id").applyInPandasWithState(_hysteresis(high, resume), "session_id long, ts_us long, paused boolean", "paused boolean", "append", GroupStateTimeout.NoTimeout)
+    The sink is a Parquet folder beside the checkpoint, in the folder that spark.checkpoint.dir names; in complete mode each batch replaces what the last one wrote.
+    """
+    spark = stream.sparkSession
+    base = shared_folder(spark, "stream")
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, STORE)
+    try:
+        if mode == "append":
+            query = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{base}/out")
+        elif mode == "complete":
+            write = lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/out")
+            query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+        else:
+            raise ValueError(f"no result of mode {mode}: append or complete")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def first_seen(connections: DataFrame, *, horizon: str = "1 hour") -> DataFrame:
@@ -117,7 +99,7 @@ def first_seen(connections: DataFrame, *, horizon: str = "1 hour") -> DataFrame:
 
 def fps_window(packets: DataFrame, *, width: str = "2 seconds", late: str = "10 minutes") -> DataFrame:
     """Frames in aligned windows, once the watermark has passed them."""
-    by = packets.where("is_video").withWatermark("at", late).groupBy("session_id", F.window("at", width).alias("w"))
+    by = packets.withWatermark("at", late).where(F.when(F.col("is_video"), F.col("at")).isNotNull()).groupBy("session_id", F.window("at", width).alias("w"))
     return by.agg(F.count("*").alias("frames")).select("session_id", F.unix_micros("w.start").alias("start_us"), "frames")
 
 
@@ -130,35 +112,10 @@ def stats_rollup(lines: DataFrame, *, width: str = "1 minute", slide: str = "30
     ).select("session", F.unix_micros("w.start").alias("start_us"), "n", "fps", "infer_fps", "most_cached", "least_buffered_ms", "paused")
 
 
-def seek_first_packet(packets: DataFrame) -> DataFrame:
-    """Each seek of a session and epoch with the time to the first packet of its epoch; null where a newer seek came first.
-
-    State is a session's epoch and the seek that still waits; that one is told when its packet or a newer seek comes.
-    """
-
-    def first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current, seek_id, seek_us = state.get if state.exists else (0, -1, 0)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts_us", "event_id"], kind="stable")
-        epoch = current + rows["is_seek"].astype(int).cumsum()
-        fresh = ~rows["is_seek"] & ((rows["k"] % 7 != 0) | (epoch == 0))
-        came = rows[fresh].groupby(epoch[fresh])["ts_us"].min()
-        seeks = rows.assign(epoch=epoch)[rows["is_seek"]][["epoch", "event_id", "ts_us"]]
-        if seek_id >= 0:
-            seeks = pd.concat([pd.DataFrame({"epoch": [current], "event_id": [seek_id], "ts_us": [seek_us]}), seeks])
-        seeks = seeks.assign(latency_us=(seeks["epoch"].map(came) - seeks["ts_us"]).astype("Int64"))
-        last = int(epoch.iloc[-1])
-        waits = seeks[(seeks["epoch"] == last) & seeks["latency_us"].isna()]
-        state.update((last, int(waits["event_id"].iloc[0]), int(waits["ts_us"].iloc[0])) if len(waits) else (last, -1, 0))
-        told = seeks[(seeks["epoch"] < last) | seeks["latency_us"].notna()]
-        yield told.assign(session_id=key[0]).rename(columns={"event_id": "seek_id"})[["session_id", "epoch", "seek_id", "latency_us"]]
-
-    return packets.groupBy("session_id").applyInPandasWithState(first, "session_id long, epoch long, seek_id long, latency_us long", "epoch long, seek_id long, seek_us long", "append", GroupStateTimeout.NoTimeout)
-
-
 def session_windows(messages: DataFrame, *, gap: str = "240 seconds") -> DataFrame:
     """Runs of messages of a client without a silence longer than the gap."""
-    by = messages.withWatermark("at", "1 minute").groupBy(F.session_window("at", gap).alias("w"), F.col("user_id"))
-    return by.agg(F.count("*").alias("n")).select(F.col("user_id").alias("client"), F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("stop_us"), "n")
+    by = messages.withWatermark("at", "1 minute").groupBy(F.session_window("at", gap).alias("w"), F.col("session_id"))
+    return by.agg(F.count("*").alias("n")).select(F.col("session_id").alias("client"), F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("stop_us"), "n")
 
 
 def stats_sink(samples: DataFrame) -> DataFrame:
@@ -170,10 +127,6 @@ def _connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_stream(spark, sf_dir).select(F.concat(F.lit("10.0.0."), (F.col("user_id") % 50).cast("string")).alias("ip"), "ts_us", "at")
 
 
-def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_stream(spark, sf_dir).select(F.col("user_id").alias("session_id"), "event_id", "ts_us", F.floor(F.col("value") * 100).cast("long").alias("buffered_ms"))
-
-
 def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of all sessions as a stream of files."""
     at = shared_folder(spark, "logs")
@@ -183,40 +136,38 @@ def _log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES.update(
     {
-        "epoch_guard": lambda s, d: drained(epoch_guard(packet_stream(s, d))),
-        "fps_anchored": lambda s, d: drained(fps_anchored(packet_stream(s, d))),
-        "backpressure_stream": lambda s, d: drained(backpressure(_reports(s, d))),
+        "epoch_guard": lambda s, d: drained(lifecycle.epoch_guard(packet_stream(s, d))).where("session_id >= 0"),
+        "fps_anchored": lambda s, d: drained(lifecycle.fps_anchored(packet_stream(s, d))),
+        "backpressure_stream": lambda s, d: drained(lifecycle.backpressure(message_stream(s, d))),
         "first_seen_stream": lambda s, d: drained(first_seen(_connections(s, d))),
-        "fps_window_stream": lambda s, d: drained(fps_window(packet_stream(s, d)), mode="complete"),
+        "fps_window_stream": lambda s, d: drained(fps_window(packet_stream(s, d))),
         "stats_rollup": lambda s, d: drained(stats_rollup(_log_lines(s, d)), mode="complete"),
-        "seek_first_packet_stream": lambda s, d: drained(seek_first_packet(packet_stream(s, d))),
-        "open_inactivity_stream": lambda s, d: drained(session_windows(event_stream(s, d)), mode="complete"),
+        "seek_first_packet_stream": lambda s, d: drained(lifecycle.seek_first_packet(seeks_of(p := packet_stream(s, d)), p)).where("session_id >= 0"),
+        "seek_ticks_stream": lambda s, d: drained(lifecycle.seek_ticks(packet_stream(s, d))),
+        "open_inactivity_stream": lambda s, d: drained(session_windows(open_stream(s, d))).where("client >= 0"),
+        "inactivity_alarm": lambda s, d: drained(lifecycle.inactivity_alarm(open_stream(s, d))).where("session_id >= 0"),
         "sink_stats_stream": lambda s, d: drained(stats_sink(event_stream(s, d))),
     }
 )
 
-_EPOCHS = """ e AS (SELECT user_id AS session_id, event_id, epoch_us(ts) AS ts_us, k, event_type, event_type = 'error' AND k < 20 AS is_seek, CAST(sum(CASE WHEN event_type = 'error' AND k < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM v_events)"""
-#: Jobs whose result doesn't depend on how far a watermark came: those with windows are drained in complete mode.
+#: Jobs whose result doesn't depend on how far a watermark came: the clock closes all windows, or they are drained in complete mode.
 ORACLES.update(
     {
-        "epoch_guard": ansi_with(("v_events",))
-        + """ SELECT session_id, event_id, epoch FROM (SELECT user_id AS session_id, event_id, k, event_type = 'error' AND k < 20 AS is_seek,
- CAST(sum(CASE WHEN event_type = 'error' AND k < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch FROM v_events) WHERE k % 7 <> 0 OR epoch = 0 OR is_seek""",
-        "backpressure_stream": ansi_with(("v_reports",))
-        + """, c AS (SELECT *, CASE WHEN buffered_ms > 10000 THEN true WHEN buffered_ms <= 9500 THEN false END AS x FROM v_reports),
-s AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING), false) AS paused FROM c),
-l AS (SELECT *, coalesce(lag(paused) OVER (PARTITION BY session_id ORDER BY ts_us, event_id), false) AS before FROM s) SELECT session_id, ts_us, paused FROM l WHERE paused <> before""",
-        "fps_window_stream": ansi_with(("v_events",))
-        + """ SELECT user_id AS session_id, epoch_us(ts) // 2000000 * 2000000 AS start_us, count(*) AS frames FROM v_events WHERE event_type NOT IN ('purchase', 'signup') GROUP BY 1, 2""",
+        "epoch_guard": ansi_with(("v_packets",))
+        + """ SELECT session_id, seq, epoch FROM (SELECT *, coalesce(max(CASE WHEN is_seek THEN epoch END) OVER (PARTITION BY session_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS cur FROM v_packets) WHERE epoch >= cur""",
+        "backpressure_stream": ORACLES["backpressure"],
+        "seek_first_packet_stream": ORACLES["seek_first_packet"],
+        "seek_ticks_stream": ORACLES["seek_ticks"],
+        "inactivity_alarm": ansi_with(("v_opens",))
+        + """ SELECT client AS session_id, event_id AS seq, ts_us AS since_us FROM (SELECT *, lead(ts_us) OVER (PARTITION BY client ORDER BY ts_us, event_id) - ts_us AS gap FROM v_opens) WHERE gap IS NULL OR gap > 240000000""",
+        "fps_window_stream": ansi_with(("v_packets",))
+        + """ SELECT session_id, ts_us // 2000000 * 2000000 AS start_us, count(*) AS frames FROM v_packets WHERE kind = 'video' GROUP BY 1, 2""",
         "stats_rollup": ansi_with(("v_samples",))
         + f""", p AS (SELECT ts_us, {STATS_SQL} FROM v_samples WHERE event_id % 20 > 4), w AS (SELECT *, unnest([0, 1]) AS back FROM p)
  SELECT session, (ts_us // 1000 * 1000 // 30000000 - back) * 30000000 AS start_us, count(*) AS n, round(avg(fps), 6) AS fps, round(avg(infer_fps), 6) AS infer_fps, max(in_flight) AS most_cached, min(buffered_ms) AS least_buffered_ms,
  count(*) FILTER (WHERE pacing = 'PAUSED') AS paused FROM w GROUP BY 1, 2""",
-        "seek_first_packet_stream": ansi_with(("v_events",))
-        + f""",{_EPOCHS}, f AS (SELECT session_id, epoch, min(ts_us) AS first_us FROM e WHERE NOT is_seek AND (k % 7 <> 0 OR epoch = 0) GROUP BY ALL), l AS (SELECT session_id, max(epoch) AS last FROM e GROUP BY 1)
- SELECT session_id, epoch, event_id AS seek_id, first_us - ts_us AS latency_us FROM e LEFT JOIN f USING (session_id, epoch) JOIN l USING (session_id) WHERE is_seek AND (first_us IS NOT NULL OR epoch < last)""",
-        "open_inactivity_stream": ansi_with(("v_events",))
-        + """, g AS (SELECT user_id AS client, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 240000000, true) AS fresh FROM v_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        "open_inactivity_stream": ansi_with(("v_opens",))
+        + """, g AS (SELECT client, ts_us AS us, coalesce(ts_us - lag(ts_us) OVER w >= 240000000, true) AS fresh FROM v_opens WINDOW w AS (PARTITION BY client ORDER BY ts_us, event_id)),
  r AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY client ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT * FROM g ORDER BY client, us, NOT fresh))
  SELECT client, min(us) AS start_us, max(us) + 240000000 AS stop_us, count(*) AS n FROM r GROUP BY client, run""",
         "sink_stats_stream": ansi_with(("v_events",)) + " SELECT user_id AS session_id, epoch_us(ts) AS ts_us, value FROM v_events WHERE event_type <> 'error' AND k % 10 <> 9",

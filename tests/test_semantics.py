@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reelframe.functions.exprs import infer_scale, safe_name
 from reelframe.operators import attachments, catalog, chapters, frames, packets, seeks, sessions, sizes
 from reelframe.plans.views import view
+from reelframe.streaming import lifecycle
 from reelframe.streaming import sessions as streams
 
 FEW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -127,24 +128,45 @@ def test_backpressure_follows_the_thresholds(spark, sf):
     assert [(x.session_id, x.seq, x.paused) for x in sessions.backpressure(p, r).orderBy("session_id", "seq").collect()] == want
 
 
-def test_streams_equal_their_batch_twins(spark, sf):
-    kept = packets.drop_stale_epochs(view(spark, sf, "v_packets")).count()
-    assert streams.drained(streams.epoch_guard(streams.packet_stream(spark, sf))).count() == kept
-    batch = {(r.session_id, r.start_s): r.fps for r in packets.fps_window(view(spark, sf, "v_packets")).collect()}
-    for r in streams.drained(streams.fps_window(streams.packet_stream(spark, sf))).withColumn("s", F.expr("start_us div 1000000")).collect():
-        assert batch[r.session_id, r.s] == r.frames / 2
+def share(rows, condition):
+    return rows.agg((F.count_if(condition) / F.count("*")).alias("x")).first()["x"]
+
+
+def test_fixtures_reach_both_sides_of_every_threshold(spark):
+    """Each outcome of the operators with thresholds in seconds has a fair share of the rows."""
+    of = lambda *names: (view(spark, "/root/testdata/sf0.01", n) for n in names)
+    s, p, r = of("v_seeks", "v_packets", "v_reports")
+    latency = seeks.seek_first_packet(s, p).cache()
+    for outcome in (F.col("latency_us").isNull(), F.col("latency_us") < 750_000, F.col("latency_us") >= 750_000):
+        assert share(latency, outcome) >= 0.05
+    n = s.count()
+    assert 0.05 * n <= seeks.seek_coalesce(s).count() <= 0.95 * n
+    ticks = seeks.seek_ticks(s, p).groupBy("session_id", "seek_seq").agg(F.bool_or("gave_up").alias("gave_up"))
+    assert 0.05 <= share(ticks, F.col("gave_up")) <= 0.95
+    report = seeks.seek_report(s, p)
+    assert report.where("flush_us > latency_us").count() == 0 and share(report, F.col("flush_us") < F.col("latency_us")) >= 0.05
+    estimate = sessions.buffer_estimate(p, r).join(r.select("session_id", "ts_us").distinct().withColumn("here", F.lit(True)), ["session_id", "ts_us"], "left")
+    assert share(estimate, F.col("here").isNull()) >= 0.5
+    pauses = sessions.backpressure(p, r)
+    assert 0.05 <= share(pauses, F.col("paused")) <= 0.95
+    assert share(packets.fps_window(p), F.col("fps") > 2) >= 0.05
+    total = p.count()
+    assert 0.05 * total <= packets.epoch_gap(p).count() <= 0.5 * total
+    assert 0.05 * total <= sessions.report_gaps(r).count() <= 0.5 * total
+    opens = next(of("v_opens"))
+    assert 0.05 * total <= sessions.open_inactivity(opens).count() <= 0.5 * total
 
 
 def test_anchored_frame_rates(spark, sf):
     """Against a loop over each session's frames."""
     want, state = [], {}
-    for session, t in sorted((r.user_id, r.us) for r in view(spark, sf, "v_events").where("event_type NOT IN ('purchase', 'signup')").selectExpr("user_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS us").collect()):
+    for session, t in sorted((r.session_id, r.ts_us) for r in view(spark, sf, "v_packets").where("kind = 'video'").collect()):
         start, n = state.get(session, (t, 0))
         state[session] = (start, n + 1)
         if t - start >= 2_000_000:
             want.append((session, start, (n + 1) / ((t - start) / 1e6)))
             del state[session]
-    got = streams.drained(streams.fps_anchored(streams.packet_stream(spark, sf))).collect()
+    got = streams.drained(lifecycle.fps_anchored(streams.packet_stream(spark, sf))).collect()
     assert want and sorted(map(tuple, got)) == sorted(want)
 
 
