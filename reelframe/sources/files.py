@@ -6,10 +6,7 @@ Each registered query first writes its input files with Spark from a derived vie
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,11 +16,7 @@ from reelframe.operators.sessions import STATS_FIELDS, STATS_SQL, stats_fields,
 from reelframe.plans.registry import ORACLES, QUERIES
 from reelframe.plans.views import ansi_with, view
 from reelframe.session import shared_folder
-
-# Header of a packet in a capture, little-endian: payload length, flags, epoch, pts, dts; and the stamp that means none.
-HEADER, NO_STAMP = struct.Struct("<IBIqq"), -(2**63)
-#: Packets of a capture file at most: what a task holds doesn't grow with a session.
-BLOCK = 4096
+from reelframe.sources.captures import scan_packets, write_captures
 
 
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -63,60 +56,6 @@ def scan_models(spark: SparkSession, root: str) -> DataFrame:
     return with_sidecars(models, text.select(stem(F.input_file_name()).alias("model"), F.regexp_replace("value", "^\ufeff", "").alias("json")))
 
 
-def packets_of(data: bytes) -> Iterator[tuple]:
-    """(size, flags, epoch, pts, dts, corrupt) of each packet of a capture; nulls and corrupt for a tail that is cut off."""
-    at = 0
-    while at < len(data):
-        whole = at + HEADER.size <= len(data)
-        n, flags, epoch, pts, dts = HEADER.unpack_from(data, at) if whole else (0, 0, 0, 0, 0)
-        at += HEADER.size + n
-        if not whole or at > len(data):
-            yield None, None, None, None, None, True
-            return
-        yield n, flags, epoch, None if pts == NO_STAMP else pts, None if dts == NO_STAMP else dts, False
-
-
-def decode_packets(captures: DataFrame, *keys: str) -> DataFrame:
-    """Packets of captures (keys and the bytes as content), numbered from 1 within each."""
-    kinds, n = dict(captures.dtypes), len(keys)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, body in enumerate(batch.column(n)):
-                rows = list(packets_of(body.as_py() or b""))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                types = [pa.int64()] * 5 + [pa.bool_()]
-                names = [pa.array([batch.column(k)[at].as_py()] * len(rows), batch.column(k).type) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(range(1, len(rows) + 1), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, types, strict=True))], [*keys, "seq", "size", "flags", "epoch", "pts", "dts", "corrupt"])
-
-    return captures.select(*keys, "content").mapInArrow(decode, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", seq long, size long, flags long, epoch long, pts long, dts long, corrupt boolean")
-
-
-def count_packets(captures: DataFrame, *keys: str) -> DataFrame:
-    """The keys of captures and the number of packets of each."""
-    kinds, n = dict(captures.dtypes), len(keys)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts = [sum(1 for _ in packets_of(body.as_py() or b"")) for body in batch.column(n)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(counts, pa.int64())], [*keys, "n"])
-
-    return captures.select(*keys, "content").mapInArrow(count, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long")
-
-
-def decode_blocks(captures: DataFrame) -> DataFrame:
-    """Packets of captures cut into blocks (session_id, block, content), numbered from 1 over the blocks of each session."""
-    before = W.partitionBy("session_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    starts = count_packets(captures, "session_id", "block").select("session_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rows = decode_packets(captures, "session_id", "block").join(starts, ["session_id", "block"])
-    return rows.withColumn("seq", F.col("seq") + F.col("start")).drop("block", "start")
-
-
-def scan_packets(spark: SparkSession, glob: str) -> DataFrame:
-    """Packets of many framed captures, files in parallel; a file cut off within a packet gives a last row marked corrupt."""
-    return decode_packets(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(glob), "path")
-
-
 def scan_server_log(spark: SparkSession, glob: str) -> DataFrame:
     """Log lines as typed rows; a line without a timestamp continues the one before and has none."""
     return parse_server_log(spark.read.option("recursiveFileLookup", True).text(glob))
@@ -164,30 +103,19 @@ def sink_object_store(bodies: DataFrame, path: str, *, store: DataFrame | None =
     return bodies.sparkSession.read.parquet(path).select("sha256", "size")
 
 
-def write_captures(packets: DataFrame, at: str, *, block: int = BLOCK) -> None:
-    """Each session's packets as captures of at most `block` packets, one text file each."""
-    little = lambda c, n: F.unhex(F.array_join(F.reverse(F.filter(F.split(F.lpad(F.right(F.hex(c), F.lit(2 * n)), 2 * n, F.lit("0")), "(?<=\\G..)"), lambda x: x != "")), ""))
-    stamp = lambda c: F.coalesce(c, F.lit(NO_STAMP).cast("long"))
-    size = F.col("size") % 8
-    row = F.concat(little(size, 4), little(F.col("flags"), 1), little(F.col("epoch"), 4), little(stamp(F.col("pts")), 8), little(stamp(F.col("dts")), 8), F.substring(F.lit(b"........"), F.lit(1), size.cast("int")))
-    parts = packets.select("session_id", F.floor((F.col("seq") - 1) / block).cast("long").alias("block"), "seq", F.hex(row).alias("b"))
-    files = parts.groupBy("session_id", "block").agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("rows"))
-    # one text file per block holds it in hexadecimal digits, which any Spark writer can write; the scan gets the bytes
-    files.select("session_id", "block", F.array_join("rows.b", "").alias("hex")).write.partitionBy("session_id", "block").text(at)
-
-
-def read_captures(spark: SparkSession, at: str) -> DataFrame:
-    """session_id, block and content of the captures of write_captures."""
-    body = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(at)
-    part = lambda name: F.regexp_extract(F.input_file_name(), rf"/{name}=(\d+)/", 1).cast("long").alias(name)
-    return body.select(part("session_id"), part("block"), F.unhex(F.trim(F.regexp_replace("value", r"\s", ""))).alias("content"))
+#: Packets of a capture file at most.
+BLOCK = 1_000_000
 
 
 def _packets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write each session's packets as captures of bounded blocks, read them back."""
+    """Write each session's packets, with payloads of up to a kilobyte, as captures; scan those by ranges of a quarter of a megabyte."""
     at = shared_folder(spark, "captures")
-    write_captures(view(spark, sf_dir, "v_packets"), at)
-    return decode_blocks(read_captures(spark, at))
+    payload = F.expr("substring(repeat(CAST(seq % 1000 AS STRING), 1024), 1, CAST(size % 1024 AS INT))").cast("binary")
+    written = write_captures(view(spark, sf_dir, "v_packets").withColumn("payload", payload), at, block=BLOCK)
+    written.agg(F.sum("n")).first()
+    of = lambda i: F.regexp_extract("path", r"/(-?\d+)-(\d+)\.cap$", i).cast("long")
+    rows = scan_packets(spark, at, chunk_bytes=1 << 18)
+    return rows.select(of(1).alias("session_id"), (F.col("seq") + of(2) * BLOCK).alias("seq"), "size", "flags", "epoch", "pts", "dts", "corrupt")
 
 
 def write_log(samples: DataFrame, at: str) -> None:
@@ -259,7 +187,7 @@ def _store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES.update({"scan_packets": _packets_query, "scan_server_log": _log_query, "scan_status": _status_query, "scan_models": _models_query, "scan_catalog": _catalog_query, "sink_object_store": _store_query})
 ORACLES.update(
     {
-        "scan_packets": ansi_with(("v_packets",)) + " SELECT session_id, seq, size % 8 AS size, flags, epoch, pts, dts, false AS corrupt FROM v_packets",
+        "scan_packets": ansi_with(("v_packets",)) + " SELECT session_id, seq, size % 1024 AS size, flags, epoch, pts, dts, false AS corrupt FROM v_packets",
         "scan_server_log": ansi_with(("v_samples",))
         + f""", f AS (SELECT event_id % 20 AS e, event_id, session_id AS sid, queued AS q, ts_us, {STATS_SQL} FROM v_samples)
  SELECT CASE WHEN e > 0 THEN ts_us // 1000 END AS ts_ms, CASE WHEN e = 0 THEN NULL WHEN e = 2 THEN 'WARNING' WHEN e = 4 THEN 'DEBUG' ELSE 'INFO' END AS level, CASE WHEN e = 0 THEN NULL WHEN e IN (1, 2) THEN 'media.session' WHEN e = 3 THEN 'media.pipeline' WHEN e = 4 THEN 'media' ELSE 'media.stats' END AS logger,

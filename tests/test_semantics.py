@@ -1,6 +1,5 @@
 """Literal cases, and jobs against short sequential models."""
 
-import random
 
 import numpy as np
 import pytest
@@ -251,15 +250,6 @@ def test_frame_arguments(spark):
         frames.upscale_tiled(f, tile=8, overlap=3)
 
 
-def test_captures_cut_off_in_a_packet():
-    from reelframe.sources.files import HEADER, NO_STAMP, packets_of
-
-    whole = HEADER.pack(2, 1, 3, 40, NO_STAMP) + b"ab"
-    assert list(packets_of(whole + whole[:9])) == [(2, 1, 3, 40, None, False), (None, None, None, None, None, True)]
-    random.seed(1)
-    assert list(packets_of(b"")) == []
-
-
 def test_big_joins_have_no_cross_product(spark, sf):
     from reelframe import catalogue
 
@@ -268,8 +258,8 @@ def test_big_joins_have_no_cross_product(spark, sf):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_model_and_capture_files(spark, tmp_path):
-    from reelframe.sources.files import HEADER, scan_catalog, scan_models, scan_packets
+def test_model_files(spark, tmp_path):
+    from reelframe.sources.files import scan_catalog, scan_models
 
     root = tmp_path / "root"
     (root / "a").mkdir(parents=True)
@@ -281,10 +271,6 @@ def test_model_and_capture_files(spark, tmp_path):
     assert {r.model: r.scale for r in scan_models(spark, str(root)).collect()} == {"net-x4": 4, "plain": 3, "null": None}
     names = {(r.path, r.is_dir) for r in scan_catalog(spark, str(root)).collect()}
     assert ("a", True) in names and ("a/plain.onnx", False) in names and len(names) == 8
-    captures = tmp_path / "captures"
-    captures.mkdir()
-    (captures / "one.bin").write_bytes(HEADER.pack(1, 4, 2, 7, 8) + b"x" + b"tail")
-    assert [(r.seq, r.size, r.flags, r.pts, r.corrupt) for r in scan_packets(spark, str(captures)).orderBy("seq").collect()] == [(1, 1, 4, 7, False), (2, None, None, None, True)]
 
 
 def test_file_queries_hold_every_row(spark, sf):
@@ -299,16 +285,3 @@ def test_file_queries_hold_every_row(spark, sf):
     broken = {k for k, r in models.items() if r.has_sidecar and r.model_id % 30 == 0}
     assert broken and set(scales) == set(models) - broken
     assert all(scales[k] == r.sidecar_scale for k, r in models.items() if r.has_sidecar and k not in broken)
-
-
-def test_long_session_is_cut_into_captures(spark, tmp_path):
-    """A long session goes to several bounded files, and its packets are numbered over them."""
-    from reelframe.sources.files import decode_blocks, read_captures, write_captures
-
-    kinds = "session_id long, seq long, size long, flags long, epoch long, pts long, dts long"
-    rows = [(1, k, k, k % 8, k // 10, None if k % 3 == 0 else k * 40, k * 40 - 40) for k in range(1, 101)] + [(2, 1, 9, 4, 0, 0, None)]
-    write_captures(spark.createDataFrame(rows, kinds), str(tmp_path / "c"), block=8)
-    files = read_captures(spark, str(tmp_path / "c"))
-    assert files.count() == 14 and files.agg(F.max(F.octet_length("content"))).first()[0] <= 8 * 32
-    got = decode_blocks(files).select("session_id", "seq", "size", "flags", "epoch", "pts", "dts")
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(((a, b, c % 8, *r) for a, b, c, *r in rows), key=str)
