@@ -100,11 +100,11 @@ def client_buffer_ms(samples: DataFrame) -> DataFrame:
     return samples.select("session_id", "event_id", ms.alias("buffered_ms"))
 
 
-def stats_line(session, state, epoch, fps, infer_ms, decoded, upscaled, down, buffered_ms, paused) -> Column:
-    """The line that a server logs of a session: state, rates, stages, caches and pacing; without an inference time its rate reads n/a, halves go to even."""
+def stats_line(session, state, epoch, fps, infer_ms, decode_ms, encode_ms, decoded, upscaled, down, buffered_ms, paused) -> Column:
+    """The line that a server logs of a session: state, rates, stages, caches and pacing; without an inference time its rate and stages read n/a, halves go to even."""
     measured = infer_ms > 0
     rate = F.when(measured, F.format_string("%5.1f", F.rint(10_000 / infer_ms) / 10)).otherwise("  n/a")
-    stages = F.when(measured, F.format_string("infer=%.1fms", infer_ms)).otherwise("stages=n/a")
+    stages = F.when(measured, F.format_string("decode=%.1fms infer=%.1fms encode=%.1fms", decode_ms, infer_ms, encode_ms)).otherwise("stages=n/a")
     return F.format_string(
         "session %s %s epoch=%d source=server_file | pipeline %5.1f fps | onnx %s fps | %s | output=%dx%d codec=%s encoder=%s tier=%s | cached frames: in-flight=%d (dec=%d up=%d down=%d) uplink-pkts=%d"
         " | client buffer %5d ms (est %5d) | %s | frames %d in / %d out",
@@ -144,10 +144,25 @@ def stats_fields(line: Column) -> list[Column]:
     return [F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).cast(kind).alias(name) for name, pattern, kind in STATS_FIELDS]
 
 
+def stage_times(line: Column) -> Column:
+    """Milliseconds of each stage that a stats line names; null where it has none."""
+    found = F.regexp_extract_all(F.regexp_extract(line, r"\| ([^|]*) \| output=", 1), F.lit(r"\S+=[\d.]+ms"), F.lit(0))
+    entry = lambda x: F.struct(F.substring_index(x, "=", 1), F.regexp_extract(x, r"=([\d.]+)ms$", 1).cast("double"))
+    return F.when(F.size(found) > 0, F.map_from_entries(F.transform(found, entry)))
+
+
+def sample_line() -> Column:
+    """The stats line of a row of v_samples."""
+    return stats_line(
+        F.col("session_id").cast("string"), F.lit("playing"), F.col("queued"), F.col("fps"), F.col("infer_ms"), F.col("queued") / 2, F.col("chunks").cast("double"), F.col("queued"), F.col("chunks"), F.lit(1),
+        (F.col("cache_s") * 1000).cast("long"), F.col("paused_for_cache"),
+    )
+
+
 def log_line_fields(samples: DataFrame) -> DataFrame:
     """Session snapshots written as stats lines and read back, every field; a missing or zero inference time is null."""
-    line = stats_line(F.col("session_id").cast("string"), F.lit("playing"), F.col("queued"), F.col("fps"), F.col("infer_ms"), F.col("queued"), F.col("chunks"), F.lit(1), (F.col("cache_s") * 1000).cast("long"), F.col("paused_for_cache"))
-    return samples.select("event_id", line.alias("line")).select("event_id", *stats_fields(F.col("line")))
+    rows = samples.select("event_id", sample_line().alias("line")).withColumn("stage_ms", stage_times(F.col("line")))
+    return rows.select("event_id", *stats_fields(F.col("line")), *(F.col("stage_ms")[k].alias(f"{k}_ms") for k in ("decode", "encode")))
 
 
 def distinct_clients(connections: DataFrame) -> DataFrame:
@@ -175,12 +190,42 @@ def position_hold(positions: DataFrame, seeks: DataFrame, *, near_s: float = 5.0
     return rows.withColumn("free", F.max(free).over(order)).where("free").select("clip_id", "event_id", "pos_s")
 
 
-def scan_control(messages: DataFrame) -> DataFrame:
-    """Control messages from JSON text: the typed fields, and error rows for what is no JSON object or has no type."""
-    text = F.when(F.col("k") % 17 == 0, F.substring("props", 1, 3)).when(F.col("k") % 13 == 0, F.col("props")).otherwise(F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "k": '), F.col("k").cast("string"), F.lit(', "extra": 1}')))
-    rows = messages.select("event_id", F.from_json(text, "type string, k long").alias("m"))
-    bad = F.col("m.type").isNull()
-    return rows.select("event_id", F.coalesce("m.type", F.lit("error")).alias("type"), F.when(~bad, F.col("m.k")).alias("k"), F.when(bad, "bad_message").alias("error"))
+#: Known fields of control messages by name, path and type; what else a message says stays in `rest`.
+CONTROL_FIELDS = (
+    ("protocol_version", "$.protocol_version", "int"),
+    ("client_name", "$.client_name", "string"),
+    ("source_kind", "$.source.type", "string"),
+    ("source_path", "$.source.path", "string"),
+    ("model", "$.model", "string"),
+    ("quality_tier", "$.quality_tier", "string"),
+    ("display_w", "$.display.w", "long"),
+    ("display_h", "$.display.h", "long"),
+    ("target_pts", "$.target_pts", "long"),
+    ("epoch", "$.epoch", "long"),
+    ("buffered_ms", "$.buffered_ms", "long"),
+    ("playing_pts", "$.playing_pts", "long"),
+)
+
+
+def scan_control(messages: DataFrame, text: str = "text") -> DataFrame:
+    """Control messages from JSON text, beside their other columns: type, the known fields, the whole message as a variant, and what no field knows.
+
+    A field of another kind than expected is null (a `source` that is a plain name is its kind).  A text that is no JSON object, or has no type, is an error row: type `error`,
+    error `bad_message`, nothing else.  `rest` maps the names of unknown fields to their JSON, null without any.
+    """
+    rows = messages.withColumn("message", F.try_parse_json(text))
+    of = lambda path, kind: F.try_variant_get("message", path, kind)
+    kind = of("$.type", "string")
+    is_object = F.schema_of_variant("message").startswith("OBJECT")
+    fine = F.coalesce(is_object & kind.isNotNull(), F.lit(False))
+    known = {path.split(".")[1] for _, path, _ in CONTROL_FIELDS} | {"type"}
+    every = F.from_json(text, "map<string, string>")
+    rest = F.map_filter(every, lambda name, _: ~name.isin(*sorted(known)))
+    fields = [F.when(fine, F.coalesce(of(path, as_), of("$.source", "string")) if name == "source_kind" else of(path, as_)).alias(name) for name, path, as_ in CONTROL_FIELDS]
+    others = [F.col(c) for c in messages.columns if c != text]
+    return rows.select(
+        *others, F.when(fine, kind).otherwise("error").alias("type"), F.when(~fine, F.lit("bad_message")).alias("error"), *fields, F.when(fine, F.col("message")).alias("message"), F.when(fine & (F.size(rest) > 0), rest).alias("rest")
+    )
 
 
 _PLAY = "lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) IN ('.mkv', '.mp4', '.m4v', '.avi', '.mov', '.ts', '.webm')"
@@ -214,12 +259,23 @@ query("client_buffer_ms", "v_samples", client_buffer_ms, "SELECT session_id, eve
 STATS_SQL = """CAST(session_id AS VARCHAR) AS session, 'playing' AS state, queued AS epoch, 'server_file' AS source, fps, CASE WHEN infer_ms > 0 THEN CAST(printf('%.1f', CAST(1000 / infer_ms AS DOUBLE)) AS DOUBLE) END AS infer_fps, CASE WHEN infer_ms > 0 THEN infer_ms END AS infer_ms,
  CAST(1920 AS BIGINT) AS width, CAST(1080 AS BIGINT) AS height, 'hevc' AS codec, 'hevc_nvenc' AS encoder, 'hevc-qp18' AS tier, queued + chunks + 1 AS in_flight, queued AS decoded, chunks AS upscaled, CAST(1 AS BIGINT) AS down, CAST(0 AS BIGINT) AS uplink,
  CAST(trunc(cache_s * 1000) AS BIGINT) AS buffered_ms, CAST(trunc(cache_s * 1000) AS BIGINT) AS estimate_ms, CASE WHEN paused_for_cache THEN 'PAUSED' ELSE 'flowing' END AS pacing, queued * 24 AS frames_in, queued * 23 AS frames_out"""
-query("log_line_fields", "v_samples", log_line_fields, f"SELECT event_id, {STATS_SQL} FROM v_samples")
+STAGES_SQL = "CASE WHEN infer_ms > 0 THEN CAST(queued AS DOUBLE) / 2 END AS decode_ms, CASE WHEN infer_ms > 0 THEN CAST(chunks AS DOUBLE) END AS encode_ms"
+query("log_line_fields", "v_samples", log_line_fields, f"SELECT event_id, {STATS_SQL}, {STAGES_SQL} FROM v_samples")
 query("distinct_clients", "v_clients", distinct_clients, "SELECT ip, min(ts_us) AS first_seen_us FROM v_clients GROUP BY ip")
 query("first_seen", "v_clients", first_seen, "SELECT ip, ts_us FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY ip ORDER BY ts_us) AS gap FROM (SELECT DISTINCT * FROM v_clients)) WHERE gap IS NULL OR gap > 3600000000")
 query("open_inactivity", "v_opens", open_inactivity, "SELECT client, event_id, silent_us FROM (SELECT *, lead(ts_us) OVER (PARTITION BY client ORDER BY ts_us, event_id) - ts_us AS silent_us FROM v_opens) WHERE silent_us > 240000000")
 query("position_hold", "v_positions v_seeks", position_hold, """WITH j AS (SELECT p.*, s.seek_seq, s.seek_us, s.target_pts FROM v_positions p ASOF LEFT JOIN v_seeks s ON p.clip_id = s.session_id AND p.ts_us >= s.seek_us),
 f AS (SELECT *, bool_or(coalesce(abs(pos_s - CAST(target_pts AS DOUBLE) / 1000) <= 5 OR ts_us - seek_us >= 15000000, true)) OVER (PARTITION BY clip_id, seek_seq ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS free FROM j)
 SELECT clip_id, event_id, pos_s FROM f WHERE free""")
-query("scan_control", "v_events", scan_control, """SELECT event_id, CASE WHEN k % 17 = 0 OR k % 13 = 0 THEN 'error' ELSE event_type END AS type, CASE WHEN k % 17 = 0 OR k % 13 = 0 THEN NULL ELSE k END AS k,
- CASE WHEN k % 17 = 0 OR k % 13 = 0 THEN 'bad_message' END AS error FROM v_events""")
+query(
+    "scan_control",
+    "v_messages",
+    lambda m: scan_control(m.select("event_id", "text")).select("*", F.col("rest")["trace"].alias("rest_trace"), F.size("rest").alias("n_rest")).drop("message", "rest"),
+    """SELECT event_id, CASE WHEN bad THEN 'error' ELSE kind END AS type, CASE WHEN bad THEN 'bad_message' END AS error, CASE WHEN kind = 'hello' AND NOT bad THEN CAST(1 AS INTEGER) END AS protocol_version,
+ CASE WHEN kind = 'hello' AND NOT bad THEN 'client ' || CAST(k AS VARCHAR) END AS client_name, CASE WHEN kind = 'open_session' AND NOT bad THEN CASE WHEN k % 2 = 0 THEN 'uplink' ELSE 'server_file' END END AS source_kind,
+ CASE WHEN kind = 'open_session' AND NOT bad AND k % 2 = 1 THEN 'a/' || CAST(k AS VARCHAR) || '.mkv' END AS source_path, CASE WHEN kind = 'open_session' AND NOT bad THEN 'net_x2' END AS model, CAST(NULL AS VARCHAR) AS quality_tier,
+ CASE WHEN kind IN ('hello', 'open_session') AND NOT bad THEN CAST(1920 AS BIGINT) END AS display_w, CASE WHEN kind IN ('hello', 'open_session') AND NOT bad THEN CAST(1080 AS BIGINT) END AS display_h,
+ CASE WHEN kind = 'seek' AND NOT bad THEN event_id END AS target_pts, CASE WHEN kind = 'seek' AND NOT bad THEN k END AS epoch, CASE WHEN kind = 'buffer_report' AND NOT bad THEN k * 100 END AS buffered_ms,
+ CASE WHEN kind = 'buffer_report' AND NOT bad AND k % 3 = 0 THEN event_id END AS playing_pts, CASE WHEN NOT bad AND k % 5 = 0 THEN '{"id":' || CAST(k AS VARCHAR) || '}' END AS rest_trace,
+ CASE WHEN NOT bad AND k % 5 = 0 THEN CAST(1 AS INTEGER) END AS n_rest FROM v_messages""",
+)

@@ -135,6 +135,17 @@ UNION ALL SELECT parent || '/./' || name FROM {v_catalog} WHERE length % 5 = 4 A
  'src' || CAST(event_id % 20 AS VARCHAR(20)) AS path_dir, event_id % 1000 AS path_id, k % 11 <> 0 AS has_video, CASE k % 10 WHEN 0 THEN 'unknown' ELSE 'passthrough' END AS model,
  CASE k % 12 WHEN 0 THEN 'stretch' WHEN 1 THEN 'cover' ELSE 'fit' END AS fit_mode, CASE event_id % 11 WHEN 0 THEN 'fast-bilinear' WHEN 1 THEN 'bilinear' WHEN 2 THEN 'bicubic' WHEN 3 THEN 'area' WHEN 4 THEN 'bicublin' WHEN 5 THEN 'gaussian' WHEN 6 THEN 'sinc' WHEN 7 THEN 'lanczos' WHEN 8 THEN 'spline' WHEN 9 THEN 'point' ELSE 'gauss' END AS resize_algorithm,
  CAST(floor(value * 100000) AS BIGINT) AS attachment_bytes, k % 4 = 0 AS cacheable FROM {v_timed}""",
+    ),
+    # control messages as clients send them; one in ten is cut off, one in ten has no type (chr(123) and chr(125) are braces)
+    "v_messages": (
+        ("v_events",),
+        """SELECT event_id, k, kind, k % 10 IN (3, 6) AS bad, CASE k % 10 WHEN 3 THEN chr(123) || '"type": "seek", "target' WHEN 6 THEN chr(123) || '"kind": "' || kind || '"' || chr(125) ELSE chr(123) || '"type": "' || kind || '"' || body ||
+ CASE WHEN k % 5 = 0 THEN ', "trace": ' || chr(123) || '"id":' || CAST(k AS VARCHAR(20)) || chr(125) ELSE '' END || chr(125) END AS text
+FROM (SELECT *, CASE kind WHEN 'hello' THEN ', "protocol_version": 1, "client_name": "client ' || CAST(k AS VARCHAR(20)) || '", "display": ' || chr(123) || '"w": 1920, "h": 1080' || chr(125)
+ WHEN 'open_session' THEN CASE WHEN k % 2 = 0 THEN ', "source": "uplink"' ELSE ', "source": ' || chr(123) || '"type": "server_file", "path": "a/' || CAST(k AS VARCHAR(20)) || '.mkv"' || chr(125) END || ', "model": "net_x2", "display": ' || chr(123) || '"w": 1920, "h": 1080' || chr(125)
+ WHEN 'seek' THEN ', "target_pts": ' || CAST(event_id AS VARCHAR(20)) || ', "epoch": ' || CAST(k AS VARCHAR(20))
+ WHEN 'buffer_report' THEN ', "buffered_ms": ' || CAST(k * 100 AS VARCHAR(20)) || CASE WHEN k % 3 = 0 THEN ', "playing_pts": ' || CAST(event_id AS VARCHAR(20)) ELSE '' END ELSE '' END AS body
+FROM (SELECT event_id, k, CASE event_type WHEN 'click' THEN 'seek' WHEN 'view' THEN 'buffer_report' WHEN 'signup' THEN 'hello' WHEN 'purchase' THEN 'open_session' ELSE 'pause' END AS kind FROM {v_events}))""",
     ),
     "v_clients": (("v_events",), "SELECT '10.0.0.' || CAST(user_id % 50 AS VARCHAR(20)) AS ip, @us(ts) AS ts_us FROM {v_events}"),
     "v_hosts": (

@@ -6,13 +6,15 @@ Each registered query first writes its input files with Spark from a derived vie
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.functions.exprs import infer_scale
-from reelframe.operators.sessions import STATS_FIELDS, STATS_SQL, stats_fields, stats_line
+from reelframe.operators.sessions import STAGES_SQL, STATS_FIELDS, STATS_SQL, sample_line, stage_times, stats_fields
 from reelframe.plans.registry import ORACLES, QUERIES
 from reelframe.plans.views import ansi_with, view
 from reelframe.session import shared_folder
@@ -56,32 +58,75 @@ def scan_models(spark: SparkSession, root: str) -> DataFrame:
     return with_sidecars(models, text.select(stem(F.input_file_name()).alias("model"), F.regexp_replace("value", "^\ufeff", "").alias("json")))
 
 
+def _run_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the lines of each block of a file from 1, and give each the number of the block's last record so far; a task's lines come in the order of their blocks."""
+    at, line, record = None, 0, 0
+    for batch in batches:
+        file, block = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        lines, records = [], []
+        for key, starts in zip(zip(file, block, strict=True), batch.column(3).to_pylist(), strict=True):
+            if key != at:
+                at, line, record = key, 0, 0
+            line += 1
+            record = line if starts else record
+            lines.append(line)
+            records.append(record or None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lines, pa.int64()), pa.array(records, pa.int64())], ["value", "file", "block", "line", "record"])
+
+
+HEAD = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) (\w+) ([\w.]+): (.*)$"
+
+
+def numbered_lines(spark: SparkSession, glob: str, *, broadcast_blocks: int = 1_000_000) -> DataFrame:
+    """value, file, line_no (from 1) and record_no of every line of the logs: the line of the record that it belongs to, null before a file's first record.
+
+    Large files are read in blocks by many tasks.  Each numbers its own lines; the blocks' sizes and last records, one row a block, are then summed up and carried
+    from block to block of a file, so neither lines nor files are ever sorted or shuffled.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).text(glob).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").rlike(HEAD).alias("starts"))
+    inside = rows.mapInArrow(_run_on, "value string, file string, block long, line long, record long")
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = inside.groupBy("file", "block").agg(F.count("*").alias("n"), F.max("record").alias("last"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("ends", F.col("last") + F.col("before"))
+    blocks = blocks.select("file", "block", "before", F.last("ends", ignorenulls=True).over(earlier).alias("carried"))
+    table = shared_folder(spark, "blocks")
+    blocks.write.parquet(table)  # read twice
+    blocks = spark.read.parquet(table)
+    small = blocks.count() <= broadcast_blocks  # the bound is checked
+    joined = inside.join(F.broadcast(blocks) if small else blocks, ["file", "block"])
+    return joined.select("value", "file", (F.col("line") + F.col("before")).alias("line_no"), F.coalesce(F.col("record") + F.col("before"), "carried").alias("record_no"))
+
+
 def scan_server_log(spark: SparkSession, glob: str) -> DataFrame:
-    """Log lines as typed rows; a line without a timestamp continues the one before and has none."""
-    return parse_server_log(spark.read.option("recursiveFileLookup", True).text(glob))
+    """Log lines as typed rows with file, line_no and record_no; a line without a timestamp (a traceback) continues the record of its record_no and has none."""
+    return parse_server_log(numbered_lines(spark, glob), "file", "line_no", "record_no")
 
 
-def parse_server_log(lines: DataFrame) -> DataFrame:
-    """Lines (value) as ts, level, logger, event, the fields of a stats line, and what other events say as a map `fields`; batch or stream.
+def parse_server_log(lines: DataFrame, *keys: str) -> DataFrame:
+    """Lines (value, and keys that stay) as ts, level, logger, event, the fields of a stats line and its stage times, and what other events say as a map `fields`; batch or stream.
 
-    Events: stats, state (session, to), seek (session, target_pts), closed (tier, encoder, duration_s), continuation and other.
+    Events: stats, state (session, to), seek (session, target_pts), seek_trace (epoch, target_pts, mode and its times in ms), closed (tier, encoder, duration_s), continuation and other.
     """
     part = lambda p, i=1: F.nullif(F.regexp_extract("value", p, i), F.lit(""))
-    head = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d,\d{3}) (\w+) ([\w.]+): (.*)$"
-    rows = lines.select("value", F.try_to_timestamp(part(head), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("ts"), part(head, 2).alias("level"), part(head, 3).alias("logger"), F.coalesce(part(head, 4), "value").alias("message"))
+    rows = lines.select(*keys, "value", F.try_to_timestamp(part(HEAD), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).alias("ts"), part(HEAD, 2).alias("level"), part(HEAD, 3).alias("logger"), F.coalesce(part(HEAD, 4), "value").alias("message"))
     says = F.col("message")
     patterns = {
         "state": (r"^session (\w+) -> (\w+)", ("session", "to")),
         "seek": (r"^session (\w+): seek to (-?\d+)", ("session", "target_pts")),
+        "seek_trace": (
+            r"^seek epoch=(\d+) target_pts=(-?\d+) mode=(\w+): flush_seen=(\d+)ms keyframe_gap=(?:n/a|([\d.]+)s) discarded=(\d+) frames \((\d+)ms decode\) first_frame=\+(\d+)ms first_packet=\+(\d+)ms",
+            ("epoch", "target_pts", "mode", "flush_seen_ms", "keyframe_gap_s", "frames_discarded", "discard_decode_ms", "first_frame_ms", "first_packet_ms"),
+        ),
         "closed": (r"^pipeline close complete tier=(\S+) encoder=(\S+) duration=([\d.]+)s", ("tier", "encoder", "duration_s")),
     }
     event = F.when(F.col("ts").isNull(), "continuation").when(says.rlike(r"^session \S+ [a-z]+( FINAL)? epoch="), "stats")
     fields = F.lit(None).cast("map<string, string>")
     for name, (pattern, groups) in patterns.items():
         event = event.when(says.rlike(pattern), name)
-        fields = F.when(says.rlike(pattern), F.create_map(*(x for i, g in enumerate(groups) for x in (F.lit(g), F.regexp_extract(says, pattern, i + 1))))).otherwise(fields)
+        fields = F.when(says.rlike(pattern), F.create_map(*(x for i, g in enumerate(groups) for x in (F.lit(g), F.nullif(F.regexp_extract(says, pattern, i + 1), F.lit("")))))).otherwise(fields)
     rows = rows.withColumn("event", event.otherwise("other"))
-    return rows.select("ts", "level", "logger", "event", *stats_fields(F.when(F.col("event") == "stats", says)), F.when(F.col("event") != "continuation", fields).alias("fields"), "message")
+    stats = F.when(F.col("event") == "stats", says)
+    return rows.select(*keys, "ts", "level", "logger", "event", *stats_fields(stats), stage_times(stats).alias("stage_ms"), F.when(F.col("event") != "continuation", fields).alias("fields"), "message")
 
 
 STATUS = "sessions array<struct<id: string, state: string, pipeline: struct<fps: double, stage_ms: map<string, double>>>>"
@@ -119,26 +164,41 @@ def _packets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_log(samples: DataFrame, at: str) -> None:
-    """Session snapshots as a server's log: a stats line each, with state, seek and close lines and a traceback in between."""
+    """Session snapshots as a server's logs: each session opens with a state line, then come stats lines with state, seek, trace and close lines and tracebacks in between, in order of time."""
     stamp = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd HH:mm:ss,SSS")
-    stats = stats_line(F.col("session_id").cast("string"), F.lit("playing"), F.col("queued"), F.col("fps"), F.col("infer_ms"), F.col("queued"), F.col("chunks"), F.lit(1), (F.col("cache_s") * 1000).cast("long"), F.col("paused_for_cache"))
+    number = lambda c: F.col(c).cast("double")
+    gap = F.when(F.col("queued") == 0, "n/a").otherwise(F.format_string("%.2fs", number("queued") / 4))
+    trace = F.format_string(
+        "seek epoch=%d target_pts=%d mode=%s: flush_seen=%.0fms keyframe_gap=%s discarded=%d frames (%.0fms decode) first_frame=+%.0fms first_packet=+%.0fms",
+        "queued", "event_id", F.when(F.col("chunks") % 2 == 0, "keyframe").otherwise("accurate"), number("chunks"), gap, "queued", number("queued") * 14, number("queued") * 20, number("queued") * 20 + number("chunks"),
+    )
+    kind = F.col("event_id") % 20
     line = (
-        F.when(F.col("event_id") % 20 == 1, F.format_string("%s INFO media.session: session %d -> paused", stamp, "session_id"))
-        .when(F.col("event_id") % 20 == 2, F.format_string("%s WARNING media.session: session %d: seek to %d produced no downlink bytes in 60s", stamp, "session_id", "event_id"))
-        .when(F.col("event_id") % 20 == 3, F.format_string("%s INFO media.pipeline: pipeline close complete tier=hevc-qp4 encoder=libx265 duration=%.3fs workers=all-stopped", stamp, F.col("queued").cast("double")))
-        .when(F.col("event_id") % 20 == 4, F.concat(stamp, F.lit(" DEBUG media: session listing")))
-        .otherwise(F.concat(stamp, F.lit(" INFO media.stats: "), stats))
+        F.when(kind == 0, F.concat(F.lit("Traceback "), F.col("event_id").cast("string")))
+        .when(kind == 1, F.format_string("%s INFO media.session: session %d -> paused", stamp, "session_id"))
+        .when(kind == 2, F.format_string("%s WARNING media.session: session %d: seek to %d produced no downlink bytes in 60s", stamp, "session_id", "event_id"))
+        .when(kind == 3, F.format_string("%s INFO media.pipeline: pipeline close complete tier=hevc-qp4 encoder=libx265 duration=%.3fs workers=all-stopped", stamp, F.col("queued").cast("double")))
+        .when(kind == 4, F.concat(stamp, F.lit(" DEBUG media: session listing")))
+        .when(kind == 5, F.concat(stamp, F.lit(" INFO media.pipeline: "), trace))
+        .otherwise(F.concat(stamp, F.lit(" INFO media.stats: "), sample_line()))
     )
-    samples.select(F.when(F.col("event_id") % 20 == 0, F.concat(F.lit("Traceback "), F.col("event_id").cast("string"))).otherwise(line).alias("value")).write.text(at)
+    first = F.row_number().over(W.partitionBy("session_id").orderBy("ts_us", "event_id")) == 1
+    opened = F.format_string("%s INFO media.session: session %d -> open", stamp, "session_id")
+    rows = samples.select("session_id", "ts_us", "event_id", F.when(first, F.array(opened, line)).otherwise(F.array(line)).alias("lines"))
+    rows.sortWithinPartitions("session_id", "ts_us", "event_id").select(F.explode("lines").alias("value")).write.text(at)
+
+
+SAID = ("session", "to", "epoch", "target_pts", "mode", "flush_seen_ms", "keyframe_gap_s", "frames_discarded", "discard_decode_ms", "first_frame_ms", "first_packet_ms", "tier", "encoder", "duration_s")
 
 
 def _log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines, and of each traceback the time of the record that it belongs to."""
     at = shared_folder(spark, "logs")
     write_log(view(spark, sf_dir, "v_samples"), at)
     rows = scan_server_log(spark, at)
-    said = lambda k: F.col("fields")[k].alias(f"said_{k}")
-    return rows.select(
-        F.unix_millis("ts").alias("ts_ms"), "level", "logger", "event", *(name for name, _, _ in STATS_FIELDS), *(said(k) for k in ("session", "to", "target_pts", "tier", "encoder", "duration_s"))
+    records = rows.where("event <> 'continuation'").select("file", F.col("line_no").alias("record_no"), F.unix_millis("ts").alias("of_ms"))
+    return rows.join(records, ["file", "record_no"], "left").select(
+        F.unix_millis("ts").alias("ts_ms"), "of_ms", "level", "logger", "event", *(name for name, _, _ in STATS_FIELDS), *(F.col("stage_ms")[k].alias(f"{k}_ms") for k in ("decode", "encode")), *(F.col("fields")[k].alias(f"said_{k}") for k in SAID)
     )
 
 
@@ -189,12 +249,19 @@ ORACLES.update(
     {
         "scan_packets": ansi_with(("v_packets",)) + " SELECT session_id, seq, size % 1024 AS size, flags, epoch, pts, dts, false AS corrupt FROM v_packets",
         "scan_server_log": ansi_with(("v_samples",))
-        + f""", f AS (SELECT event_id % 20 AS e, event_id, session_id AS sid, queued AS q, ts_us, {STATS_SQL} FROM v_samples)
- SELECT CASE WHEN e > 0 THEN ts_us // 1000 END AS ts_ms, CASE WHEN e = 0 THEN NULL WHEN e = 2 THEN 'WARNING' WHEN e = 4 THEN 'DEBUG' ELSE 'INFO' END AS level, CASE WHEN e = 0 THEN NULL WHEN e IN (1, 2) THEN 'media.session' WHEN e = 3 THEN 'media.pipeline' WHEN e = 4 THEN 'media' ELSE 'media.stats' END AS logger,
- CASE e WHEN 0 THEN 'continuation' WHEN 1 THEN 'state' WHEN 2 THEN 'seek' WHEN 3 THEN 'closed' WHEN 4 THEN 'other' ELSE 'stats' END AS event,
- {", ".join(f"CASE WHEN e > 4 THEN {name} END AS {name}" for name, _, _ in STATS_FIELDS)},
- CASE WHEN e IN (1, 2) THEN CAST(sid AS VARCHAR) END AS said_session, CASE WHEN e = 1 THEN 'paused' END AS said_to, CASE WHEN e = 2 THEN CAST(event_id AS VARCHAR) END AS said_target_pts,
- CASE WHEN e = 3 THEN 'hevc-qp4' END AS said_tier, CASE WHEN e = 3 THEN 'libx265' END AS said_encoder, CASE WHEN e = 3 THEN printf('%.3f', CAST(q AS DOUBLE)) END AS said_duration_s FROM f""",
+        + f""", f AS (SELECT event_id % 20 AS e, event_id, session_id AS sid, queued AS q, chunks AS c, ts_us, ts_us // 1000 AS ms, {STATS_SQL}, {STAGES_SQL} FROM v_samples),
+ g AS (SELECT *, coalesce(last_value(CASE WHEN e > 0 THEN ms END IGNORE NULLS) OVER (PARTITION BY sid ORDER BY ts_us ROWS UNBOUNDED PRECEDING), min(ms) OVER (PARTITION BY sid)) AS of_ms FROM f),
+ l AS (SELECT *, e > 5 AS st FROM g)
+ SELECT CASE WHEN e > 0 THEN ms END AS ts_ms, of_ms, CASE WHEN e = 0 THEN NULL WHEN e = 2 THEN 'WARNING' WHEN e = 4 THEN 'DEBUG' ELSE 'INFO' END AS level,
+ CASE WHEN e = 0 THEN NULL WHEN e IN (1, 2) THEN 'media.session' WHEN e IN (3, 5) THEN 'media.pipeline' WHEN e = 4 THEN 'media' ELSE 'media.stats' END AS logger,
+ CASE e WHEN 0 THEN 'continuation' WHEN 1 THEN 'state' WHEN 2 THEN 'seek' WHEN 3 THEN 'closed' WHEN 4 THEN 'other' WHEN 5 THEN 'seek_trace' ELSE 'stats' END AS event,
+ {", ".join(f"CASE WHEN st THEN {name} END AS {name}" for name in [*(n for n, _, _ in STATS_FIELDS), "decode_ms", "encode_ms"])},
+ CASE WHEN e IN (1, 2) THEN CAST(sid AS VARCHAR) END AS said_session, CASE WHEN e = 1 THEN 'paused' END AS said_to, CASE WHEN e = 5 THEN CAST(q AS VARCHAR) END AS said_epoch, CASE WHEN e IN (2, 5) THEN CAST(event_id AS VARCHAR) END AS said_target_pts,
+ CASE WHEN e = 5 THEN CASE WHEN c % 2 = 0 THEN 'keyframe' ELSE 'accurate' END END AS said_mode, CASE WHEN e = 5 THEN CAST(c AS VARCHAR) END AS said_flush_seen_ms,
+ CASE WHEN e = 5 AND q > 0 THEN printf('%.2f', CAST(q AS DOUBLE) / 4) END AS said_keyframe_gap_s, CASE WHEN e = 5 THEN CAST(q AS VARCHAR) END AS said_frames_discarded, CASE WHEN e = 5 THEN CAST(q * 14 AS VARCHAR) END AS said_discard_decode_ms,
+ CASE WHEN e = 5 THEN CAST(q * 20 AS VARCHAR) END AS said_first_frame_ms, CASE WHEN e = 5 THEN CAST(q * 20 + c AS VARCHAR) END AS said_first_packet_ms,
+ CASE WHEN e = 3 THEN 'hevc-qp4' END AS said_tier, CASE WHEN e = 3 THEN 'libx265' END AS said_encoder, CASE WHEN e = 3 THEN printf('%.3f', CAST(q AS DOUBLE)) END AS said_duration_s FROM l
+ UNION ALL BY NAME SELECT min(ms) AS ts_ms, min(ms) AS of_ms, 'INFO' AS level, 'media.session' AS logger, 'state' AS event, CAST(sid AS VARCHAR) AS said_session, 'open' AS said_to FROM f GROUP BY sid""",
         "scan_status": ansi_with(("v_states",))
         + """ SELECT CAST(session_id AS VARCHAR) AS id, arg_max(state, {'a': ts_us, 'b': event_id}) AS state, CASE WHEN session_id % 5 <> 0 THEN CAST(session_id % 30 AS DOUBLE) END AS fps, CASE WHEN session_id % 5 <> 0 THEN CAST(session_id % 50 AS DOUBLE) END AS infer_ms
  FROM v_states GROUP BY session_id""",

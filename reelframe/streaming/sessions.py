@@ -163,7 +163,7 @@ ORACLES.update(
         "fps_window_stream": ansi_with(("v_packets",))
         + """ SELECT session_id, ts_us // 2000000 * 2000000 AS start_us, count(*) AS frames FROM v_packets WHERE kind = 'video' GROUP BY 1, 2""",
         "stats_rollup": ansi_with(("v_samples",))
-        + f""", p AS (SELECT ts_us, {STATS_SQL} FROM v_samples WHERE event_id % 20 > 4), w AS (SELECT *, unnest([0, 1]) AS back FROM p)
+        + f""", p AS (SELECT ts_us, {STATS_SQL} FROM v_samples WHERE event_id % 20 > 5), w AS (SELECT *, unnest([0, 1]) AS back FROM p)
  SELECT session, (ts_us // 1000 * 1000 // 30000000 - back) * 30000000 AS start_us, count(*) AS n, round(avg(fps), 6) AS fps, round(avg(infer_fps), 6) AS infer_fps, max(in_flight) AS most_cached, min(buffered_ms) AS least_buffered_ms,
  count(*) FILTER (WHERE pacing = 'PAUSED') AS paused FROM w GROUP BY 1, 2""",
         "open_inactivity_stream": ansi_with(("v_opens",))
