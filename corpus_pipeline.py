@@ -20,7 +20,9 @@ from reelframe.session import shared_folder
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier keeps; labels come from the training folds, texts from the raw table."""
     model = fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 4) != 2)
-    return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    own = {c: f"{c} of the input" for c in ("score", "predicted") if c in docs.columns}  # a column named as one of the scores stays what it is
+    kept = score_quality(docs.withColumnsRenamed(own), model).where("predicted = 1").drop("score", "predicted")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
