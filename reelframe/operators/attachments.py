@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.functions.exprs import safe_name
+from reelframe.functions.scan import running
 from reelframe.plans.registry import query
 
 # Largest attachment, and largest manifest or set of attachments, in bytes.
@@ -68,16 +69,14 @@ def authorized_objects(manifest: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def lru_evict(store: DataFrame, *, limit_bytes: int, max_entries: int | None = None) -> DataFrame:
-    """Objects to delete, oldest first, so that each store fits; protected ones stay but count."""
-    own = W.partitionBy("store")
-    order = own.orderBy("mtime", "size", "sha256")
-    free = F.when(F.col("protected"), 0).otherwise(F.col("size"))
-    before = F.coalesce(F.sum(free).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    gone = F.coalesce(F.sum(F.when(F.col("protected"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    over = F.sum("size").over(own) - before > limit_bytes
+    """Objects to delete, oldest first, so that each store fits; protected ones stay but count.  A store of any size is scanned by many tasks."""
+    unprotected = F.when(F.col("protected"), 0).otherwise(1).cast("long")
+    rows = running(store, ["store"], ["mtime", "size", "sha256"], {"freed": ("sum", unprotected * F.col("size")), "gone": ("sum", unprotected)})
+    totals = store.groupBy("store").agg(F.sum("size").alias("bytes"), F.count("*").alias("entries"))
+    over = F.col("bytes") - (F.col("freed") - F.col("size")) > limit_bytes  # of rows that are not protected, so `freed` holds their own size
     if max_entries is not None:
-        over = over | (F.count("*").over(own) - gone > max_entries)
-    return store.withColumn("over", over).where("over AND NOT protected").select("store", "sha256", "size")
+        over = over | (F.col("entries") - (F.col("gone") - 1) > max_entries)
+    return rows.where("NOT protected").join(totals, "store").where(over).select("store", "sha256", "size")
 
 
 def unique_view_names(manifest: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.functions.exprs import fold, infer_scale, playable
+from reelframe.functions.scan import running
 from reelframe.plans.registry import query
 
 COLUMNS = ("path", "parent", "name", "is_dir", "mtime", "length")
@@ -42,14 +43,19 @@ def _ranked(catalog: DataFrame, sort: str) -> DataFrame:
     return filter_playable(catalog).withColumn("position", F.row_number().over(order).cast("long"))
 
 
+def _sorted(catalog: DataFrame, sort: str) -> DataFrame:
+    """Positions by a running count, so that a directory of any size is numbered by many tasks."""
+    return running(filter_playable(catalog), ["parent"], _order(sort), {"position": ("sum", F.lit(1).cast("long"))}).select("parent", "path", "position")
+
+
 def library_sort_name(catalog: DataFrame) -> DataFrame:
     """Each directory's entries in order: directories first, then by folded name."""
-    return _ranked(catalog, "name").select("parent", "path", "position")
+    return _sorted(catalog, "name")
 
 
 def library_sort_mtime(catalog: DataFrame) -> DataFrame:
     """Each directory's entries in order: directories first, then newest first."""
-    return _ranked(catalog, "mtime").select("parent", "path", "position")
+    return _sorted(catalog, "mtime")
 
 
 def library_page(catalog: DataFrame, path: str | None = None, *, offset: int = 0, limit: int = 100, sort: str = "name") -> DataFrame:

@@ -10,15 +10,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.functions.exprs import whole
+from reelframe.functions.intervals import stab
+from reelframe.functions.scan import running
 from reelframe.plans.registry import query
 
 SEEK = ("session_id", "epoch", "seek_seq", "seek_us", "target_pts", "threshold_s")
 
 
-def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: list[str], *, forward: bool = False, ties: list[str] | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, values: list[str], *, forward: bool = False, ties: list[str] | None = None, segmented: bool = False) -> DataFrame:
     """`left` with the values of the last right row at or before it (`forward`: the first at or after it) within `by`; null where none is.
 
-    Among right rows of one stamp the last by `ties` counts (`forward`: the first).
+    Among right rows of one stamp the last by `ties` counts (`forward`: the first).  `segmented` is for keys that may hold a large share of all rows: their rows
+    are scanned by many tasks.
     """
     ties = ties or []
     tag = lambda df, side, on: df.select(F.col(by), F.col(on).alias("__at"), F.lit(side).alias("__side"), *(F.col(t).alias(f"__t{i}") if side == r else F.lit(None).cast(dict(right.dtypes)[t]).alias(f"__t{i}") for i, t in enumerate(ties)), (F.struct(*df.columns) if side != r else F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType)).alias("__left"), (F.struct(*values) if side == r else F.lit(None).cast(right.select(F.struct(*values).alias("x")).schema["x"].dataType)).alias("__right"))
@@ -26,8 +29,11 @@ def asof(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str
     rows = tag(left, 1 - r, left_on).unionByName(tag(right, r, right_on))
     order = ["__at", "__side", *(f"__t{i}" for i in range(len(ties)))]
     keys = [F.desc(c) for c in order] if forward else [F.asc(c) for c in order]
-    window = W.partitionBy(by).orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-    found = rows.withColumn("__found", F.last("__right", ignorenulls=True).over(window)).where(F.col("__left").isNotNull())
+    if segmented:
+        found = running(rows, [by], keys, {"__found": ("last", F.col("__right"))})
+    else:
+        found = rows.withColumn("__found", F.last("__right", ignorenulls=True).over(W.partitionBy(by).orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)))
+    found = found.where(F.col("__left").isNotNull())
     return found.select("__left.*", *(F.col(f"__found.{v}").alias(v) for v in values))
 
 
@@ -44,16 +50,19 @@ def seek_first_frame(seeks: DataFrame, packets: DataFrame) -> DataFrame:
     return asof(seeks.select(*SEEK), frames, "session_id", "target_pts", "first_pts", ["first_pts"], forward=True)
 
 
-def seek_discard_window(seeks: DataFrame, packets: DataFrame, *, frame_ms: float = 14.5, bucket: int = 10_000, landed: DataFrame | None = None) -> DataFrame:
+def seek_discard_window(seeks: DataFrame, packets: DataFrame, *, frame_ms: float = 14.5, landed: DataFrame | None = None) -> DataFrame:
     """Frames between the keyframe and the target: decoded and dropped, with the time they cost.
 
-    Ranges are cut into buckets of pts, so the join is one of keys and no session is joined with all of itself.  `landed` is the
-    result of `seek_keyframe`, where the caller has it.
+    A window's frames are those before its end less those before its begin, and both numbers are running counts: no window is ever joined with its frames,
+    however long it is.  `landed` is the result of `seek_keyframe`, where the caller has it.
     """
     landed = seek_keyframe(seeks, packets) if landed is None else landed
-    spans = landed.where("keyframe_pts < target_pts").withColumn("bucket", F.explode(F.sequence(whole(F.col("keyframe_pts") / bucket), whole((F.col("target_pts") - 1) / bucket))))
-    frames = packets.where("kind = 'video' AND pts IS NOT NULL").select("session_id", "pts", whole(F.col("pts") / bucket).alias("bucket"))
-    hits = spans.join(frames, ["session_id", "bucket"]).where("pts >= keyframe_pts AND pts < target_pts").groupBy("session_id", "seek_seq").agg(F.count("*").alias("frames"))
+    window = landed.where("keyframe_pts < target_pts").select("session_id", "seek_seq", F.explode(F.array(F.struct(F.col("keyframe_pts").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("target_pts").alias("at"), F.lit(1).alias("sign")))).alias("x"))
+    marks = window.select("session_id", F.col("x.at").alias("at"), F.lit(0).alias("frame"), "seek_seq", "x.sign")  # before the frames of its stamp
+    frames = packets.where("kind = 'video' AND pts IS NOT NULL").select("session_id", F.col("pts").alias("at"), F.lit(1).alias("frame"))
+    order = W.partitionBy("session_id").orderBy("at", "frame").rowsBetween(W.unboundedPreceding, 0)
+    counted = marks.unionByName(frames, allowMissingColumns=True).withColumn("n", F.sum("frame").over(order)).where("frame = 0")
+    hits = counted.groupBy("session_id", "seek_seq").agg(F.sum(F.col("n") * F.col("sign")).alias("frames"))
     skipped = F.col("threshold_s").isNotNull() & (F.col("gap_s") > F.col("threshold_s"))
     n = F.when(skipped, 0).otherwise(F.coalesce("frames", F.lit(0)))
     return landed.join(hits, ["session_id", "seek_seq"], "left").select("session_id", "seek_seq", n.cast("long").alias("frames"), (n * frame_ms).alias("decode_ms"))
@@ -88,12 +97,11 @@ def effective_aux_start(seeks: DataFrame, packets: DataFrame) -> DataFrame:
     return seek_keyframe(seeks, packets).select("session_id", "seek_seq", (F.when(early, F.col("keyframe_pts")).otherwise(F.col("target_pts")) / 1000).alias("aux_start_s"))
 
 
-def aux_overlap(seeks: DataFrame, packets: DataFrame, *, bucket: int = 2_000) -> DataFrame:
-    """Subtitle events on screen at each target."""
-    events = packets.where("kind = 'subtitle' AND pts IS NOT NULL").select("session_id", "seq", "pts", (F.col("pts") + F.col("duration")).alias("end_pts"))
-    events = events.withColumn("bucket", F.explode(F.sequence(whole(F.col("pts") / bucket), whole(F.col("end_pts") / bucket))))
-    points = seeks.select("session_id", "seek_seq", "target_pts", whole(F.col("target_pts") / bucket).alias("bucket"))
-    return points.join(events, ["session_id", "bucket"]).where("pts < target_pts AND end_pts > target_pts").select("session_id", "seek_seq", "target_pts", "seq", "pts")
+def aux_overlap(seeks: DataFrame, packets: DataFrame) -> DataFrame:
+    """Subtitle events on screen at each target, however long they stay: those that begin before it and end after it."""
+    events = packets.where("kind = 'subtitle' AND pts IS NOT NULL").select("session_id", "seq", "pts", (F.col("pts") + 1).alias("first"), (F.col("pts") + F.col("duration") - 1).alias("last"))
+    points = seeks.select("session_id", "seek_seq", "target_pts")
+    return stab(points, events, "session_id", "target_pts", "first", "last").select("session_id", "seek_seq", "target_pts", "seq", "pts")
 
 
 def seek_first_packet(seeks: DataFrame, packets: DataFrame, *, within_s: int = 60) -> DataFrame:

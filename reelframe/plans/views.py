@@ -103,7 +103,7 @@ UNION ALL SELECT parent || '/./' || name FROM {v_catalog} WHERE length % 5 = 4 A
     "v_chapters": (
         (),
         """SELECT o_custkey AS clip_id, o_orderkey AS pos, CASE WHEN o_orderkey % 50 = 0 THEN -1.0 ELSE 1.0 END * (o_totalprice / 1000) AS start_s, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice / 1000 + 5 END AS end_s,
- CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Part ' || CAST(o_orderkey AS VARCHAR(20)) END AS title FROM {orders}""",
+ CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN '  ' WHEN o_orderkey % 5 = 0 THEN ' Part ' || CAST(o_orderkey AS VARCHAR(20)) || ' ' ELSE 'Part ' || CAST(o_orderkey AS VARCHAR(20)) END AS title FROM {orders}""",
     ),
     "v_positions": (("v_timed",), "SELECT user_id AS clip_id, event_id, at_us AS ts_us, value AS pos_s FROM {v_timed}"),
     "v_stage_times": (
