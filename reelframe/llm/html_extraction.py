@@ -8,8 +8,9 @@ tree over all hosts stands in where a host has few pages.
 
 A branch goes where its importance is low beside that of the whole page.  What a page says of itself (its article mark, element, role and
 class names) only moves that bar: a menu must matter nearly as much as the whole page to stay, unmarked parts half as much, and within an
-article only what reads alike on all pages goes.  Without evidence the names alone decide.  Reader comments are told by name alone: they
-are as varied as articles.
+article only what reads alike on all pages goes.  A class or id name within an article, on an inline element or on the article itself is weak: such a branch goes only
+where the tree has seen several pages on which it reads alike.  Elsewhere the names decide where there is no evidence.  Reader comments are
+told by name alone: they are as varied as articles.
 """
 
 from __future__ import annotations
@@ -54,62 +55,77 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 GAMMA, POOL, PRIOR, LINE = 0.9, 4.0, 2.0, 16
 #: Importance expected of a branch that the page itself sets aside, that lies outside a marked article, and of any other.
 EXPECTED_OFF, EXPECTED_OUTSIDE, EXPECTED = 0.0, 0.2, 0.6
-#: What the host's tree says of a node, as bits: stays though set aside, stays outside an article, goes where no article is marked, goes within one.
-STAYS_OFF, STAYS_OUTSIDE, GOES, GOES_INSIDE = 1, 2, 4, 8
+#: What the host's tree says of a node, as bits: stays though set aside, stays outside an article, goes where no article is marked, goes within one, goes where a weak name sets it aside.
+STAYS_OFF, STAYS_OUTSIDE, GOES, GOES_INSIDE, GOES_WEAK = 1, 2, 4, 8, 16
+#: How a branch is set aside: not at all, by a strong name (an element, a role, a class outside articles), for good, by a weak name.
+FREE, OFF, NEVER, WEAK = 0, 1, 2, 3
 #: Nodes on a smaller share of a host's pages get no verdict, so a host has at most so many verdicts as 1 / SUPPORT pages have containers.
 SUPPORT = 0.01
 
 
 def _role(tag: str, attributes: str, inside: bool, names: bool) -> tuple[int, str]:
-    """(0, 1 for a branch set aside, 2 for one that never stays; name of the node)."""
-    off = int(names and (tag in OFF_ELEMENTS or (tag == "header" and not inside)))
+    """(how the branch is set aside, name of the node); `inside` says that an article is open, or that the branch is inline."""
+    off = OFF if names and (tag in OFF_ELEMENTS or (tag == "header" and not inside)) else FREE
     if not attributes or attributes.isspace():
         return off, tag
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
     named = {w for w in _SPLIT.split(f"{found.get('class', '')} {found.get('id', '')}".lower()) if w}
     name = f"{tag}.{'.'.join(sorted(named))}" if named else tag
     if tag in ("html", "body"):
-        return 0, name
+        return FREE, name
     if named & COMMENTS:
-        return 2, name
+        return NEVER, name
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if hidden or (names and (found.get("role", "").lower() in ROLES or named & ANYWHERE or (not inside and named & OUTSIDE))):
-        off = 1
+    if hidden or (names and found.get("role", "").lower() in ROLES):
+        off = OFF
+    elif off == FREE and names and (named & ANYWHERE or (not inside and named & OUTSIDE)):
+        off = WEAK if inside or tag in MAIN else OFF
     return off, name
 
 
+def _plain(raw: str) -> str:
+    return " ".join(html.unescape(raw).split())
+
+
 class Page:
     """The containers of a page and its blocks of text in order.
 
-    A node is [key, parent, set aside, in an article, names of its children]; a block is (text, node, linked characters).  Node 0 is the
-    whole page.  `names` false lets no element, role or class name count but those of comments; `marks` false overlooks article and main.
+    A node is [key, parent, how it is set aside, in an article, names of its children]; a block is a list of [raw text, node, linked characters], more than one where
+    an inline branch is a node of its own.  Node 0 is the whole page.  `names` false lets no element, role or class name count but those of comments; `marks` false overlooks article and main.
     """
 
     def __init__(self, source: str, *, names: bool = True, marks: bool = True):
-        self.nodes: list[list] = [[0, 0, 0, False, []]]
-        self.blocks: list[tuple[str, int, int]] = []
+        self.nodes: list[list] = [[0, 0, FREE, False, []]]
+        self.blocks: list[list[list]] = []
         stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, in an article
-        parts: list[str] = []
-        linked = anchors = at = 0
-        skipped: list = []  # an inline branch that is set aside: its tag, open elements of that tag, depth of the stack
+        parts: list[list] = []
+        anchors = at = 0
+        inline: list = []  # an inline branch that names set aside: its tag, open elements of that tag, depth of the stack, node
+
+        def open_node(name: str, off: int, inside: bool) -> int:
+            parent = inline[3] if inline else stack[-1][1]
+            self.nodes.append([xxhash.xxh64_intdigest(f"{self.nodes[parent][0]}/{name}") >> 1, parent, off, inside, []])
+            return len(self.nodes) - 1
 
         def close_block() -> None:
-            nonlocal linked
             if parts:
-                text = " ".join(html.unescape("".join(parts)).split())
+                self.blocks.append(list(parts))
                 parts.clear()
-                if text:
-                    self.blocks.append((text, stack[-1][1], linked))
-                linked = 0
+
+        def add(raw: str, linked: int) -> None:
+            node = inline[3] if inline else stack[-1][1]
+            if parts and parts[-1][1] == node:
+                parts[-1][0] += raw
+                parts[-1][2] += linked
+            else:
+                parts.append([raw, node, linked])
 
         end = len(source)
         while at < end:
             m = _TAG.search(source, at)
             stop = m.start() if m else end
-            if stop > at and not skipped:
-                parts.append(source[at:stop])
-                if anchors:
-                    linked += stop - at
+            if stop > at:
+                add(source[at:stop], stop - at if anchors else 0)
             if not m:
                 break
             at = m.end()
@@ -125,15 +141,16 @@ class Page:
             block = tag in FLOW or tag in CONTAINERS or tag in CONTROLS
             if not block:
                 if tag == "br":
-                    if not skipped:
-                        parts.append(" ")
+                    add(" ", 0)
                 elif tag not in VOID:
-                    if skipped and tag == skipped[0]:
-                        skipped[1] += -1 if m[1] else 1
-                        if not skipped[1]:
-                            skipped = []
-                    elif not skipped and not m[1] and m[3] and _role(tag, m[3], True, names)[0]:
-                        skipped = [tag, 1, len(stack)]
+                    if inline and tag == inline[0]:
+                        inline[1] += -1 if m[1] else 1
+                        if not inline[1]:
+                            inline = []
+                    elif not inline and not m[1] and m[3]:
+                        off, name = _role(tag, m[3], True, names)
+                        if off:
+                            inline = [tag, 1, len(stack), open_node(name, off, stack[-1][2])]
                     if tag == "a":
                         anchors = max(0, anchors - 1) if m[1] else 1
                 continue
@@ -144,8 +161,8 @@ class Page:
                     while stack[-1][0] != tag:
                         stack.pop()
                     stack.pop()
-                    if skipped and len(stack) < skipped[2]:
-                        skipped = []
+                    if inline and len(stack) < inline[2]:
+                        inline = []
                 continue
             close_block()
             anchors = 0
@@ -161,35 +178,29 @@ class Page:
                     if not any(t in ("table", "ul", "ol", "dl") for t in open_tags[k + 1 :]):
                         del stack[k:]
                         open_tags = open_tags[:k]
-            if skipped and len(stack) < skipped[2]:
-                skipped = []
+            if inline and len(stack) < inline[2]:
+                inline = []
             _, node, inside = stack[-1]
             inside = inside or (marks and tag in MAIN)
             off, name = _role(tag, m[3], inside, names)
             if tag not in ("html", "body"):
-                self.nodes[node][4].append(name)
+                self.nodes[inline[3] if inline else node][4].append(name)
             if tag == "head":
-                off = 2
+                off = NEVER
             if off or tag in CONTAINERS:
-                key = xxhash.xxh64_intdigest(f"{self.nodes[node][0]}/{name}") >> 1
-                self.nodes.append([key, node, off, inside, []])
-                node = len(self.nodes) - 1
+                node = open_node(name, off, inside)
             stack.append((tag, node, inside))
         close_block()
 
-    def _set_aside(self) -> list[int]:
-        """For each node the strongest word against it or a node above it."""
-        out = [0]
-        for _, parent, off, _, _ in self.nodes[1:]:
-            out.append(max(off, out[parent]))
-        return out
-
     def style(self) -> list[tuple[int, int, int, int]]:
         """(node, shape, kind of text, text) of each node by name, as hashes; nodes of one name on a page count as one."""
         size = len(self.nodes)
         own: list[list[str]] = [[] for _ in range(size)]
         words, linked, chars = [0] * size, [0] * size, [0] * size
-        for text, node, links in self.blocks:
+        for raw, node, links in (part for block in self.blocks for part in block):
+            text = _plain(raw)
+            if not text:
+                continue
             n = text.count(" ") + 1
             while True:
                 own[node].append(text)
@@ -201,7 +212,7 @@ class Page:
                 node = self.nodes[node][1]
         found: dict[int, list] = {}
         for i, node in enumerate(self.nodes):
-            if node[2] < 2:
+            if node[2] != NEVER:
                 found.setdefault(node[0], []).append(i)
         out = []
         for key, which in found.items():
@@ -212,9 +223,18 @@ class Page:
         return out
 
     def reads(self) -> int:
-        """Hash of the blocks and their nodes: copies share it, whatever stands in branches that are set aside."""
-        aside = self._set_aside()
-        return xxhash.xxh64_intdigest("\n".join(f"{self.nodes[node][0]} {text}" for text, node, _ in self.blocks if not aside[node])) >> 1
+        """Hash of the text and its nodes: only copies share it, whatever their menus and adverts say.
+
+        Branches that a strong name sets aside don't count, unless they hold an article or most of the page: then names are no guide, and all text counts.
+        """
+        aside = [False] * len(self.nodes)
+        for i, (_, parent, off, _, _) in enumerate(self.nodes):
+            aside[i] = aside[parent] or off in (OFF, NEVER)
+        every = [(f"{self.nodes[node][0]} {_plain(raw)}", aside[node] and not self.nodes[node][3]) for block in self.blocks for raw, node, _ in block]
+        rest = [text for text, off in every if not off]
+        if 2 * sum(map(len, rest)) < sum(len(text) for text, _ in every):
+            rest = [text for text, _ in every]
+        return xxhash.xxh64_intdigest("\n".join(rest)) >> 1
 
     def text(self, verdicts: dict[int, int]) -> str:
         """The blocks of the branches that stay, given the host's verdicts by node."""
@@ -222,8 +242,8 @@ class Page:
         says = [verdicts.get(node[0], 0) for node in self.nodes]
         gone = [False] * size
         for i, (_, parent, off, _, _) in enumerate(self.nodes):
-            gone[i] = i > 0 and gone[parent] or off == 2 or (off == 1 and not says[i] & STAYS_OFF)
-        marked = any(self.nodes[node][3] and not gone[node] for _, node, _ in self.blocks)
+            gone[i] = i > 0 and gone[parent] or off == NEVER or (off == OFF and not says[i] & STAYS_OFF) or (off == WEAK and bool(says[i] & GOES_WEAK))
+        marked = any(self.nodes[node][3] and not gone[node] for block in self.blocks for _, node, _ in block)
         holds = [False] * size  # an article is in it
         for i in range(size - 1, 0, -1):
             holds[self.nodes[i][1]] = holds[self.nodes[i][1]] or holds[i] or self.nodes[i][3]
@@ -231,16 +251,19 @@ class Page:
         for i, (_, parent, off, inside, _) in enumerate(self.nodes):
             if i and gone[parent]:
                 gone[i] = True
-            elif gone[i] or off:
+            elif gone[i] or off == OFF:
                 continue
             elif inside:
                 gone[i] = self.nodes[parent][3] and bool(says[i] & GOES_INSIDE)
+            elif off == WEAK:
+                bare[i] = bare[parent]  # inline: as the text around it
             elif marked:
                 bare[i] = holds[i]
                 gone[i] = not holds[i] and not says[i] & STAYS_OUTSIDE
             else:
                 gone[i] = i > 0 and bool(says[i] & GOES)
-        return "\n".join(text for text, node, _ in self.blocks if not gone[node] and not bare[node])
+        kept = (_plain("".join(raw for raw, node, _ in block if not gone[node] and not bare[node])) for block in self.blocks)
+        return "\n".join(text for text in kept if text)
 
 
 def _entropies(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -296,6 +319,7 @@ def verdicts(tree: DataFrame) -> DataFrame:
         + bit(STAYS_OUTSIDE, given(EXPECTED_OUTSIDE) >= F.col("best") / 2)
         + bit(GOES, given(EXPECTED) < F.col("best") / 2)
         + bit(GOES_INSIDE, novelty < 0.25)
+        + bit(GOES_WEAK, novelty < 0.5)
     )
     judged = tree.where("node <> 0").join(whole, "host").where(F.col("pages") >= F.col("all_pages") * SUPPORT).select("host", "node", says.alias("says")).where("says > 0")
     return judged.groupBy("host").agg(F.collect_list(F.struct("node", "says")).alias("says"))
