@@ -51,21 +51,18 @@ def cache_misses(manifest: DataFrame, store: DataFrame) -> DataFrame:
     return wanted.join(store.select("sha256", "size"), ["sha256", "size"], "left_anti").select("session_id", "sha256", "size")
 
 
-def authorized_objects(manifest: DataFrame, states: DataFrame) -> DataFrame:
-    """Object requests by a session's token: 200 where the session is live and its manifest names the object.
+def authorized_objects(requests: DataFrame, sessions: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Status of requests (pos, auth, digest) for objects of sessions (session_id, token, state) and their manifests.
 
-    Requests are made from the manifests: sessions ask for their own objects and, every third time, for one of a neighbour.
+    401 without a bearer token, 404 for a digest that is none (any case counts), 401 where no live session has the token, 404 where its manifest lacks the object, else 200.
     """
-    live = states.groupBy(F.concat(F.lit("src"), F.pmod(F.col("session_id"), F.lit(20)).cast("string")).alias("session_id")).agg(F.max_by("state", F.struct("ts_us", "event_id")).alias("state"))
-    asks = manifest.select(
-        F.when(F.col("pos") % 3 == 0, F.concat(F.lit("src"), F.pmod(F.col("pos"), F.lit(20)).cast("string"))).otherwise(F.col("session_id")).alias("token"), "sha256", "pos", (F.col("pos") % 13 == 0).alias("no_bearer")
-    )
-    named = manifest.select(F.col("session_id").alias("token"), "sha256", F.lit(True).alias("named")).distinct()
-    rows = asks.join(live.withColumnRenamed("session_id", "token"), "token", "left").join(named, ["token", "sha256"], "left")
-    status = (
-        F.when(F.col("no_bearer"), 401).when(~F.col("sha256").rlike("^[0-9a-f]{64}$"), 404).when(F.col("state").isNull() | (F.col("state") == "closed"), 401).when(F.col("named").isNull(), 404).otherwise(200)
-    )
-    return rows.select("pos", "token", status.alias("status"))
+    live = sessions.where("state <> 'closed'").groupBy("token").agg(F.min("session_id").alias("session_id"))
+    named = manifest.select("session_id", F.lower("sha256").alias("digest"), F.lit(True).alias("named")).distinct()
+    bearer = F.coalesce(F.col("auth").startswith("Bearer "), F.lit(False))
+    rows = requests.select("pos", bearer.alias("bearer"), F.when(bearer, F.trim(F.substring("auth", 8, 1 << 20))).alias("token"), F.lower("digest").alias("digest"))
+    rows = rows.join(live, "token", "left").join(named, ["session_id", "digest"], "left")
+    fine = F.coalesce(F.col("digest").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    return rows.select("pos", F.when(~F.col("bearer"), 401).when(~fine, 404).when(F.col("session_id").isNull(), 401).when(F.col("named").isNull(), 404).otherwise(200).alias("status"))
 
 
 def lru_evict(store: DataFrame, *, limit_bytes: int, max_entries: int | None = None) -> DataFrame:
@@ -114,10 +111,9 @@ r AS (SELECT *, sum(CASE WHEN first THEN size ELSE 0 END) OVER (PARTITION BY ses
 s AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN NOT first THEN 'duplicate' WHEN running > 100000 THEN 'over_limit' ELSE 'ok' END AS status FROM r)
 SELECT session_id, pos, status, bool_and(status IN ('ok', 'duplicate')) OVER (PARTITION BY session_id) AS accepted FROM s""")
 query("cache_misses", "v_attachments v_store", cache_misses, "SELECT DISTINCT session_id, sha256, size FROM v_attachments a WHERE size >= 0 AND NOT EXISTS (SELECT 1 FROM v_store s WHERE s.sha256 = a.sha256 AND s.size = a.size)")
-query("authorized_objects", "v_attachments v_states", authorized_objects, """WITH l AS (SELECT 'src' || (session_id % 20) AS token, arg_max(state, {'a': ts_us, 'b': event_id}) AS state FROM v_states GROUP BY 1),
-q AS (SELECT CASE WHEN pos % 3 = 0 THEN 'src' || (pos % 20) ELSE session_id END AS token, sha256, pos FROM v_attachments)
-SELECT pos, token, CAST(CASE WHEN pos % 13 = 0 THEN 401 WHEN NOT regexp_full_match(sha256, '[0-9a-f]{64}') THEN 404 WHEN state IS NULL OR state = 'closed' THEN 401
- WHEN NOT EXISTS (SELECT 1 FROM v_attachments a WHERE a.session_id = q.token AND a.sha256 = q.sha256) THEN 404 ELSE 200 END AS INTEGER) AS status FROM q LEFT JOIN l USING (token)""")
+query("authorized_objects", "v_object_requests v_tokens v_attachments", authorized_objects, """SELECT pos, CAST(CASE WHEN auth IS NULL OR auth NOT LIKE 'Bearer %' THEN 401 WHEN NOT regexp_full_match(lower(digest), '[0-9a-f]{64}') THEN 404
+ WHEN NOT EXISTS (SELECT 1 FROM v_tokens t WHERE t.token = trim(substr(auth, 8)) AND t.state <> 'closed') THEN 401
+ WHEN NOT EXISTS (SELECT 1 FROM v_tokens t JOIN v_attachments a USING (session_id) WHERE t.token = trim(substr(auth, 8)) AND t.state <> 'closed' AND a.sha256 = lower(digest)) THEN 404 ELSE 200 END AS INTEGER) AS status FROM v_object_requests""")
 _EVICT = """WITH c AS (SELECT *, sum(size) OVER (PARTITION BY store) AS total, count(*) OVER (PARTITION BY store) AS entries,
  coalesce(sum(CASE WHEN protected THEN 0 ELSE size END) OVER (PARTITION BY store ORDER BY mtime, size, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
  coalesce(sum(CASE WHEN protected THEN 0 ELSE 1 END) OVER (PARTITION BY store ORDER BY mtime, size, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM v_store)

@@ -92,12 +92,11 @@ def write_report(results: DataFrame, path: str) -> DataFrame:
 
 
 def quality_options(spark: SparkSession, requests: DataFrame, *, android: bool | None = None) -> DataFrame:
-    """The quality options with how often each is asked for; old names count for their new ones."""
+    """The quality options with how often requests (tier) ask for each; old names count for their new ones, unknown and missing ones for none."""
     options = spark.createDataFrame(list(QUALITY), "id string, codec string, lossless boolean, android_supported boolean, p95_mbps int")
     if android:
         options = options.where("android_supported")
-    names = F.array(*(F.lit(q[0]) for q in QUALITY), F.lit("visually-lossless"))
-    asked = F.get(names, F.pmod(F.col("event_id"), F.lit(len(QUALITY) + 1)).cast("int"))
+    asked = F.col("tier")
     for old, new in ALIASES.items():
         asked = F.when(asked == old, new).otherwise(asked)
     counts = requests.groupBy(asked.alias("id")).agg(F.count("*").alias("asked"))
@@ -119,23 +118,23 @@ def failure_categories(failures: DataFrame) -> DataFrame:
     return failures.groupBy(failure_category(F.col("error_text")).alias("category")).agg(F.count("*").alias("n"))
 
 
-def host_probes(hosts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Which encoders open on each host, of the candidates of the tier that it asks for (old names count for their new ones; only lossless-hevc has profiles)."""
+def encoder_choice(hosts: DataFrame, candidates: DataFrame, probes: DataFrame) -> DataFrame:
+    """The first candidate that opens on each host (host, tier, profile), else an error that names every candidate tried with the category of its own failure.
+
+    Old names of tiers count for their new ones, and only lossless-hevc has profiles.  `probes` (host, codec, options, error_text) say what opening a
+    candidate gave; one that was never tried there counts as an open failure without a message.
+    """
     tier = F.col("tier")
     for old, new in ALIASES.items():
         tier = F.when(tier == old, new).otherwise(tier)
-    asked = hosts.select("host", "error_text", "has_cuda", "variant", tier.alias("tier"), F.when(tier == "lossless-hevc", F.col("profile")).otherwise("auto").alias("profile"))
-    opens = F.when(F.col("codec") == "hevc_nvenc", F.col("has_cuda")).when(F.col("codec") == "libx265", F.col("variant") < 6).otherwise(F.col("variant") < 4)
-    return asked.join(candidates, ["tier", "profile"], "left").select("host", "tier", "error_text", "place", "codec", "options", opens.alias("ok"))
-
-
-def encoder_choice(hosts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The first candidate that opens on each host, else an error: an unknown tier, or what was tried with the category of the failure."""
-    tried = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("codec").isNotNull(), F.struct("place", "codec")))), lambda x: x["codec"]), ", ")
-    by = host_probes(hosts, candidates).groupBy("host", "tier").agg(
-        F.min_by(F.concat_ws(" ", "codec", "options"), F.when(F.col("ok"), F.col("place"))).alias("encoder"), tried.alias("tried"), F.min(failure_category(F.col("error_text"))).alias("category")
-    )
-    error = F.when(F.col("tried") == "", F.concat(F.lit("unknown quality tier "), F.col("tier"))).when(F.col("encoder").isNull(), F.concat("tried", F.lit(": "), "category"))
+    asked = hosts.select("host", F.col("tier").alias("asked"), tier.alias("tier"), F.when(tier == "lossless-hevc", F.col("profile")).otherwise("auto").alias("profile"))
+    said = probes.select("host", "codec", "options", "error_text", F.lit(True).alias("tried"))
+    rows = asked.join(candidates, ["tier", "profile"], "left").join(said, ["host", "codec", "options"], "left")
+    opens = F.col("tried") & F.col("error_text").isNull()
+    failure = F.when(F.col("codec").isNotNull() & ~F.coalesce(opens, F.lit(False)), F.struct("place", F.concat("codec", F.lit(" ["), failure_category(F.coalesce("error_text", F.lit(""))), F.lit("]")).alias("text")))
+    by = rows.groupBy("host", "asked").agg(F.min_by(F.concat_ws(" ", "codec", "options"), F.when(opens, F.col("place"))).alias("encoder"), F.array_sort(F.collect_list(failure)).alias("failures"))
+    detail = F.array_join(F.transform("failures", lambda x: x["text"]), "; ")
+    error = F.when(F.col("encoder").isNotNull(), None).when(F.size("failures") == 0, F.concat(F.lit("unknown quality tier "), F.col("asked"))).otherwise(F.concat(F.lit("no encoder available for tier "), "asked", F.lit("; "), detail))
     return by.select("host", "encoder", error.alias("error"))
 
 
@@ -177,18 +176,17 @@ SELECT size, CAST(rate AS INTEGER) AS rate, arg_max(model, {'f': fps, 'm': model
 query("sink_bench_report", "v_bench", lambda spark, b: write_report(b, shared_folder(spark, "report")), """WITH b AS (SELECT model, size, CAST(round(max(fps), 1) AS VARCHAR) AS c FROM v_bench GROUP BY model, size),
 c AS (SELECT model, coalesce(max(CASE WHEN size = '720p' THEN c END), 'n/a') AS p720, coalesce(max(CASE WHEN size = '1080p' THEN c END), 'n/a') AS p1080, coalesce(max(CASE WHEN size = '1440p' THEN c END), 'n/a') AS p1440 FROM b GROUP BY model)
 SELECT model, p720, p1080, p1440, '| ' || model || ' | ' || p720 || ' | ' || p1080 || ' | ' || p1440 || ' |' AS line FROM c""", with_spark=True)
-query("quality_options", "v_opens", quality_options, """WITH o AS (SELECT * FROM (VALUES ('lossless-hevc', 'hevc', true, true, NULL), ('hevc-qp2', 'hevc', false, true, 350), ('hevc-qp4', 'hevc', false, true, 250), ('hevc-qp6', 'hevc', false, true, 200), ('hevc-qp10', 'hevc', false, true, 100),
+query("quality_options", "v_quality_requests", quality_options, """WITH o AS (SELECT * FROM (VALUES ('lossless-hevc', 'hevc', true, true, NULL), ('hevc-qp2', 'hevc', false, true, 350), ('hevc-qp4', 'hevc', false, true, 250), ('hevc-qp6', 'hevc', false, true, 200), ('hevc-qp10', 'hevc', false, true, 100),
  ('hevc-qp14', 'hevc', false, true, 50), ('hevc-qp18', 'hevc', false, true, 50), ('lossless-ffv1', 'ffv1', true, false, NULL)) t(id, codec, lossless, android_supported, p95_mbps)),
-n AS (SELECT ['lossless-hevc', 'hevc-qp2', 'hevc-qp4', 'hevc-qp6', 'hevc-qp10', 'hevc-qp14', 'hevc-qp18', 'lossless-ffv1', 'hevc-qp18'][event_id % 9 + 1] AS id, count(*) AS asked FROM v_opens GROUP BY 1)
+n AS (SELECT CASE tier WHEN 'visually-lossless' THEN 'hevc-qp18' ELSE tier END AS id, count(*) AS asked FROM v_quality_requests GROUP BY 1)
 SELECT id, codec, lossless, android_supported, p95_mbps, coalesce(asked, 0) AS asked FROM o LEFT JOIN n USING (id)""", with_spark=True)
 _CAT = """CASE WHEN regexp_matches(lower(error_text), 'no free|resource|session|out of memory|too many') THEN 'session/resource exhaustion' WHEN regexp_matches(lower(error_text), 'option|invalid argument|not supported') THEN 'unsupported options'
  WHEN regexp_matches(lower(error_text), 'not found|unknown encoder|driver|library') THEN 'missing encoder/driver' WHEN regexp_matches(lower(error_text), 'device|cuda|nvenc|hardware') THEN 'device/driver failure' ELSE 'encoder open failure' END"""
 query("failure_categories", "v_hosts", failure_categories, f"SELECT {_CAT} AS category, count(*) AS n FROM v_hosts GROUP BY 1")
-query("encoder_choice", "v_hosts v_candidates", encoder_choice, f"""WITH h AS (SELECT *, {_CAT} AS category FROM (SELECT * REPLACE (CASE tier WHEN 'visually-lossless' THEN 'hevc-qp18' ELSE tier END AS tier) FROM v_hosts)),
-p AS (SELECT h.host, h.tier, h.category, c.place, c.codec, c.options, CASE c.codec WHEN 'hevc_nvenc' THEN has_cuda WHEN 'libx265' THEN variant < 6 WHEN 'ffv1' THEN variant < 4 END AS ok
- FROM h LEFT JOIN v_candidates c ON c.tier = h.tier AND c.profile = CASE WHEN h.tier = 'lossless-hevc' THEN h.profile ELSE 'auto' END),
-g AS (SELECT host, tier, min(category) AS category, arg_min(codec || ' ' || options, place) FILTER (WHERE ok) AS encoder, string_agg(codec, ', ' ORDER BY place) AS tried FROM p GROUP BY host, tier)
-SELECT host, encoder, CASE WHEN tried IS NULL THEN 'unknown quality tier ' || tier WHEN encoder IS NULL THEN tried || ': ' || category END AS error FROM g""")
+query("encoder_choice", "v_hosts v_candidates v_probes", encoder_choice, f"""WITH h AS (SELECT host, tier AS asked, CASE tier WHEN 'visually-lossless' THEN 'hevc-qp18' ELSE tier END AS tier, CASE WHEN tier = 'lossless-hevc' THEN profile ELSE 'auto' END AS profile FROM v_hosts),
+p AS (SELECT h.host, h.asked, c.place, c.codec, c.options, error_text, {_CAT} AS category FROM h LEFT JOIN v_candidates c USING (tier, profile) LEFT JOIN v_probes b ON b.host = h.host AND b.codec = c.codec AND b.options = c.options),
+g AS (SELECT host, asked, arg_min(codec || ' ' || options, place) FILTER (WHERE error_text IS NULL AND codec IS NOT NULL) AS encoder, string_agg(codec || ' [' || category || ']', '; ' ORDER BY place) FILTER (WHERE codec IS NOT NULL) AS detail FROM p GROUP BY host, asked)
+SELECT host, encoder, CASE WHEN encoder IS NULL THEN CASE WHEN detail IS NULL THEN 'unknown quality tier ' || asked ELSE 'no encoder available for tier ' || asked || '; ' || detail END END AS error FROM g""")
 query("provider_choice", "v_hosts", provider_choice, """SELECT host, CASE WHEN ep <> 'auto' THEN '' ELSE CASE WHEN has_tensorrt THEN 'TensorrtExecutionProvider,' ELSE '' END || CASE WHEN has_cuda THEN 'CUDAExecutionProvider,' ELSE '' END
  || CASE WHEN has_dml THEN 'DmlExecutionProvider,' ELSE '' END END || 'CPUExecutionProvider' AS providers FROM v_hosts""")
 query("provider_gap", "v_hosts", provider_gap, "SELECT host, 'CUDAExecutionProvider' AS missing FROM v_hosts WHERE NOT has_cuda UNION ALL SELECT host, 'TensorrtExecutionProvider' FROM v_hosts WHERE NOT has_tensorrt")

@@ -104,11 +104,15 @@ def epoch_complete(packets: DataFrame) -> DataFrame:
     return drop_stale_epochs(packets).groupBy("session_id", "epoch").agg(F.bool_or("eos").alias("complete"), F.count("*").alias("n"))
 
 
-def video_descriptor(packets: DataFrame) -> DataFrame:
-    """Wire form of each session's video stream: rate, duration (0 counts as missing) and start."""
-    by = packets.where("kind = 'video'").groupBy("session_id").agg(F.max("pts").alias("end_pts"), F.min("pts").alias("start_pts"), F.count("*").alias("n"))
-    duration = F.coalesce(F.nullif(F.col("end_pts") - F.col("start_pts"), F.lit(0)), F.col("n") * 40)
-    return by.select("session_id", F.lit("[1,1000]").alias("time_base"), (duration / 1000).alias("duration_s"), F.base64(F.col("session_id").cast("string").cast("binary")).alias("extradata"))
+def video_descriptor(streams: DataFrame) -> DataFrame:
+    """Wire form of video streams: codec, extradata (null where empty), size, time base and average rate (null where unknown), and the duration in seconds.
+
+    The duration is the stream's, else the container's (microseconds); 0 counts as missing in both.
+    """
+    pair = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat(F.lit("["), F.col(a).cast("string"), F.lit(","), F.col(b).cast("string"), F.lit("]")))
+    own = F.nullif(F.col("duration"), F.lit(0)) * F.col("tb_num") / F.col("tb_den")
+    extradata = F.when(F.octet_length("extradata") > 0, F.base64(F.col("extradata").cast("binary")))
+    return streams.select("stream_id", "codec", extradata.alias("extradata_b64"), "width", "height", pair("tb_num", "tb_den").alias("time_base"), pair("rate_num", "rate_den").alias("avg_rate"), F.coalesce(own, F.nullif(F.col("container_us"), F.lit(0)) / 1_000_000).alias("duration_s"))
 
 
 def pts_verify(expected: DataFrame, actual: DataFrame, *, tol: float = 0.002) -> DataFrame:
@@ -178,10 +182,10 @@ query("storage_share", "v_packets", storage_share, "SELECT kind, CAST(sum(size)
 query("epoch_complete", "v_packets", epoch_complete, f"SELECT session_id, epoch, bool_or(eos) AS complete, count(*) AS n FROM {_CUR} WHERE epoch >= cur GROUP BY session_id, epoch")
 query(
     "video_descriptor",
-    "v_packets",
+    "v_streams",
     video_descriptor,
-    """SELECT session_id, '[1,1000]' AS time_base, CAST(coalesce(nullif(max(pts) - min(pts), 0), count(*) * 40) AS DOUBLE) / 1000 AS duration_s, base64(CAST(CAST(session_id AS VARCHAR) AS BLOB)) AS extradata
-FROM v_packets WHERE kind = 'video' GROUP BY session_id""",
+    """SELECT stream_id, codec, CASE WHEN length(extradata) > 0 THEN base64(CAST(extradata AS BLOB)) END AS extradata_b64, width, height, '[' || tb_num || ',' || tb_den || ']' AS time_base,
+ CASE WHEN rate_num IS NOT NULL THEN '[' || rate_num || ',' || rate_den || ']' END AS avg_rate, coalesce(CAST(nullif(duration, 0) * tb_num AS DOUBLE) / tb_den, CAST(nullif(container_us, 0) AS DOUBLE) / 1000000) AS duration_s FROM v_streams""",
 )
 query(
     "pts_verify",

@@ -146,6 +146,35 @@ FROM (SELECT *, CASE kind WHEN 'hello' THEN ', "protocol_version": 1, "client_na
  WHEN 'seek' THEN ', "target_pts": ' || CAST(event_id AS VARCHAR(20)) || ', "epoch": ' || CAST(k AS VARCHAR(20))
  WHEN 'buffer_report' THEN ', "buffered_ms": ' || CAST(k * 100 AS VARCHAR(20)) || CASE WHEN k % 3 = 0 THEN ', "playing_pts": ' || CAST(event_id AS VARCHAR(20)) ELSE '' END ELSE '' END AS body
 FROM (SELECT event_id, k, CASE event_type WHEN 'click' THEN 'seek' WHEN 'view' THEN 'buffer_report' WHEN 'signup' THEN 'hello' WHEN 'purchase' THEN 'open_session' ELSE 'pause' END AS kind FROM {v_events}))""",
+    ),
+    # what a host's encoders say when the candidates of the tier that it asks for are opened; null where one opens
+    "v_probes": (
+        ("v_hosts", "v_candidates"),
+        """SELECT host, codec, options, CASE WHEN codec = 'hevc_nvenc' AND has_cuda THEN NULL WHEN codec = 'libx265' AND variant < 3 THEN NULL WHEN codec = 'ffv1' AND variant < 4 THEN NULL
+ ELSE CASE (host + place) % 5 WHEN 0 THEN 'No free encode session' WHEN 1 THEN 'Option preset not found' WHEN 2 THEN 'unknown encoder ' || codec WHEN 3 THEN 'CUDA error 35' ELSE 'exit 1' END END AS error_text
+FROM {v_hosts} h JOIN {v_candidates} c ON c.tier = CASE h.tier WHEN 'visually-lossless' THEN 'hevc-qp18' ELSE h.tier END AND c.profile = CASE WHEN h.tier = 'lossless-hevc' THEN h.profile ELSE 'auto' END""",
+    ),
+    "v_quality_requests": (
+        ("v_events",),
+        """SELECT event_id, CASE event_id % 11 WHEN 0 THEN 'lossless-hevc' WHEN 1 THEN 'hevc-qp2' WHEN 2 THEN 'hevc-qp4' WHEN 3 THEN 'hevc-qp6' WHEN 4 THEN 'hevc-qp10' WHEN 5 THEN 'hevc-qp18' WHEN 6 THEN 'lossless-ffv1'
+ WHEN 7 THEN 'visually-lossless' WHEN 8 THEN 'visually-lossless' WHEN 9 THEN 'none of these' ELSE NULL END AS tier FROM {v_events}""",
+    ),
+    # live sessions by the token that clients send, and their requests for attachment bodies
+    "v_tokens": (
+        ("v_states",),
+        """SELECT 'src' || CAST(n AS VARCHAR(20)) AS session_id, 'tok' || CAST(n * 7 % 20 AS VARCHAR(20)) AS token, state
+FROM (SELECT session_id % 20 AS n, state, row_number() OVER (PARTITION BY session_id % 20 ORDER BY ts_us DESC, event_id DESC) AS rn FROM {v_states}) WHERE rn = 1""",
+    ),
+    "v_object_requests": (
+        ("v_attachments",),
+        """SELECT pos, CASE WHEN pos % 13 = 0 THEN NULL WHEN pos % 17 = 0 THEN 'Basic abc' WHEN pos % 3 = 0 THEN 'Bearer tok' || CAST(pos % 20 AS VARCHAR(20))
+ ELSE 'Bearer  tok' || CAST(CAST(replace(session_id, 'src', '') AS BIGINT) * 7 % 20 AS VARCHAR(20)) || ' ' END AS auth, CASE WHEN pos % 7 = 0 THEN upper(sha256) ELSE sha256 END AS digest FROM {v_attachments}""",
+    ),
+    "v_streams": (
+        (),
+        """SELECT p_partkey AS stream_id, CASE p_size % 3 WHEN 0 THEN 'h264' WHEN 1 THEN 'hevc' ELSE 'av1' END AS codec, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_name END AS extradata, CAST(p_size * 64 AS BIGINT) AS width, CAST(p_size * 36 AS BIGINT) AS height,
+ CAST(1 AS BIGINT) AS tb_num, CAST(CASE p_size % 2 WHEN 0 THEN 1000 ELSE 90000 END AS BIGINT) AS tb_den, CASE WHEN p_partkey % 5 <> 0 THEN CAST(24000 + p_size % 2 * 6000 AS BIGINT) END AS rate_num, CASE WHEN p_partkey % 5 <> 0 THEN CAST(1001 AS BIGINT) END AS rate_den,
+ CASE WHEN p_partkey % 6 = 0 THEN CAST(0 AS BIGINT) WHEN p_partkey % 7 <> 0 THEN p_partkey * 1000 END AS duration, CASE WHEN p_partkey % 10 = 0 THEN CAST(0 AS BIGINT) WHEN p_partkey % 11 <> 0 THEN p_partkey * 1000000 END AS container_us FROM {part}""",
     ),
     "v_clients": (("v_events",), "SELECT '10.0.0.' || CAST(user_id % 50 AS VARCHAR(20)) AS ip, @us(ts) AS ts_us FROM {v_events}"),
     "v_hosts": (

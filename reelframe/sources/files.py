@@ -18,7 +18,8 @@ from reelframe.operators.sessions import STAGES_SQL, STATS_FIELDS, STATS_SQL, sa
 from reelframe.plans.registry import ORACLES, QUERIES
 from reelframe.plans.views import ansi_with, view
 from reelframe.session import shared_folder
-from reelframe.sources.captures import scan_packets, write_captures
+from reelframe.sources.captures import located, scan_packets, write_captures
+from reelframe.sources.objects import read_store, sink_object_store
 
 
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -138,16 +139,6 @@ def scan_status(snapshots: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min(F.struct("state", "fps", "infer_ms")).alias("s")).select("id", "s.*")
 
 
-def sink_object_store(bodies: DataFrame, path: str, *, store: DataFrame | None = None) -> DataFrame:
-    """Append verified bodies that the store lacks, once per hash, and return what was written; a second run adds nothing."""
-    fine = bodies.where((F.sha2("data", 256) == F.col("sha256")) & (F.octet_length("data") == F.col("size")))
-    if store is not None:
-        fine = fine.join(store.select("sha256"), "sha256", "left_anti")
-    new = fine.dropDuplicates(["sha256"]).select("sha256", "size", "data", F.left("sha256", F.lit(2)).alias("prefix"))
-    new.write.mode("append").partitionBy("prefix").parquet(path)
-    return bodies.sparkSession.read.parquet(path).select("sha256", "size")
-
-
 #: Packets of a capture file at most.
 BLOCK = 1_000_000
 
@@ -212,27 +203,43 @@ def _status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_status(spark.read.text(at).withColumnRenamed("value", "json"))
 
 
+def write_files(files: DataFrame, at: str) -> int:
+    """Write each row (path below `at`, content as binary) as a file of its own; how many were written.  A task that is run again writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = located(at)
+        for batch in batches:
+            known = set()
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                folder = f"{root}/{path}".rpartition("/")[0]
+                if folder not in known:
+                    system.create_dir(folder, recursive=True)
+                    known.add(folder)
+                with system.open_output_stream(f"{root}/{path}") as out:
+                    out.write(content.as_py() or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def _models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write every model and sidecar as a row (path, content), many to a file, and read them back; one sidecar in ten is broken."""
+    """Write every model and sidecar as a file and scan the folder; one sidecar in ten is broken."""
     m = view(spark, sf_dir, "v_models").select(F.concat(F.lit("models/"), "model", F.lit("_id"), F.col("model_id").cast("string")).alias("at"), "has_sidecar", "sidecar_scale", "model_id")
     json = F.concat(F.when(F.col("model_id") % 2 == 0, "\ufeff").otherwise(""), F.lit("{\"scale_factor\": "), F.coalesce(F.col("sidecar_scale").cast("string"), F.lit("null")), F.lit("}"))
     body = F.when(F.col("model_id") % 30 == 0, "broken").otherwise(json)
-    models = m.select(F.concat("at", F.lit(".onnx")).alias("path"), F.lit("weights").alias("content"))
-    sidecars = m.where("has_sidecar").select(F.concat("at", F.lit(".json")).alias("path"), body.alias("content"))
+    models = m.select(F.concat("at", F.lit(".onnx")).alias("path"), F.lit("weights").cast("binary").alias("content"))
+    sidecars = m.where("has_sidecar").select(F.concat("at", F.lit(".json")).alias("path"), body.cast("binary").alias("content"))
     at = shared_folder(spark, "models")
-    models.unionByName(sidecars).write.parquet(at)
-    files = spark.read.parquet(at)
-    side = files.where(F.col("path").endswith(".json")).select(stem("path").alias("model"), F.regexp_replace("content", "^\ufeff", "").alias("json"))
-    return with_sidecars(files.where(F.col("path").endswith(".onnx")).select(stem("path").alias("model")), side)
+    write_files(models.unionByName(sidecars).repartition("path"), at)
+    return scan_models(spark, at)
 
 
 def _catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write every file of the catalogue, with a body of its length, as a row (path, mtime_us, content), many to a file, and read them back."""
+    """Write every file of the catalogue with a body of its length and scan the folder."""
     c = view(spark, sf_dir, "v_catalog").where("NOT is_dir")
     at = shared_folder(spark, "media")
-    c.select("path", (F.col("mtime") * 1_000_000).cast("long").alias("mtime_us"), F.expr("repeat('.', CAST(length AS INT))").alias("content")).write.parquet(at)
-    files = spark.read.parquet(at).select("path", F.octet_length("content").cast("long").alias("length"), "mtime_us")
-    return catalog_of(files).groupBy("parent", "is_dir").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    write_files(c.select("path", F.expr("repeat('.', CAST(length AS INT))").cast("binary").alias("content")).repartition("path"), at)
+    return scan_catalog(spark, at).groupBy("parent", "is_dir").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 
 def _store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +248,7 @@ def _store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = docs.select(F.when(F.col("doc_id") % 97 == 0, F.lit("0")).otherwise(F.sha2("text", 256)).alias("sha256"), (F.octet_length("text") + F.when(F.col("doc_id") % 89 == 0, 1).otherwise(0)).cast("long").alias("size"), data.alias("data"))
     at = shared_folder(spark, "objects")
     sink_object_store(bodies.where("size % 2 = 0"), at)
-    return sink_object_store(bodies, at, store=spark.read.parquet(at))
+    return sink_object_store(bodies, at, store=read_store(spark, at))
 
 
 QUERIES.update({"scan_packets": _packets_query, "scan_server_log": _log_query, "scan_status": _status_query, "scan_models": _models_query, "scan_catalog": _catalog_query, "sink_object_store": _store_query})
