@@ -153,6 +153,14 @@ def _share(count: Column, total: Column) -> Column:
     return F.expr("bigint(1)") + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + SMOOTH).cast("decimal(20,0)"), total.cast("decimal(20,0)"))
 
 
+def _beside(rows: DataFrame, table_: DataFrame, on: list[str], *, most: int = 200_000, salts: int = 32) -> DataFrame:
+    """`rows` joined with a table of one row a language or group: broadcast up to `most` rows, else a join that deals each key's rows over `salts` tasks."""
+    if table_.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table_), on)
+    spread = table_.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int")).join(spread, [*on, "salt"]).drop("salt")
+
+
 def divergence(docs: DataFrame, *, min_docs: int = 30, top: int = 50, width: int = WIDTH, tile: int = TILE) -> DataFrame:
     """(lang, source, part, item, value, rank): distances between the sources of a language (`pair`) and each source's most over-used terms (`term`).
 
@@ -170,6 +178,7 @@ def divergence(docs: DataFrame, *, min_docs: int = 30, top: int = 50, width: int
     kept = checkpointed(kept)
     terms = kept.where("term IS NOT NULL")
     langs = kept.groupBy("lang").agg(F.count_if(F.col("head") & F.col("term").isNotNull()).alias("v"), F.sum("n").alias("n_lang"), F.count_if(F.col("term").isNull()).alias("n_sources"))
+    langs = checkpointed(langs)  # one row a language
     groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("n_group")).join(langs, "lang")
     groups = groups.select(
         "lang",
@@ -179,13 +188,15 @@ def divergence(docs: DataFrame, *, min_docs: int = 30, top: int = 50, width: int
         F.greatest(F.lit(1), F.ceil(F.col("v") / width)).cast("int").alias("blocks"),
         F.ceil(F.col("n_sources") / tile).cast("int").alias("tiles"),
     )
-    shares = terms.where("n > 0").join(groups, ["lang", "source"])
+    groups = checkpointed(groups)
+    shares = _beside(terms.where("n > 0"), groups, ["lang", "source"])
     over = shares.select("lang", "source", F.col("term").alias("item"), (_share(F.col("n"), F.col("total")) - _share(F.col("all"), F.col("total_lang"))).alias("value")).where("value > 0")
     ranked = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     over = over.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top).withColumn("part", F.lit("term"))
 
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int").alias("block")
-    sizes = terms.where("head").join(langs.select("lang", F.greatest(F.lit(1), F.ceil(F.col("v") / width)).cast("int").alias("blocks")), "lang").groupBy("lang", block).agg(F.count("*").alias("n_terms"))
+    blocks = langs.select("lang", F.greatest(F.lit(1), F.ceil(F.col("v") / width)).cast("int").alias("blocks"))
+    sizes = _beside(terms.where("head"), blocks, ["lang"]).groupBy("lang", block).agg(F.count("*").alias("n_terms"))
     vectors = shares.select("lang", "source", block, F.struct("term", "n").alias("x")).groupBy("lang", "source", "block").agg(F.collect_list("x").alias("counts"))
     every = groups.select("lang", "source", "total", "tiles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sizes, ["lang", "block"])
     own = F.pmod(F.xxhash64("source"), F.col("tiles")).cast("int")
