@@ -30,6 +30,7 @@ def whole(x: Column) -> Column:
 
 def infer_scale(model: Column) -> Column:
     """Scale factor that a model's name states (2x, x4, ...), else 2; digits on either side of the token forbid it."""
+    # Fixed value: the pattern of a scale in a name.
     pattern = r"(?i)(?<!\d)(?:([1-9]\d*)x|x([1-9]\d*))(?!\d)"
     found = F.coalesce(F.nullif(F.regexp_extract(model, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(model, pattern, 2), F.lit("")))
     return F.coalesce(found.cast("long"), F.lit(2).cast("long"))
@@ -38,6 +39,7 @@ def infer_scale(model: Column) -> Column:
 def safe_name(name: Column, fallback: Column, *, cut_after_fallback: bool = False) -> Column:
     """A bounded, plain base name: after the last slash, no control characters, runs of others as one underscore."""
     base = F.substring_index(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("/")), "/", -1)
+    # The characters that a safe name drops, folds and trims, and its length.
     base = F.regexp_replace(base, r"[\x00-\x1f\x7f]", "")
     base = F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9._-]+", "_"), r"^[ ._]+|[ ._]+$", "")
     if cut_after_fallback:
