@@ -15,7 +15,7 @@ smallest document among them.
 
 Each task sends on one entry for each run it met, with its smallest document, so a passage of a third of all rows costs each
 task one entry.  Results return packed by groups of documents, so rows number as the blocks of a shuffle do, not as documents times buckets.
-Runs are named by 48 bits of a hash within the buckets of an independent one of 32 bits and more.
+Runs are named by 64 bits of a hash within the buckets of an independent one of 32 bits and more.
 """
 
 from __future__ import annotations
@@ -120,7 +120,7 @@ class Runs:
         last[:-1] &= (at[1:] != at[:-1]) | ~valid[1:]
         start = np.flatnonzero(first)
         stop = np.flatnonzero(last) + 1
-        return start, stop - start, grams[at[start]], span_hash(sums, start, stop + length - 1) >> np.uint64(16)
+        return start, stop - start, grams[at[start]], span_hash(sums, start, stop + length - 1)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -210,12 +210,12 @@ def _firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _halves(name: np.ndarray) -> list[np.ndarray]:
-    """48-bit names in six bytes each."""
-    return [(name >> np.uint64(16)).astype(np.uint32), (name & np.uint64(0xFFFF)).astype(np.uint16)]
+    """Names as two columns of four bytes."""
+    return [(name >> np.uint64(32)).astype(np.uint32), (name & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
 
 
 def _whole(halves: list[np.ndarray]) -> np.ndarray:
-    return halves[0].astype(np.uint64) << np.uint64(16) | halves[1]
+    return halves[0].astype(np.uint64) << np.uint64(32) | halves[1]
 
 
 def _grouped(doc: np.ndarray, groups: int) -> np.ndarray:
@@ -304,7 +304,7 @@ def run_buckets(docs: DataFrame, shared, *, length: int, buckets: int) -> DataFr
             if key[0].as_py() < 0:
                 yield _passed(-1 - key[0].as_py(), batch)
                 continue
-            parts += [_unpacked(x.as_py(), [np.uint32, np.uint32, np.uint16]) for x in batch.column(3)]
+            parts += [_unpacked(x.as_py(), [np.uint32, np.uint32, np.uint32]) for x in batch.column(3)]
         if not parts:
             return
         anchor, name = np.concatenate([p[0][0] for p in parts]), np.concatenate([_whole(p[0][1:]) for p in parts])
@@ -326,7 +326,7 @@ def run_buckets(docs: DataFrame, shared, *, length: int, buckets: int) -> DataFr
             yield _results(where, blobs if settled else none, none if settled else blobs)
 
     packed = docs.mapInArrow(spread, _PACKED)
-    return _by_document(packed.groupBy("bucket").applyInArrow(refine, "docs int, settled binary, open binary"), [np.uint32, np.uint16])
+    return _by_document(packed.groupBy("bucket").applyInArrow(refine, "docs int, settled binary, open binary"), [np.uint32, np.uint32])
 
 
 def _stretches(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> bytes:
@@ -381,8 +381,8 @@ def suffix_buckets(joined: DataFrame, shared, *, length: int, buckets: int, slic
             for x in batch.column(3):
                 raw = x.as_py()
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
-                rest = np.frombuffer(zlib.decompress(raw[8 + 11 * n :]), np.uint8)
-                got.append((np.frombuffer(raw, np.uint32, n, 8), _whole([np.frombuffer(raw, np.uint32, n, 8 + 4 * n), np.frombuffer(raw, np.uint16, n, 8 + 8 * n)]), np.frombuffer(raw, np.uint8, n, 8 + 10 * n).astype(np.int64), rest[: 8 * n].view(np.int64), rest[8 * n :]))
+                rest = np.frombuffer(zlib.decompress(raw[8 + 13 * n :]), np.uint8)
+                got.append((np.frombuffer(raw, np.uint32, n, 8), _whole([np.frombuffer(raw, np.uint32, n, 8 + 4 * n), np.frombuffer(raw, np.uint32, n, 8 + 8 * n)]), np.frombuffer(raw, np.uint8, n, 8 + 12 * n).astype(np.int64), rest[: 8 * n].view(np.int64), rest[8 * n :]))
         anchor, name, size, doc, data = (np.concatenate([g[k] for g in got]) for k in range(5))
         del got
         order = np.lexsort((doc, anchor))
@@ -403,21 +403,21 @@ def suffix_buckets(joined: DataFrame, shared, *, length: int, buckets: int, slic
         yield _results(where, blobs, [None] * len(blobs))
 
     refined = joined.mapInArrow(spread, _PACKED).groupBy("bucket").applyInArrow(refine, "docs int, settled binary, open binary")
-    return _by_document(refined, [np.uint32, np.uint16, np.uint64]).select("doc_id", F.col("settled").alias("repeated"))
+    return _by_document(refined, [np.uint32, np.uint32, np.uint64]).select("doc_id", F.col("settled").alias("repeated"))
 
 
 def _runs_of(data: bytes | None) -> np.ndarray:
-    """Names of runs from six bytes each: all upper parts, then all lower ones."""
-    n = len(data or b"") // 6
-    return _whole([np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint16, n, 4 * n)]) if n else np.zeros(0, np.uint64)
+    """Names of runs from eight bytes each: all upper parts, then all lower ones."""
+    n = len(data or b"") // 8
+    return _whole([np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint32, n, 4 * n)]) if n else np.zeros(0, np.uint64)
 
 
 def _windows_of(data: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Names of runs, in order, and bits of their repeated windows, from fourteen bytes each."""
-    n = len(data or b"") // 14
+    """Names of runs, in order, and bits of their repeated windows, from sixteen bytes each."""
+    n = len(data or b"") // 16
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    name, bits = _whole([np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint16, n, 4 * n)]), np.frombuffer(data[6 * n :], np.uint64)
+    name, bits = _whole([np.frombuffer(data, np.uint32, n), np.frombuffer(data, np.uint32, n, 4 * n)]), np.frombuffer(data[8 * n :], np.uint64)
     order = np.argsort(name, kind="stable")
     return name[order], bits[order]
 
