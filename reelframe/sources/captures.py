@@ -23,6 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from reelframe.sources.listing import located
+
 # Head of a packet, little-endian (payload length, flags, epoch, pts, dts), the stamp that means none, and the handshake before the first packet.
 HEADER, NO_STAMP = struct.Struct("<IBIqq"), -(2**63)
 MAGIC, HANDSHAKE, DIRECTIONS = b"UPRLY1", 41, (1, 2)
@@ -35,13 +37,6 @@ _TYPES = [pa.string(), pa.int32(), *[pa.int64()] * 8, pa.bool_(), pa.binary()]
 _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 
 
-def located(address: str) -> tuple[fs.FileSystem, str]:
-    """The file system of an address and the path there."""
-    if "://" not in address and not address.startswith(("file:", "/")):
-        raise ValueError(f"an absolute path or an address: {address}")
-    return fs.FileSystem.from_uri(address.replace("s3a://", "s3://", 1))
-
-
 def listed(address: str) -> list[tuple[str, int]]:
     """Captures at an address (a file, or all files below a folder) and their lengths; names that begin with . or _ are no captures."""
     system, path = located(address)

@@ -18,7 +18,8 @@ from reelframe.operators.sessions import STAGES_SQL, STATS_FIELDS, STATS_SQL, sa
 from reelframe.plans.registry import ORACLES, QUERIES
 from reelframe.plans.views import ansi_with, view
 from reelframe.session import shared_folder
-from reelframe.sources.captures import located, scan_packets, write_captures
+from reelframe.sources.captures import scan_packets, write_captures
+from reelframe.sources.listing import contents, listing, located, tasks_for
 from reelframe.sources.objects import read_store, sink_object_store
 
 
@@ -54,9 +55,11 @@ def stem(path: str | Column) -> Column:
 
 def scan_models(spark: SparkSession, root: str) -> DataFrame:
     """Models below a root with their sidecars of the same stem; a byte-order mark before the JSON is skipped."""
-    models = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.onnx").load(root).select(stem("path").alias("model"))
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
-    return with_sidecars(models, text.select(stem(F.input_file_name()).alias("model"), F.regexp_replace("value", "^\ufeff", "").alias("json")))
+    files = listing(spark, root)
+    models = files.where(F.col("path").endswith(".onnx")).select(stem("path").alias("model"))
+    text = contents(files.where(F.col("path").endswith(".json")), root).select("path", F.col("content").cast("string").alias("value"))
+    sidecars = text.select(stem("path").alias("model"), F.regexp_replace("value", "^\ufeff", "").alias("json"))
+    return with_sidecars(models, sidecars.hint("merge"))  # Spark takes the sidecars for as small as the table of their paths, so it would broadcast them
 
 
 def _run_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +211,8 @@ def write_files(files: DataFrame, at: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = located(at)
+        known = set()
         for batch in batches:
-            known = set()
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 folder = f"{root}/{path}".rpartition("/")[0]
                 if folder not in known:
@@ -222,15 +225,21 @@ def write_files(files: DataFrame, at: str) -> int:
     return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+#: Models of a folder, about.
+FOLDER = 1000
+
+
 def _models_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write every model and sidecar as a file and scan the folder; one sidecar in ten is broken."""
-    m = view(spark, sf_dir, "v_models").select(F.concat(F.lit("models/"), "model", F.lit("_id"), F.col("model_id").cast("string")).alias("at"), "has_sidecar", "sidecar_scale", "model_id")
+    """Write every model and sidecar as a file, in folders of about a thousand models, and scan them; one sidecar in ten is broken."""
+    m = view(spark, sf_dir, "v_models")
+    folder = F.concat(F.lit("models/"), F.pmod(F.xxhash64("model_id"), F.lit(m.count() // FOLDER + 1)).cast("string"))
+    m = m.select(folder.alias("folder"), F.concat(folder, F.lit("/"), "model", F.lit("_id"), F.col("model_id").cast("string")).alias("at"), "has_sidecar", "sidecar_scale", "model_id")
     json = F.concat(F.when(F.col("model_id") % 2 == 0, "\ufeff").otherwise(""), F.lit("{\"scale_factor\": "), F.coalesce(F.col("sidecar_scale").cast("string"), F.lit("null")), F.lit("}"))
     body = F.when(F.col("model_id") % 30 == 0, "broken").otherwise(json)
-    models = m.select(F.concat("at", F.lit(".onnx")).alias("path"), F.lit("weights").cast("binary").alias("content"))
-    sidecars = m.where("has_sidecar").select(F.concat("at", F.lit(".json")).alias("path"), body.cast("binary").alias("content"))
+    models = m.select("folder", F.concat("at", F.lit(".onnx")).alias("path"), F.lit("weights").cast("binary").alias("content"))
+    sidecars = m.where("has_sidecar").select("folder", F.concat("at", F.lit(".json")).alias("path"), body.cast("binary").alias("content"))
     at = shared_folder(spark, "models")
-    write_files(models.unionByName(sidecars).repartition("path"), at)
+    write_files(models.unionByName(sidecars).repartition(tasks_for(spark, 1 << 20), "folder"), at)
     return scan_models(spark, at)
 
 
