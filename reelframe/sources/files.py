@@ -20,7 +20,7 @@ from reelframe.plans.views import ansi_with, view
 from reelframe.session import shared_folder
 from reelframe.sources.captures import scan_packets, write_captures
 from reelframe.sources.listing import contents, listing, located, tasks_for
-from reelframe.sources.objects import read_store, sink_object_store
+from reelframe.sources.objects import publish, read_store, sink_object_store
 
 
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -256,7 +256,7 @@ def _store_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.col("text").cast("binary")
     bodies = docs.select(F.when(F.col("doc_id") % 97 == 0, F.lit("0")).otherwise(F.sha2("text", 256)).alias("sha256"), (F.octet_length("text") + F.when(F.col("doc_id") % 89 == 0, 1).otherwise(0)).cast("long").alias("size"), data.alias("data"))
     at = shared_folder(spark, "objects")
-    sink_object_store(bodies.where("size % 2 = 0"), at)
+    publish(bodies.where("size % 2 = 0"), at)
     return sink_object_store(bodies, at, store=read_store(spark, at))
 
 

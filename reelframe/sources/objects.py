@@ -7,6 +7,7 @@ same time, tasks that are run again and runs that failed halfway all lead to the
 from __future__ import annotations
 
 import hashlib
+import threading
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from reelframe.sources.captures import located
+from reelframe.sources.listing import listing, located
 
 STAGING = "_staging"
 
@@ -86,13 +87,15 @@ class ObjectStore(DataSource):
 
 def read_store(spark: SparkSession, address: str) -> DataFrame:
     """sha256 and size of every published object; bodies are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[0-9a-f]" * 64).load(address)
     name = F.substring_index("path", "/", -1)
-    return files.where(~F.col("path").contains(f"/{STAGING}/")).select(name.alias("sha256"), F.col("length").alias("size"))
+    return listing(spark, address).where(name.rlike("^[0-9a-f]{64}$")).select(name.alias("sha256"), F.col("length").alias("size"))
 
 
-def sink_object_store(bodies: DataFrame, address: str, *, store: DataFrame | None = None) -> DataFrame:
-    """Publish the bodies (sha256, size, data) whose hash and size are right, and return the store; `store` spares what it holds from being sent to the tasks at all.
+_REGISTER = threading.Lock()  # Spark's registry takes two threads that name the same source at once for a clash
+
+
+def publish(bodies: DataFrame, address: str, *, store: DataFrame | None = None) -> None:
+    """Publish the bodies (sha256, size, data) whose hash and size are right; `store` spares what it holds from being sent to the tasks at all.
 
     A second run adds nothing, two runs at once publish each hash once, and a run that fails leaves only whole objects.
     """
@@ -100,6 +103,12 @@ def sink_object_store(bodies: DataFrame, address: str, *, store: DataFrame | Non
     fine = bodies.where((F.sha2("data", 256) == F.col("sha256")) & (F.octet_length("data") == F.col("size")))
     if store is not None:
         fine = fine.join(store.select("sha256"), "sha256", "left_anti")
-    spark.dataSource.register(ObjectStore)
+    with _REGISTER:
+        spark.dataSource.register(ObjectStore)
     fine.dropDuplicates(["sha256"]).select("sha256", "size", "data").write.format("object_store").mode("append").save(address)
-    return read_store(spark, address)
+
+
+def sink_object_store(bodies: DataFrame, address: str, *, store: DataFrame | None = None) -> DataFrame:
+    """Publish the bodies as `publish` does, and return the store."""
+    publish(bodies, address, store=store)
+    return read_store(bodies.sparkSession, address)

@@ -33,3 +33,19 @@ def test_a_folder_without_models(spark, tmp_path):
     from reelframe.sources.files import scan_models
 
     assert scan_models(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_a_store_is_listed_by_tasks(spark, tmp_path):
+    import hashlib
+
+    from reelframe.sources.objects import read_store, sink_object_store
+
+    data = [b"body %d" % k for k in range(200)] + [b""]
+    want = sorted((hashlib.sha256(x).hexdigest(), len(x)) for x in data)
+    df = spark.createDataFrame([(*row, x) for row, x in zip(((hashlib.sha256(x).hexdigest(), len(x)) for x in data), data, strict=True)], "sha256 string, size long, data binary")
+    at = str(tmp_path / "store")
+    found = sink_object_store(df, at)
+    assert [x for x in found.inputFiles() if x.startswith(f"file://{at}")] == [] and sorted(map(tuple, found.collect())) == want
+    (tmp_path / "store" / "ab").mkdir(exist_ok=True)
+    (tmp_path / "store" / "ab" / "no hash").write_bytes(b"x")
+    assert sorted(map(tuple, sink_object_store(df, at, store=read_store(spark, at)).collect())) == want
