@@ -5,7 +5,6 @@ Each registered query first writes its input files with Spark from a derived vie
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,10 +24,7 @@ from reelframe.sources.objects import publish, read_store, sink_object_store
 
 def scan_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a root and every directory on the way to one; bodies are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).drop("content")
-    below = re.sub(r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "", root.rstrip("/"))
-    inside = F.regexp_extract("path", rf"\Q{below}\E/+(.*)$", 1)
-    return catalog_of(files.select(inside.alias("path"), "length", F.unix_micros("modificationTime").alias("mtime_us")))
+    return catalog_of(listing(spark, root).select(F.col("below").alias("path"), "length", "mtime_us"))
 
 
 def catalog_of(files: DataFrame) -> DataFrame:
@@ -247,7 +243,7 @@ def _catalog_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every file of the catalogue with a body of its length and scan the folder."""
     c = view(spark, sf_dir, "v_catalog").where("NOT is_dir")
     at = shared_folder(spark, "media")
-    write_files(c.select("path", F.expr("repeat('.', CAST(length AS INT))").cast("binary").alias("content")).repartition("path"), at)
+    write_files(c.repartition(tasks_for(spark, 1 << 20), "path").select("path", F.expr("repeat('.', CAST(length AS INT))").cast("binary").alias("content")), at)
     return scan_catalog(spark, at).groupBy("parent", "is_dir").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
 
 

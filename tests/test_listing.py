@@ -49,3 +49,21 @@ def test_a_store_is_listed_by_tasks(spark, tmp_path):
     (tmp_path / "store" / "ab").mkdir(exist_ok=True)
     (tmp_path / "store" / "ab" / "no hash").write_bytes(b"x")
     assert sorted(map(tuple, sink_object_store(df, at, store=read_store(spark, at)).collect())) == want
+
+
+def test_a_catalogue_is_listed_by_tasks(spark, tmp_path):
+    from reelframe.sources.files import scan_catalog
+
+    want = set()
+    for k in range(200):
+        folder = tmp_path / "media" / f"s{k % 5}" / "/".join("x" * (k % 3))
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"clip {k}.mkv").write_bytes(b"." * (k % 4))
+        want.add((str((folder / f"clip {k}.mkv").relative_to(tmp_path / "media")), False, k % 4))
+        want |= {(str(p), True, 0) for p in folder.relative_to(tmp_path / "media").parents if str(p) != "."} | {(str(folder.relative_to(tmp_path / "media")), True, 0)} - {(".", True, 0)}
+    for root in (str(tmp_path / "media"), f"file://{tmp_path}/media/"):
+        found = scan_catalog(spark, root)
+        assert held(found, ".mkv") == []
+        assert {(r.path, r.is_dir, r.length) for r in found.collect()} == want
+        stamp = int((tmp_path / "media" / "s0" / "clip 0.mkv").stat().st_mtime * 1000) * 1000
+        assert abs(found.where("name = 'clip 0.mkv'").first().mtime_us - stamp) <= 1000
