@@ -2,8 +2,8 @@
 
 A capture is a run of packets, each a head and a payload, perhaps behind the handshake of its connection.  Nothing in it marks where a packet begins, so
 a task that is given a range finds the first head in it by what heads look like: a chain of plausible heads, one at the end of the other.  The guess is
-proved afterwards: `scan_packets` keeps a file's rows only where each range ends at the very head that the next one begins with, and
-reads other files (a payload that holds captures itself can mislead a range) from the front.
+proved afterwards: `scan_packets` first learns only where each range begins and ends, takes a file by ranges only where each ends at the very head that the next one
+begins with, and reads other files (a payload that holds captures itself can mislead a range) from the front.
 
 Files are opened by pyarrow's file systems: local paths and file, s3, gs and hdfs addresses.
 """
@@ -18,12 +18,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from reelframe.sources.listing import located
+from reelframe.session import shared_folder
+from reelframe.sources.listing import listing, located, tasks_for
 
 # Head of a packet, little-endian (payload length, flags, epoch, pts, dts), the stamp that means none, and the handshake before the first packet.
 HEADER, NO_STAMP = struct.Struct("<IBIqq"), -(2**63)
@@ -31,6 +32,8 @@ MAGIC, HANDSHAKE, DIRECTIONS = b"UPRLY1", 41, (1, 2)
 
 #: Bytes of a range, bytes read at once, heads that a chain must have, and the longest payload and highest flags that a head may state to be guessed at.
 CHUNK, READ, CHAIN = 64 << 20, 1 << 20, 8
+#: Bytes of the ranges that share a task, about.
+TASK = 32 << 20
 LIKELY_SIZE, LIKELY_FLAGS = 1 << 26, 7
 COLUMNS = "path string, split int, place long, at long, next long, size long, flags long, epoch long, pts long, dts long, corrupt boolean, payload binary"
 _TYPES = [pa.string(), pa.int32(), *[pa.int64()] * 8, pa.bool_(), pa.binary()]
@@ -105,8 +108,8 @@ class Bytes:
             at = end
 
 
-def batches(path: str, split: int, rows: Iterator[tuple], *, most: int = 65_536, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
-    held, size, place = [], 0, 0
+def batches(path: str, split: int, rows: Iterator[tuple], before: int = 0, *, most: int = 65_536, most_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+    held, size, place = [], 0, before
 
     def batch() -> pa.RecordBatch:
         columns = list(zip(*held, strict=True))
@@ -209,15 +212,38 @@ class PacketCaptures(DataSource):
         return CaptureStream(dict(self.options))
 
 
-def _from_the_front(address: str, payload: bool):
-    """A function of batches of paths: whole files, packet after packet."""
+RANGES = "path string, split int, start long, stop long, length long, first long, last long, n long"
 
-    def run(paths: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _ends(address: str):
+    """A function of batches of ranges: where the first head of each lies, where its last packet ends, and its number of packets."""
+
+    def run(ranges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = located(address)
+        for batch in ranges:
+            told = []
+            for path, split, start, stop, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = Bytes(system, path, length)
+                first = last = data.first_head() if start == 0 else data.next_head(start, stop)
+                n = 0
+                for _, last, *_ in data.packets(first, stop, False):  # noqa: B007
+                    n += 1
+                told.append((first, last, n))
+            if told:
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in zip(*told, strict=True))], [*batch.schema.names, "first", "last", "n"])
+
+    return run
+
+
+def _rows_of(address: str, payload: bool):
+    """A function of batches of ranges with their first heads (none: the front of a file): their packets, numbered on from `before`."""
+
+    def run(ranges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = located(address)
-        for batch in paths:
-            for path in batch.column(0).to_pylist():
-                data = Bytes(system, path, system.get_file_info(path).size)
-                yield from batches(path, 0, data.packets(data.first_head(), data.length, payload))
+        for batch in ranges:
+            for path, split, stop, length, first, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = Bytes(system, path, length)
+                yield from batches(path, split, data.packets(data.first_head() if first is None else first, stop, payload), before)
 
     return run
 
@@ -225,21 +251,26 @@ def _from_the_front(address: str, payload: bool):
 def scan_packets(spark: SparkSession, address: str, *, chunk_bytes: int = CHUNK, payload: bool = False) -> DataFrame:
     """path, seq (from 1), at (the head's byte), size, flags, epoch, pts, dts, corrupt and payload of every packet of the captures at an address.
 
-    Large files are read by many tasks; a handshake before the first packet is skipped; a file cut off within a packet gives a last row marked corrupt.  The rows
-    are those of a reader that goes through each file from the front, whatever the payloads hold.
+    Large files are read by many tasks, and many small files by one; a handshake before the first packet is skipped; a file cut off within a packet gives a last
+    row marked corrupt.  The rows are those of a reader that goes through each file from the front, whatever the payloads hold.  Files are listed, cut into ranges
+    and proved as tables of ranges, so neither the driver holds them nor are packets ever joined with them.
     """
-    spark.dataSource.register(PacketCaptures)
-    read = lambda with_payload: spark.read.format("packet_captures").option("path", address).option("chunkBytes", chunk_bytes).option("payload", with_payload).load()
-    parts = read("false").groupBy("path", "split").agg(F.min("at").alias("first"), F.max("next").alias("end"), F.count("*").alias("n"))
+    files = listing(spark, address, hidden_folders=True).where("length > 0 AND NOT startswith(regexp_extract(path, '[^/]*$', 0), '_')")
+    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(chunk_bytes).cast("long"))).alias("start")
+    ranges = files.select("path", "length", cut).select("path", F.expr(f"CAST(start DIV {chunk_bytes} AS INT)").alias("split"), "start", F.least(F.col("start") + chunk_bytes, "length").alias("stop"), "length")
+    count, total = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    tasks = max(1, min(count, max(tasks_for(spark, count), total // TASK)))
+    told = shared_folder(spark, "ranges")
+    ranges.repartition(tasks).mapInArrow(_ends(address), RANGES).write.parquet(told)
+    parts = spark.read.schema(RANGES).parquet(told).where("n > 0")
     order = W.partitionBy("path").orderBy("split")
-    joins = F.coalesce(F.lag("end").over(order) == F.col("first"), F.col("split") == 0)
+    joins = F.coalesce(F.lag("last").over(order) == F.col("first"), F.col("split") == 0)
     parts = parts.withColumn("joins", joins).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    files = parts.withColumn("proved", F.min("joins").over(W.partitionBy("path")))
-    columns = ("path", "seq", "at", "size", "flags", "epoch", "pts", "dts", "corrupt", "payload")
-    proved = read(str(payload).lower()).join(files.where("proved").select("path", "split", "before"), ["path", "split"])
-    again = files.where("NOT proved").select("path").distinct().mapInArrow(_from_the_front(address, payload), COLUMNS).withColumn("before", F.lit(0).cast("long"))
-    rows = proved.unionByName(again, allowMissingColumns=True)
-    return rows.withColumn("seq", F.col("place") + F.col("before")).select(*columns)
+    parts = parts.withColumn("proved", F.min("joins").over(W.partitionBy("path")))
+    known = ["path", "split", "stop", "length", "first", "before"]
+    whole = parts.where("NOT proved").select("path", "length").distinct().select("path", F.lit(0).alias("split"), F.col("length").alias("stop"), "length", F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("before"))
+    rows = parts.where("proved").select(*known).unionByName(whole).repartition(tasks).mapInArrow(_rows_of(address, payload), COLUMNS)
+    return rows.select("path", F.col("place").alias("seq"), "at", "size", "flags", "epoch", "pts", "dts", "corrupt", "payload")
 
 
 def packet_stream(spark: SparkSession, address: str, *, payload: bool = False) -> DataFrame:
@@ -254,9 +285,11 @@ def packed(flags: int, epoch: int, pts: int | None, dts: int | None, payload: by
     return HEADER.pack(len(payload), flags, epoch, NO_STAMP if pts is None else pts, NO_STAMP if dts is None else dts) + payload
 
 
-def write_captures(packets: DataFrame, address: str, *, block: int = 1_000_000) -> DataFrame:
+def write_captures(packets: DataFrame, address: str, *, block: int = 1_000_000, payload: Column | None = None) -> DataFrame:
     """Write packets (session_id, seq, flags, epoch, pts, dts, payload) as captures <session>-<block>.cap of at most `block` packets; returns path and n of what was written.
 
+    A `payload` that is given is made of the packets' columns once they are in their place, so that it isn't shuffled.
+
     A file appears whole, under its name, when its last packet is written, so a task that is run again replaces it.  The first block of a
     session begins with a handshake.
     """
@@ -286,5 +319,6 @@ def write_captures(packets: DataFrame, address: str, *, block: int = 1_000_000)
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.int64())], ["path", "n"])
 
-    rows = packets.select("session_id", F.floor((F.col("seq") - 1) / block).cast("long").alias("block"), "seq", "flags", "epoch", "pts", "dts", "payload")
-    return rows.repartition("session_id", "block").sortWithinPartitions("session_id", "block", "seq").mapInArrow(run, "path string, n long")
+    rows = packets.withColumn("block", F.floor((F.col("seq") - 1) / block).cast("long")).repartition("session_id", "block").sortWithinPartitions("session_id", "block", "seq")
+    body = F.col("payload") if payload is None else payload.alias("payload")
+    return rows.select("session_id", "block", "seq", "flags", "epoch", "pts", "dts", body).mapInArrow(run, "path string, n long")

@@ -146,7 +146,8 @@ def _packets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write each session's packets, with payloads of up to a kilobyte, as captures; scan those by ranges of a quarter of a megabyte."""
     at = shared_folder(spark, "captures")
     payload = F.expr("substring(repeat(CAST(seq % 1000 AS STRING), 1024), 1, CAST(size % 1024 AS INT))").cast("binary")
-    written = write_captures(view(spark, sf_dir, "v_packets").withColumn("payload", payload), at, block=BLOCK)
+    packets = view(spark, sf_dir, "v_packets").select("session_id", "seq", "flags", "epoch", "pts", "dts", "size")
+    written = write_captures(packets, at, block=BLOCK, payload=payload)
     written.agg(F.sum("n")).first()
     of = lambda i: F.regexp_extract("path", r"/(-?\d+)-(\d+)\.cap$", i).cast("long")
     rows = scan_packets(spark, at, chunk_bytes=1 << 18)

@@ -107,3 +107,16 @@ def test_writing_again_replaces(spark, tmp_path):
         assert {(r.path, r.n) for r in captures.write_captures(df, str(tmp_path), block=40).collect()} == {(f"{s}-{b}.cap", n) for s in (1, 2) for b, n in ((0, 40), (1, 40), (2, 20))}
     found = scanned(spark, tmp_path, 512)
     assert len(found) == 6 and [x[2:5] for x in found["2-1.cap"]] == [(k % 50, k % 8, 1) for k in range(41, 81)]
+
+
+def test_small_captures_share_tasks(spark, tmp_path):
+    """Many small files: no packet is joined with its file, a task takes many ranges, and the driver holds no list of files."""
+    rng = random.Random(8)
+    for k in range(400):
+        (tmp_path / f"{k}.cap").write_bytes(capture(rng, 20, noise(600)))
+    rows = captures.scan_packets(spark, str(tmp_path), chunk_bytes=4096)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "packet_captures" not in plan
+    assert rows.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    want = {p.name: packets_of(p.read_bytes()) for p in tmp_path.iterdir()}
+    assert scanned(spark, tmp_path, 4096) == want
