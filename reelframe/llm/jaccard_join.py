@@ -2,13 +2,14 @@
 
 A document's set holds the hashes of its distinct five-word shingles.  Equal sets form a class, which its smallest doc_id stands for and which is compared once.
 
-1. `set_pass` names every set by 128 bits and counts shingles in a fixed number of hash buckets.  Rare buckets come first in
-   the global order of shingles (the counts only steer the order, so collisions cannot lose a link).
+1. `set_pass` names every set by 128 bits, sketches it by the parities of its shingles in about as many buckets, and counts shingles in a bounded number of
+   hash buckets.  Rare buckets come first in the global order of shingles (the counts only steer the order, so collisions cannot lose a link).
 2. Two sets with a Jaccard similarity of t or more share a shingle among the first n - ceil(t * n) + 1 of each.  `index_lists`
    deals these prefixes by shingle.  The position of a shingle in its set bounds the overlap that is left, and so the size of a partner;
-   each list is ordered by size and cut into blocks wherever no earlier position reaches the next size, and blocks are skipped by one another.  Sets
-   in one block belong to one candidate family.
-3. Families are the components of those chains; a large one is cut into parts by size and hash.  Neighbouring parts are compared first, and
+   each list is ordered by size and cut into blocks wherever no earlier position reaches the next size, and blocks are skipped by one another.
+   The pairs of a short block are candidates where their positions allow a link and where their sketches do: the buckets whose parities differ are no more than the
+   shingles in which the two sets differ, so no link is lost, and sets that share a few shingles by chance part here.  Sets in a long block are one candidate family.
+3. Families are the components of those pairs and blocks; a large one is cut into parts by size and hash.  Neighbouring parts are compared first, and
    other pairs of parts only where they still hold different components.
 4. `linked_sets` walks the links of a group: a set is compared only with sets outside the components found so far.  Its overlaps
    are counted over index lists from the first block that size allows to the last, or derived from the answers of the highly similar set that it was found from, through
@@ -33,6 +34,12 @@ from reelframe.llm.textcodes import mix, text_sets
 
 #: Rows of a packed list that one task sends on at once.
 FLUSH = 2_000_000
+#: Sets of a block up to which its pairs are judged one by one; a longer block is one family.
+PAIRED = 16
+#: Buckets of ids by which texts are sorted out before a shuffle: so many numbers are broadcast at most.
+MET_BUCKETS = 1 << 20
+#: Marks the reach of an entry that stands for a long block.
+LONG = 1 << 31
 
 
 def _set_ids(s: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,28 +52,48 @@ def _set_ids(s: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def _sketches(s: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """The parity of each set's shingles in each of w buckets, w the least power of two from 64 and three quarters of its size on.
+
+    Of two sets the wider sketch is folded to the narrower one's width; the bits in which they then differ are no more than the shingles in which the sets do.
+    """
+    n = np.diff(begins)
+    width = 64 << np.ceil(np.log2(np.maximum(n * 0.75 / 64, 1))).astype(np.int64)
+    start = np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])
+    at = np.repeat(start[:-1], n) + (s & np.repeat(width - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(start[-1])) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(start // 8), pa.py_buffer(np.packbits(odd, bitorder="little"))]).cast(pa.binary())
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value begins in them (one more at the end)."""
+    column = column.cast(pa.large_binary())
+    _, where, data = column.buffers()
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.frombuffer(where, np.int64)[column.offset : column.offset + len(column) + 1]
+
+
 def set_pass(docs: DataFrame, *, bits: int, slices: int) -> DataFrame:
-    """One pass over the texts: (doc_id, n, sid, sid2) of each document's set, and for each task (slice, counts) of its shingles in 2**bits hash buckets."""
+    """One pass over the texts: (doc_id, n, sid, sid2, sketch) of each document's set, and for each task (slice, counts) of its shingles in 2**bits hash buckets, of 255 at most."""
     size = 1 << bits
     part = size // slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        names = ["doc_id", "n", "sid", "sid2", "slice", "counts"]
-        counts = np.zeros(size, np.int64)
+        names = ["doc_id", "n", "sid", "sid2", "sketch", "slice", "counts"]
+        counts = np.zeros(size, np.uint32)
         for batch in batches:
             for row, stop, s, begins in text_sets(batch):
-                counts += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=size)
+                np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
                 rows, (sid, sid2) = stop - row, _set_ids(s, begins)
-                columns = [batch.column(0).slice(row, rows), pa.array(np.diff(begins)), pa.array(sid), pa.array(sid2), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                columns = [batch.column(0).slice(row, rows), pa.array(np.diff(begins)), pa.array(sid), pa.array(sid2), _sketches(s, begins), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
         if counts.any():
-            parts = [zlib.compress(counts[k * part : (k + 1) * part].astype(np.uint32).tobytes(), 1) for k in range(slices)]
+            parts = [zlib.compress(np.minimum(counts[k * part : (k + 1) * part], 255).astype(np.uint8).tobytes(), 1) for k in range(slices)]
             none = pa.nulls(slices, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(slices, pa.binary()), pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, sid2 long, slice int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, sid2 long, sketch binary, slice int, counts binary")
 
 
 def shingle_ranks(counted: DataFrame, *, bits: int, slices: int) -> np.ndarray:
@@ -80,7 +107,7 @@ def shingle_ranks(counted: DataFrame, *, bits: int, slices: int) -> np.ndarray:
         n = np.zeros(part, np.int64)
         for batch in tables:
             for x in batch.column(batch.schema.get_field_index("counts")):
-                n += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+                n += np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
         rank = np.minimum(255, np.round(4 * np.log2(1 + n))).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["slice", "ranks"])
 
@@ -110,10 +137,10 @@ def _chains(token: np.ndarray, low: np.ndarray, reach: np.ndarray, sid: np.ndarr
 
 
 def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den: int, buckets: int) -> DataFrame:
-    """Candidate links (a, b) between set names: a star over each block of each shingle's index list.
+    """The blocks of each shingle's index list: the set names of a block of up to PAIRED sets as `members`, of a longer one a star of links (a, b).
 
-    Within a task, entries of a shingle that chain are linked at once and sent on as one entry with their least size and
-    furthest reach, so a shingle of a third of all documents costs each task one entry.
+    A set that no other set of its short block can be linked with, by both positions, is left out.  Within a task, the entries of a longer block are linked at once and sent on
+    as one entry with their least size and furthest reach, so a shingle of a third of all documents costs each task one entry.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
@@ -133,11 +160,16 @@ def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den:
         def flush():
             token, n, reach, sid = (np.concatenate([h[k] for h in held]) for k in range(4))
             order, chain, first, far = _chains(token.view(np.int64), n, reach, sid)
-            token, n, sid = token[order], n[order], sid[order]
-            same = np.arange(len(token)) != first[chain]
-            links = np.unique(np.stack([sid[first[chain]][same], sid[same]], 1), axis=0) if same.any() else np.zeros((0, 2), np.int64)
+            token, n, reach, sid = token[order], n[order], reach[order], sid[order]
+            again = np.zeros(len(token), bool)
+            again[1:] = (token[1:] == token[:-1]) & (sid[1:] == sid[:-1])
+            long = np.bincount(chain, ~again) > PAIRED
+            one = ~again & ~long[chain]
+            star = np.flatnonzero(long[chain])
+            links = np.unique(np.stack([sid[first[chain[star]]], sid[star]], 1), axis=0) if len(star) else np.zeros((0, 2), np.int64)
             links = links[links[:, 0] != links[:, 1]]
-            rows = pack(token[first], n[first], far, sid[first])
+            head = first[long]
+            rows = pack(*(np.concatenate(x) for x in ((token[one], token[head]), (n[one], n[head]), (reach[one], far[long] | LONG), (sid[one], sid[head]))))
             empty = [b""] * len(links)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([-1] * len(links) + [k for k, _ in rows], pa.int32()), pa.array(links[:, 0].tolist() + [0] * len(rows), pa.int64()), pa.array(links[:, 1].tolist() + [0] * len(rows), pa.int64()), pa.array(empty + [x for _, x in rows], pa.binary())],
@@ -163,10 +195,10 @@ def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den:
             yield from flush()
 
     def merge(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, names = [], ["a", "b", "members"]
         for batch in tables:
             if key[0].as_py() < 0:
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.nulls(len(batch), pa.binary())], names)
                 continue
             for x in batch.column(3):
                 raw = x.as_py()
@@ -174,15 +206,100 @@ def index_lists(docs: DataFrame, ranks: np.ndarray, *, bits: int, num: int, den:
                 parts.append((np.frombuffer(raw, np.uint64, k), np.frombuffer(raw, np.uint32, k, 8 * k), np.frombuffer(raw, np.uint32, k, 12 * k), np.frombuffer(raw, np.int64, k, 16 * k)))
         if parts:
             token, low, reach, sid = (np.concatenate([p[k] for p in parts]) for k in range(4))
-            order, chain, first, _ = _chains(token.view(np.int64), low.astype(np.int64), reach.astype(np.int64), sid)
-            sid = sid[order]
-            direct = np.stack([sid[first[chain]], sid], 1)
-            direct = np.unique(direct[direct[:, 0] != direct[:, 1]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(direct[:, 0]), pa.array(direct[:, 1])], ["a", "b"])
+            low, reach = low.astype(np.int64), reach.astype(np.int64)
+            longer, reach = reach >= LONG, reach & (LONG - 1)
+            order, chain, first, _ = _chains(token.view(np.int64), low, reach, sid)
+            token, low, reach, sid, longer = token[order], low[order], reach[order], sid[order], longer[order]
+            again = np.zeros(len(token), bool)
+            again[1:] = (token[1:] == token[:-1]) & (sid[1:] == sid[:-1]) & ~longer[1:]
+            long = (np.bincount(chain, ~again) > PAIRED) | (np.bincount(chain, longer) > 0)
+            star = np.flatnonzero(long[chain])
+            if len(star):
+                direct = np.unique(np.stack([sid[first[chain[star]]], sid[star]], 1), axis=0)
+                direct = direct[direct[:, 0] != direct[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(direct[:, 0]), pa.array(direct[:, 1]), pa.nulls(len(direct), pa.binary())], names)
+            one = ~again & ~long[chain]
+            chain, low, reach, sid = chain[one], low[one], reach[one], sid[one]
+            met = np.zeros(len(sid), bool)
+            for d in range(1, min(PAIRED, len(sid))):
+                both = chain[d:] == chain[:-d]
+                if not both.any():
+                    break
+                both &= (low[d:] <= reach[:-d]) & (low[:-d] <= reach[d:])
+                met[d:] |= both
+                met[:-d] |= both
+            chain, sid = chain[met], sid[met]
+            sid = sid[np.lexsort((sid, chain))]
+            begin = np.flatnonzero(np.diff(chain, prepend=-1))
+            members = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(8 * np.append(begin, len(sid)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sid))])
+            yield pa.RecordBatch.from_arrays([pa.array(sid[begin], pa.int64()), pa.nulls(len(begin), pa.int64()), members], names)
 
     packed = docs.select("doc_id", "text").mapInArrow(spread, "bucket int, a long, b long, entries binary")
     dealt = packed.withColumn("salt", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("a", "b"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
-    return dealt.groupBy("salt").applyInArrow(merge, "a long, b long").distinct()
+    return dealt.groupBy("salt").applyInArrow(merge, "a long, b long, members binary")
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) within blocks(a, members): blocks of one least member meet in a task, so near copies, which share many blocks, give most of their pairs once."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def flush():
+            a, b = (np.concatenate([h[k] for h in held]) for k in range(2))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            a, b = a[new], b[new]
+            for x in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(a[x : x + 100_000]), pa.array(b[x : x + 100_000])], ["a", "b"])
+
+        for batch in batches:
+            data, where = _bytes(batch.column(1))
+            sid = np.frombuffer(data[where[0] : where[-1]].tobytes(), np.int64)
+            block = np.repeat(np.arange(len(batch)), np.diff(where) // 8)
+            for d in range(1, min(PAIRED, len(sid))):
+                both = block[d:] == block[:-d]
+                if not both.any():
+                    break
+                held.append((sid[:-d][both], sid[d:][both]))
+                total += len(held[-1][0])
+            if total >= FLUSH:
+                yield from flush()
+                held, total = [], 0
+        if total:
+            yield from flush()
+
+    return blocks.select("a", "members").repartition("a").mapInArrow(pairs, "a long, b long").repartition("a").distinct()
+
+
+def sketched_pairs(pairs: DataFrame, classes: DataFrame, *, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    one = classes.select(F.col("sid").alias("a"), "n", "sketch")
+    two = classes.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    met = pairs.join(one, "a").join(two, "b").where(F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            (x, at), (y, at2) = _bytes(batch.column(4)), _bytes(batch.column(5))
+            width, width2 = np.diff(at), np.diff(at2)
+            differ = np.zeros(len(batch), np.int64)
+            kinds, kind = np.unique(np.stack([width, width2], 1), axis=0, return_inverse=True)
+            for k, (w, w2) in enumerate(kinds.tolist()):
+                rows, least = np.flatnonzero(kind.ravel() == k), min(w, w2)
+                step = max(1, (1 << 22) // max(w, w2))
+                for i in range(0, len(rows), step):
+                    r = rows[i : i + step]
+                    first, second = (np.bitwise_xor.reduce(d[f[r][:, None] + np.arange(v)].reshape(len(r), v // least, least), axis=1) for d, f, v in ((x, at, w), (y, at2, w2)))
+                    differ[r] = np.bitwise_count(first ^ second).sum(1, dtype=np.int64)
+            near = pa.array(differ * (den + num) <= total * (den - num))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+
+    return met.select("a", "b", "n", "n2", "sketch", "sketch2").mapInArrow(judge, "a long, b long")
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -302,10 +419,13 @@ def linked_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, com
 def group_links(rows: DataFrame, docs: DataFrame, *, num: int, den: int) -> DataFrame:
     """Verified links (a, b) between classes within the groups of rows(rep, n, sid, sid2, component, g, side): side 0 with side 1, and side 2 with itself.
 
-    The texts of representatives meet their rows by doc_id; a text of that id that is not of the class is left out.
+    The texts of representatives meet their rows by doc_id; a text of that id that is not of the class is left out.  Before they are shuffled, texts of which
+    no representative shares the bucket are left out too: the buckets in use, MET_BUCKETS at most, are broadcast.
     """
     wanted = rows.groupBy("rep", "sid", "sid2").agg(F.collect_list(F.struct("g", "side", "component")).alias("in"))  # as many as a class has groups: its part's neighbours
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    bucket = F.pmod(F.xxhash64("rep"), F.lit(MET_BUCKETS))
+    met = docs.select(F.col("doc_id").alias("rep"), "text").withColumn("met", bucket).join(F.broadcast(rows.select(bucket.alias("met")).distinct()), "met", "left_semi")
+    texts = met.select("rep", "text").join(wanted, "rep")
     texts = texts.select("rep", "sid", "sid2", "text", F.explode("in").alias("x")).select("x.g", "rep", "sid", "sid2", "x.side", "x.component", "text")
 
     def link(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,7 +495,7 @@ def jaccard_components(docs: DataFrame, *, num: int = 80, den: int = 100, bits:
     """(doc_id, n_shingles, component_id) of every row; documents link from a Jaccard similarity of num / den on.
 
     Null texts and texts without words have an empty set and link with nothing; a text of one to four words is one
-    shingle; a very long text is one set, held by the tasks that compare it.  Repeated rows are equal sets, so they share a component and each gives
+    shingle; a very long text is one set, held by the tasks that compare it.  Shingles are counted in 2**bits buckets, up to four times as many where there is more than a bucket's 128 bytes of text.  Repeated rows are equal sets, so they share a component and each gives
     a row; rows of one doc_id with different texts are judged by their own texts.  Rows without doc_id keep their n_shingles and have no component.  Extra columns are
     ignored.  Words and shingles are compared by 64-bit hashes, equal sets by 128 bits and their size.
     """
@@ -383,15 +503,19 @@ def jaccard_components(docs: DataFrame, *, num: int = 80, den: int = 100, bits:
     docs = docs.select("doc_id", "text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = 1 << min(10, max(4, (partitions - 1).bit_length()))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    bits = min(bits + 2, max(bits, (size >> 7).bit_length()))
     everything = checkpointed(set_pass(docs, bits=bits, slices=slices))
     sets = everything.where("slice IS NULL").select("doc_id", "n", "sid", "sid2")
     ranks = shingle_ranks(everything.where("slice IS NOT NULL").select("slice", "counts"), bits=bits, slices=slices)
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    classes = checkpointed(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("rep")))
+    named = everything.where("slice IS NULL AND n > 0 AND doc_id IS NOT NULL")
+    classes = checkpointed(named.groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")))
     buckets = max(partitions, total // 4_000_000 + 1)
-    chains = index_lists(docs.where("doc_id IS NOT NULL"), ranks, bits=bits, num=num, den=den, buckets=buckets)
-    family = connected_components(chains).withColumnRenamed("node", "sid").withColumnRenamed("component", "family")
-    links = family_links(classes.join(family, "sid"), docs, num=num, den=den, block=block)
+    blocks = checkpointed(index_lists(docs.where("doc_id IS NOT NULL"), ranks, bits=bits, num=num, den=den, buckets=buckets))
+    pairs = sketched_pairs(block_pairs(blocks.where("members IS NOT NULL")), classes, num=num, den=den)
+    family = connected_components(pairs.unionByName(blocks.where("members IS NULL").select("a", "b"))).withColumnRenamed("node", "sid").withColumnRenamed("component", "family")
+    links = family_links(classes.select("rep", "n", "sid", "sid2").join(family, "sid"), docs, num=num, den=den, block=block)
     linked = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("low"))
     found = classes.join(linked, "rep", "left").select("sid", "sid2", "n", F.coalesce("low", "rep").alias("low"))
     return sets.join(found, ["sid", "sid2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -57,6 +57,46 @@ def test_jaccard_components(spark, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == components(rows)
 
 
+def test_texts_that_share_a_phrase_are_no_family(spark, monkeypatch):
+    """Each text is made of passages that it shares with four others, one with each; only the two near copies are compared."""
+    words = {i: [f"p{min(x)}_{max(x)}_{k}" for x in ((i, (i + d) % 60) for d in (-2, -1, 1, 2)) for k in range(40)] for i in range(60)}
+    words[200] = [*words[7][:-1], "other"]
+    rows = [(i, " ".join(w)) for i, w in words.items()]
+    families, links = [], jaccard_join.family_links
+    monkeypatch.setattr(jaccard_join, "family_links", lambda family, *a, **b: families.append(sorted(r.rep for r in family.collect())) or links(family, *a, **b))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == components(rows)
+    assert families == [[7, 200]]
+
+
+def test_blocks_short_and_long(spark):
+    """Clusters of near copies about the size from which a block is one family, in few and many tasks."""
+    r = np.random.default_rng(5)
+    rows = []
+    for size in (2, 3, 15, 16, 17, 18, 40):
+        base = [f"c{size}_{k}" for k in range(60)]
+        rows += [(len(rows) + j, " ".join([*base[: 60 - r.integers(0, 4)], *(f"x{size}_{j}_{k}" for k in range(r.integers(0, 9)))])) for j in range(size)]
+    want = components(rows)
+    for parts in (1, 3, 50):
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(parts), block=2_000)
+        assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
+
+
+def test_sketches_never_lose_a_link():
+    """Bits in which two sketches differ, the wider one folded, are no more than the shingles in which the sets do, and nearly as many as buckets tell for unlike sets."""
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        n, m = r.integers(1, 400, 2)
+        both = r.integers(0, min(n, m) + 1)
+        a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[:both], r.integers(0, 1 << 63, m - both, dtype=np.uint64)]))
+        x, y = (np.frombuffer(v, np.uint8) for v in jaccard_join._sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).to_pylist())
+        w = min(len(x), len(y))
+        differ = int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, w)) ^ np.bitwise_xor.reduce(y.reshape(-1, w))).sum())
+        assert differ <= len(np.setxor1d(a, b))
+        assert both or min(n, m) < 50 or 9 * differ > n + m
+
+
 def _classes(n, links):
     parent = list(range(n))
 
