@@ -1,10 +1,11 @@
-"""The pipeline's first stage leaves columns that are named as its scores as they are."""
+"""The pipeline's first stage leaves columns that are named as its scores as they are; its second compares near copies alone."""
 
 import random
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from reelframe.llm import jaccard_join
 
 
 def test_quality_keeps_clashing_columns(spark, tmp_path):
@@ -22,3 +23,14 @@ def test_quality_keeps_clashing_columns(spark, tmp_path):
     assert sum(k % 2 == 1 for k in found) >= 58 and sum(k % 2 == 0 for k in found) <= 3
     texts = dict(rows)
     assert all(r.text == texts[k] for k, r in found.items())
+
+
+def test_near_duplicates_compare_near_copies_alone(spark, monkeypatch):
+    """Of texts made of passages that each shares with four others, the stage sends the two near copies to be compared and no other; all but one of these stay."""
+    words = {i: [f"p{min(x)}_{max(x)}_{k}" for x in ((i, (i + d) % 50) for d in (-2, -1, 1, 2)) for k in range(40)] for i in range(50)}
+    words[70] = ["other", *words[3][1:]]
+    sent, links = [], jaccard_join.group_links
+    monkeypatch.setattr(jaccard_join, "group_links", lambda rows, docs, **a: sent.extend(r.rep for r in rows.collect()) or links(rows, docs, **a))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == list(range(50))
+    assert sorted(sent) == [3, 70]
